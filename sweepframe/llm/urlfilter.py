@@ -83,7 +83,7 @@ class Cascade:
                 raise RuntimeError("the cascade doesn't end; two keys hash alike")
             level = Level(inside, len(self.levels))
             self.levels.append(level)
-            inside, outside = materialise(outside.where(level.has(F.col("key"), level.words.scalar()))), inside
+            inside, outside = materialise(outside.withColumn("__words", level.words.scalar()).where(level.has(F.col("key"), F.col("__words"))).select("key")), inside
 
     def bits(self) -> Column:
         """The bits of all levels: a column that a row takes along."""
