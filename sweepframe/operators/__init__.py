@@ -1 +1 @@
-
+"""The radar operators, by domain."""

@@ -1,9 +1,13 @@
-"""All registered queries of the radar operators."""
+"""All registered queries of the radar operators, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from sweepframe.plans import catalog, catalog_logs  # noqa: F401  (catalog_logs adds to the catalog)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(catalog._queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalog._sql)
