@@ -4,13 +4,15 @@ Every source gets a target in words. A source first takes whole copies of all
 its documents as often as the target allows; the rest is a sample without
 replacement of a fixed number of words with unequal probabilities: documents
 are ranked by random odds divided by inclusion odds, and the best ranks are
-taken until the words are reached. The inclusion odds grow with the square
-root of a document's size, so longer documents are likelier.
+taken while their words fit; one document more closes the gap that is left, the
+one whose size comes nearest to it, if that is better than leaving it open. The
+inclusion odds grow with the square root of a document's size, so longer
+documents are likelier.
 
 No group is sorted in one task: the rank is cut into 2^13 cells by source, the
 cell in which the target is reached is cut again, and only the documents of the
-last cell are ordered. What is left is one threshold per source, which any row
-can be held against.
+last cell are ordered. What is left is one threshold and one closing document per
+source, which any row can be held against.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; rows that repeat an id are taken or left
@@ -63,7 +65,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     x = x.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(share)))
     x = x.withColumn("here", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     x = x.withColumn("full", F.col("level") <= F.col("here"))
-    x = x.withColumn("common", F.min(F.when(~F.col("full"), F.col("here"))).over(whole))
+    # the level at the first source that isn't full; further on it only falls
+    x = x.withColumn("common", F.max(F.when(~F.col("full"), F.col("here"))).over(whole))
     return x.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("common") * F.col("weight"))).alias("target"))
 
 
@@ -92,13 +95,21 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     tail = tail.groupBy("source", "rest", "passed", "q", "id").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())
     tail = tail.withColumn("upto", F.col("passed") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    tail = tail.withColumn("short", F.col("rest") - (F.col("upto") - F.col("words")))
-    # the document at the edge comes in if that is nearer to the target than leaving it out
-    taken = tail.where("short > 0 and (upto <= rest or upto - rest < short)")
-    edge = taken.groupBy("source").agg(F.max(F.struct("q", "id")).alias("last"), F.lit(True).alias("any"))
-    # where the cell's first document stays out, everything before the cell is taken
-    cut = level.select("source", F.col("prefix").alias("last_cell")).join(edge, F.lit(True) & level["source"].eqNullSafe(edge["source"]), "left").select(level["source"], "last_cell", "last")
-    return materialise(sources.join(cut, sources["source"].eqNullSafe(cut["source"]), "left").select(sources["source"], "source_size", "target", "copies", "last_cell", F.col("last.q").alias("last_q"), F.col("last.id").alias("last_id")))
+    taken = tail.where("upto <= rest").groupBy("source").agg(F.max(F.struct("q", "id")).alias("last"), F.max("upto").alias("reached"))
+    # where the cell's first document is too long, everything before the cell is taken
+    cut = level.join(taken.withColumnRenamed("source", "__of"), level["source"].eqNullSafe(F.col("__of")), "left")
+    cut = materialise(cut.select("source", F.col("prefix").alias("last_cell"), F.col("last.q").alias("last_q"), F.col("last.id").alias("last_id"), (F.col("rest") - F.coalesce("reached", "passed")).alias("gap")))
+    # one document more, the one that closes the gap best
+    open_ = _with_source(slim, cut).where(~_before(F.col("cell"), F.col("q"), F.col("id"), F.col) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
+    closing = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "q", "id")).alias("one"))
+    ends = cut.join(closing.withColumnRenamed("source", "__of"), cut["source"].eqNullSafe(F.col("__of")), "left").select(cut["source"].alias("__of"), "last_cell", "last_q", "last_id", F.col("one.q").alias("close_q"), F.col("one.id").alias("close_id"))
+    return materialise(sources.join(ends, sources["source"].eqNullSafe(ends["__of"]), "left").select("source", "source_size", "target", "copies", "last_cell", "last_q", "last_id", "close_q", "close_id"))
+
+
+def _before(cell: Column, q: Column, doc_id: Column, of) -> Column:
+    """Whether a row is no further in the order than the last document taken in rank order."""
+    upto = (q < of("last_q")) | ((q == of("last_q")) & (doc_id.isNull() | F.coalesce(doc_id <= of("last_id"), F.lit(False))))
+    return F.coalesce((cell < of("last_cell")) | ((cell == of("last_cell")) & of("last_q").isNotNull() & upto), F.lit(False))
 
 
 def _with_source(rows: DataFrame, small: DataFrame) -> DataFrame:
@@ -114,9 +125,8 @@ def take(docs: DataFrame, planned: DataFrame, into: str = "copies", seed: str =
     q = rank(F.col(doc_id), F.col("__size"), seed)
     cell = F.least(F.floor(q / (1 + q) * (_CELLS * _CELLS)), F.lit(_CELLS * _CELLS - 1))
     p = lambda name: F.col(f"__plan.{name}")
-    upto = (q < p("last_q")) | ((q == p("last_q")) & (F.col(doc_id).isNull() | F.coalesce(F.col(doc_id) <= p("last_id"), F.lit(False))))
-    more = (cell < p("last_cell")) | ((cell == p("last_cell")) & p("last_q").isNotNull() & upto)
-    copies = p("copies") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+    closes = F.coalesce(q == p("close_q"), F.lit(False)) & F.col(doc_id).eqNullSafe(p("close_id"))
+    copies = p("copies") + F.when(_before(cell, q, F.col(doc_id), p) | closes, 1).otherwise(0)
     return rows.withColumn(into, F.struct(F.col("__size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), copies.cast("int").alias("copies"))).drop("__size", "__plan")
 
 

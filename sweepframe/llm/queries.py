@@ -112,13 +112,15 @@ h AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY level, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here
   FROM r),
-t AS (SELECT source, source_size, CASE WHEN level <= here THEN cap ELSE least(cap, weight * min(CASE WHEN level > here THEN here END) OVER ()) END AS target FROM h),
+t AS (SELECT source, source_size, CASE WHEN level <= here THEN cap ELSE least(cap, weight * max(CASE WHEN level > here THEN here END) OVER ()) END AS target FROM h),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN least({mixing.MOST_COPIES}, CAST(floor(target / source_size) AS INT)) ELSE 0 END AS copies FROM t),
 q AS (SELECT d.doc_id, d.size, c.*, (u / (1 - u)) / sqrt(greatest(d.size, 1)::DOUBLE) AS q, target - copies * source_size AS rest FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST) AS upto FROM q)
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST) AS upto FROM q),
+g AS (SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM o),
+z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rest > 0 AND upto > rest AND abs(gap - size) < gap THEN abs(gap - size) END ASC NULLS LAST, q, doc_id NULLS FIRST) AS nth FROM g)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 4) AS target,
-       CAST(size * (copies + CASE WHEN rest - (upto - size) > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM o"""
+       CAST(size * (copies + CASE WHEN rest > 0 AND (upto <= rest OR (nth = 1 AND abs(gap - size) < gap)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM z"""
 
 
 def _url_sql() -> str:
