@@ -219,7 +219,7 @@ def antenna_order(snapshots: DataFrame, x: np.ndarray, range_bin: int | None = N
 
 def apply_order(snapshots: DataFrame, orders: DataFrame) -> DataFrame:
     """Every frame with the order found for its capture (one small row each)."""
-    rows = snapshots.join(F.broadcast(orders), "capture_id")
+    rows = snapshots.join(orders, "capture_id")
     place = (F.array_position("antennas", F.col("ant")) - 1).cast("int")
     im = F.when(F.col("conjugated"), F.transform("im", lambda v: -v)).otherwise(F.col("im"))
     return rows.select("capture_id", "frame", "loop", place.alias("ant"), "re", im.alias("im"))

@@ -67,30 +67,32 @@ def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS
 
     X_k = sum w_f s_f e_kf - mean(s) sum w_f e_kf, with the frame counts known first.
     """
-    counts = {r[0]: r[1] for r in ra.groupBy("capture_id").agg((F.max("frame") + 1).alias("n")).collect()}  # a row for each capture
+    counts = ra.groupBy("capture_id").agg((F.max("frame") + 1).cast("int").alias("frames"))  # a row for each capture
+
+    def bins_of(frames: int) -> tuple[int, np.ndarray]:
+        n = fft_size(frames)
+        return n, np.flatnonzero(band_mask(np.fft.rfftfreq(n, 1 / fps), band))
 
     def partial(batches):
         sums: dict = {}
         for batch in batches:
-            for cap, frame, bin_, body in zip(batch["capture_id"], batch["frame"], batch["range_idx"], batch["db"]):
+            for cap, frame, bin_, body, frames in zip(batch["capture_id"], batch["frame"], batch["range_idx"], batch["db"], batch["frames"]):
                 s = 10 ** (np.asarray(body) / 10) if in_db else np.asarray(body)
-                n = fft_size(counts[cap])
-                ks = np.flatnonzero(band_mask(np.fft.rfftfreq(n, 1 / fps), band))
-                w = np.hanning(counts[cap])[frame]
-                turn = w * np.exp(-2j * np.pi * ks * frame / n)
-                have = sums.setdefault((cap, bin_), [np.zeros((len(ks), len(s)), complex), np.zeros(len(s))])
+                n, ks = bins_of(frames)
+                turn = np.hanning(frames)[frame] * np.exp(-2j * np.pi * ks * frame / n)
+                have = sums.setdefault((cap, bin_, frames), [np.zeros((len(ks), len(s)), complex), np.zeros(len(s))])
                 have[0] += turn[:, None] * s
                 have[1] += s
-        for (cap, bin_), (x, total) in sums.items():
+        for (cap, bin_, frames), (x, total) in sums.items():
             flat = np.concatenate([x.real.ravel(), x.imag.ravel(), total])
-            yield pd.DataFrame({"capture_id": cap, "range_idx": np.int32(bin_), "place": np.arange(len(flat), dtype=np.int32), "v": flat})
+            yield pd.DataFrame({"capture_id": cap, "range_idx": np.int32(bin_), "frames": np.int32(frames), "place": np.arange(len(flat), dtype=np.int32), "v": flat})
 
-    added = ra.mapInPandas(partial, "capture_id string, range_idx int, place int, v double").groupBy("capture_id", "range_idx", "place").agg(F.sum("v").alias("v"))
+    keys = ["capture_id", "range_idx", "frames"]
+    added = ra.join(counts, "capture_id").select("capture_id", "frame", "range_idx", "db", "frames").mapInPandas(partial, "capture_id string, range_idx int, frames int, place int, v double").groupBy(*keys, "place").agg(F.sum("v").alias("v"))
 
     def finish(key, rows: pd.DataFrame) -> pd.DataFrame:
-        frames = counts[key[0]]
-        n = fft_size(frames)
-        ks = np.flatnonzero(band_mask(np.fft.rfftfreq(n, 1 / fps), band))
+        frames = int(key[2])
+        n, ks = bins_of(frames)
         flat = rows.sort_values("place")["v"].to_numpy()
         angles = len(flat) // (2 * len(ks) + 1)
         m = len(ks) * angles
@@ -99,7 +101,7 @@ def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS
         energy = np.abs(x - window[:, None] * (flat[2 * m :] / frames)).sum(axis=0)
         return pd.DataFrame({"capture_id": key[0], "range_idx": np.int32(key[1]), "angle_idx": np.arange(angles, dtype=np.int32), "e": energy})
 
-    return _relative(added.groupBy("capture_id", "range_idx").applyInPandas(finish, "capture_id string, range_idx int, angle_idx int, e double"))
+    return _relative(added.groupBy(*keys).applyInPandas(finish, "capture_id string, range_idx int, angle_idx int, e double"))
 
 
 def source_signal(profile: DataFrame, bin_: int | None = None, around: int = 0) -> DataFrame:
