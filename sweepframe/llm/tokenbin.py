@@ -24,8 +24,12 @@ the text; a very long text makes one long block; an empty table has no blocks.
 from __future__ import annotations
 
 import re
+import sys
+import types
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -36,7 +40,7 @@ from sweepframe.functions.scratch import join_small, shared_dir
 
 BLOCK_TOKENS = 1 << 20
 #: Distinct word forms whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 _HINT = 64
 
 BLOCKS = (
@@ -78,6 +82,13 @@ def ef_select(low_bits: int, low: bytes, high: bytes, hints: bytes, at) -> np.nd
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it is printable Latin-1, else the next unused one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordCoder:
     """Ids of whole texts through a tokenizer that drops white space and never merges across it.
 
@@ -86,19 +97,30 @@ class WordCoder:
     """
 
     def __init__(self, tokenizer, dtype: str):
-        self.tokenizer, self.model, self.dtype, self.known = tokenizer, tokenizer.model, dtype, {}
+        self.tokenizer, self.model, self.known = tokenizer, tokenizer.model, {}
+        self.kind = {"<u2": "H", "<u4": "I"}[dtype]
+        self.letters = _byte_letters()
 
     def _bytes(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        coded = array(self.kind, ids)
+        if sys.byteorder == "big":
+            coded.byteswap()
+        return coded.tobytes()
+
+    def _encode(self, piece: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def _letters(self, word: str) -> bytes:
+    def _letters(self, stem: str) -> bytes:
         """Ids of a word of letters alone."""
-        word = word.lower() if word.isascii() else word
+        if max(stem) >= "\u0250":
+            return self._encode(stem)
+        # Latin letters in lower case pass normaliser and splitter as one word, so the model can be asked directly
+        word = unicodedata.normalize("NFC", stem).lower()
         found = self.known.get(word)
         if found is None:
-            # lower-case ASCII letters pass normaliser and splitter unchanged, so the model can be asked directly
-            ids = [t.id for t in self.model.tokenize(word)] if word.isascii() else self.tokenizer.encode(word, add_special_tokens=False).ids
-            found = self.known[word] = self._bytes(ids)
+            if not word.isalpha():  # a dotted capital I becomes two characters
+                return self._encode(stem)
+            found = self.known[word] = self._bytes([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
         return found
 
     def _piece(self, piece: str) -> bytes:
@@ -108,10 +130,10 @@ class WordCoder:
             if len(stem) < len(piece):  # a run of punctuation is always a token group of its own
                 tail = piece[len(stem) :]
                 if tail not in self.known:
-                    self.known[tail] = self._bytes(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+                    self.known[tail] = self._encode(tail)
                 found += self.known[tail]
         else:
-            found = self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            found = self._encode(piece)
         self.known[piece] = found
         return found
 
@@ -119,13 +141,21 @@ class WordCoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         # str.split also cuts at four separators that are ordinary characters to the vocabulary
-        pieces = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else re.split("[ \\t\\n\\r]+", text)
+        pieces = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else re.split("[ \t\n\r]+", text)
         found = list(map(self.known.get, pieces))
         if None in found:
             found = [self._piece(p) if f is None else f for p, f in zip(pieces, found)]
         return b"".join(found)
 
 
+def _of_worker(key: str, make):
+    """An object that a Python worker keeps for all its tasks; functions that are shipped by value have no module of their own to keep it in."""
+    kept = sys.modules.setdefault("_sweepframe_kept", types.ModuleType("_sweepframe_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of all documents in ascending order of doc_id. The tokenizer must drop white space, as word vocabularies do; its file is read once and sent to the tasks."""
     from tokenizers import Tokenizer
@@ -135,6 +165,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
     tokenizer = Tokenizer.from_str(sent.value)
     if tokenizer.encode(" \n\t ", add_special_tokens=False).ids:
         raise ValueError("the tokenizer keeps white space, so texts can't be cut at it")
+    digest = f"{zlib.crc32(sent.value.encode())} {len(sent.value)}"
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def blocks(batches):
@@ -143,7 +174,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        coder, end = WordCoder(Tokenizer.from_str(sent.value), f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
+        coder = _of_worker(f"coder {digest}", lambda: WordCoder(Tokenizer.from_str(sent.value), f"<u{width}"))
+        end = np.array([end_id], f"<u{width}").tobytes()
         part, seq, ids, held, bounds = TaskContext.get().partitionId(), 0, [], [], [0]
 
         def block():
