@@ -48,8 +48,9 @@ def dedup_lines(docs: DataFrame, into: str = "line_dedup", doc_id: str = "doc_id
     gone = materialise(repeated_lines(docs, doc_id, text, window).select(F.col("id").alias("__ld_id"), F.col("of").alias("__ld_of"), F.col("gone").alias("__ld_gone")))
     rows = docs.withColumn("__ld_x", F.xxhash64(text))
     rows = join_small(rows, gone, F.col(doc_id).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_x") == F.col("__ld_of")), "left", most=20_000)
-    places = F.map_from_arrays("__ld_gone", F.transform("__ld_gone", lambda _: F.lit(True)))
-    rows = rows.withColumn("__ld_lines", _lines(F.col(text))).withColumn("__ld_map", places)
-    stays = F.filter("__ld_lines", lambda _, i: F.try_element_at(F.col("__ld_map"), i).isNull())
+    rows = rows.withColumn("__ld_lines", _lines(F.col(text)))
+    # array_except hashes, so long texts cost no more by line than short ones
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_gone"))
+    stays = F.transform(kept, lambda i: F.get("__ld_lines", i))
     rows = rows.withColumn(into, F.struct(F.coalesce(F.size("__ld_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed")))
     return rows.withColumn(text, F.when(F.col("__ld_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))).select(*docs.columns, into)
