@@ -60,7 +60,9 @@ class Level:
         self.hashes = min(self.hashes, 12)
         at = keys.select(F.explode(F.array(*[_probe(F.col("key"), number, self.bits, i) for i in range(self.hashes)])).alias("bit"))
         words = at.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-        self.words = materialise(words.agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words")).select(F.transform(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)), lambda i: F.coalesce(F.try_element_at(F.col("words"), i), F.lit(0).cast("long"))).alias("words")))
+        every = keys.sparkSession.range(self.bits // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+        ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
+        self.words = materialise(every.agg(ordered["mask"].alias("words")))
 
     def has(self, key: Column, words: Column) -> Column:
         # one mention of the words for all probes: the optimiser copies the subquery to every mention
