@@ -347,6 +347,12 @@ def a3_first_tx(spark, sf_dir):
     return _longs(rounded(_cells(_snapshots(spark, sf_dir, "First TX"))))
 
 
+@query(parts("e", last="SELECT frame, (chirp % 2) * 2 + rx AS ant, 0.5 * ((chirp % 2) * 2 + rx) - 0.75 AS x, count(*) AS loops FROM e GROUP BY ALL"))
+def a4_geometry(spark, sf_dir):
+    x = F.element_at(F.array(*[F.lit(float(v)) for v in X4]), F.col("ant") + 1)
+    return _longs(rounded(_snapshots(spark, sf_dir).groupBy("frame", "ant").agg(F.count(F.lit(1)).alias("loops")).withColumn("x", x)))
+
+
 @query(parts("e", "es", "ew", "ef", "va", last="SELECT frame, l AS loop, ant, k AS range_idx, round(re * cos(f) + im * sin(f), 6) + 0.0 AS re, round(im * cos(f) - re * sin(f), 6) + 0.0 AS im FROM (SELECT *, 0.1 * (ant + 1) AS f FROM va)"))
 def a5_calibrate(spark, sf_dir):
     factors = angles.calibration(4, rotation=[0.1, 0.2, 0.3, 0.4])
@@ -436,6 +442,14 @@ def t1_movement_map_by_sums(spark, sf_dir):
     return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32).drop("capture_id"), 4))
 
 
+@query("""SELECT event_id, list_aggregate(list_filter([CASE WHEN hz < 0.1 THEN 'noise' END, CASE WHEN hz >= 0.1 AND hz <= 0.6 THEN 'breathing' END, CASE WHEN hz >= 0.8 AND hz <= 3.5 THEN 'hr' END, CASE WHEN (hz >= 0.6 AND hz < 0.8) OR hz > 3.5 THEN 'movement' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS bands
+FROM (SELECT event_id, (event_id % 76) / 10.0::DOUBLE AS hz FROM events)""")
+def t2_bands(spark, sf_dir):
+    hz = (F.col("event_id") % 76) / F.lit(10.0)
+    rows = derived.table(spark, sf_dir, "events").select("event_id", hz.alias("hz"))
+    return rows.select("event_id", F.concat_ws(",", *[F.when(temporal.in_band(F.col("hz"), b, 7.5), F.lit(b)) for b in ("noise", "breathing", "hr", "movement")]).alias("bands"))
+
+
 @query(parts(*_DZ, "rd", last="SELECT frame, round(avg(mag), 6) AS signal FROM rd WHERE k BETWEEN 4 AND 16 GROUP BY frame"))
 def t3_source_signal(spark, sf_dir):
     return _longs(rounded(temporal.source_signal(doppler.mean_profile(_rd(spark, sf_dir)), 10, 6).drop("capture_id")))
