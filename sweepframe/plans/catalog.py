@@ -374,7 +374,8 @@ def a7_reorder(spark, sf_dir):
 @query()
 def a8_antenna_order(spark, sf_dir):
     x, _ = angles.geometry(2, 2)
-    return angles.antenna_order(_snapshots(spark, sf_dir, "First TX"), x, 9)
+    found = angles.antenna_order(_snapshots(spark, sf_dir, "First TX"), x, 9)
+    return found.select("capture_id", F.array_join("antennas", ",").alias("antennas"), "conjugated")
 
 
 A9 = angles.range_bin_at(32, 3.1, STEP, 16)
