@@ -13,7 +13,6 @@ Payloads that don't fit one frame (65,535 lines) take several.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import struct
 import zlib
@@ -23,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepframe.functions.worker import kept
+
 WIDTH = 64
 #: Lines of one frame; longer payloads take several frames.
 LINES = 65_535
@@ -59,7 +60,6 @@ def lzw_codes(data: bytes, bits: int = 8) -> list[int]:
     return out
 
 
-@functools.lru_cache(8)
 def _widths(bits: int) -> np.ndarray:
     free = np.minimum((1 << bits) + 2 + np.maximum(np.arange(2 * _FULL) - 1, 0), _FULL - 1)
     return np.maximum(bits + 1, np.floor(np.log2(free)).astype(np.int64) + 1)
@@ -67,7 +67,7 @@ def _widths(bits: int) -> np.ndarray:
 
 def _width_run(bits: int, n: int) -> np.ndarray:
     """Widths of the first n codes after a clear code: a code is one bit wider once the reader's table has reached a power of two."""
-    run = _widths(bits)
+    run = kept(("code widths", bits), lambda: _widths(bits))
     return run[:n] if n <= len(run) else np.append(run, np.full(n - len(run), 12))
 
 

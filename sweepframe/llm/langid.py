@@ -14,7 +14,6 @@ result. Extra columns of the input pass through ``identify`` untouched.
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import numpy as np
@@ -23,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sweepframe.functions.worker import kept
+
 #: Buckets of the trigram hash; the model has one row of this width per language.
 BUCKETS = 1 << 15
 #: More distinct labels than this are an error: the model is sent to all tasks.
@@ -41,7 +42,6 @@ RESULT = T.StructType(
 )
 
 
-@functools.lru_cache(1)
 def _classes() -> np.ndarray:
     """For every code point: 2 letter, 1 mark (kept inside words), 0 other."""
     kinds = np.zeros(0x110000, np.uint8)
@@ -56,7 +56,7 @@ def trigram_counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    kinds = _classes()[points]
+    kinds = kept("letters and marks", _classes)[points]
     if not (kinds == 2).any():
         return None
     spaced = np.concatenate(([0], np.where(kinds > 0, points, 0), [0])).astype(np.uint32)
@@ -156,7 +156,7 @@ def identifier(spark, model: dict):
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", into: str = "language") -> DataFrame:
-    """docs and a struct column `into` with lang_pred, score and proportions. The whole text is read."""
+    """docs and a struct column `into` (replaced, if there is one) with lang_pred, score and proportions. The whole text is read."""
     return docs.withColumn(into, identifier(docs.sparkSession, model)(F.col(text)))
 
 

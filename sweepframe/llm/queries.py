@@ -23,7 +23,7 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out()))
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.proportions")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", F.to_json("language.proportions").alias("proportions"))
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 import sys
-import types
 import unicodedata
 import uuid
 import zlib
@@ -37,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import join_small, shared_dir
+from sweepframe.functions.worker import kept
 
 BLOCK_TOKENS = 1 << 20
 #: Distinct word forms whose ids a task remembers.
@@ -148,14 +148,6 @@ class WordCoder:
         return b"".join(found)
 
 
-def _of_worker(key: str, make):
-    """An object that a Python worker keeps for all its tasks; functions that are shipped by value have no module of their own to keep it in."""
-    kept = sys.modules.setdefault("_sweepframe_kept", types.ModuleType("_sweepframe_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
-
-
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of all documents in ascending order of doc_id. The tokenizer must drop white space, as word vocabularies do; its file is read once and sent to the tasks."""
     from tokenizers import Tokenizer
@@ -174,7 +166,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        coder = _of_worker(f"coder {digest}", lambda: WordCoder(Tokenizer.from_str(sent.value), f"<u{width}"))
+        coder = kept(f"coder {digest}", lambda: WordCoder(Tokenizer.from_str(sent.value), f"<u{width}"))
         end = np.array([end_id], f"<u{width}").tobytes()
         part, seq, ids, held, bounds = TaskContext.get().partitionId(), 0, [], [], [0]
 
