@@ -1,7 +1,9 @@
-"""From raw words to the sample cube, by index arithmetic on rows."""
+"""From raw words to the sample cube: by index arithmetic on rows of words, or, at scale, on rows that hold a frame's words."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,39 @@ def gather(rows: DataFrame, bits: int | None = None) -> DataFrame:
     return out.select("capture_id", "frame", "chirp", "rx", F.col("x.i").alias("re"), F.when(F.exists("x.q", F.isnotnull), F.col("x.q")).alias("im"))
 
 
+def decode_frames(frames: DataFrame, lanes: int, n_samples: int, n_rx: int, chirps: int, interleaved: bool, real: bool = False, swap: bool = False, lane_order: list[int] | None = None, bits: int | None = None) -> DataFrame:
+    """(capture_id, frame, words array) -> the cube, without a shuffle: what the capture reader gives, decoded where it was read.
+
+    The same rules as demux, address and gather, as one reshape for each batch of frames.
+    """
+    if lanes not in (1, 2, 4):
+        raise ValueError("1, 2 or 4 lanes can be decoded")
+    halves = 1 if real else 2
+    size = chirps * n_rx * n_samples * halves
+    if size % (lanes * halves):
+        raise ValueError("a frame doesn't hold whole groups of lanes")
+    order = lane_order if lane_order and len(lane_order) == lanes else list(range(lanes))
+    scale = max(1, 2 ** (bits - 1) - 1) if bits else 1
+
+    def cells(part: np.ndarray) -> np.ndarray:
+        part = part[..., order].reshape(len(part), chirps, -1) / scale
+        x = np.swapaxes(part.reshape(len(part), chirps, n_samples, n_rx), 2, 3) if interleaved else part
+        return x.reshape(-1, n_samples)
+
+    def decode(batches):
+        for batch in batches:
+            batch = batch[batch["words"].map(len) == size]
+            if not len(batch):
+                continue
+            words = np.stack(batch["words"].to_numpy()).reshape(len(batch), -1, halves, lanes)
+            parts = [cells(words[:, :, h]) for h in range(halves)]
+            parts = parts[::-1] if swap and not real else parts
+            places = np.indices((len(batch), chirps, n_rx)).reshape(3, -1)
+            yield pd.DataFrame({"capture_id": batch["capture_id"].to_numpy()[places[0]], "frame": batch["frame"].to_numpy()[places[0]].astype(np.int32), "chirp": places[1].astype(np.int32), "rx": places[2].astype(np.int32), "re": list(parts[0]), "im": [None] * places.shape[1] if real else list(parts[1])})
+
+    return frames.select("capture_id", "frame", "words").mapInPandas(decode, "capture_id string, frame int, chirp int, rx int, re array<double>, im array<double>")
+
+
 def select_positions(cube: DataFrame, positions: list[int], pattern: int, chirps: int) -> DataFrame:
     """The chirps at these places of the transmit pattern, in the given order, numbered anew; all chirps if the pattern doesn't divide them or a place isn't in it."""
     if not positions or pattern < 1 or chirps % pattern or not all(0 <= p < pattern for p in positions):

@@ -162,12 +162,22 @@ def c4_address_blocks(spark, sf_dir):
     return _longs(_addressed(spark, sf_dir, False).drop("capture_id"))
 
 
-@query("WITH w AS (" + COMMON["w"] + "), c AS (" + words_sql(2, False) + "), x AS (" + address_sql(16, 2, 4, False) + ")\nSELECT frame, chirp, rx, n, round(i / 32767, 6) AS re, round(q / 32767, 6) AS im FROM x")
+_CUBE = "WITH w AS (" + COMMON["w"] + "), c AS (" + words_sql(2, False) + "), x AS (" + address_sql(16, 2, 4, False) + ")\nSELECT frame, chirp, rx, n, round(i / 32767, 6) AS re, round(q / 32767, 6) AS im FROM x"
+
+
+@query(_CUBE)
 def c6_full_scale_cube(spark, sf_dir):
     whole = cube.gather(_addressed(spark, sf_dir, False), 16)
     return _longs(rounded(whole.select("frame", "chirp", "rx", F.posexplode(F.arrays_zip("re", "im")).alias("n", "z")).select("frame", "chirp", "rx", "n", "z.re", "z.im")))
 
 
+@query(_CUBE)
+def c6_decode_frames(spark, sf_dir):
+    frames = derived.raw_words(spark, sf_dir).groupBy("capture_id", F.expr("word_idx div 256").alias("frame")).agg(F.array_sort(F.collect_list(F.struct("word_idx", "v")))["v"].alias("words"))
+    whole = cube.decode_frames(frames, 2, 16, 2, 4, False, bits=16)
+    return _longs(rounded(whole.select("frame", "chirp", "rx", F.posexplode(F.arrays_zip("re", "im")).alias("n", "z")).select("frame", "chirp", "rx", "n", "z.re", "z.im")))
+
+
 @query(parts("e", "es", last="SELECT frame, (chirp // 4) * 2 + CASE chirp % 4 WHEN 3 THEN 0 ELSE 1 END AS chirp, rx, round(sum(re), 6) AS total FROM es WHERE chirp % 4 IN (3, 1) GROUP BY ALL"))
 def c7_select_positions(spark, sf_dir):
     picked = cube.select_positions(derived.complex_cube(spark, sf_dir), [3, 1], 4, 16)

@@ -141,6 +141,13 @@ def test_words_round_trip(spark, lanes, interleaved, real):
     for r in rows:
         at = (r.frame, r.chirp, r.rx, r.n)
         assert r.i == i[at] and (r.q is None if real else r.q == q[at])
+    size = len(words) // 2
+    frames = spark.createDataFrame([("c", f, [int(v) for v in words[f * size : (f + 1) * size]]) for f in range(2)] + [("c", 2, [7])], "capture_id string, frame long, words array<smallint>")
+    whole = cube.decode_frames(frames, lanes, 4, lanes, 2, interleaved, real).collect()
+    assert len(whole) == 2 * 2 * lanes
+    for r in whole:
+        at = (r.frame, r.chirp, r.rx)
+        assert r.re == i[at].tolist() and (r.im is None if real else r.im == q[at].tolist())
 
 
 def test_lane_counts_that_cannot_be_decoded(spark):
