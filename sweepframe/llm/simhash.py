@@ -190,13 +190,13 @@ def across(rows: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> Data
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(rows: DataFrame, tau: int, verify=lambda pairs: pairs) -> DataFrame:
-    """(key, fp, root) for rows (key, fp) with distinct, non-null long keys: components under "within tau bits, and kept by verify", which takes and returns pairs (a, b) of keys."""
+def link(rows: DataFrame, tau: int) -> DataFrame:
+    """(key, fp, root) for rows (key, fp) with distinct, non-null long keys: components under "within tau bits"."""
     rows = materialise(rows)
     plan = search_plan(rows.select("fp").distinct(), tau)
-    first = materialise(verify(materialise(anchors(rows, plan, tau))))
+    first = materialise(anchors(rows, plan, tau))
     rooted = materialise(_rooted(rows, components(first)))
-    second = materialise(verify(materialise(across(rooted, plan, tau))))
+    second = materialise(across(rooted, plan, tau))
     if second.isEmpty():
         return rooted
     return materialise(_rooted(rows, components(first.unionAll(second))))
@@ -218,14 +218,73 @@ def near_duplicates(docs: DataFrame, tau: int = 2, size: int = 3, doc_id: str =
 
 # ---------------------------------------------------------------- verified near-duplicates
 
+#: Texts compared in one task; larger groups are compared block by block.
+BLOCK = 512
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sorted distinct-value arrays whose Jaccard similarity is `similarity` or more, from a product of the membership matrix with itself; values of one set alone can't add to an intersection and are left out."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, place, times = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((times > 1).sum()), 8192):  # bounded memory for long texts
+        inside = (column >= first) & (column < first + 8192)
+        member = np.zeros((len(sets), 8192), np.float32)
+        member[owner[inside], column[inside] - first] = 1
+        both += member @ member.T
+    # two texts without a word are the same
+    a, b = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes - both), 1))
+    return list(zip(a.tolist(), b.tolist()))
+
+
+def _forest(keys: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the pairs, those that connect what wasn't connected before, as pairs of keys."""
+    parent, out = list(range(len(keys))), []
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[x] = y
+            out.append((int(keys[a]), int(keys[b])))
+    return out
+
+
+def similar_links(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect all members (root, key, s) of one candidate group whose sets s are similar enough, directly or over others.
+
+    A group is cut into blocks of about `block` texts, and every pair of blocks is
+    compared in one task, which sends out a spanning forest of its links, never
+    all pairs.
+    """
+    sizes = materialise(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    rows = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "s")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key")
+        found = _forest(part["key"].to_numpy(), similar_pairs(list(part["s"]), similarity))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one row (the smallest id; a null id only if there is no other) of each group of near duplicates.
 
     Rows are linked if their sets of `size`-word shingles have a Jaccard
-    similarity of `similarity` or more. Candidates are pairs within tau bits of
-    a SimHash over the distinct words, which changes less under scattered
-    edits than one over shingles. Texts without a word are one group.
+    similarity of `similarity` or more. Candidate groups are components under
+    "within tau bits" of a SimHash over the distinct words, which changes less
+    under scattered edits than one over shingles; inside them the sets are
+    compared. Texts without a word are one group.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     slim = docs.select(F.col(doc_id).alias("id"), digest.alias("digest"), fingerprint(F.col(text), 1, distinct=True).alias("fp"))
@@ -237,21 +296,19 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int =
     def hashes(bodies: pd.Series) -> pd.Series:
         return pd.Series([np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words(t), size)], np.uint64).view(np.int64)) for t in bodies])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs similar enough; only the texts that take part are hashed."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key")
-        wanted = materialise(wanted.select("key", F.col("digest").alias("__digest"), F.col("id").alias("__id")))
-        # of the rows with one text, the one whose id was kept is enough
-        bodies = docs.select(F.col(doc_id).alias("__of"), digest.alias("__digest"), F.col(text).alias("__text"))
-        bodies = join_small(bodies, wanted, "__digest", most=1_000_000).where(F.col("__of").eqNullSafe(F.col("__id"))).dropDuplicates(["key"])
-        sets = materialise(bodies.select("key", hashes("__text").alias("s")))
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        # two texts without a word are the same
-        return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-    roots = link(texts.select("key", "fp"), tau, verify).select("key", "root")
-    best = texts.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    roots = link(texts.select("key", "fp"), tau).select("key", "root")
+    several = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    wanted = roots.join(several, "root").join(texts, "key")
+    wanted = materialise(wanted.select("root", "key", F.col("digest").alias("__digest"), F.col("id").alias("__id")))
+    # of the rows with one text, the one whose id was kept is enough
+    bodies = docs.select(F.col(doc_id).alias("__of"), digest.alias("__digest"), F.col(text).alias("__text"))
+    bodies = join_small(bodies, wanted, "__digest", most=1_000_000).where(F.col("__of").eqNullSafe(F.col("__id")))
+    sets = bodies.select("root", "key", hashes("__text").alias("s")).dropDuplicates(["key"])
+    links = materialise(similar_links(materialise(sets), similarity))
+
+    found = components(links)
+    rooted = texts.join(found.withColumnRenamed("node", "key"), "key", "left").select("id", "digest", F.coalesce("root", "key").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
     kept = materialise(best.select(F.col("best.digest").alias("__digest"), F.col("best.id").alias("__id")))
     found = docs.withColumn("__digest", digest).join(kept, "__digest").where(F.col(doc_id).eqNullSafe(F.col("__id")))
     # rows that repeat both id and text are copies, too

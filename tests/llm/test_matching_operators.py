@@ -113,6 +113,19 @@ def jaccard_groups(texts, at_least=0.8):
     return roots_of(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(sets[i], sets[j])])
 
 
+def test_similar_links_over_blocks(spark):
+    rng = random.Random(8)
+    base = list(range(100))
+    sets = [np.array(sorted(rng.sample(base, 100 - rng.randrange(0, 25)) + [rng.randrange(1000, 10_000) for _ in range(rng.randrange(0, 12))])) for _ in range(60)] + [np.zeros(0, np.int64)] * 2
+    sets = [np.unique(x) for x in sets]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert simhash.similar_pairs(sets, 0.8) == alike
+    df = spark.createDataFrame([(7, k, [int(v) for v in x]) for k, x in enumerate(sets)], "root long, key long, s array<long>")
+    for block in (7, 512):
+        links = [(r.a, r.b) for r in simhash.similar_links(df, 0.8, block).collect()]
+        assert roots_of(len(sets), links) == roots_of(len(sets), alike) and set(map(tuple, map(sorted, links))) <= set(alike)
+
+
 def test_keep_one(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
