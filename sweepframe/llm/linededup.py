@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.functions.scratch import join_small, materialise
+from sweepframe.functions.scratch import materialise
 
 WINDOW = 3
 
@@ -39,7 +39,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = materialise(windows(docs, doc_id, text, window))
     firsts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "of", "place")).alias("first")).where("n > 1")
     firsts = materialise(firsts.select("h1", "h2", "first"))
-    later = join_small(found, firsts, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("place") == F.col("first.place"))))
+    later = found.join(firsts, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("place") == F.col("first.place"))))
     return later.groupBy("id", "of").agg(F.collect_set("place").alias("places")).select("id", "of", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (window - 1))))).alias("gone"))
 
 
@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, into: str = "line_dedup", doc_id: str = "doc_id
     """docs with the text as it stays and a struct `into`: n_lines and n_removed."""
     gone = materialise(repeated_lines(docs, doc_id, text, window).select(F.col("id").alias("__ld_id"), F.col("of").alias("__ld_of"), F.col("gone").alias("__ld_gone")))
     rows = docs.withColumn("__ld_x", F.xxhash64(text))
-    rows = join_small(rows, gone, F.col(doc_id).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_x") == F.col("__ld_of")), "left", most=20_000)
+    # the list of removals grows with the corpus, so it is never broadcast: the plan is the same at every size
+    rows = rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_x") == F.col("__ld_of")), "left")
     rows = rows.withColumn("__ld_lines", _lines(F.col(text)))
     # array_except hashes, so long texts cost no more by line than short ones
     kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_gone"))
