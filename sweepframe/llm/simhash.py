@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import join_small, materialise
@@ -277,6 +277,77 @@ def similar_links(members: DataFrame, similarity: float, block: int = BLOCK) ->
     return rows.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+# ---------------------------------------------------------------- pairs that the fingerprints miss
+
+#: Texts whose shingles are counted (one in SAMPLE_ONE_IN, SAMPLE_TEXTS at least), and the most shingles known as frequent.
+SAMPLE_ONE_IN, SAMPLE_TEXTS, FREQUENT = 32, 4_000, 100_000
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct XXH64 values of the text's shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words(text), size)], np.uint64).view(np.int64))
+
+
+def shingle_sets(text: Column, size: int) -> Column:
+    return F.pandas_udf(lambda texts: pd.Series([shingle_set(t, size) for t in texts]), "array<long>")(text)
+
+
+def frequent_shingles(bodies: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values and counts of the commonest shingles of a sample of bodies (of, text). They only order prefixes: any choice gives the same pairs."""
+    one_in = max(1, min(SAMPLE_ONE_IN, bodies.count() // SAMPLE_TEXTS))
+    sample = bodies.where(F.pmod(F.xxhash64("of"), F.lit(one_in)) == 0)
+    counts = sample.select(F.explode(shingle_sets(F.col("text"), size)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where("n > 1").orderBy(F.desc("n"), "t").limit(FREQUENT).toPandas().sort_values("t")
+    return found["t"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first values of a set, rare ones first, of which two sets that are similar enough share at least one."""
+    if not len(values):
+        return values
+    known, counts = frequent
+    weight = np.zeros(len(values), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        weight = np.where(known[at] == values, counts[at], 0)
+    most = len(values) - math.ceil(similarity * len(values) - 1e-6) + 1
+    return values[np.lexsort((values, weight))[:most]]
+
+
+def prefix_pairs(bodies: DataFrame, groups: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(a, b): all pairs of keys in different groups whose shingle sets can be similar enough, for bodies (of, text) and groups (of, key, root).
+
+    Two sets that are similar enough share a value of their prefixes, and at the
+    first such value, enough must be left of both for the overlap that is needed.
+    """
+    sent = bodies.sparkSession.sparkContext.broadcast(frequent_shingles(bodies, size))
+
+    @F.pandas_udf("struct<n: int, t: array<long>>")
+    def starts(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, size) for t in texts]
+        return pd.DataFrame({"n": np.array([len(x) for x in sets], np.int32), "t": [prefix(x, sent.value, similarity) for x in sets]})
+
+    rows = bodies.select("of", starts("text").alias("x")).select("of", "x.n", F.posexplode("x.t").alias("place", "t"))
+    of_value = Window.partitionBy("t")
+    shared = rows.withColumns({"lo": F.min("of").over(of_value), "hi": F.max("of").over(of_value)}).where("lo < hi").select("of", "n", "place", "t")
+    # groups has a row for every text, so it is never broadcast: the plan is the same at every size
+    shared = materialise(shared).join(groups.hint("merge"), "of").select("key", "root", "n", "place", "t").distinct()
+    several = shared.withColumns({"lo": F.min("root").over(of_value), "hi": F.max("root").over(of_value)}).where("lo < hi")
+    several = materialise(several.select("key", "root", "n", "place", "t"))
+    left, right = (several.select("t", *[F.col(c).alias(c + side) for c in ("key", "root", "n", "place")]) for side in "ab")
+    most = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    enough = most >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return left.join(right, "t").where((F.col("keya") < F.col("keyb")) & (F.col("roota") != F.col("rootb")) & enough).select(F.col("keya").alias("a"), F.col("keyb").alias("b")).distinct()
+
+
+def similar_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (key, s) are similar enough."""
+    rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    rows = rows.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("n"))
+    return rows.where(F.col("both") >= F.lit(similarity) * (F.col("n") - F.col("both"))).select("a", "b")
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one row (the smallest id; a null id only if there is no other) of each group of near duplicates.
 
@@ -284,27 +355,35 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int =
     similarity of `similarity` or more. Candidate groups are components under
     "within tau bits" of a SimHash over the distinct words, which changes less
     under scattered edits than one over shingles; inside them the sets are
-    compared. Texts without a word are one group.
+    compared. Similar pairs of different groups, which the bits miss, are found
+    by prefixes of the sets, whatever tau is (up to collisions of 64-bit
+    hashes). Texts without a word are one group.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    slim = docs.select(F.col(doc_id).alias("id"), digest.alias("digest"), fingerprint(F.col(text), 1, distinct=True).alias("fp"))
+    of = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    slim = docs.select(F.col(doc_id).alias("id"), digest.alias("digest"), of.alias("of"), fingerprint(F.col(text), 1, distinct=True).alias("fp"))
     # one row for each different text, numbered once and for all by writing it
-    texts = slim.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    texts = slim.groupBy("digest").agg(F.min("id").alias("id"), F.min("of").alias("of"), F.min("fp").alias("fp"))
     texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()))
 
-    @F.pandas_udf("array<long>")
-    def hashes(bodies: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words(t), size)], np.uint64).view(np.int64)) for t in bodies])
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(root, key, s) for wanted (root, key)."""
+        wanted = wanted.join(texts, "key")
+        wanted = materialise(wanted.select("root", "key", F.col("digest").alias("__digest"), F.col("id").alias("__id")))
+        # of the rows with one text, the one whose id was kept is enough
+        bodies = docs.select(F.col(doc_id).alias("__of"), digest.alias("__digest"), F.col(text).alias("__text"))
+        bodies = join_small(bodies, wanted, "__digest", most=1_000_000).where(F.col("__of").eqNullSafe(F.col("__id")))
+        return materialise(bodies.select("root", "key", shingle_sets(F.col("__text"), size).alias("s")).dropDuplicates(["key"]))
 
     roots = link(texts.select("key", "fp"), tau).select("key", "root")
     several = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    wanted = roots.join(several, "root").join(texts, "key")
-    wanted = materialise(wanted.select("root", "key", F.col("digest").alias("__digest"), F.col("id").alias("__id")))
-    # of the rows with one text, the one whose id was kept is enough
-    bodies = docs.select(F.col(doc_id).alias("__of"), digest.alias("__digest"), F.col(text).alias("__text"))
-    bodies = join_small(bodies, wanted, "__digest", most=1_000_000).where(F.col("__of").eqNullSafe(F.col("__id")))
-    sets = bodies.select("root", "key", hashes("__text").alias("s")).dropDuplicates(["key"])
-    links = materialise(similar_links(materialise(sets), similarity))
+    links = materialise(similar_links(sets_of(roots.join(several, "root")), similarity))
+    # what the bits miss: similar texts of different groups
+    bodies = docs.select(of.alias("of"), F.col(text).alias("text"))
+    pairs = materialise(prefix_pairs(bodies, texts.select("key", "of").join(roots, "key"), similarity, size))
+    if not pairs.isEmpty():
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        links = links.unionAll(materialise(similar_of(pairs, sets_of(ends.join(roots, "key")), similarity)))
 
     found = components(links)
     rooted = texts.join(found.withColumnRenamed("node", "key"), "key", "left").select("id", "digest", F.coalesce("root", "key").alias("root"))

@@ -147,6 +147,36 @@ def test_keep_one(spark):
     assert simhash.keep_one(twice.where("false")).count() == 0
 
 
+def test_keep_one_beyond_the_bits(spark):
+    """Similar texts count as one though their fingerprints are far apart: short texts and edits at the threshold."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    notice = [word() for _ in range(12)]
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(20)] if i % 2 else [*notice, *[word() for _ in range(rng.randrange(10, 50))]]
+        texts += [" ".join(base), " ".join([*base, word()])]
+        texts.append(" ".join([*base[:-1], *[word() for _ in range(rng.randrange(1, 9))]]))
+    fps = [simhash.simhash(set(simhash.words(t))) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert any((fps[i] ^ fps[j]).bit_count() > 7 for i, j in alike)
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, list(enumerate(texts)))).select("doc_id").collect()}
+    assert kept == set(jaccard_groups(texts))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = rng.choice(10_000, rng.integers(1, 60), replace=False)
+        other = np.concatenate([base[: max(1, int(len(base) * rng.uniform(0.8, 1)))], rng.choice(np.arange(10_000, 20_000), rng.integers(0, 8), replace=False)])
+        a, b = np.unique(base), np.unique(other)
+        known = np.unique(rng.choice(10_000, 3_000))
+        frequent = (known, rng.integers(2, 9, len(known)))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, frequent, 0.8), simhash.prefix(b, frequent, 0.8)))
+
+
 # ---------------------------------------------------------------- URL filters
 
 
