@@ -99,8 +99,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     # where the cell's first document is too long, everything before the cell is taken
     cut = level.join(taken.withColumnRenamed("source", "__of"), level["source"].eqNullSafe(F.col("__of")), "left")
     cut = materialise(cut.select("source", F.col("prefix").alias("last_cell"), F.col("last.q").alias("last_q"), F.col("last.id").alias("last_id"), (F.col("rest") - F.coalesce("reached", "passed")).alias("gap")))
-    # one document more, the one that closes the gap best
+    # one document more, the one that closes the gap best; rows of one rank and id count as one document, and all have its size (or 0 and 1)
     open_ = _with_source(slim, cut).where(~_before(F.col("cell"), F.col("q"), F.col("id"), F.col) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
+    open_ = open_.groupBy("source", "gap", "q", "id").agg(F.sum("size").alias("size")).where(F.abs(F.col("gap") - F.col("size")) < F.col("gap"))
     closing = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "q", "id")).alias("one"))
     ends = cut.join(closing.withColumnRenamed("source", "__of"), cut["source"].eqNullSafe(F.col("__of")), "left").select(cut["source"].alias("__of"), "last_cell", "last_q", "last_id", F.col("one.q").alias("close_q"), F.col("one.id").alias("close_id"))
     return materialise(sources.join(ends, sources["source"].eqNullSafe(ends["__of"]), "left").select("source", "source_size", "target", "copies", "last_cell", "last_q", "last_id", "close_q", "close_id"))

@@ -113,6 +113,19 @@ def test_mix_against_brute_force(spark):
     assert whole.columns == docs.columns and whole.count() == sum(again.values())
 
 
+def test_rows_that_share_an_id_close_a_gap_only_together(spark):
+    ids = spark.range(400).select(F.col("id"), mixing.uniform(F.col("id"), "mix").alias("u")).collect()
+    ranked = [r.id for r in sorted(ids, key=lambda r: r.u)]
+    lump = ranked[30]
+    rows = [(i, " ".join(["w"] * 20)) for i in [*ranked[:30], *ranked[31:61], *[lump] * 30]]
+    # one source: 1,800 words, 2,700 wanted; 600 of the 900 left are ranked before the lump of 600
+    docs = frame(spark, rows).withColumn("source", F.lit("one"))
+    got = mixing.take(docs, mixing.plan(docs), into="x").select("doc_id", "x.size", "x.target", "x.copies").collect()
+    assert {r.target for r in got} == {2700.0}
+    assert {r.copies for r in got if r.doc_id == lump} == {1}
+    assert sum(r["size"] * r.copies for r in got) == 1800 + 600 + 20
+
+
 def test_mix_of_nothing(spark):
     empty = frame(spark, []).where("false")
     assert mixing.mixed(empty, mixing.plan(empty)).count() == 0
