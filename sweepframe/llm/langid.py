@@ -160,6 +160,11 @@ def identify(docs: DataFrame, model: dict, text: str = "text", into: str = "lang
     return docs.withColumn(into, identifier(docs.sparkSession, model)(F.col(text)))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether the text has a letter, so that a language could be told."""
+    return F.pandas_udf(lambda texts: pd.Series([trigram_counts(t) is not None for t in texts], dtype=bool), "boolean")(text)
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """Whether crc32 of the id as text is divisible by folds (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0

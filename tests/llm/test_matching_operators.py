@@ -358,5 +358,22 @@ def test_stages_against_brute_force(spark):
     assert total == {i: words[i] * n for i, n in copies.items()}
 
 
+def test_language_id_without_labels(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "12 -- 34", None, "s", 8), (3, None, None, "s", 0), (4, "\u00e9", "", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.lang) for r in kept.collect()) == [(1, None), (4, "")]
+
+
+def test_language_id_fills_missing_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.where("n_chars > 300 and lang is not null").select("doc_id", "text", "lang").collect()
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, F.lit("")).otherwise(F.col("lang")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, hidden, SF).collect()}
+    unlabelled = [r for r in long if r.doc_id % 4 < 2]
+    assert all(got.values()) and sum(got[r.doc_id] == r.lang for r in unlabelled) > 0.9 * len(unlabelled)
+    assert all(got[r.doc_id] == r.lang for r in long if r.doc_id % 4 > 1)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
