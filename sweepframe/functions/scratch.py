@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +13,52 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own: list[str] = []
+_open: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new folder under /tmp where that is unset (one machine only)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a new folder under /tmp if driver and executors are one process (local mode), else an error: on a cluster each machine would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _own[0]
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path of its own in the innermost open scope, or in the shared folder."""
+    return f"{_open[-1] if _open else shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a written Parquet table, read again: later jobs neither recompute it nor depend on an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables written inside go when the block ends; what must outlive it is written by the caller to a path from outside."""
+    folder = new_path(spark, "scope")
+    _open.append(folder)
+    try:
+        yield folder
+    finally:
+        _open.remove(folder)
+        delete(spark, folder)
+
+
 def few_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows."""
     return df.count() <= most
