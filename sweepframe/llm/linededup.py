@@ -3,13 +3,16 @@
 A text is cut at line feeds. Every run of three lines is hashed to 128 bits;
 windows that occur more than once in the corpus are found by an aggregate, and
 of each the first occurrence (least doc_id, then least place) stays. The lines
-that later occurrences cover are merged and removed.
+that later occurrences cover are merged and removed, but for those that a first
+occurrence of a repeated window covers, too (windows may overlap), so every
+repeated window still stands in the result.
 
 Defined results: a text of fewer than three lines has no window and stays as it
 is, as do null and empty texts; windows of blank lines alone don't count; a
 text all of whose lines go becomes empty. Rows that repeat both id and text
 are one document and keep the same lines; a null id comes before all others. An
-empty table gives an empty result. Extra columns pass through.
+empty table gives an empty result. Extra columns pass through; a column of the
+name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -39,8 +42,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = materialise(windows(docs, doc_id, text, window))
     firsts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "of", "place")).alias("first")).where("n > 1")
     firsts = materialise(firsts.select("h1", "h2", "first"))
-    later = found.join(firsts, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("place") == F.col("first.place"))))
-    return later.groupBy("id", "of").agg(F.collect_set("place").alias("places")).select("id", "of", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (window - 1))))).alias("gone"))
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("place") == F.col("first.place"))
+    places = found.join(firsts, ["h1", "h2"]).groupBy("id", "of").agg(F.collect_set(F.when(~first, F.col("place"))).alias("later"), F.collect_set(F.when(first, F.col("place"))).alias("firsts"))
+    covered = lambda at: F.flatten(F.transform(at, lambda p: F.sequence(p, p + (window - 1))))
+    return places.select("id", "of", F.array_except(covered("later"), covered("firsts")).alias("gone")).where(F.size("gone") > 0)
 
 
 def dedup_lines(docs: DataFrame, into: str = "line_dedup", doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -54,4 +59,4 @@ def dedup_lines(docs: DataFrame, into: str = "line_dedup", doc_id: str = "doc_id
     kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_gone"))
     stays = F.transform(kept, lambda i: F.get("__ld_lines", i))
     rows = rows.withColumn(into, F.struct(F.coalesce(F.size("__ld_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed")))
-    return rows.withColumn(text, F.when(F.col("__ld_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))).select(*docs.columns, into)
+    return rows.withColumn(text, F.when(F.col("__ld_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))).select(*[c for c in docs.columns if c != into], into)

@@ -158,8 +158,9 @@ def _lines_sql() -> str:
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d WHERE len(lines) >= 3),
 k AS (SELECT doc_id, i, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] AS body FROM w WHERE trim(lines[i] || lines[i + 1] || lines[i + 2], ' ') <> ''),
-n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM k),
-g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM n WHERE nth > 1) GROUP BY doc_id)
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth, count(*) OVER (PARTITION BY body) AS times FROM k),
+c AS (SELECT doc_id, j, bool_or(nth = 1) AS stays FROM (SELECT doc_id, nth, unnest([i, i + 1, i + 2]) AS j FROM n WHERE times > 1) GROUP BY doc_id, j),
+g AS (SELECT doc_id, list(j) AS gone FROM c WHERE NOT stays GROUP BY doc_id)
 SELECT d.doc_id,
        CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string([lines[x] for x in range(1, len(lines) + 1) if NOT list_contains(gone, x)], chr(10)), '') END AS text,
        CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed

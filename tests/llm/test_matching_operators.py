@@ -296,18 +296,20 @@ def test_payload_features(spark):
 # ---------------------------------------------------------------- line dedup
 
 
+def windows_of(text):
+    lines = text.split("\n") if text is not None else []
+    return [(k, w) for k in range(len(lines) - 2) if "".join(w := tuple(lines[k : k + 3])).strip(" ")]
+
+
 def brute_lines(docs):
-    seen, gone = set(), defaultdict(set)
+    times = Counter(w for _, t in docs for _, w in windows_of(t))
+    seen, gone, stays = set(), defaultdict(set), defaultdict(set)
     for i, t in sorted(docs, key=lambda d: d[0]):
-        lines = t.split("\n") if t is not None else []
-        for k in range(len(lines) - 2):
-            w = tuple(lines[k : k + 3])
-            if "".join(w).strip(" ") == "":
-                continue
-            if w in seen:
-                gone[i] |= {k, k + 1, k + 2}
-            seen.add(w)
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}
+        for k, w in windows_of(t):
+            if times[w] > 1:
+                (gone if w in seen else stays)[i] |= {k, k + 1, k + 2}
+                seen.add(w)
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i] - stays[i]) for i, t in docs}
 
 
 def test_line_dedup(spark):
@@ -315,6 +317,11 @@ def test_line_dedup(spark):
     docs = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randrange(1, 25)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n\n\n"), (63, "one\ntwo"), (64, "u\nv\nw\nu\nv\nw"), (65, "u\nv\nw")]
     got = linededup.dedup_lines(frame(spark, docs)).collect()
     assert {r.doc_id: r.text for r in got} == brute_lines(docs) and len(got) == len(docs)
+    times = Counter(w for _, t in docs for _, w in windows_of(t))
+    left = {w for r in got for _, w in windows_of(r.text)}
+    assert all(w in left for w, n in times.items() if n > 1)
+    overlap = linededup.dedup_lines(frame(spark, [(1, "x\nx\nx\nx"), (2, "x\nx\nx\ny\nz"), (3, "x\nx\ny")]).withColumn("line_dedup", F.lit(1))).orderBy("doc_id").collect()
+    assert [r.text for r in overlap] == ["x\nx\nx", "x\nx\ny\nz", ""] and [r.line_dedup.n_removed for r in overlap] == [1, 1, 3]
     both = linededup.dedup_lines(frame(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc\nd")])).collect()
     assert Counter((r.doc_id, r.text) for r in both) == Counter([(1, ""), (1, ""), (None, "a\nb\nc\nd")])
     assert linededup.dedup_lines(frame(spark, docs).where("false")).count() == 0
