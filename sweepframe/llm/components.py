@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from sweepframe.functions.scratch import materialise
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, root): root is the smallest node of the component of every node that has an edge."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): root is the smallest node of the component of every node that has an edge. The rounds end by themselves: each brings stars closer to the smallest node, in about log(n)^2 rounds at most."""
     x, y = F.col(a), F.col(b)
     now = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     now, before = materialise(now), None
-    for _ in range(most):
+    while True:
         # large star: each node ties its larger neighbours to its smallest neighbour
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,4 +35,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-    raise RuntimeError(f"no fixed point after {most} rounds")

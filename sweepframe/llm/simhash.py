@@ -22,13 +22,15 @@ empty result. Whole texts are read.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import join_small, materialise
@@ -218,85 +220,36 @@ def near_duplicates(docs: DataFrame, tau: int = 2, size: int = 3, doc_id: str =
 
 # ---------------------------------------------------------------- verified near-duplicates
 
-#: Texts compared in one task; larger groups are compared block by block.
-BLOCK = 512
-
-
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of sorted distinct-value arrays whose Jaccard similarity is `similarity` or more, from a product of the membership matrix with itself; values of one set alone can't add to an intersection and are left out."""
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, place, times = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
-    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int((times > 1).sum()), 8192):  # bounded memory for long texts
-        inside = (column >= first) & (column < first + 8192)
-        member = np.zeros((len(sets), 8192), np.float32)
-        member[owner[inside], column[inside] - first] = 1
-        both += member @ member.T
-    # two texts without a word are the same
-    a, b = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes - both), 1))
-    return list(zip(a.tolist(), b.tolist()))
-
-
-def _forest(keys: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the pairs, those that connect what wasn't connected before, as pairs of keys."""
-    parent, out = list(range(len(keys))), []
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            parent[x] = y
-            out.append((int(keys[a]), int(keys[b])))
-    return out
-
-
-def similar_links(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all members (root, key, s) of one candidate group whose sets s are similar enough, directly or over others.
-
-    A group is cut into blocks of about `block` texts, and every pair of blocks is
-    compared in one task, which sends out a spanning forest of its links, never
-    all pairs.
-    """
-    sizes = materialise(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
-    rows = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "s")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("key")
-        found = _forest(part["key"].to_numpy(), similar_pairs(list(part["s"]), similarity))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return rows.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-# ---------------------------------------------------------------- pairs that the fingerprints miss
-
 #: Texts whose shingles are counted (one in SAMPLE_ONE_IN, SAMPLE_TEXTS at least), and the most shingles known as frequent.
 SAMPLE_ONE_IN, SAMPLE_TEXTS, FREQUENT = 32, 4_000, 100_000
+#: Bits of the parity sketch of a set.
+SKETCH = 512
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct XXH64 values of the text's shingles."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words(text), size)], np.uint64).view(np.int64))
+    return _hashed(shingles(words(text), size))
+
+
+def _hashed(items) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x, SEED) for x in items], np.uint64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def shingle_sets(text: Column, size: int) -> Column:
-    return F.pandas_udf(lambda texts: pd.Series([shingle_set(t, size) for t in texts]), "array<long>")(text)
+    return F.arrow_udf(lambda texts: _lists([shingle_set(t.as_py(), size) for t in texts]), "array<long>")(text)
 
 
-def frequent_shingles(bodies: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values and counts of the commonest shingles of a sample of bodies (of, text). They only order prefixes: any choice gives the same pairs."""
-    one_in = max(1, min(SAMPLE_ONE_IN, bodies.count() // SAMPLE_TEXTS))
-    sample = bodies.where(F.pmod(F.xxhash64("of"), F.lit(one_in)) == 0)
-    counts = sample.select(F.explode(shingle_sets(F.col("text"), size)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values and counts of the commonest shingles of a sample of docs. They only order prefixes: any choice gives the same pairs."""
+    one_in = max(1, min(SAMPLE_ONE_IN, docs.count() // SAMPLE_TEXTS))
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0)
+    counts = sample.select(F.explode(shingle_sets(F.col(text), size)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     found = counts.where("n > 1").orderBy(F.desc("n"), "t").limit(FREQUENT).toPandas().sort_values("t")
     return found["t"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
@@ -314,30 +267,82 @@ def prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
     return values[np.lexsort((values, weight))[:most]]
 
 
-def prefix_pairs(bodies: DataFrame, groups: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(a, b): all pairs of keys in different groups whose shingle sets can be similar enough, for bodies (of, text) and groups (of, key, root).
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Bit b is the parity of the number of values that are b modulo SKETCH: two sets differ in at least as many values as their sketches in bits."""
+    parity = (np.bincount(values & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view("<i8")
+
+
+def signatures(spark: SparkSession, frequent: tuple[np.ndarray, np.ndarray], similarity: float, size: int):
+    """A column function: text -> struct of fp (SimHash of the distinct words), digest (of the sequence of words), and of the set of shingles its size n, sketch and prefix t."""
+    sent = spark.sparkContext.broadcast(frequent)
+
+    @F.arrow_udf("struct<fp: long, digest: binary, n: int, sketch: array<long>, t: array<long>>")
+    def compute(texts: pa.Array) -> pa.Array:
+        prints, digests, counts, sketches, starts = [], [], [], [], []
+        for text in texts:
+            tokens = words(text.as_py())
+            found = _hashed(shingles(tokens, size))
+            prints.append(simhash(set(tokens)))
+            digests.append(hashlib.md5(b" ".join(tokens)).digest())
+            counts.append(len(found))
+            sketches.append(sketch(found))
+            starts.append(prefix(found, sent.value, similarity))
+        parts = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), _lists(sketches), _lists(starts)]
+        return pa.StructArray.from_arrays(parts, ["fp", "digest", "n", "sketch", "t"])
+
+    return compute
+
+
+def _can_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes (columns n) and sketches can be similar enough."""
+    na, nb = F.col("n" + a), F.col("n" + b)
+    differ = sum((F.bit_count(F.get("sketch" + a, F.lit(i)).bitwiseXOR(F.get("sketch" + b, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(similarity) - 1e-6) & (differ <= (na + nb) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+_START = ("key", "root", "n", "sketch", "place")
+
+
+def shared_starts(texts: DataFrame) -> DataFrame:
+    """(key, place, t): the prefix values of texts (key, root, t array) that stand in several groups."""
+    rows = texts.select("key", "root", F.posexplode("t").alias("place", "t"))
+    several = rows.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    return materialise(join_small(rows, materialise(several), "t").select("key", "place", "t"))
+
+
+def _enough(a: str, b: str, similarity: float) -> Column:
+    """Whether at a value that two prefixes share, first or not, enough is left of both sets, and their sizes and sketches agree."""
+    na, nb = F.col("n" + a), F.col("n" + b)
+    most = F.least(na - F.col("place" + a), nb - F.col("place" + b))
+    return (most >= (na + nb) * F.lit(similarity / (1 + similarity)) - 1e-6) & _can_be_similar(a, b, similarity)
+
+
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each of the rows (key, root, n, sketch, place, t) with one row of its value t, chosen by a hash of key and value, if it is of another group: as many as rows, and different partners for different values."""
+    ends = rows.groupBy("t").agg(F.min_by(F.struct(*_START), F.xxhash64("key", "t")).alias("x"))
+    ends = ends.select("t", *[F.col(f"x.{c}").alias(c + "b") for c in _START])
+    found = rows.select("t", *[F.col(c).alias(c + "a") for c in _START]).join(ends, "t")
+    return _pairs(found.where((F.col("roota") != F.col("rootb")) & _enough("a", "b", similarity)))
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of keys in different groups whose sets can be similar enough, for rows (key, root, n, sketch, place, t) of their prefixes.
 
     Two sets that are similar enough share a value of their prefixes, and at the
     first such value, enough must be left of both for the overlap that is needed.
+    Of a value that one group has most rows of, only the rows of other groups
+    look for partners, so a large group isn't held against itself.
     """
-    sent = bodies.sparkSession.sparkContext.broadcast(frequent_shingles(bodies, size))
-
-    @F.pandas_udf("struct<n: int, t: array<long>>")
-    def starts(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, size) for t in texts]
-        return pd.DataFrame({"n": np.array([len(x) for x in sets], np.int32), "t": [prefix(x, sent.value, similarity) for x in sets]})
-
-    rows = bodies.select("of", starts("text").alias("x")).select("of", "x.n", F.posexplode("x.t").alias("place", "t"))
-    of_value = Window.partitionBy("t")
-    shared = rows.withColumns({"lo": F.min("of").over(of_value), "hi": F.max("of").over(of_value)}).where("lo < hi").select("of", "n", "place", "t")
-    # groups has a row for every text, so it is never broadcast: the plan is the same at every size
-    shared = materialise(shared).join(groups.hint("merge"), "of").select("key", "root", "n", "place", "t").distinct()
-    several = shared.withColumns({"lo": F.min("root").over(of_value), "hi": F.max("root").over(of_value)}).where("lo < hi")
-    several = materialise(several.select("key", "root", "n", "place", "t"))
-    left, right = (several.select("t", *[F.col(c).alias(c + side) for c in ("key", "root", "n", "place")]) for side in "ab")
-    most = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
-    enough = most >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    return left.join(right, "t").where((F.col("keya") < F.col("keyb")) & (F.col("roota") != F.col("rootb")) & enough).select(F.col("keya").alias("a"), F.col("keyb").alias("b")).distinct()
+    main = materialise(rows.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots"))
+    rows = join_small(rows, main, "t")
+    left, right = (rows.select("t", "main", *[F.col(c).alias(c + side) for c in _START]) for side in "ab")
+    once = (F.col("rootb") == F.col("main")) | (F.col("keya") < F.col("keyb"))
+    return _pairs(left.where("roota != main").drop("main").join(right, "t").where(once & (F.col("roota") != F.col("rootb")) & _enough("a", "b", similarity)))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
 
 
 def similar_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -348,47 +353,62 @@ def similar_of(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return rows.where(F.col("both") >= F.lit(similarity) * (F.col("n") - F.col("both"))).select("a", "b")
 
 
+def near_pairs(rows: DataFrame, tau: int) -> DataFrame:
+    """(a, b): pairs of the fingerprints (key, fp; both distinct) within tau bits: those with the ends of each probed group, then those between groups that these leave apart. Their number follows the rows, not the square of a group."""
+    plan = search_plan(rows.select("fp"), tau)
+    first = materialise(anchors(rows, plan, tau))
+    rooted = materialise(_rooted(rows, components(first)))
+    return first.unionAll(across(rooted, plan, tau))
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one row (the smallest id; a null id only if there is no other) of each group of near duplicates.
 
     Rows are linked if their sets of `size`-word shingles have a Jaccard
-    similarity of `similarity` or more. Candidate groups are components under
-    "within tau bits" of a SimHash over the distinct words, which changes less
-    under scattered edits than one over shingles; inside them the sets are
-    compared. Similar pairs of different groups, which the bits miss, are found
-    by prefixes of the sets, whatever tau is (up to collisions of 64-bit
-    hashes). Texts without a word are one group.
+    similarity of `similarity` or more. Texts with the same sequence of words are
+    one from the start. Candidates are pairs within tau bits of a SimHash over
+    the distinct words, which changes less under scattered edits than one over
+    shingles; their sets are compared. Similar pairs of groups that are apart
+    still, because the bits miss them, are found by prefixes of the sets,
+    whatever tau is (up to collisions of 64-bit hashes). No step makes all pairs
+    of a group. Texts without a word are one group. Rows that repeat both id and
+    text leave one row; an empty table stays empty; extra columns pass through.
     """
-    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    of = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    slim = docs.select(F.col(doc_id).alias("id"), digest.alias("digest"), of.alias("of"), fingerprint(F.col(text), 1, distinct=True).alias("fp"))
+    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))))
+    known = frequent_shingles(docs, size, text)
+    slim = docs.select(F.col(doc_id).alias("id"), row.alias("row"), signatures(docs.sparkSession, known, similarity, size)(F.col(text)).alias("x"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    texts = slim.groupBy("x.digest").agg(best, *[F.any_value(f"x.{c}").alias(c) for c in ("fp", "n", "sketch", "t")])
     # one row for each different text, numbered once and for all by writing it
-    texts = slim.groupBy("digest").agg(F.min("id").alias("id"), F.min("of").alias("of"), F.min("fp").alias("fp"))
-    texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(root, key, s) for wanted (root, key)."""
-        wanted = wanted.join(texts, "key")
-        wanted = materialise(wanted.select("root", "key", F.col("digest").alias("__digest"), F.col("id").alias("__id")))
-        # of the rows with one text, the one whose id was kept is enough
-        bodies = docs.select(F.col(doc_id).alias("__of"), digest.alias("__digest"), F.col(text).alias("__text"))
-        bodies = join_small(bodies, wanted, "__digest", most=1_000_000).where(F.col("__of").eqNullSafe(F.col("__id")))
-        return materialise(bodies.select("root", "key", shingle_sets(F.col("__text"), size).alias("s")).dropDuplicates(["key"]))
-
-    roots = link(texts.select("key", "fp"), tau).select("key", "root")
-    several = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    links = materialise(similar_links(sets_of(roots.join(several, "root")), similarity))
-    # what the bits miss: similar texts of different groups
-    bodies = docs.select(of.alias("of"), F.col(text).alias("text"))
-    pairs = materialise(prefix_pairs(bodies, texts.select("key", "of").join(roots, "key"), similarity, size))
-    if not pairs.isEmpty():
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        links = links.unionAll(materialise(similar_of(pairs, sets_of(ends.join(roots, "key")), similarity)))
-
-    found = components(links)
-    rooted = texts.join(found.withColumnRenamed("node", "key"), "key", "left").select("id", "digest", F.coalesce("root", "key").alias("root"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
-    kept = materialise(best.select(F.col("best.digest").alias("__digest"), F.col("best.id").alias("__id")))
-    found = docs.withColumn("__digest", digest).join(kept, "__digest").where(F.col(doc_id).eqNullSafe(F.col("__id")))
+    texts = materialise(texts.select(F.monotonically_increasing_id().alias("key"), "best", "fp", "n", "sketch", "t"))
+    sizes = texts.select("key", "n", "sketch")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets, made anew from their texts, are similar enough."""
+        ends = (sizes.select(F.col("key").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("sketch" + x)) for x in "ab")
+        for x, end in zip("ab", ends):
+            pairs = pairs.join(end, x)
+        pairs = materialise(pairs.where(_can_be_similar("a", "b", similarity)).select("a", "b"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key").select("key", F.col("best.row").alias("__row"))
+        bodies = join_small(docs.select(row.alias("__row"), F.col(text).alias("__text")), materialise(wanted), "__row")
+        sets = materialise(bodies.select("key", shingle_sets(F.col("__text"), size).alias("s")).dropDuplicates(["key"]))
+        return materialise(similar_of(pairs, sets, similarity))
+
+    def rooted(links: DataFrame) -> DataFrame:
+        """(key, root) of all texts."""
+        return texts.select("key").join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+
+    # texts with one fingerprint are held against the first of them
+    prints = materialise(texts.groupBy("fp").agg(F.min("key").alias("key")))
+    same = texts.join(prints.withColumnRenamed("key", "a"), "fp").where("a < key").select("a", F.col("key").alias("b"))
+    links = similar(materialise(near_pairs(prints.select("key", "fp"), tau).unionAll(same)))
+    # what the bits miss: first one partner for each value of a prefix, then all pairs between groups that are apart still
+    starts = shared_starts(texts.select("key", "t").join(rooted(links), "key"))
+    for find in (star_pairs, prefix_pairs):
+        more = materialise(find(starts.join(sizes, "key").join(rooted(links), "key"), similarity))
+        links = links.unionAll(similar(more)) if not more.isEmpty() else links
+    best = texts.join(rooted(links), "key").groupBy("root").agg(F.min("best").alias("best"))
+    kept = materialise(best.select(F.col("best.row").alias("__row"), F.col("best.id").alias("__id")))
+    rows = docs.withColumn("__row", row).join(kept.hint("merge"), "__row").where(F.col(doc_id).eqNullSafe(F.col("__id")))
     # rows that repeat both id and text are copies, too
-    return found.dropDuplicates(["__digest"]).select(*docs.columns)
+    return rows.dropDuplicates(["__row"]).select(*docs.columns)

@@ -113,17 +113,22 @@ def jaccard_groups(texts, at_least=0.8):
     return roots_of(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(sets[i], sets[j])])
 
 
-def test_similar_links_over_blocks(spark):
+def test_prefix_pairs_find_all_similar_pairs_of_different_groups(spark):
     rng = random.Random(8)
     base = list(range(100))
-    sets = [np.array(sorted(rng.sample(base, 100 - rng.randrange(0, 25)) + [rng.randrange(1000, 10_000) for _ in range(rng.randrange(0, 12))])) for _ in range(60)] + [np.zeros(0, np.int64)] * 2
-    sets = [np.unique(x) for x in sets]
-    alike = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
-    assert simhash.similar_pairs(sets, 0.8) == alike
-    df = spark.createDataFrame([(7, k, [int(v) for v in x]) for k, x in enumerate(sets)], "root long, key long, s array<long>")
-    for block in (7, 512):
-        links = [(r.a, r.b) for r in simhash.similar_links(df, 0.8, block).collect()]
-        assert roots_of(len(sets), links) == roots_of(len(sets), alike) and set(map(tuple, map(sorted, links))) <= set(alike)
+    sets = [np.unique(rng.sample(base, 100 - rng.randrange(0, 25)) + [rng.randrange(1000, 10_000) for _ in range(rng.randrange(0, 12))]) for _ in range(60)]
+    roots = [rng.choice([0, 0, 0, 1, k]) for k in range(60)]
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rows = [(k, roots[k], len(x), simhash.sketch(x).tolist(), [int(v) for v in simhash.prefix(x, nothing, 0.8)]) for k, x in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "key long, root long, n int, sketch array<long>, t array<long>")
+    starts = simhash.shared_starts(texts).join(texts.drop("t"), "key")
+    got = {(r.a, r.b) for r in simhash.prefix_pairs(starts, 0.8).collect()}
+    assert {(r.a, r.b) for r in simhash.star_pairs(starts, 0.8).collect()} <= got
+    alike = {(i, j) for i, j in itertools.combinations(range(60), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert {(i, j) for i, j in alike if roots[i] != roots[j]} <= got and all(roots[i] != roots[j] for i, j in got)
+    held = spark.createDataFrame([(k, [int(v) for v in x]) for k, x in enumerate(sets)], "key long, s array<long>")
+    every = spark.createDataFrame(list(itertools.combinations(range(60), 2)), "a long, b long")
+    assert {(r.a, r.b) for r in simhash.similar_of(every, held, 0.8).collect()} == alike
 
 
 def test_keep_one(spark):
