@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.functions.scratch import materialise
+from sweepframe.functions.scratch import materialise, new_path, scope
 
 WINDOW = 3
 
@@ -50,7 +50,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def dedup_lines(docs: DataFrame, into: str = "line_dedup", doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the text as it stays and a struct `into`: n_lines and n_removed."""
-    gone = materialise(repeated_lines(docs, doc_id, text, window).select(F.col("id").alias("__ld_id"), F.col("of").alias("__ld_of"), F.col("gone").alias("__ld_gone")))
+    path = new_path(docs.sparkSession)
+    with scope(docs.sparkSession):
+        gone = materialise(repeated_lines(docs, doc_id, text, window).select(F.col("id").alias("__ld_id"), F.col("of").alias("__ld_of"), F.col("gone").alias("__ld_gone")), path)
     rows = docs.withColumn("__ld_x", F.xxhash64(text))
     # the list of removals grows with the corpus, so it is never broadcast: the plan is the same at every size
     rows = rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_x") == F.col("__ld_of")), "left")

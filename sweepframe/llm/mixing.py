@@ -1,23 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target in words. A source first takes whole copies of all
-its documents as often as the target allows; the rest is a sample without
-replacement of a fixed number of words with unequal probabilities: documents
-are ranked by random odds divided by inclusion odds, and the best ranks are
-taken while their words fit; one document more closes the gap that is left, the
-one whose size comes nearest to it, if that is better than leaving it open. The
-inclusion odds grow with the square root of a document's size, so longer
-documents are likelier.
+its documents as often as the target allows; the rest is a sample of documents
+without replacement, of a fixed number of words. A document of n words should be
+in it with probability min(1, c sqrt(n)), where c makes the expected words equal
+the rest: documents for which that is 1 are certain and taken first. The others
+are ranked by random odds divided by inclusion odds; in that order each is taken
+if its words still fit, so a source ends within its smallest document not taken
+of its target.
 
 No group is sorted in one task: the rank is cut into 2^13 cells by source, the
-cell in which the target is reached is cut again, and only the documents of the
-last cell are ordered. What is left is one threshold and one closing document per
-source, which any row can be held against.
+cell in which the words run out is cut again, and only the documents of that
+fine cell are ordered. Documents beyond it that still fit are found in the same
+way, round by round, as the gap shrinks. What is left for each source is a short
+list of rounds, which any row can be held against.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
-source of its own, last in order; rows that repeat an id are taken or left
-together; an empty table gives an empty result. Extra columns pass through
-``take``; the column it adds is named by the caller.
+source of its own, last in order; rows that repeat id and text are taken or
+left together, other rows of one id are documents of their own; equal ranks go
+by id (null first), then size; an empty table gives an empty result. Extra
+columns pass through ``take``; the column it adds is named by the caller and
+replaces one of that name. A row for each source goes through single tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweepframe.functions.scratch import join_small, materialise
+from sweepframe.functions.scratch import few_rows, join_small, materialise, new_path, scope
 from sweepframe.llm.words import word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -34,16 +37,25 @@ MOST_COPIES = 2
 _CELLS = 1 << 13
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from the id, the same in every run."""
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10)
-    return (digits.cast("long").cast("double") + 0.5) / F.lit(float(1 << 48))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) from id and text, the same in every run."""
+    whole = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return (F.conv(F.substring(F.md5(whole), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def rank(doc_id: Column, size: Column, seed: str) -> Column:
+def rank(u: Column, size: Column, factor: Column) -> Column:
     """Random odds divided by inclusion odds: small ranks are taken first."""
-    u = uniform(doc_id, seed)
-    return (u / (1 - u)) / F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
+    p = factor * F.sqrt(size.cast("double"))
+    return (u / (1 - u)) / (p / (1 - p))
+
+
+def _cell(q: Column) -> Column:
+    return F.least(F.floor(q / (1 + q) * (_CELLS * _CELLS)), F.lit(_CELLS * _CELLS - 1))
+
+
+def measure(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(source, id, size, u) of every document: all that the mix needs to know of it."""
+    return docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), word_count(F.col(text)).alias("size"), uniform(F.col(doc_id), F.col(text), seed).alias("u"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -70,65 +82,122 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return x.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("common") * F.col("weight"))).alias("target"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row for each source: source, source_size, target, copies (whole copies of every document), and the last rank and id that get one more."""
-    size = word_count(F.col(text))
-    slim = docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), size.alias("size"))
-    slim = slim.withColumn("q", rank(F.col("id"), F.col("size"), seed))
-    slim = slim.withColumn("cell", F.least(F.floor(F.col("q") / (1 + F.col("q")) * (_CELLS * _CELLS)), F.lit(_CELLS * _CELLS - 1)))
-    slim = materialise(slim)
-    sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    sources = sources.withColumn("copies", F.least(F.lit(most), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("int"))
-    sources = materialise(sources.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")))
+def inclusion(histogram: DataFrame, rests: DataFrame, few: bool) -> DataFrame:
+    """(source, certain_from, factor, gap) from (source, size, n) and (source, rest): documents of certain_from words or more are certain, factor is the c of the others, and gap what they must bring.
+
+    With all longer documents certain, a size is certain if its probability would
+    still be 1 or more; a row for each different size of a source is ordered.
+    """
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    words = F.col("size") * F.col("n")
+    x = _with_source(histogram.where("size > 0"), rests.where("rest > 0"), few)
+    x = x.withColumn("longer", F.coalesce(F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("tail", F.sum(words * F.sqrt(F.col("size").cast("double"))).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("certain", (F.col("rest") - F.col("longer")) * F.sqrt(F.col("size").cast("double")) >= F.col("tail"))
+    x = x.groupBy("source", "rest").agg(F.min(F.when(F.col("certain"), F.col("size"))).alias("certain_from"), F.sum(F.when(F.col("certain"), words).otherwise(0)).alias("sure"), F.max(F.when(~F.col("certain"), F.col("tail"))).alias("tail"))
+    return x.select("source", "certain_from", ((F.col("rest") - F.col("sure")) / F.col("tail")).alias("factor"), (F.col("rest") - F.col("sure")).alias("gap"))
+
+
+_UNITS = "array<struct<u:double,size:bigint,id:{0}>>"
+
+
+def _round(slim: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    """One round for every source (source, certain_from, factor, gap, from): how far in the ranks it comes.
 
-    level = sources.select("source", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("passed"), "rest")
+    Documents that are ranked beyond `from` and fit into the gap are added up by
+    cells. Those of the cells before the one in which the gap is filled are all
+    taken; of that one's, each is taken if it fits. Gives end, units (those of the last
+    cell that are taken) and left; end is null where all fit.
+    """
+    q = rank(F.col("u"), F.col("size"), F.col("factor"))
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.coalesce(F.col("size") < F.col("certain_from"), F.lit(True))
+    rows = _with_source(slim, state, few).withColumn("q", F.when(fits, q)).withColumn("cell", _cell(F.col("q"))).where(F.col("cell") > F.col("from"))
+    level = None
     for step in (_CELLS, 1):
-        cell = F.floor(F.col("cell") / step)
-        inside = slim if step > 1 else _with_source(slim, level).where(F.floor(F.col("cell") / _CELLS) == F.col("prefix")).drop("prefix", "passed", "rest")
-        sums = inside.groupBy("source", cell.alias("at")).agg(F.sum("size").alias("words"))
-        sums = _with_source(sums, level)
-        run = Window.partitionBy("source").orderBy("at")
-        sums = sums.withColumn("upto", F.col("passed") + F.sum("words").over(run))
-        # the first cell in which the words are reached
-        level = materialise(sums.where("upto >= rest and rest > 0").groupBy("source", "rest").agg(F.min(F.struct("at", F.col("upto").alias("upto"), F.col("words").alias("words"))).alias("x")).select("source", F.col("x.at").alias("prefix"), (F.col("x.upto") - F.col("x.words")).alias("passed"), "rest"))
-    tail = _with_source(slim, level).where(F.col("cell") == F.col("prefix"))
-    tail = tail.groupBy("source", "rest", "passed", "q", "id").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())
-    tail = tail.withColumn("upto", F.col("passed") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    taken = tail.where("upto <= rest").groupBy("source").agg(F.max(F.struct("q", "id")).alias("last"), F.max("upto").alias("reached"))
-    # where the cell's first document is too long, everything before the cell is taken
-    cut = level.join(taken.withColumnRenamed("source", "__of"), level["source"].eqNullSafe(F.col("__of")), "left")
-    cut = materialise(cut.select("source", F.col("prefix").alias("last_cell"), F.col("last.q").alias("last_q"), F.col("last.id").alias("last_id"), (F.col("rest") - F.coalesce("reached", "passed")).alias("gap")))
-    # one document more, the one that closes the gap best; rows of one rank and id count as one document, and all have its size (or 0 and 1)
-    open_ = _with_source(slim, cut).where(~_before(F.col("cell"), F.col("q"), F.col("id"), F.col) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-    open_ = open_.groupBy("source", "gap", "q", "id").agg(F.sum("size").alias("size")).where(F.abs(F.col("gap") - F.col("size")) < F.col("gap"))
-    closing = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "q", "id")).alias("one"))
-    ends = cut.join(closing.withColumnRenamed("source", "__of"), cut["source"].eqNullSafe(F.col("__of")), "left").select(cut["source"].alias("__of"), "last_cell", "last_q", "last_id", F.col("one.q").alias("close_q"), F.col("one.id").alias("close_id"))
-    return materialise(sources.join(ends, sources["source"].eqNullSafe(ends["__of"]), "left").select("source", "source_size", "target", "copies", "last_cell", "last_q", "last_id", "close_q", "close_id"))
-
-
-def _before(cell: Column, q: Column, doc_id: Column, of) -> Column:
-    """Whether a row is no further in the order than the last document taken in rank order."""
-    upto = (q < of("last_q")) | ((q == of("last_q")) & (doc_id.isNull() | F.coalesce(doc_id <= of("last_id"), F.lit(False))))
-    return F.coalesce((cell < of("last_cell")) | ((cell == of("last_cell")) & of("last_q").isNotNull() & upto), F.lit(False))
-
-
-def _with_source(rows: DataFrame, small: DataFrame) -> DataFrame:
+        inside = rows if level is None else _with_source(rows.select("source", "size", "cell"), level, few).where(F.floor(F.col("cell") / _CELLS) == F.col("at"))
+        before = F.lit(0).cast("long") if level is None else F.any_value("before")
+        gap = F.any_value("gap") if level is None else F.any_value("open")
+        sums = inside.groupBy("source", F.floor(F.col("cell") / step).alias("here")).agg(F.sum("size").alias("words"), gap.alias("open"), before.alias("before"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("here")))
+        # the first cell in which the gap is filled; no row where all that fits leaves it open
+        first = sums.where("upto >= open").groupBy("source").agg(F.min_by(F.struct("here", (F.col("upto") - F.col("words")).alias("before"), "open"), "here").alias("x"))
+        level = materialise(first.select("source", F.col("x.here").alias("at"), "x.before", "x.open"))
+    ends = level.select("source", F.col("at").alias("end"), "before", "open")
+    tail = _with_source(rows.select("source", "q", "id", "size", "u", "cell"), ends, few).where(F.col("cell") == F.col("end"))
+    tail = tail.groupBy("source", "end", "before", "open", "q", "id", "size", "u").agg(F.sum("size").alias("words"))
+    ordered = tail.groupBy("source", "end", "before", "open").agg(F.array_sort(F.collect_list(F.struct("q", "id", "size", "u", "words"))).alias("all"))
+    kind = slim.schema["id"].dataType.simpleString()
+    start = F.struct((F.col("open") - F.col("before")).alias("left"), F.array().cast(_UNITS.format(kind)).alias("units"))
+    take_if_fits = lambda s, x: F.when(x["words"] <= s["left"], F.struct((s["left"] - x["words"]).alias("left"), F.concat(s["units"], F.array(F.struct(x["u"].alias("u"), x["size"].alias("size"), x["id"].alias("id")))).alias("units"))).otherwise(s)
+    found = ordered.select("source", "end", F.aggregate("all", start, take_if_fits).alias("x")).select("source", "end", "x.left", "x.units")
+    return _with_source(state, found, few, "left")
+
+
+def _plan(slim: DataFrame, weights, share: float, most: int) -> DataFrame:
+    histogram = materialise(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    sources = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
+    sources = sources.withColumn("copies", F.least(F.lit(most), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).cast("int"))
+    sources = materialise(sources.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")))
+    few = few_rows(sources)
+    chances = materialise(inclusion(histogram, sources.select("source", "rest"), few))
+    state = chances.where("factor is not null and gap > 0").withColumn("from", F.lit(-1).cast("long"))
+    rounds = None
+    while not (state := materialise(state)).isEmpty():
+        done = materialise(_round(slim, state, few))
+        this = done.select("source", F.struct("from", F.coalesce("end", F.lit(_CELLS * _CELLS).cast("long")).alias("end"), F.col("gap").alias("most"), "units").alias("round"))
+        rounds = this if rounds is None else rounds.unionAll(this)
+        state = done.where("end is not null").select("source", "certain_from", "factor", F.col("left").alias("gap"), F.col("end").alias("from"))
+    kind = slim.schema["id"].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<from:bigint,end:bigint,most:double,units:{_UNITS.format(kind)}>>")
+    x = sources.drop("rest", "weight")
+    for more in [chances.drop("gap"), *([] if rounds is None else [rounds.groupBy("source").agg(F.array_sort(F.collect_list("round")).alias("rounds"))])]:
+        x = _with_source(x, more, few, "left")
+    return x.withColumn("rounds", empty if rounds is None else F.coalesce("rounds", empty))
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text", measured: DataFrame | None = None) -> DataFrame:
+    """One row for each source: source, source_size, target, copies (whole copies of every document), certain_from, factor and rounds, which tell the documents that get one more. measured: a written measure(docs), if there is one."""
+    path = new_path(docs.sparkSession)
+    with scope(docs.sparkSession):
+        slim = materialise(measure(docs, seed, doc_id, source, text)) if measured is None else measured
+        return materialise(_plan(slim, weights, share, most), path)
+
+
+def _with_source(rows: DataFrame, small: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table of one row for each source, sent to all tasks if the counted sources are few."""
     other = small.withColumnRenamed("source", "__of")
-    return join_small(rows, other, rows["source"].eqNullSafe(other["__of"])).drop("__of")
+    return rows.join(F.broadcast(other) if few else other, rows["source"].eqNullSafe(other["__of"]), how).drop("__of")
+
+
+def _copies(size: Column, u: Column, doc_id: Column, p) -> Column:
+    """How often a document is taken by the plan p of its source."""
+    q = rank(u, size, p("factor"))
+
+    def taken(r):
+        listed = F.exists(r["units"], lambda x: (x["u"] == u) & (x["size"] == size) & x["id"].eqNullSafe(doc_id))
+        return (size > 0) & (size <= r["most"]) & (((_cell(q) > r["from"]) & (_cell(q) < r["end"])) | ((_cell(q) == r["end"]) & F.coalesce(listed, F.lit(False))))
+
+    certain = F.coalesce(size >= p("certain_from"), F.lit(False))
+    return (p("copies") + F.when(certain | F.coalesce(F.exists(p("rounds"), taken), F.lit(False)), 1).otherwise(0)).cast("int")
+
+
+def take_measured(measured: DataFrame, planned: DataFrame) -> DataFrame:
+    """(source, id, size, u) -> with source_size, target and copies."""
+    held = planned.select(F.struct(*[F.col(c) for c in planned.columns]).alias("__plan"))
+    rows = join_small(measured, held, measured["source"].eqNullSafe(held["__plan.source"]), "left")
+    p = lambda name: F.col(f"__plan.{name}")
+    return rows.select(*measured.columns, p("source_size").alias("source_size"), p("target").alias("target"), _copies(F.col("size"), F.col("u"), F.col("id"), p).alias("copies"))
 
 
 def take(docs: DataFrame, planned: DataFrame, into: str = "copies", seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with a struct column `into`: size, source_size, target, copies (0 to the most allowed)."""
     held = planned.select(F.struct(*[F.col(c) for c in planned.columns]).alias("__plan"))
-    rows = docs.withColumn("__size", word_count(F.col(text)))
+    rows = docs.withColumns({"__size": word_count(F.col(text)), "__u": uniform(F.col(doc_id), F.col(text), seed)})
     rows = join_small(rows, held, rows[source].eqNullSafe(held["__plan.source"]), "left")
-    q = rank(F.col(doc_id), F.col("__size"), seed)
-    cell = F.least(F.floor(q / (1 + q) * (_CELLS * _CELLS)), F.lit(_CELLS * _CELLS - 1))
     p = lambda name: F.col(f"__plan.{name}")
-    closes = F.coalesce(q == p("close_q"), F.lit(False)) & F.col(doc_id).eqNullSafe(p("close_id"))
-    copies = p("copies") + F.when(_before(cell, q, F.col(doc_id), p) | closes, 1).otherwise(0)
-    return rows.withColumn(into, F.struct(F.col("__size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), copies.cast("int").alias("copies"))).drop("__size", "__plan")
+    copies = _copies(F.col("__size"), F.col("__u"), F.col(doc_id), p)
+    made = F.struct(F.col("__size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), copies.alias("copies"))
+    return rows.withColumn(into, made).select(*[c for c in docs.columns if c != into], into)
 
 
 def mixed(docs: DataFrame, planned: DataFrame, **columns) -> DataFrame:

@@ -27,10 +27,10 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    planned = mixing.plan(docs)
-    taken = mixing.take(docs, planned, into="x").select("doc_id", "x.size", "x.source_size", "x.target", (F.col("x.size") * F.col("x.copies")).alias("taken"))
-    return taken.withColumn("target", F.round("target", 4))
+    docs = table(spark, sf_dir, "documents")
+    measured = materialise(mixing.measure(docs))
+    taken = mixing.take_measured(measured, mixing.plan(docs, measured=measured))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +99,9 @@ def queries() -> dict:
 def _mix_sql() -> str:
     weights = ", ".join(map(str, mixing.WEIGHTS))
     return rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / {1 << 48}::DOUBLE AS u
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / {1 << 48}::DOUBLE AS u
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -114,13 +114,29 @@ h AS (
   FROM r),
 t AS (SELECT source, source_size, CASE WHEN level <= here THEN cap ELSE least(cap, weight * max(CASE WHEN level > here THEN here END) OVER ()) END AS target FROM h),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN least({mixing.MOST_COPIES}, CAST(floor(target / source_size) AS INT)) ELSE 0 END AS copies FROM t),
-q AS (SELECT d.doc_id, d.size, c.*, (u / (1 - u)) / sqrt(greatest(d.size, 1)::DOUBLE) AS q, target - copies * source_size AS rest FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST) AS upto FROM q),
-g AS (SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM o),
-z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rest > 0 AND upto > rest AND abs(gap - size) < gap THEN abs(gap - size) END ASC NULLS LAST, q, doc_id NULLS FIRST) AS nth FROM g)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 4) AS target,
-       CAST(size * (copies + CASE WHEN rest > 0 AND (upto <= rest OR (nth = 1 AND abs(gap - size) < gap)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM z"""
+k AS (
+  SELECT source, size, count(*) AS n, any_value(target - copies * source_size) AS rest FROM d JOIN (SELECT source AS of, * EXCLUDE source FROM c) ON source IS NOT DISTINCT FROM of
+  WHERE size > 0 AND target > copies * source_size GROUP BY source, size),
+b AS (
+  SELECT *, (rest - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sqrt(size::DOUBLE) >= tail AS certain
+  FROM (SELECT *, sum(size * n * sqrt(size::DOUBLE)) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tail FROM k)),
+f AS (
+  SELECT source AS of, min(size) FILTER (certain) AS certain_from, any_value(rest) - coalesce(sum(size * n) FILTER (certain), 0) AS gap,
+         (any_value(rest) - coalesce(sum(size * n) FILTER (certain), 0)) / max(tail) FILTER (NOT certain) AS factor
+  FROM b GROUP BY source),
+q AS (
+  SELECT source, doc_id, size, u, sum(size) AS words, any_value(gap) AS gap, any_value((u / (1 - u)) / (factor * sqrt(size::DOUBLE) / (1 - factor * sqrt(size::DOUBLE)))) AS q
+  FROM d JOIN f ON source IS NOT DISTINCT FROM of WHERE size > 0 AND size < coalesce(certain_from, size + 1) GROUP BY source, doc_id, size, u),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, size) AS nth FROM q),
+g AS (
+  SELECT source, CAST(0 AS BIGINT) AS nth, CAST(any_value(gap) AS DOUBLE) AS gap FROM o GROUP BY source
+  UNION ALL
+  SELECT g.source, min(o.nth), g.gap - arg_min(o.words, o.nth) FROM g JOIN o ON g.source IS NOT DISTINCT FROM o.source AND o.nth > g.nth AND o.words <= g.gap GROUP BY g.source, g.gap),
+x AS (SELECT o.source AS xs, o.doc_id AS xi, o.size AS xn, o.u AS xu FROM o JOIN g ON g.source IS NOT DISTINCT FROM o.source AND g.nth = o.nth)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, c.source_size, round(c.target, 4) AS target,
+       CAST(d.size * (c.copies + CASE WHEN d.size >= f.certain_from OR x.xn IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN f ON f.of IS NOT DISTINCT FROM d.source
+LEFT JOIN x ON x.xs IS NOT DISTINCT FROM d.source AND x.xi IS NOT DISTINCT FROM d.doc_id AND x.xn = d.size AND x.xu = d.u"""
 
 
 def _url_sql() -> str:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.functions.scratch import join_small, materialise
+from sweepframe.functions.scratch import join_small, materialise, new_path, scope
 from sweepframe.llm.components import components
 
 SEED = 42
@@ -375,6 +375,17 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int =
     text leave one row; an empty table stays empty; extra columns pass through.
     """
     row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))))
+    path = new_path(docs.sparkSession)
+    with scope(docs.sparkSession):
+        kept = materialise(_kept(docs, row, similarity, size, tau, doc_id, text), path)
+    mine, theirs = (next(n for i in itertools.count() if (n := f"__{x}{i}") not in docs.columns) for x in ("row", "id"))
+    rows = docs.withColumn(mine, row).join(kept.select(F.col("row").alias(mine), F.col("id").alias(theirs)).hint("merge"), mine).where(F.col(doc_id).eqNullSafe(F.col(theirs)))
+    # rows that repeat both id and text are copies, too
+    return rows.dropDuplicates([mine]).select(*docs.columns)
+
+
+def _kept(docs: DataFrame, row: Column, similarity: float, size: int, tau: int, doc_id: str, text: str) -> DataFrame:
+    """(row, id) of the rows that keep_one keeps."""
     known = frequent_shingles(docs, size, text)
     slim = docs.select(F.col(doc_id).alias("id"), row.alias("row"), signatures(docs.sparkSession, known, similarity, size)(F.col(text)).alias("x"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
@@ -396,19 +407,20 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int =
 
     def rooted(links: DataFrame) -> DataFrame:
         """(key, root) of all texts."""
-        return texts.select("key").join(components(links).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+        found = components(links).withColumnRenamed("node", "key")
+        return materialise(texts.select("key").join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
 
     # texts with one fingerprint are held against the first of them
     prints = materialise(texts.groupBy("fp").agg(F.min("key").alias("key")))
     same = texts.join(prints.withColumnRenamed("key", "a"), "fp").where("a < key").select("a", F.col("key").alias("b"))
     links = similar(materialise(near_pairs(prints.select("key", "fp"), tau).unionAll(same)))
+    roots = rooted(links)
     # what the bits miss: first one partner for each value of a prefix, then all pairs between groups that are apart still
-    starts = shared_starts(texts.select("key", "t").join(rooted(links), "key"))
+    starts = shared_starts(texts.select("key", "t").join(roots, "key"))
     for find in (star_pairs, prefix_pairs):
-        more = materialise(find(starts.join(sizes, "key").join(rooted(links), "key"), similarity))
-        links = links.unionAll(similar(more)) if not more.isEmpty() else links
-    best = texts.join(rooted(links), "key").groupBy("root").agg(F.min("best").alias("best"))
-    kept = materialise(best.select(F.col("best.row").alias("__row"), F.col("best.id").alias("__id")))
-    rows = docs.withColumn("__row", row).join(kept.hint("merge"), "__row").where(F.col(doc_id).eqNullSafe(F.col("__id")))
-    # rows that repeat both id and text are copies, too
-    return rows.dropDuplicates(["__row"]).select(*docs.columns)
+        more = materialise(find(starts.join(sizes, "key").join(roots, "key"), similarity))
+        if not more.isEmpty():
+            links = links.unionAll(similar(more))
+            roots = rooted(links)
+    best = texts.join(roots, "key").groupBy("root").agg(F.min("best").alias("best"))
+    return best.select("best.row", "best.id")

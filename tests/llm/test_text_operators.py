@@ -1,6 +1,7 @@
 """Language ID, mixing, token blocks, chat formatting, packing and fingerprints against brute force."""
 
 import hashlib
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sweepframe.llm import chatformat, langid, mixing, multisethash, packing, tokenbin
+from sweepframe.llm import chatformat, langid, mixing, multisethash, packing, queries, tokenbin
 from sweepframe.llm.words import word_count
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,51 @@ def test_mixture_and_empty_texts(spark, model):
     assert rows[4]["size"] == mixed
 
 
+def plain_em(counts, p, steps=langid.EM_STEPS):
+    share = [1 / len(p)] * len(p)
+    for _ in range(steps):
+        new = [0.0] * len(p)
+        for b, n in counts.items():
+            whole = sum(s * float(row[b]) for s, row in zip(share, p))
+            for k, row in enumerate(p):
+                new[k] += n * share[k] * float(row[b]) / whole
+        share = [x / sum(counts.values()) for x in new]
+    return share, sum(n * np.log(sum(s * float(row[b]) for s, row in zip(share, p))) for b, n in counts.items())
+
+
+def test_inference_against_all_language_sets(spark, model):
+    docs, learned = model
+    best = {r.lang: r.text for r in docs.where("length(text) > 2000").groupBy("lang").agg(F.max_by("text", "n_chars").alias("text")).collect()}
+    texts = [best["en"][:400], best["fr"][:60], best["fr"][:700] + " " + best["de"][:500], best["es"][:900] + " " + best["en"][:100], "the house", best["de"][:300] + best["es"][:300] + best["fr"][:300]]
+    p, names = learned["p"], learned["names"]
+    for text in texts:
+        found = langid.trigram_counts(text)
+        counts = {int(b): int(found[b]) for b in np.flatnonzero(found)}
+        total = sum(counts.values())
+        tried = []
+        for size in (1, 2, 3):
+            for group in itertools.combinations(range(len(names)), size):
+                share, value = plain_em(counts, [p[k] for k in group]) if size > 1 else ([1.0], sum(n * np.log(float(p[group[0]][b])) for b, n in counts.items()))
+                tried.append((value - langid.OVERLAP * (0.5 * np.log(total + 1) + np.log(len(names) + 1)) * (size - 1), dict(zip(group, share)), value))
+        _, shares, value = max(tried, key=lambda x: x[0])
+        got, likelihood = langid.infer(found, p)
+        assert set(got) == set(shares) and all(abs(got[k] - shares[k]) < 1e-6 for k in got) and abs(likelihood - value) < 1e-3 * abs(value)
+
+
+def test_gain_tells_languages_from_noise(spark, model):
+    docs, learned = model
+    noise = ["ZGVhZGJlZWY4f3a9 QmFzZTY0IGdpYmJlcmlzaA xK9qZ77bWvP0 aGVsbG8td29ybGQ", "これは日本語のテキストです。言語は学習されていません。", "Привет мир, это русский текст", "jkq wzx pfgh zzq vbnm qwx"]
+    assert all(r.language.gain < 0 for r in langid.identify(frame(spark, list(enumerate(noise))), learned).collect())
+    rows = langid.identify(docs.where("n_chars > 200"), learned).select("language.gain").collect()
+    assert min(r.gain for r in rows) > 0
+
+
+def test_most_labelled_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(1, "aa bb", "x"), (2, "cc", "y"), (3, "dd", "z"), (4, "dd", "z"), (5, "cc", "y")]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["names"] == ["y", "z"]
+
+
 def test_no_labels(spark):
     empty = frame(spark, []).where("false")
     learned = langid.learn(empty)
@@ -61,9 +107,9 @@ def test_no_labels(spark):
 
 
 def brute_mix(rows, weights=mixing.WEIGHTS, share=mixing.SHARE, most=mixing.MOST_COPIES):
-    """rows: (id, source, size, rank) -> words taken by row, and targets by source."""
-    total, names = defaultdict(int), sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
-    for _, s, n, _ in rows:
+    """rows: (row, id, source, size, u) -> words taken by row, targets and inclusion probabilities."""
+    total, names = defaultdict(int), sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    for _, _, s, n, _ in rows:
         total[s] += n
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     target, open_, left = {}, set(names), share * sum(total.values())
@@ -77,53 +123,83 @@ def brute_mix(rows, weights=mixing.WEIGHTS, share=mixing.SHARE, most=mixing.MOST
             target[s] = most * total[s]
         left -= sum(target[s] for s in over)
         open_ -= over
-    taken = {}
+    taken, chance = {}, {}
     for s in names:
         copies = min(most, int(target[s] // total[s])) if total[s] else 0
-        rest, upto, left_out = target[s] - copies * total[s], 0, []
-        full = False
-        for i, _, n, q in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], r[0])):
-            full = full or upto + n > rest
-            if full:
-                left_out.append((n, q, i))
-            else:
-                upto += n
-            taken[i] = n * (copies + (not full and rest > 0))
-        gap = rest - upto
-        better = min(((abs(gap - n), q, i, n) for n, q, i in left_out if abs(gap - n) < gap), default=None)
-        if better:
-            taken[better[2]] += better[3]
-    return taken, target
+        rest, mine = target[s] - copies * total[s], [r for r in rows if r[2] == s]
+        taken |= {r[0]: copies * r[3] for r in mine}
+        units = sorted((r for r in mine if r[3] > 0), key=lambda r: -r[3]) if rest > 0 else []
+        while units:  # the longest documents are certain while their probability would be 1 or more
+            c = rest / sum(r[3] ** 1.5 for r in units)
+            if c * units[0][3] ** 0.5 < 1 - 1e-12:
+                break
+            longest = units[0][3]
+            for r in [r for r in units if r[3] == longest]:
+                taken[r[0]] += r[3]
+                chance[r[0]] = 1.0
+                rest -= r[3]
+            units = [r for r in units if r[3] < longest]
+        lumps = defaultdict(list)
+        for r in units:
+            p = chance[r[0]] = c * r[3] ** 0.5
+            lumps[(r[4] / (1 - r[4]) / (p / (1 - p)), r[1] is not None, r[1] or 0, r[3])].append(r)
+        for _, lump in sorted(lumps.items()):
+            words = sum(r[3] for r in lump)
+            if words <= rest:
+                rest -= words
+                for r in lump:
+                    taken[r[0]] += r[3]
+    return taken, target, chance
+
+
+def mix_rows(docs, planned, seed="mix"):
+    rows = mixing.take(docs, planned, into="x", seed=seed).select("doc_id", "source", "text", "x.*", mixing.uniform(F.col("doc_id"), F.col("text"), seed).alias("u")).collect()
+    return [(k, r.doc_id, r.source, r["size"], r.u) for k, r in enumerate(rows)], rows
 
 
 def test_mix_against_brute_force(spark):
     rng = np.random.default_rng(1)
-    docs = frame(spark, [(i, " ".join(["w"] * int(rng.integers(0, 60))) if i % 11 else None) for i in range(400)])
-    got = mixing.take(docs, mixing.plan(docs), into="x").select("doc_id", "source", "x.*", mixing.rank(F.col("doc_id"), word_count(F.col("text")), "mix").alias("q")).collect()
-    taken, target = brute_mix([(r.doc_id, r.source, r["size"], r.q) for r in got])
-    assert {r.doc_id: r["size"] * r.copies for r in got} == taken
+    texts = [(i, " ".join(["w"] * int(rng.integers(0, 60))) if i % 11 else None) for i in range(400)] + [(7, "x y z"), (7, "x y z"), (7, "x y"), *[(None, "a " * k) for k in (5, 5, 9)]]
+    docs = frame(spark, texts)
+    slim, rows = mix_rows(docs, mixing.plan(docs))
+    taken, target, _ = brute_mix(slim)
+    assert {k: r["size"] * r.copies for k, r in enumerate(rows)} == taken
     for s, t in target.items():
-        mine = [r for r in got if r.source == s]
+        mine = [r for r in rows if r.source == s]
         assert all(abs(r.target - t) < 1e-6 for r in mine)
-        assert abs(sum(r["size"] * r.copies for r in mine) - t) <= 3
-    assert all(0 <= r.copies <= 2 for r in got)
-    again = {r.doc_id: r.x.copies for r in mixing.take(docs.repartition(7), mixing.plan(docs.repartition(5)), into="x").collect()}
-    assert again == {r.doc_id: r.copies for r in got}
+        off = t - sum(r["size"] * r.copies for r in mine)
+        not_taken = [r["size"] for r in mine if r["size"] and r.copies < max(x.copies for x in mine)]
+        assert 0 <= off and off < min(not_taken, default=1)
+    assert all(0 <= r.copies <= 2 for r in rows)
+    key = lambda r: (r.doc_id, r.text, r.copies)
+    again = mixing.take(docs.repartition(7), mixing.plan(docs.repartition(5)), into="copies").select("doc_id", "text", "copies.copies").collect()
+    assert sorted(map(str, map(key, again))) == sorted(map(str, map(key, rows)))
     whole = mixing.mixed(docs, mixing.plan(docs))
-    assert whole.columns == docs.columns and whole.count() == sum(again.values())
+    assert whole.columns == docs.columns and whole.count() == sum(r.copies for r in rows)
+
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Over many seeds, every document is in the sample about as often as its probability says."""
+    sizes = [1 + i * 7 % 40 for i in range(1500)] + [400]
+    docs = frame(spark, [(i, " ".join([f"w{i}"] * n)) for i, n in enumerate(sizes)] + [(9999, "w " * 120)]).withColumn("source", F.when(F.col("doc_id") == 9999, F.lit("b")).otherwise(F.lit("a")))
+    slim, rows = mix_rows(docs, mixing.plan(docs, weights=(1.0, 4.0), share=0.6))
+    _, target, chance = brute_mix(slim, weights=(1.0, 4.0), share=0.6)
+    mine = [k for k, r in enumerate(rows) if r.source == "a"]
+    last = next(k for k, r in enumerate(rows) if r["size"] == 400)
+    assert 0.2 < target["a"] / sum(sizes) < 1 and chance[last] == 1.0
+    times, rng = np.zeros(len(rows)), np.random.default_rng(0)
+    for _ in range(1000):
+        taken, _, _ = brute_mix([(*r[:4], rng.uniform()) for r in slim], weights=(1.0, 4.0), share=0.6)
+        times += [taken[k] > 0 for k in range(len(rows))]
+    assert max(abs(times[k] / 1000 - chance[k]) for k in mine) < 0.08 and times[last] == 1000
 
-def test_rows_that_share_an_id_close_a_gap_only_together(spark):
-    ids = spark.range(400).select(F.col("id"), mixing.uniform(F.col("id"), "mix").alias("u")).collect()
-    ranked = [r.id for r in sorted(ids, key=lambda r: r.u)]
-    lump = ranked[30]
-    rows = [(i, " ".join(["w"] * 20)) for i in [*ranked[:30], *ranked[31:61], *[lump] * 30]]
-    # one source: 1,800 words, 2,700 wanted; 600 of the 900 left are ranked before the lump of 600
-    docs = frame(spark, rows).withColumn("source", F.lit("one"))
-    got = mixing.take(docs, mixing.plan(docs), into="x").select("doc_id", "x.size", "x.target", "x.copies").collect()
-    assert {r.target for r in got} == {2700.0}
-    assert {r.copies for r in got if r.doc_id == lump} == {1}
-    assert sum(r["size"] * r.copies for r in got) == 1800 + 600 + 20
+
+def test_rows_that_repeat_id_and_text_are_taken_together(spark):
+    docs = frame(spark, [(i, f"t{i} " * 20) for i in range(61)] + [(None, "same " * 20)] * 29).withColumn("source", F.lit("one"))
+    slim, rows = mix_rows(docs, mixing.plan(docs))
+    taken, target, _ = brute_mix(slim)
+    assert {k: r["size"] * r.copies for k, r in enumerate(rows)} == taken and target == {"one": 2700.0}
+    assert len({r.copies for r in rows if r.doc_id is None}) == 1 and sum(taken.values()) == 2700
 
 
 def test_mix_of_nothing(spark):
@@ -218,20 +294,86 @@ def test_pack(sizes):
     assert sum(map(packing.cost, ends)) <= alone
 
 
-def test_pack_documents(spark):
-    docs = frame(spark, [(1, "a " * 9000), (2, None), (3, ""), (4, "b " * 10), (4, "b " * 10), (None, "c")])
+def plain_pack(sizes, lengths=packing.LENGTHS, cost=packing.cost):
+    """Best fit by looking at every open bin: the cheapest over all shortest lengths, as the lists of sizes in the bins."""
+    best = None
+    for shortest in lengths:
+        bins, left, time = [], sum(sizes), 0
+        for size in sorted(sizes, reverse=True):
+            time += 1
+            fitting = [b for b in bins if b["room"] >= size]
+            if fitting:
+                b = min(fitting, key=lambda b: (b["room"], -b["time"]))
+            else:
+                room = min((x for x in lengths if x >= max(size, shortest)), key=lambda x: (cost(x) / min(x, left), x))
+                bins.append(b := {"room": room, "held": []})
+            b["room"] -= size
+            b["time"] = time
+            b["held"].append(size)
+            left -= size
+        total = sum(cost(min(x for x in lengths if x >= sum(b["held"]))) for b in bins)
+        if best is None or total < best[0]:
+            best = total, [b["held"] for b in bins]
+    return best
+
+
+def least_cost(sizes):
+    """The cost of the best of all packings."""
+    sums = [sum(n for i, n in enumerate(sizes) if m >> i & 1) for m in range(1 << len(sizes))]
+    price = [packing.cost(min(x for x in packing.LENGTHS if x >= s)) if 0 < s <= 4096 else float("inf") for s in sums]
+    best = [0.0] * len(sums)
+    for m in range(1, len(sums)):
+        low, part, best[m] = m & -m, m, float("inf")
+        while part:
+            if part & low:
+                best[m] = min(best[m], price[part] + best[m ^ part])
+            part = (part - 1) & m
+    return best[-1]
+
+
+def test_pack_against_all_packings():
+    rng = np.random.default_rng(5)
+    ratios = []
+    for _ in range(60):
+        sizes = [int(x) for x in np.minimum(4096, rng.lognormal(6, 1.2, rng.integers(1, 9)) + 1)]
+        bins, _, ends = packing.pack_jointly(np.array(sizes))
+        total, held = plain_pack(sizes)
+        assert sum(map(packing.cost, ends)) == pytest.approx(total)
+        assert sorted(sorted(sizes[i] for i in np.flatnonzero(bins == b)) for b in range(len(ends))) == sorted(map(sorted, held))
+        ratios.append(total / least_cost(sizes))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.35 and np.mean(ratios) < 1.06
+
+
+def test_pack_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 3)
+    big = (1 << 60) + 1
+    docs = frame(spark, [(1, "a " * 9000), (2, None), (3, ""), *[(4, "b " * 10)] * 8, (None, "c"), (None, "c"), (big, "d d")])
     rows = packing.pack_documents(docs, word_count(F.col("text")), shard=3).collect()
     by = defaultdict(int)
     for r in rows:
         by[r.doc_id] += r.length
         assert (r.bin_id is None) == (r.length == 0)
-    assert by == {1: 9000, 2: 0, 3: 0, 4: 20, None: 1}
+    assert by == {1: 9000, 2: 0, 3: 0, 4: 80, None: 2, big: 2}
+    assert sorted(r.copy for r in rows if r.doc_id == 4) == list(range(8)) and sorted((r.piece, r.start) for r in rows if r.doc_id == 1) == [(0, 0), (1, 4096), (2, 8192)]
     for b in {r.bin_id for r in rows if r.length}:
         spans = sorted((r.bin_start, r.bin_start + r.length) for r in rows if r.bin_id == b)
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:])) and spans[-1][1] <= next(r.bin_length for r in rows if r.bin_id == b)
+    again = packing.pack_documents(docs.repartition(7), word_count(F.col("text")), shard=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
     assert packing.pack_documents(docs.where("false"), word_count(F.col("text"))).count() == 0
 
 
+def test_whole_query_against_plain_packing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = [n - k * 4096 if n - k * 4096 < 4096 else 4096 for (n,) in docs.select(word_count(F.col("text"))).collect() for k in range(max(1, -(-n // 4096)))]
+    total, held = plain_pack([n for n in sizes if n])
+    bins = defaultdict(list)
+    for r in queries.op9_best_fit(spark, SF).collect():
+        bins[r.bin_id, r.bin_length].append(r.length)
+    assert sorted(map(sorted, bins.values())) == sorted(map(sorted, held))
+    assert sum(packing.cost(end) for _, end in bins) == pytest.approx(total)
+
+
 # ---------------------------------------------------------------- multiset hash
 
 
