@@ -6,8 +6,8 @@ frame, and gives the composed frames in order with their time. ``encode`` writes
 samples as 8-bit indices of a palette, which stores any bytes without loss.
 
 Defined results: a null or empty image, and bytes that aren't a GIF, have no
-frames; a truncated image has the frames that are whole; a delay of 0 stays 0;
-repeated rows each give their frames; an empty table gives an empty result.
+frames; a truncated or damaged image has the frames before the damage, and one
+that claims more than MAX_PIXELS has none; a delay of 0 stays 0; repeated rows each give their frames; an empty table gives an empty result.
 Payloads that don't fit one frame (65,535 lines) take several.
 """
 
@@ -28,6 +28,8 @@ WIDTH = 64
 #: Lines of one frame; longer payloads take several frames.
 LINES = 65_535
 BINS = 8
+#: A screen of more pixels can't be held in a task; the widest one of 65,535 lines that encode() writes has 4,194,240.
+MAX_PIXELS = 1 << 26
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
 _FULL = 4096
 
@@ -37,25 +39,27 @@ def lzw_codes(data: bytes, bits: int = 8) -> list[int]:
     clear = 1 << bits
     out = [clear]
     if data:
-        table: dict[int, int] = {}
-        get, put, free = table.get, out.append, clear + 2
-        prefix = data[0]
+        put, free = out.append, clear + 2
+        # a node maps the next byte to the node of the longer word, and -1 to the code of its own
+        roots: dict[int, dict] = {}
+        node = roots[data[0]] = {-1: data[0]}
         for byte in memoryview(data)[1:]:
-            key = prefix << 8 | byte
-            code = get(key)
-            if code is None:
-                put(prefix)
-                if free < _FULL:
-                    table[key] = free
-                    free += 1
-                else:
-                    put(clear)
-                    table.clear()
-                    free = clear + 2
-                prefix = byte
+            longer = node.get(byte)
+            if longer is not None:
+                node = longer
+                continue
+            put(node[-1])
+            if free < _FULL:
+                node[byte] = {-1: free}
+                free += 1
             else:
-                prefix = code
-        put(prefix)
+                put(clear)
+                roots = {}
+                free = clear + 2
+            node = roots.get(byte)
+            if node is None:
+                node = roots[byte] = {-1: byte}
+        put(node[-1])
     out.append(clear + 1)
     return out
 
@@ -79,73 +83,68 @@ def pack_codes(codes: list[int], bits: int = 8) -> bytes:
     run = _width_run(bits, int(np.diff(np.append(starts, len(codes))).max(initial=0)))
     for a, b in zip(starts, np.append(starts[1:], len(codes))):
         widths[a:b] = run[: b - a]
-    ends = np.cumsum(widths)
-    out = np.zeros(int(ends[-1]), np.uint8)
-    for i in range(12):
-        has = widths > i
-        out[(ends - widths)[has] + i] = (codes[has] >> i) & 1
-    return np.packbits(out, bitorder="little").tobytes()
+    starts = np.cumsum(widths) - widths
+    # a code touches three bytes at most, and no bit has two codes, so bytes are sums
+    spread, at, n = codes << (starts & 7), starts >> 3, int(starts[-1] + widths[-1] + 7) >> 3
+    total = sum(np.bincount(at + i, (spread >> (8 * i)) & 255, n + 2) for i in range(3))
+    return total[:n].astype(np.uint8).tobytes()
+
+
+def _codes_at(stream: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Codes of the given widths at the given bits; the stream has three bytes more than it holds."""
+    at = starts >> 3
+    three = stream[at] | stream[at + 1] << 8 | stream[at + 2] << 16
+    return three >> (starts & 7) & ((1 << widths) - 1)
 
 
 def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
     """At most so many indices of a code stream. Codes are cut out in runs up to the next clear code, and expanded with the table of the run."""
     clear, end = 1 << bits, (1 << bits) + 1
-    flat = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+    held, n_bits = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64), 8 * len(stream)
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     at, parts, size = 0, [], 0
-    while at < len(flat) and size < most:
-        if bits < 12 and len(flat) - at > bits and int(flat[at : at + bits + 1] @ (1 << np.arange(bits + 1))) == clear:
-            at += bits + 1
-            continue
-        n = min(_FULL, (len(flat) - at) // (bits + 1) + 1)
-        widths = _width_run(bits, n)
-        ends = at + np.cumsum(widths)
-        whole = int(np.searchsorted(ends, len(flat), "right"))
-        if not whole:
-            break
-        spots = (ends - widths)[:whole, None] + np.arange(12)
-        mask = np.arange(12) < widths[:whole, None]
-        codes = (flat[np.minimum(spots, len(flat) - 1)] * mask) @ (1 << np.arange(12))
+    while at < n_bits and size < most:
+        run = _width_run(bits, min(_FULL, (n_bits - at) // (bits + 1) + 1))
+        ends = at + np.cumsum(run)
+        whole = int(np.searchsorted(ends, n_bits, "right"))
+        codes = _codes_at(held, (ends - run)[:whole], run[:whole])
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else whole
         table = roots[:]
-        put, grow = parts.append, table.append
-        before = None
-        for code in codes[:stop].tolist():
-            if before is None:
+        put, grow, new = parts.append, table.append, codes[:stop].tolist()
+        room = 1 + _FULL - len(table)
+        if new:
+            before = table[new[0]]
+            put(before)
+        for code in new[1:room]:
+            try:
                 word = table[code]
-            elif code < len(table):
-                word = table[code]
-                if len(table) < _FULL:
-                    grow(before + word[:1])
-            elif code == len(table) and len(table) < _FULL:
+            except IndexError:
+                if code != len(table):
+                    raise ValueError("a code that isn't in the table") from None
                 word = before + before[:1]
-                grow(word)
-            else:
-                raise ValueError("a code that isn't in the table")
+            grow(before + word[:1])
             put(word)
-            size += len(word)
             before = word
-        if stop == whole and whole == n and not len(stops):
+        parts += map(table.__getitem__, new[room:])
+        size = sum(map(len, parts))
+        if len(stops):
+            if codes[stop] == end:
+                break
+            at = int(ends[stop])
+        elif whole < len(run):
+            break
+        else:
             # a full table without a clear code: the reader goes on with it
             at = int(ends[whole - 1])
-            rest = flat[at:]
-            for i in range(0, len(rest) - 11, 12):
-                code = int(rest[i : i + 12] @ (1 << np.arange(12)))
-                if code == end:
-                    return b"".join(parts)[:most]
-                if code == clear:
-                    at += i + 12
-                    break
-                word = table[code]
-                put(word)
-                size += len(word)
-            else:
+            starts = np.arange(at, n_bits - 11, 12)
+            rest = _codes_at(held, starts, np.full(len(starts), 12))
+            stops = np.flatnonzero((rest == clear) | (rest == end))
+            parts += map(table.__getitem__, rest[: int(stops[0]) if len(stops) else len(rest)].tolist())
+            size = sum(map(len, parts))
+            if not len(stops) or rest[stops[0]] == end:
                 break
-            continue
-        if not len(stops) or codes[stop] == end:
-            break
-        at = int(ends[stop])
+            at = int(starts[stops[0]]) + 12
     return b"".join(parts)[:most]
 
 
@@ -167,7 +166,14 @@ def encode(samples: bytes, width: int = WIDTH, delay: int = 0) -> bytes:
 
 
 def decode(image: bytes | None):
-    """Yields (start_ms, delay_ms, left, top, indices as lines x columns, pixels as lines x columns x RGBA of the whole composed screen) of each frame."""
+    """Yields (start_ms, delay_ms, left, top, indices as lines x columns, pixels as lines x columns x RGBA of the whole composed screen) of each frame, up to the end or the first damage."""
+    try:
+        yield from _decode(image)
+    except (ValueError, IndexError, struct.error):
+        return
+
+
+def _decode(image: bytes | None):
     if not image or image[:6] not in (b"GIF87a", b"GIF89a") or len(image) < 13:
         return
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", image, 6)
@@ -190,6 +196,8 @@ def decode(image: bytes | None):
         return b"".join(parts)
 
     shared = palette(flags)
+    if wide * high > MAX_PIXELS:
+        return
     screen = np.zeros((high, wide, 4), np.uint8)
     delay, clear_index, disposal, now = 0, None, 0, 0
     while at < len(image):
@@ -211,6 +219,8 @@ def decode(image: bytes | None):
             bits = image[at]
             at += 1
             stream = sub_blocks()
+            if not 1 <= bits <= 11 or w * h > MAX_PIXELS:
+                return
             raw = lzw_decode(stream, bits, w * h)
             if len(raw) < w * h:
                 return
@@ -226,8 +236,11 @@ def decode(image: bytes | None):
             table[:, 3] = 255
             box = screen[top : top + h, left : left + w]
             inside = indices[: box.shape[0], : box.shape[1]]
-            shown = np.ones(inside.shape, bool) if clear_index is None else inside != clear_index
-            box[shown] = table[inside[shown]]
+            if clear_index is None:
+                box[...] = table.view("<u4")[:, 0][inside].view(np.uint8).reshape(*inside.shape, 4)
+            else:
+                shown = inside != clear_index
+                box[shown] = table[inside[shown]]
             yield now * 10, delay * 10, left, top, indices, screen
             now += delay
             if disposal == 2:
@@ -240,9 +253,11 @@ def decode(image: bytes | None):
 
 
 def histogram(pixels: np.ndarray, bins: int = BINS) -> list[int]:
-    """Counts of the visible pixels by red, then green, then blue, in equal ranges."""
-    visible = pixels[pixels[..., 3] > 0]
-    return [int(x) for c in range(3) for x in np.bincount(visible[:, c] // (256 // bins), minlength=bins)]
+    """Counts of the visible pixels by red, then green, then blue, in equal ranges; bins is a power of two."""
+    seen = pixels[..., 3] > 0
+    visible = pixels.reshape(-1, 4) if seen.all() else pixels[seen]
+    step = (256 // bins).bit_length() - 1
+    return [int(x) for c in range(3) for x in np.bincount(visible[:, c] >> step, minlength=bins)]
 
 
 FRAMES = "frame int, start_ms long, delay_ms long, width int, height int, left int, top int, indices binary, histogram array<long>"
@@ -276,19 +291,20 @@ def padded(data: bytes, unit: int = WIDTH) -> bytes:
 
 
 def payload_features(images: DataFrame, doc_id: str = "doc_id", n_bytes: str = "n_bytes", image: str = "image") -> DataFrame:
-    """Of stored payloads, read back through decode: sizes, digests, and the grey histogram as the feature."""
+    """Of stored payloads, read back through decode: sizes, digests, the grey histogram as the feature, and number and time of the frames."""
 
     def rows(batches):
         for batch in batches:
             out = []
             for name, size, body in zip(batch["doc_id"], batch["n_bytes"], batch["image"]):
-                whole, counts = [], np.zeros(3 * BINS, np.int64)
-                for _, _, _, _, indices, screen in decode(body):
+                whole, counts, n_frames, ends = [], np.zeros(3 * BINS, np.int64), 0, 0
+                for start, delay, _, _, indices, screen in decode(body):
                     whole.append(indices.tobytes())
+                    n_frames, ends = n_frames + 1, start + delay
                     counts += histogram(screen[: indices.shape[0]])
                 data = b"".join(whole)
-                out.append((name, size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(body), hashlib.sha256(body).hexdigest(), ",".join(map(str, counts[:BINS]))))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+                out.append((name, size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(body), hashlib.sha256(body).hexdigest(), ",".join(map(str, counts[:BINS])), n_frames, ends))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms"]).astype({"doc_id": "Int64"})
 
     picked = images.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(n_bytes).alias("n_bytes"), F.col(image).alias("image"))
-    return picked.mapInPandas(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return picked.mapInPandas(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long")

@@ -264,6 +264,43 @@ def test_gif_of_long_data():
     assert shapes == [(gifmedia.LINES, 64), (5, 64)]
 
 
+def test_damaged_images_give_the_frames_before_the_damage():
+    rng = np.random.default_rng(2)
+    data = gifmedia.padded(b"some text that repeats, some text that repeats " * 40)
+    image = gifmedia.encode(data)
+    many = small_gif([(1, None, 5, 0, 0, 2, 2, [1, 1, 2, 3], False)] * 4)
+    for good in (image, many):
+        frames = [x[4].tobytes() for x in gifmedia.decode(good)]
+        for _ in range(400):
+            bad = bytearray(good)
+            for at in rng.integers(6, len(bad), rng.integers(1, 4)):
+                bad[at] = rng.integers(0, 256)
+            for _ in gifmedia.decode(bytes(bad[: rng.integers(6, len(bad) + 1)])):
+                pass
+        for cut in range(0, len(good), 7):
+            found = [x[4].tobytes() for x in gifmedia.decode(good[:cut])]
+            assert found == frames[: len(found)]
+
+
+def test_a_full_table_without_a_clear_code():
+    data = np.random.default_rng(1).integers(0, 3, 30_000, np.uint8).tobytes()
+    codes, table, word = [4], {bytes([i]): i for i in range(4)}, b""
+    for i in range(len(data)):
+        if word + data[i : i + 1] in table:
+            word += data[i : i + 1]
+            continue
+        codes.append(table[word])
+        if len(table) + 2 < 4096:
+            table[word + data[i : i + 1]] = len(table) + 2
+        word = data[i : i + 1]
+    codes += [table[word], 5]
+    assert max(codes) > 4000 and len(codes) > 4300
+    widths = [3, *gifmedia._width_run(2, len(codes) - 1).tolist()]
+    value = sum(code << at for code, at in zip(codes, itertools.accumulate([0, *widths[:-1]])))
+    stream = value.to_bytes(sum(widths) // 8 + 2, "little")
+    assert slow_lzw(stream, 2) == data == gifmedia.lzw_decode(stream, 2, len(data))
+
+
 def small_gif(frames):
     """2 x 2 screen, palette black, red, green, blue; frames: (disposal, clear index or None, delay, left, top, w, h, indices, interlaced)."""
     out = b"GIF89a" + bytes([2, 0, 2, 0, 0x91, 0, 0]) + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
@@ -294,7 +331,7 @@ def test_payload_features(spark):
         raw = (t or "").encode()
         data = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert got[i].n_bytes == len(raw) and got[i].payload_bytes == len(data) and got[i].payload_sha256 == hashlib.sha256(data).hexdigest()
-        assert sum(map(int, got[i].feature.split(","))) == len(data)
+        assert sum(map(int, got[i].feature.split(","))) == len(data) and (got[i].n_frames, got[i].duration_ms) == (1, 0)
     assert tuple(got[4])[1:] == tuple(got[6])[1:]
 
 
