@@ -112,7 +112,7 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
         stop = int(stops[0]) if len(stops) else whole
         table = roots[:]
         put, grow, new = parts.append, table.append, codes[:stop].tolist()
-        room = 1 + _FULL - len(table)
+        room, first = 1 + _FULL - len(table), len(parts)
         if new:
             before = table[new[0]]
             put(before)
@@ -127,7 +127,7 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
             put(word)
             before = word
         parts += map(table.__getitem__, new[room:])
-        size = sum(map(len, parts))
+        size += sum(map(len, parts[first:]))
         if len(stops):
             if codes[stop] == end:
                 break
@@ -140,8 +140,9 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
             starts = np.arange(at, n_bits - 11, 12)
             rest = _codes_at(held, starts, np.full(len(starts), 12))
             stops = np.flatnonzero((rest == clear) | (rest == end))
-            parts += map(table.__getitem__, rest[: int(stops[0]) if len(stops) else len(rest)].tolist())
-            size = sum(map(len, parts))
+            more = [table[code] for code in rest[: int(stops[0]) if len(stops) else len(rest)].tolist()]
+            parts += more
+            size += sum(map(len, more))
             if not len(stops) or rest[stops[0]] == end:
                 break
             at = int(starts[stops[0]]) + 12

@@ -5,13 +5,16 @@ the corpus can ask for. Level 0 encodes the listed keys; the other keys of the
 universe that it wrongly accepts are encoded in level 1; listed keys that level
 1 wrongly accepts in level 2; and so on until no key is wrong. For every key of
 the universe the first level that rejects it then decides exactly: an even
-level says no, an odd one yes. Bits reach the tasks as a scalar subquery, not
-through a join.
+level says no, an odd one yes. Level 0 gets as many bits as make
+its false positives about as few as the listed keys, so that all levels follow
+the list, whatever the universe. A level of many bits is split into pieces by a
+hash of the key. Bits reach the tasks as scalar subqueries, not through a join:
+about 1.2 to 5 bytes for a listed key.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and fits no rule; an empty list accepts nothing; an empty table gives an
 empty result; repeated rows each get a verdict. Extra columns pass through
-``judge`` (it adds one struct column).
+``judge``, but for one of the name of the struct column that it adds.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import materialise
 
-#: Listed keys wrongly accepted per level, at most about this share.
-FALSE_RATE = 0.01
-#: Bits of one level: a level is sent to all tasks (32 MB).
+#: Share of keys that a level wrongly accepts, at most about this, and at least what level 0 may go down to.
+FALSE_RATE, LEAST_RATE = 0.01, 1e-9
+#: Bits of one piece of a level (32 MB): more keys make more pieces.
 MAX_BITS = 1 << 28
+#: Levels of bits; keys that are wrong still (none, as a rule) are held as they are.
+MOST_LEVELS = 40
 
 
 def host(url: Column) -> Column:
@@ -48,53 +53,77 @@ def _probe(key: Column, number: int, bits: int, i) -> Column:
 
 
 class Level:
-    """One Bloom filter: 64-bit words in a table of one row, read as a scalar subquery."""
+    """One Bloom filter: 64-bit words by piece, in a table that is read as one scalar subquery for each piece."""
 
-    def __init__(self, keys: DataFrame, number: int):
+    def __init__(self, keys: DataFrame, n: int, number: int, rate: float):
         self.number = number
-        n = max(1, keys.count())
-        self.bits = 64 * math.ceil(max(64, -n * math.log(FALSE_RATE) / math.log(2) ** 2) / 64)
-        if self.bits > MAX_BITS:
-            raise ValueError(f"{n} keys need {self.bits} bits; a level may have {MAX_BITS}: split the list by a hash of the key")
-        self.hashes = max(1, round(self.bits / n * math.log(2)))
-        self.hashes = min(self.hashes, 12)
-        at = keys.select(F.explode(F.array(*[_probe(F.col("key"), number, self.bits, i) for i in range(self.hashes)])).alias("bit"))
-        words = at.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-        every = keys.sparkSession.range(self.bits // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+        need = max(64.0, -n * math.log(rate) / math.log(2) ** 2)
+        self.pieces = max(1, math.ceil(need / MAX_BITS))
+        self.bits = 64 * math.ceil(need / self.pieces / 64)
+        self.hashes = max(1, min(30, round(self.bits * self.pieces / max(1, n) * math.log(2))))
+        at = keys.select(self._piece(F.col("key")).alias("piece"), F.explode(F.array(*[_probe(F.col("key"), number, self.bits, i) for i in range(self.hashes)])).alias("bit"))
+        words = at.groupBy("piece", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+        per = self.bits // 64
+        every = keys.sparkSession.range(self.pieces * per).select(F.expr(f"cast(id div {per} as int)").alias("piece"), F.expr(f"cast(id % {per} as int)").alias("word")).join(words, ["piece", "word"], "left")
         ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
-        self.words = materialise(every.agg(ordered["mask"].alias("words")))
+        self.words = materialise(every.groupBy("piece").agg(ordered["mask"].alias("words")))
+
+    def _piece(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1 - self.number), key), F.lit(self.pieces)).cast("int") if self.pieces > 1 else F.lit(0)
+
+    def column(self) -> Column:
+        """The words of all pieces."""
+        return F.array(*[self.words.where(F.col("piece") == i).select("words").scalar() for i in range(self.pieces)])
 
     def has(self, key: Column, words: Column) -> Column:
         # one mention of the words for all probes: the optimiser copies the subquery to every mention
         def hit(i):
             bit = _probe(key, self.number, self.bits, i)
-            return F.getbit(F.get(words, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+            return F.getbit(F.get(F.get(words, self._piece(key)), F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
         return F.forall(F.sequence(F.lit(0), F.lit(self.hashes - 1)), hit)
 
 
+class Listed:
+    """The last level, where keys are wrong after MOST_LEVELS: the keys as they are."""
+
+    def __init__(self, keys: DataFrame):
+        self.words = materialise(keys.agg(F.collect_list("key").alias("words")))
+
+    def column(self) -> Column:
+        return self.words.scalar()
+
+    def has(self, key: Column, words: Column) -> Column:
+        return F.array_contains(words, key)
+
+
 class Cascade:
     """Exact membership of a list, for all keys of a universe (a DataFrame with a column key; distinct)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 40):
+    def __init__(self, listed: DataFrame, universe: DataFrame, most: int | None = None):
         listed = materialise(listed.select("key").where("key is not null").distinct())
         inside, outside = listed, materialise(universe.select("key").where("key is not null").distinct().join(listed, "key", "left_anti"))
-        self.levels: list[Level] = []
-        while not inside.isEmpty():
-            if len(self.levels) >= most:
-                raise RuntimeError("the cascade doesn't end; two keys hash alike")
-            level = Level(inside, len(self.levels))
+        self.levels: list[Level | Listed] = []
+        n, others = inside.count(), outside.count()
+        while n:
+            number = len(self.levels)
+            if number >= (MOST_LEVELS if most is None else most):
+                self.levels.append(Listed(inside))
+                break
+            rate = max(LEAST_RATE, min(FALSE_RATE, 0.7 * n / max(1, others))) if number == 0 else FALSE_RATE
+            level = Level(inside, n, number, rate)
             self.levels.append(level)
-            inside, outside = materialise(outside.withColumn("__words", level.words.scalar()).where(level.has(F.col("key"), F.col("__words"))).select("key")), inside
+            inside, outside = materialise(outside.withColumn("__words", level.column()).where(level.has(F.col("key"), F.col("__words"))).select("key")), inside
+            n = inside.count()
 
     def bits(self) -> Column:
-        """The bits of all levels: a column that a row takes along."""
-        return F.array(*[level.words.scalar() for level in self.levels]) if self.levels else F.array().cast("array<array<bigint>>")
+        """What the levels hold: a struct that a row takes along."""
+        return F.struct(*[level.column().alias(f"l{i}") for i, level in enumerate(self.levels)]) if self.levels else F.struct(F.lit(0).alias("none"))
 
     def has(self, key: Column, bits: Column) -> Column:
         found = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
-            found = F.when(~self.levels[i].has(key, bits[i]), F.lit(i % 2 == 1)).otherwise(found)
+            found = F.when(~self.levels[i].has(key, bits[f"l{i}"]), F.lit(i % 2 == 1)).otherwise(found)
         return F.coalesce(found, F.lit(False))
 
 
@@ -138,4 +167,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked_hosts: li
     found = split.withColumn("__r", F.array_min(F.concat(*[fits(v, c) for v, c in sides.items()])) if sides else F.lit(None).cast("struct<n:int,rule:string,verdict:string>"))
     blocked = F.exists(for_hosts(F.col("__h")), lambda k: hosts.has(k, F.col("__hosts")))
     found = found.withColumn("__v", F.when(F.col("__r").isNotNull(), F.col("__r.verdict")).when(blocked, F.lit("block")).otherwise(F.lit("allow")))
-    return found.withColumn(into, F.struct(F.col("__h").alias("host"), F.col("__p").alias("path"), F.col("__r.rule").alias("rule"), F.col("__v").alias("verdict"))).select(*pages.columns, into)
+    return found.withColumn(into, F.struct(F.col("__h").alias("host"), F.col("__p").alias("path"), F.col("__r.rule").alias("rule"), F.col("__v").alias("verdict"))).select(*[c for c in pages.columns if c != into], into)

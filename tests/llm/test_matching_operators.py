@@ -208,16 +208,22 @@ def test_judge_against_brute_force(spark):
 
     got = urlfilter.judge(rows, queries.RULES, queries.BLOCKED_HOSTS).select("page_id", "judged.*").collect()
     assert {r.page_id: tuple(r)[1:] for r in got} == {i: expected(u) for i, u in enumerate(urls)}
+    again = urlfilter.judge(rows.withColumn("judged", F.lit(1)), queries.RULES, queries.BLOCKED_HOSTS)
+    assert again.columns == ["page_id", "url", "host", "judged"]
     assert urlfilter.judge(rows.where("false"), queries.RULES, queries.BLOCKED_HOSTS).count() == 0
     assert urlfilter.judge(rows, [], []).where("judged.verdict != 'allow'").count() == 0
 
 
-def test_cascade_is_exact_where_levels_are_wrong(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "FALSE_RATE", 0.4)
+@pytest.mark.parametrize("rate, least, bits, levels", [(0.4, 0.4, 1 << 28, 40), (0.01, 1e-9, 512, 40), (0.5, 0.5, 128, 3)])
+def test_cascade_is_exact(spark, monkeypatch, rate, least, bits, levels):
+    """Also where levels are often wrong, split into pieces, or fewer than needed."""
+    for name, value in (("FALSE_RATE", rate), ("LEAST_RATE", least), ("MAX_BITS", bits), ("MOST_LEVELS", levels)):
+        monkeypatch.setattr(urlfilter, name, value)
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 7)], "key string")
     every = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
     cascade = urlfilter.Cascade(listed, every)
-    assert len(cascade.levels) > 2
+    assert rate < 0.1 or len(cascade.levels) > 2
+    assert (cascade.levels[0].pieces > 1) == (bits < 1 << 28) and isinstance(cascade.levels[-1], urlfilter.Listed) == (levels == 3)
     got = every.withColumn("b", cascade.bits()).select("key", cascade.has(F.col("key"), F.col("b")).alias("in")).collect()
     assert {r.key for r in got if r["in"]} == {f"k{i}" for i in range(0, 3000, 7)}
 
