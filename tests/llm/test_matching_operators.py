@@ -444,13 +444,9 @@ def test_stages_on_odd_tables(spark):
         assert stage(spark, table.where("false"), SF).count() == 0
 
 
-def test_run_leaves_no_tables_of_its_stages(spark, tmp_path):
+def test_run_leaves_no_tables_of_its_stages(spark, tmp_path, monkeypatch):
     from sweepframe.functions import scratch
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert scratch.shared_dir(spark) == f"file://{tmp_path}"
-        assert corpus_pipeline.run(spark, SF).count() > 100
-        assert len(list(tmp_path.iterdir())) < 6
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(scratch, "shared_dir", lambda session: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, SF).count() > 100
+    assert len(list(tmp_path.iterdir())) < 6
