@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a table that is sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Setting under which a query's shuffle files go when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own: list[str] = []
 _open: list[str] = []
@@ -34,10 +36,15 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a written Parquet table, read again: later jobs neither recompute it nor depend on an executor."""
+    """df as a written Parquet table, read again: later jobs neither recompute it nor depend on an executor, so the shuffles that made it are removed."""
     spark = df.sparkSession
     path = path or new_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
