@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, tau: int = 2, size: int = 3, doc_id: str =
 
 #: Texts whose shingles are counted (one in SAMPLE_ONE_IN, SAMPLE_TEXTS at least), and the most shingles known as frequent.
 SAMPLE_ONE_IN, SAMPLE_TEXTS, FREQUENT = 32, 4_000, 100_000
-#: Bits of the parity sketch of a set.
-SKETCH = 512
+#: Bits of the parity sketch of a set that goes with every prefix, and of the one by which single pairs are held.
+SKETCH, WIDE = 512, 8192
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -245,6 +245,10 @@ def shingle_sets(text: Column, size: int) -> Column:
     return F.arrow_udf(lambda texts: _lists([shingle_set(t.as_py(), size) for t in texts]), "array<long>")(text)
 
 
+def wide_sketches(text: Column, size: int) -> Column:
+    return F.arrow_udf(lambda texts: _lists([sketch(shingle_set(t.as_py(), size), WIDE) for t in texts]), "array<long>")(text)
+
+
 def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Sorted values and counts of the commonest shingles of a sample of docs. They only order prefixes: any choice gives the same pairs."""
     one_in = max(1, min(SAMPLE_ONE_IN, docs.count() // SAMPLE_TEXTS))
@@ -267,9 +271,9 @@ def prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
     return values[np.lexsort((values, weight))[:most]]
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Bit b is the parity of the number of values that are b modulo SKETCH: two sets differ in at least as many values as their sketches in bits."""
-    parity = (np.bincount(values & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)
+def sketch(values: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Bit b is the parity of the number of values that are b modulo bits: two sets differ in at least as many values as their sketches in bits."""
+    parity = (np.bincount(values & (bits - 1), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").view("<i8")
 
 
@@ -294,10 +298,13 @@ def signatures(spark: SparkSession, frequent: tuple[np.ndarray, np.ndarray], sim
     return compute
 
 
-def _can_be_similar(a: str, b: str, similarity: float) -> Column:
+def _can_be_similar(a: str, b: str, similarity: float, kind: str = "sketch") -> Column:
     """Whether sets of these sizes (columns n) and sketches can be similar enough."""
     na, nb = F.col("n" + a), F.col("n" + b)
-    differ = sum((F.bit_count(F.get("sketch" + a, F.lit(i)).bitwiseXOR(F.get("sketch" + b, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    if "sketch" == kind:
+        differ = sum((F.bit_count(F.get(kind + a, F.lit(i)).bitwiseXOR(F.get(kind + b, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    else:
+        differ = F.aggregate(F.zip_with(kind + a, kind + b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(similarity) - 1e-6) & (differ <= (na + nb) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
@@ -305,10 +312,10 @@ _START = ("key", "root", "n", "sketch", "place")
 
 
 def shared_starts(texts: DataFrame) -> DataFrame:
-    """(key, place, t): the prefix values of texts (key, root, t array) that stand in several groups."""
-    rows = texts.select("key", "root", F.posexplode("t").alias("place", "t"))
-    several = rows.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    return materialise(join_small(rows, materialise(several), "t").select("key", "place", "t"))
+    """(key, place, t): the prefix values of texts (key, t array) that stand in several texts."""
+    rows = texts.select("key", F.posexplode("t").alias("place", "t"))
+    several = rows.groupBy("t").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("t")
+    return materialise(join_small(rows, materialise(several), "t", most=1_000_000).select("key", "place", "t"))
 
 
 def _enough(a: str, b: str, similarity: float) -> Column:
@@ -394,16 +401,23 @@ def _kept(docs: DataFrame, row: Column, similarity: float, size: int, tau: int,
     texts = materialise(texts.select(F.monotonically_increasing_id().alias("key"), "best", "fp", "n", "sketch", "t"))
     sizes = texts.select("key", "n", "sketch")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets, made anew from their texts, are similar enough."""
-        ends = (sizes.select(F.col("key").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("sketch" + x)) for x in "ab")
-        for x, end in zip("ab", ends):
-            pairs = pairs.join(end, x)
-        pairs = materialise(pairs.where(_can_be_similar("a", "b", similarity)).select("a", "b"))
+    def ends(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The pairs with the columns of a table of keys, for both ends."""
+        for x in "ab":
+            pairs = pairs.join(held.select(*[F.col(c).alias(x if c == "key" else c + x) for c in held.columns]), x)
+        return pairs
+
+    def made(pairs: DataFrame, column, name: str) -> DataFrame:
+        """(key, name): a column made of the texts of all ends."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key").select("key", F.col("best.row").alias("__row"))
         bodies = join_small(docs.select(row.alias("__row"), F.col(text).alias("__text")), materialise(wanted), "__row")
-        sets = materialise(bodies.select("key", shingle_sets(F.col("__text"), size).alias("s")).dropDuplicates(["key"]))
-        return materialise(similar_of(pairs, sets, similarity))
+        return materialise(bodies.select("key", column(F.col("__text"), size).alias(name)).dropDuplicates(["key"]))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar enough: by their sketches, then by wide ones, and what is left by the sets themselves."""
+        pairs = materialise(ends(pairs, sizes).where(_can_be_similar("a", "b", similarity)).select("a", "b", "na", "nb"))
+        pairs = materialise(ends(pairs, made(pairs, wide_sketches, "wide")).where(_can_be_similar("a", "b", similarity, "wide")).select("a", "b"))
+        return materialise(similar_of(pairs, made(pairs, shingle_sets, "s"), similarity))
 
     def rooted(links: DataFrame) -> DataFrame:
         """(key, root) of all texts."""
@@ -416,7 +430,7 @@ def _kept(docs: DataFrame, row: Column, similarity: float, size: int, tau: int,
     links = similar(materialise(near_pairs(prints.select("key", "fp"), tau).unionAll(same)))
     roots = rooted(links)
     # what the bits miss: first one partner for each value of a prefix, then all pairs between groups that are apart still
-    starts = shared_starts(texts.select("key", "t").join(roots, "key"))
+    starts = shared_starts(texts.select("key", "t"))
     for find in (star_pairs, prefix_pairs):
         more = materialise(find(starts.join(sizes, "key").join(roots, "key"), similarity))
         if not more.isEmpty():
