@@ -19,7 +19,7 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,18 +81,19 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, body in zip(batch["lang"], batch["text"]):
-                found = trigram_counts(body)
+            for name, body in zip(batch.column("lang"), batch.column("text")):
+                found = trigram_counts(body.as_py())
                 if found is not None:
+                    name = name.as_py()
                     if name in sums:
                         sums[name] += found
                     else:
                         sums[name] = found.astype(np.int64)
         for name, found in sums.items():
             at = np.flatnonzero(found)
-            yield pd.DataFrame({"lang": name, "bucket": at.astype(np.int32), "n": found[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(found[at])], ["lang", "bucket", "n"])
 
-    table = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), BUCKETS))
     if len(table):
         counts[[names.index(x) for x in table["lang"]], table["bucket"]] = table["n"]
@@ -140,19 +141,24 @@ def identifier(spark, model: dict):
     """A column function: text -> struct(lang_pred, score, proportions)."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    # texts are taken out of the Arrow batch one by one, so a worker never holds them all as objects
+    @F.arrow_udf(RESULT)
+    def predict(texts: pa.Array) -> pa.Array:
         names, p = sent.value["names"], sent.value["p"]
-        out = []
+        best, scores, proportions, gains = [], [], [], []
         for text in texts:
-            counts = trigram_counts(text)
+            counts = trigram_counts(text.as_py())
             if counts is None or not names:
-                out.append(("und", 0.0, {}, None))
-                continue
-            shares, likelihood = infer(counts, p)
-            top = min(shares, key=lambda k: (-shares[k], k))
-            out.append((names[top], float(min(1.0, shares[top])), {names[k]: float(v) for k, v in shares.items()}, float(likelihood / counts.sum() + np.log(BUCKETS))))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "proportions", "gain"])
+                shares, top, gain = {}, None, None
+            else:
+                shares, likelihood = infer(counts, p)
+                top, gain = min(shares, key=lambda k: (-shares[k], k)), float(likelihood / counts.sum() + np.log(BUCKETS))
+            best.append("und" if top is None else names[top])
+            scores.append(0.0 if top is None else float(min(1.0, shares[top])))
+            proportions.append([(names[k], float(v)) for k, v in shares.items()])
+            gains.append(gain)
+        parts = [pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(proportions, pa.map_(pa.string(), pa.float64())), pa.array(gains, pa.float64())]
+        return pa.StructArray.from_arrays(parts, ["lang_pred", "score", "proportions", "gain"])
 
     return predict
 
@@ -164,7 +170,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", into: str = "lang
 
 def has_letter(text: Column) -> Column:
     """Whether the text has a letter, so that a language could be told."""
-    return F.pandas_udf(lambda texts: pd.Series([trigram_counts(t) is not None for t in texts], dtype=bool), "boolean")(text)
+    return F.arrow_udf(lambda texts: pa.array([trigram_counts(t.as_py()) is not None for t in texts], pa.bool_()), "boolean")(text)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
