@@ -52,8 +52,8 @@ def first_line(found: DataFrame) -> DataFrame:
 
 
 def chip_band(chip: Column) -> Column:
-    """The band of a chip name; null if it names none."""
-    return F.when(F.upper(chip).rlike("6843|68XX"), F.lit("60")).when(F.upper(chip).rlike("16|18|1443"), F.lit("77"))
+    """The band of a chip name; null if it names none. XX stands for any device of a family."""
+    return F.when(F.upper(chip).rlike("6843|68XX"), F.lit("60")).when(F.upper(chip).rlike("1642|1843|1443|16XX|18XX"), F.lit("77"))
 
 
 def chips(found: DataFrame) -> DataFrame:
@@ -175,7 +175,8 @@ def with_dimensions(x: DataFrame) -> DataFrame:
     unique = F.coalesce(F.nullif("defined_unique", F.lit(0)), "frame_unique", F.lit(1))
     x = x.withColumns({"num_rx": F.greatest(F.lit(1), F.bit_count(F.coalesce("rx_mask", F.lit(0)).bitwiseAND(F.lit(15)))), "unique_chirps": unique, "unique_mismatch": F.coalesce(F.col("frame_unique") != F.nullif("defined_unique", F.lit(0)), F.lit(False))})
     x = x.withColumns({"chirps_per_frame": F.col("unique_chirps") * F.coalesce("loops", F.lit(1)), "frames": F.coalesce(F.nullif("num_frames", F.lit(0)), F.lit(1))})
-    per_sample = F.when(F.col("adc_fmt") == "Real", 1).otherwise(2)
+    # only formats that are complex by name have two words a sample: pseudo-real and unknown ones have one
+    per_sample = F.when(F.upper(F.coalesce("adc_fmt", F.lit("Complex1X"))).contains("COMPLEX"), 2).otherwise(1)
     complex_only = F.col("adc_fmt").like("Complex%")
     n_eff = F.when(complex_only, F.col("fs_mhz") * F.col("eff_window_us"))
     pad = next_pow2(F.col("num_samples"))
@@ -183,7 +184,7 @@ def with_dimensions(x: DataFrame) -> DataFrame:
     return x.withColumns({
         "words_per_frame": F.col("chirps_per_frame") * F.col("num_rx") * F.col("num_samples") * per_sample,
         "n_effective": n_eff, "range_res_from_fs_m": F.when(n_eff > 0, C * F.col("fs_mhz") / (2 * F.col("slope_mhz_us") * n_eff)),
-        "range_res_windowed_m": F.col("eff_range_res_m") * BROADENING["hann"],
+        "range_res_windowed_m": F.col("eff_range_res_m") * BROADENING["hann"], **{f"range_res_{kind}_m": F.col("eff_range_res_m") * v for kind, v in BROADENING.items()},
         "bin_m": F.when(F.col("num_samples") > 0, res), "padded_bin_m": F.when(F.col("num_samples") > 0, res * F.col("num_samples") / pad),
         "max_range_half_m": F.when((F.col("fs_mhz") > 0) & (F.col("slope_mhz_us") > 0), C * F.col("fs_mhz") * 1e6 / (4 * F.col("slope_mhz_us") * 1e12)),
         "max_range_full_m": F.when((F.col("fs_mhz") > 0) & (F.col("slope_mhz_us") > 0), C * F.col("fs_mhz") * 1e6 / (2 * F.col("slope_mhz_us") * 1e12)),

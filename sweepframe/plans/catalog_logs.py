@@ -57,7 +57,7 @@ def l3_first_line(spark, sf_dir):
 _CAPS = "WITH " + _LAST + """,
 w AS (SELECT capture_id, any_value(v) FILTER (api = 'ProfileConfig') AS p, any_value(n) FILTER (api = 'ProfileConfig') AS profiles_found, any_value(v) FILTER (api = 'DataFmtConfig') AS f, any_value(v) FILTER (api = 'AdcOutConfig') AS o,
   any_value(v) FILTER (api = 'FrameConfig') AS fr, any_value(v) FILTER (api = 'LaneConfig') AS la, any_value(v) FILTER (api = 'LvdsLaneConfig') AS lv FROM z GROUP BY capture_id),
-h AS (SELECT capture_id, tokens[1] AS chip, CASE WHEN tokens[1] LIKE '%6843%' THEN '60' WHEN tokens[1] LIKE '%18%' THEN '77' END AS hint FROM c WHERE api = 'select_chip_version'),
+h AS (SELECT capture_id, tokens[1] AS chip, CASE WHEN tokens[1] LIKE '%6843%' OR tokens[1] LIKE '%68XX%' THEN '60' WHEN regexp_matches(tokens[1], '1642|1843|1443|16XX|18XX') THEN '77' END AS hint FROM c WHERE api = 'select_chip_version'),
 b AS (SELECT *, coalesce(hint, CASE WHEN p[2] / 67108864.0::DOUBLE * 3.6 BETWEEN 74 AND 82 THEN '77' WHEN p[2] / 67108864.0::DOUBLE * 2.7 BETWEEN 57 AND 64 THEN '60' ELSE '77' END) AS band FROM w JOIN h USING (capture_id)),
 a AS (SELECT *, p[2] / 67108864.0::DOUBLE * CASE band WHEN '77' THEN 3.6::DOUBLE ELSE 2.7::DOUBLE END AS start_freq_ghz, p[8] * CASE band WHEN '77' THEN 0.048279762268::DOUBLE ELSE 0.036209821701::DOUBLE END AS slope_mhz_us,
   p[3] / 100.0::DOUBLE AS idle_us, p[4] / 100.0::DOUBLE AS adc_start_us, p[5] / 100.0::DOUBLE AS ramp_us, p[10] AS num_samples, p[11] / 1000.0::DOUBLE AS fs_mhz FROM b),
@@ -75,11 +75,11 @@ def l4_profile(spark, sf_dir):
 
 
 @query(_CAPS + """SELECT capture_id, round(eff_window_us, 6) AS eff_window_us, round(eff_bandwidth_ghz, 6) AS eff_bandwidth_ghz, round(3e8 / (2 * eff_bandwidth_ghz * 1e9), 6) AS eff_range_res_m, round(start_freq_ghz + slope_mhz_us * adc_start_us / 1000, 6) AS eff_start_ghz,
-round(CASE WHEN adc_fmt LIKE 'Complex%' THEN 3e8 * fs_mhz / (2 * slope_mhz_us * (fs_mhz * eff_window_us)) END, 6) AS range_res_from_fs_m, round(3e8 / (2 * eff_bandwidth_ghz * 1e9) * 1.62, 6) AS range_res_windowed_m, round(3e8 / (2 * eff_bandwidth_ghz * 1e9), 6) AS padded_bin_m,
+round(CASE WHEN adc_fmt LIKE 'Complex%' THEN 3e8 * fs_mhz / (2 * slope_mhz_us * (fs_mhz * eff_window_us)) END, 6) AS range_res_from_fs_m, round(3e8 / (2 * eff_bandwidth_ghz * 1e9) * 1.62, 6) AS range_res_windowed_m, round(3e8 / (2 * eff_bandwidth_ghz * 1e9) * 1.4, 6) AS range_res_hamming_m, round(3e8 / (2 * eff_bandwidth_ghz * 1e9) * 1.97, 6) AS range_res_blackman_m, round(3e8 / (2 * eff_bandwidth_ghz * 1e9), 6) AS padded_bin_m,
 round(3e8 * fs_mhz * 1e6 / (4 * slope_mhz_us * 1e12), 6) AS max_range_half_m, CASE WHEN adc_fmt LIKE 'Complex%' THEN 256 ELSE 129 END AS range_bins_256 FROM x""")
 def l9_effective(spark, sf_dir):
     x = logconfig.captures(_lines(spark, sf_dir))
-    return _longs(rounded(x.select("capture_id", "eff_window_us", "eff_bandwidth_ghz", "eff_range_res_m", "eff_start_ghz", "range_res_from_fs_m", "range_res_windowed_m", "padded_bin_m", "max_range_half_m", "range_bins_256")))
+    return _longs(rounded(x.select("capture_id", "eff_window_us", "eff_bandwidth_ghz", "eff_range_res_m", "eff_start_ghz", "range_res_from_fs_m", "range_res_windowed_m", "range_res_hamming_m", "range_res_blackman_m", "padded_bin_m", "max_range_half_m", "range_bins_256")))
 
 
 @query(_CAPS + """SELECT capture_id, 16 AS adc_bits, adc_fmt, iq_order, CASE adc_fmt WHEN 'Complex2X' THEN iq_order || iq_order END AS iq_order_2x, TRUE AS interleaved, CASE WHEN bits BETWEEN 1 AND 4 THEN bits ELSE lvds END AS num_lanes,
@@ -90,7 +90,7 @@ def l11_data_format(spark, sf_dir):
 
 
 @query(_CAPS + """SELECT capture_id, fr[4] AS loops, round(fr[5] * 5.0::DOUBLE / 1000 / 1000, 6) AS frame_period_ms, fr[7] AS num_frames, frame_unique, 2 AS unique_chirps, frame_unique <> 2 AS unique_mismatch, 2 * fr[4] AS chirps_per_frame, CASE fr[7] WHEN 0 THEN 1 ELSE fr[7] END AS frames, 4 AS num_rx,
-2 * fr[4] * 4 * num_samples * CASE adc_fmt WHEN 'Real' THEN 1 ELSE 2 END AS words_per_frame, round(1000 / (fr[5] * 5.0::DOUBLE / 1000 / 1000), 6) AS fps FROM x""")
+2 * fr[4] * 4 * num_samples * CASE WHEN adc_fmt IN ('Complex1X', 'Complex2X') THEN 2 ELSE 1 END AS words_per_frame, round(1000 / (fr[5] * 5.0::DOUBLE / 1000 / 1000), 6) AS fps FROM x""")
 def l15_frame_and_dimensions(spark, sf_dir):
     x = logconfig.captures(_lines(spark, sf_dir))
     return _longs(rounded(x.select("capture_id", "loops", "frame_period_ms", "num_frames", "frame_unique", "unique_chirps", "unique_mismatch", "chirps_per_frame", "frames", "num_rx", "words_per_frame", "fps")))

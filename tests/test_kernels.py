@@ -170,6 +170,16 @@ def test_log_corner_cases(spark):
     assert logconfig.captures(df.where("line_no > 0")).count() == 0
 
 
+def test_chip_bands_and_words_of_formats(spark):
+    names = ["AWR1642", "iwr18xx", "AWR1443", "IWR6843AOP", "xwr68xx", "AWR2188", "AWR1600", None]
+    found = spark.createDataFrame([(n,) for n in names], "chip string").select(logconfig.chip_band(F.col("chip"))).collect()
+    assert [r[0] for r in found] == ["77", "77", "77", "60", "60", None, None, None]
+    formats = {"API:AdcOutConfig,2,0,1": 1, "API:AdcOutConfig,2,1,1": 2, "API:AdcOutConfig,2,2,1": 2, "API:AdcOutConfig,2,3,1": 1, "API:AdcOutConfig,2,9,1": 1, "none": 2}
+    lines = [(str(k), n, t) for k, out in enumerate(formats) for n, t in enumerate(["API:ProfileConfig,0,1435388860,1000,600,4000,0,0,1657,0,256,5000", "API:FrameConfig,0,0,1,16,8000000,0,5,0", out])]
+    rows = logconfig.captures(spark.createDataFrame(lines, "capture_id string, line_no int, line string")).collect()
+    assert {int(r.capture_id): r.words_per_frame for r in rows} == {k: 2 * 16 * 256 * words for k, words in enumerate(formats.values())}
+
+
 def test_presets(spark):
     rows = {r.goal_id: r for r in design.parameters(design.presets(spark)).collect()}
     assert rows["long_range"].reason is None and rows["long_range"].chirps >= 16 and rows["respiration"].reason == "bandwidth"
