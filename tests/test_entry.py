@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 def test_entry_without_the_corpus_operators(monkeypatch):
     import __spark_entry__
 
-    monkeypatch.setitem(sys.modules, "sweepframe.llm", None)
+    for name in ("sweepframe.llm", "sweepframe.llm.queries"):
+        monkeypatch.setitem(sys.modules, name, None)
     bare = importlib.reload(__spark_entry__)
     assert set(bare.queries()) == set(registry.queries()) and set(bare.oracle_sql()) <= set(bare.queries())
     monkeypatch.undo()
