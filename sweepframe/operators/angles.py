@@ -6,11 +6,10 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepframe.functions import kernels
-from sweepframe.functions.signal import db10
 
 #: Fixed places of antennas in wavelengths. Receivers and transmitters of the square antenna-on-package grid:
 AOP_RX = [(0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5)]
@@ -114,29 +113,29 @@ def range_bin_at(bins: int, metres: float | None, step: float, default: int) ->
     return max(0, min(bins - 1, nearest))
 
 
-def _weights(n: int) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in np.hamming(n)]), F.col("ant") + 1)
+def _at(snapshots: DataFrame, range_bin: int) -> DataFrame:
+    """The scalars of one range bin, which are all that is shuffled."""
+    return snapshots.select("capture_id", "frame", "loop", "ant", F.get("re", F.lit(range_bin)).alias("re"), F.get("im", F.lit(range_bin)).alias("im"))
+
+
+def _loops_of(rows: pd.DataFrame, remove_static: bool) -> np.ndarray:
+    """Scalars of one frame -> (loops, antennas)."""
+    rows = rows.sort_values(["loop", "ant"])
+    z = (rows["re"].to_numpy() + 1j * rows["im"].to_numpy()).reshape(rows["loop"].nunique(), -1)
+    return z - z.mean(axis=0) if remove_static else z
 
 
 def spectrum_at(snapshots: DataFrame, range_bin: int, x: np.ndarray, angles: list[float], remove_static: bool = True) -> DataFrame:
-    """(capture_id, frame, angle_deg, db): the Bartlett spectrum at one bin, relative to the frame's maximum.
+    """(capture_id, frame, angle_deg, db): the Bartlett spectrum at one bin, relative to the frame's maximum: one matrix product for each frame."""
+    vectors = kernels.steering(np.asarray(x), np.sin(np.deg2rad(np.asarray(angles, float))))
 
-    One row for each antenna meets each angle through an array of the angles, is
-    summed by loop and angle, and the loops are averaged: plain aggregates.
-    """
-    n = len(x)
-    keys = ["capture_id", "frame", "ant"]
-    at = snapshots.select("capture_id", "frame", "loop", "ant", F.get("re", F.lit(range_bin)).alias("re"), F.get("im", F.lit(range_bin)).alias("im"))
-    if remove_static:
-        at = static_removed(at, keys)
-    place = F.element_at(F.array(*[F.lit(float(v)) for v in x]), F.col("ant") + 1)
-    at = at.select("capture_id", "frame", "loop", (F.col("re") * _weights(n)).alias("re"), (F.col("im") * _weights(n)).alias("im"), place.alias("x"), F.explode(F.array(*[F.lit(float(a)) for a in angles])).alias("angle_deg"))
-    phase = F.lit(2 * np.pi) * F.sin(F.radians("angle_deg")) * F.col("x")
-    c, s = F.cos(phase), F.sin(phase)
-    beams = at.groupBy("capture_id", "frame", "loop", "angle_deg").agg(F.sum(F.col("re") * c + F.col("im") * s).alias("a"), F.sum(F.col("im") * c - F.col("re") * s).alias("b"))
-    power = beams.groupBy("capture_id", "frame", "angle_deg").agg(F.avg(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("p"))
-    db = db10(F.col("p"))
-    return power.select("capture_id", "frame", "angle_deg", (db - F.max(db).over(Window.partitionBy("capture_id", "frame"))).alias("db"))
+    def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        db = 10 * np.log10(np.maximum(kernels.bartlett(_loops_of(rows, remove_static)[None], vectors)[0], 1e-12))
+        return pd.DataFrame({"capture_id": key[0], "frame": key[1], "db": [db - db.max()]})
+
+    found = _at(snapshots, range_bin).groupBy("capture_id", "frame").applyInPandas(frame, "capture_id string, frame int, db array<double>")
+    labels = F.array(*[F.lit(float(a)) for a in angles])
+    return found.select("capture_id", "frame", F.posexplode("db").alias("i", "db")).select("capture_id", "frame", F.element_at(labels, F.col("i") + 1).alias("angle_deg"), "db")
 
 
 def _cube_of(rows: pd.DataFrame) -> np.ndarray:
@@ -155,7 +154,7 @@ def range_azimuth(snapshots: DataFrame, x: np.ndarray, angles: np.ndarray | None
         raise ValueError(f"no such method: {method}")
     vectors = kernels.steering(np.asarray(x), np.sin(np.deg2rad(np.arange(-90.0, 91.0) if angles is None else angles)))
 
-    def frame(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         z = _cube_of(rows)
         if remove_static:
             z = z - z.mean(axis=1, keepdims=True)
@@ -175,20 +174,19 @@ def azimuth_elevation(snapshots: DataFrame, range_bin: int, x: np.ndarray, y: np
     Removing the static part and then averaging leaves nothing but rounding,
     so it isn't the default.
     """
-    at = snapshots.select("capture_id", "frame", "loop", "ant", F.get("re", F.lit(range_bin)).alias("re"), F.get("im", F.lit(range_bin)).alias("im"))
-    if remove_static:
-        at = static_removed(at, ["capture_id", "frame", "ant"])
-    mean = at.groupBy("capture_id", "frame", "ant").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
-    literals = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    px, py = F.element_at(literals(x), F.col("ant") + 1), F.element_at(literals(y), F.col("ant") + 1)
-    grid = mean.select("capture_id", "frame", "re", "im", px.alias("x"), py.alias("y"), F.explode(literals(el)).alias("el_deg")).select("*", F.posexplode(literals(az)).alias("az_idx", "az_deg"))
-    phase = F.lit(2 * np.pi) * (F.sin(F.radians("az_deg")) * F.cos(F.radians("el_deg")) * F.col("x") + F.sin(F.radians("el_deg")) * F.col("y"))
-    c, s = F.cos(phase), F.sin(phase)
-    place = (F.col("az_idx") + len(az) // 2) % len(az) if shift else F.col("az_idx")
-    beams = grid.groupBy("capture_id", "frame", "el_deg", place.alias("az_idx")).agg(F.sum(F.col("re") * c + F.col("im") * s).alias("a"), F.sum(F.col("im") * c - F.col("re") * s).alias("b"))
-    p = F.col("a") * F.col("a") + F.col("b") * F.col("b")
-    most = F.max(p).over(Window.partitionBy("capture_id", "frame"))
-    return beams.select("capture_id", "frame", "el_deg", F.element_at(literals(az), (F.col("az_idx") + 1).cast("int")).alias("az_deg"), F.when(most > 0, 10 * F.log10(p / most + 1e-12)).otherwise(-100.0).alias("db"))
+    a, e = np.deg2rad(np.asarray(az, float)), np.deg2rad(np.asarray(el, float))
+    waves = np.sin(a)[None, :, None] * np.cos(e)[:, None, None] * np.asarray(x) + np.sin(e)[:, None, None] * np.asarray(y)
+    beams = np.exp(-2j * np.pi * waves)  # (elevations, azimuths, antennas)
+
+    def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.abs(beams @ _loops_of(rows, remove_static).mean(axis=0)) ** 2
+        p = np.fft.fftshift(p, axes=1) if shift else p
+        db = 10 * np.log10(p / p.max() + 1e-12) if p.max() > 0 else np.full(p.shape, -100.0)
+        return pd.DataFrame({"capture_id": key[0], "frame": key[1], "el_deg": np.asarray(el, float), "db": list(db)})
+
+    found = _at(snapshots, range_bin).groupBy("capture_id", "frame").applyInPandas(frame, "capture_id string, frame int, el_deg double, db array<double>")
+    labels = F.array(*[F.lit(float(v)) for v in az])
+    return found.select("capture_id", "frame", "el_deg", F.posexplode("db").alias("i", "db")).select("capture_id", "frame", "el_deg", F.element_at(labels, F.col("i") + 1).alias("az_deg"), "db")
 
 
 def antenna_order(snapshots: DataFrame, x: np.ndarray, range_bin: int | None = None) -> DataFrame:
@@ -200,7 +198,7 @@ def antenna_order(snapshots: DataFrame, x: np.ndarray, range_bin: int | None = N
     """
     vectors = kernels.steering(np.asarray(x), np.sin(np.deg2rad(np.arange(-90.0, 91.0))))
 
-    def best(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         z = _cube_of(rows)
         at = range_bin if range_bin is not None else int((np.abs(z) ** 2).sum(axis=(1, 2)).argmax())
         strongest = z[at][(np.abs(z[at]) ** 2).sum(axis=1).argmax()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,7 +37,7 @@ def demux(words: DataFrame, lanes: int, real: bool = False, swap: bool = False,
     return both.select("capture_id", "s", F.col("q" if swap else "i").alias("i"), F.col("i" if swap else "q").alias("q"))
 
 
-def address(samples: DataFrame, n_samples: int, n_rx: int, chirps: int, interleaved: bool, frames: int | None = None, chirps_total: Column | None = None) -> DataFrame:
+def address(samples: DataFrame, n_samples: int, n_rx: int, chirps: int, interleaved: bool, frames: int | None = None) -> DataFrame:
     """Scalar samples -> (capture_id, frame, chirp, rx, n, i, q). Frames that aren't whole are dropped, and those from `frames` on."""
     base = n_samples * n_rx
     rows = samples.withColumn("g", F.expr(f"s div {base}")).withColumn("o", F.col("s") % base)
@@ -104,13 +104,11 @@ def select_positions(cube: DataFrame, positions: list[int], pattern: int, chirps
 
 
 def frame_mean(cube: DataFrame, keys: list[str]) -> DataFrame:
-    """Coherent mean of re and im arrays over all other keys."""
-    cells = cube.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias("n", "z")).groupBy(*keys, "n").agg(F.avg("z.re").alias("re"), F.avg("z.im").alias("im"))
-    out = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "re", "im"))).alias("x"))
-    return out.select(*keys, F.col("x.re").alias("re"), F.col("x.im").alias("im"))
+    """(keys, re, im): coherent mean of the re and im arrays over the other keys, which lie within one frame.
 
-
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the greatest order of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+    The arrays of a key meet as they are and are added up in place: one shuffle,
+    no row for each sample.
+    """
+    whole = cube.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chirp", "re", "im"))).alias("x"))
+    mean = lambda part: F.transform(F.get(F.col("x")[part], F.lit(0)), lambda _, n: F.aggregate("x", F.lit(0.0), lambda s, v: s + F.get(v[part], n)) / F.size("x")).alias(part)
+    return whole.select(*keys, mean("re"), mean("im"))

@@ -40,7 +40,7 @@ def cfar(rd: DataFrame, guard: int = 2, train: int = 8, factor: float = 3.0, met
     if method not in ("average", "ordered"):
         raise ValueError(f"no such method: {method}")
 
-    def frame(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return hits_of(key, np.stack(rows.sort_values("doppler_idx")["mag"].to_numpy()), guard, train, factor, method)
 
     return rd.groupBy("capture_id", "frame").applyInPandas(frame, HITS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions import kernels
 from sweepframe.functions.signal import db20
+from sweepframe.operators.cube import frame_mean
 from sweepframe.operators.ranges import cells, range_fft
 
 
@@ -31,9 +32,7 @@ def separate(cube: DataFrame, positions: list[int], stride: int, chirps: int) ->
     picked = cube.where((F.col("chirp") % stride).isin(positions)).withColumn("loop", F.expr(f"cast(chirp div {stride} as int)"))
     if len(positions) == 1:
         return picked.select(*keys, "re", "im")
-    mean = picked.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias("n", "z")).groupBy(*keys, "n").agg(F.avg("z.re").alias("re"), F.avg("z.im").alias("im"))
-    whole = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "re", "im"))).alias("x"))
-    return whole.select(*keys, F.col("x.re").alias("re"), F.col("x.im").alias("im"))
+    return frame_mean(picked, keys)
 
 
 def frame_stack(rows: pd.DataFrame) -> np.ndarray:
@@ -63,7 +62,7 @@ def range_doppler(cube: DataFrame, positions: list[int], stride: int, chirps: in
     """
     spectra = range_fft(separate(cube, positions, stride, chirps), n_fft_range, full=full, real=real)
 
-    def frame(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = frame_stack(rows)
         found = combine(kernels.doppler(x, n_fft_doppler or x.shape[-1], window), mode).T
         if then:

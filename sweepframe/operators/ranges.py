@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepframe.functions import kernels
+from sweepframe.functions.percentiles import percentiles
 from sweepframe.functions.signal import db20, magnitude
+from sweepframe.operators.cube import frame_mean
 
 KEYS = ["capture_id", "frame", "chirp", "rx"]
 
@@ -62,7 +64,7 @@ def remove_background(profile: DataFrame, alpha: float) -> DataFrame:
 
 def display_limits(rows: DataFrame, value: Column, low: float, high: float, raise_high: float = 0.0) -> DataFrame:
     """Percentiles of the values of each capture, interpolated: the limits of a display."""
-    p = rows.groupBy("capture_id").agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("p"))
+    p = percentiles(rows, value, [low / 100, high / 100])
     return p.select("capture_id", F.col("p")[0].alias("vmin"), (F.col("p")[1] + raise_high).alias("vmax"))
 
 
@@ -77,7 +79,7 @@ def notch(rti: DataFrame, bins: int) -> DataFrame:
     if bins <= 4:
         return rti
     clean = F.col("range_idx").between(10, bins // 2 - 1) if bins // 2 > 10 else F.lit(True)
-    low = rti.where(clean).groupBy("capture_id").agg(F.percentile("mag", 0.01).alias("low"))
+    low = percentiles(rti.where(clean), F.col("mag"), [0.01]).select("capture_id", F.col("p")[0].alias("low"))
     edge = (F.col("range_idx") < 2) | (F.col("range_idx") >= bins - 2)
     return rti.join(low, "capture_id").select("capture_id", "t", "range_idx", F.when(edge, F.col("low")).otherwise(F.col("mag")).alias("mag"))
 
@@ -88,10 +90,8 @@ def profile_dbfs(cube: DataFrame, n_fft: int, real: bool = False, remove_dc: boo
     The transform is linear, so samples are averaged first (one aggregate) and
     every frame and receiver is transformed once.
     """
-    zipped = F.posexplode(F.arrays_zip("re", F.coalesce("im", F.transform("re", lambda _: F.lit(0.0))).alias("im"))).alias("n", "z")
     keys = ["capture_id", "frame", "rx"]
-    mean = cube.select(*keys, zipped).groupBy(*keys, "n").agg(F.avg("z.re").alias("re"), F.avg("z.im").alias("im"))
-    rows = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "re", "im"))).alias("x")).select(*keys, F.col("x.re").alias("re"), F.col("x.im").alias("im"))
+    rows = frame_mean(cube.withColumn("im", F.coalesce("im", F.transform("re", lambda _: F.lit(0.0)))), keys)
 
     def transform(batches):
         for batch in batches:
@@ -105,6 +105,3 @@ def profile_dbfs(cube: DataFrame, n_fft: int, real: bool = False, remove_dc: boo
     found = rows.mapInPandas(transform, "capture_id string, frame int, rx int, mag array<double>")
     return cells(found).select(*keys, "range_idx", db20(F.col("mag")).alias("dbfs"))
 
-
-def rank_in_capture(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("capture_id").orderBy(*order)))

@@ -37,33 +37,46 @@ def band_mask(hz: np.ndarray, band: str) -> np.ndarray:
     }[band]
 
 
-def movement_map(ra: DataFrame, band: str = "movement", fps: float = FPS, in_db: bool = True) -> DataFrame:
+#: Angles that a group of the movement map holds, and bins of the band in one row of partial sums.
+ANGLE_BLOCK, BIN_BLOCK = 16, 16
+#: Bytes of partial sums that a task holds before it hands them on.
+HELD = 64 << 20
+
+
+def _rate(fps: float | str) -> Column:
+    """A frame rate for all captures, or the column that has it."""
+    return (F.col(fps) if isinstance(fps, str) else F.lit(float(fps))).alias("fps")
+
+
+def movement_map(ra: DataFrame, band: str = "movement", fps: float | str = FPS, in_db: bool = True) -> DataFrame:
     """(capture_id, range_idx, angle_idx, db): spectral amplitude of each cell over the frames in a band, relative to the capture's maximum.
 
-    One shuffle turns frames of maps into series by range bin; a group holds
-    frames x angles numbers.
+    One shuffle turns frames of maps into series by range bin and block of
+    angles; a group holds frames x ANGLE_BLOCK numbers. fps: a number, or the
+    name of a column of ra.
     """
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(db) - 1) div {ANGLE_BLOCK}")), lambda b: F.slice("db", (b * ANGLE_BLOCK + 1).cast("int"), ANGLE_BLOCK))
+    blocks = ra.select("capture_id", "frame", "range_idx", _rate(fps), F.posexplode(cut).alias("block", "db"))
 
-    def pixels(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pixels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows.sort_values("frame")["db"].to_numpy())
         x = 10 ** (x / 10) if in_db else x
         x = (x - x.mean(axis=0)) * np.hanning(len(x))[:, None]
         n = fft_size(len(x))
-        energy = np.abs(np.fft.rfft(x, n=n, axis=0))[band_mask(np.fft.rfftfreq(n, 1 / fps), band)].sum(axis=0)
-        return pd.DataFrame({"capture_id": key[0], "range_idx": np.int32(key[1]), "angle_idx": np.arange(len(energy), dtype=np.int32), "e": energy})
+        energy = np.abs(np.fft.rfft(x, n=n, axis=0))[band_mask(np.fft.rfftfreq(n, 1 / rows["fps"].iloc[0]), band)].sum(axis=0)
+        return pd.DataFrame({"capture_id": key[0], "range_idx": np.int32(key[1]), "angle_idx": (key[2] * ANGLE_BLOCK + np.arange(len(energy))).astype(np.int32), "e": energy})
 
-    found = ra.groupBy("capture_id", "range_idx").applyInPandas(pixels, "capture_id string, range_idx int, angle_idx int, e double")
-    return _relative(found)
+    return _relative(blocks.groupBy("capture_id", "range_idx", "block").applyInPandas(pixels, "capture_id string, range_idx int, angle_idx int, e double"))
 
 
 def _relative(found: DataFrame) -> DataFrame:
-    db = 10 * F.log10(F.col("e") + 1e-12)
-    most = found.groupBy("capture_id").agg(F.max("e").alias("top"))
-    return found.join(most, "capture_id").select("capture_id", "range_idx", "angle_idx", (db - 10 * F.log10(F.col("top") + 1e-12)).alias("db"))
+    """In dB below the maximum of the capture's map, which is as large as range bins x angles whatever the frames."""
+    db = lambda e: 10 * F.log10(e + 1e-12)
+    return found.select("capture_id", "range_idx", "angle_idx", (db(F.col("e")) - db(F.max("e").over(Window.partitionBy("capture_id")))).alias("db"))
 
 
 def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS, in_db: bool = True) -> DataFrame:
-    """movement_map without the transpose: the DFT of the band is a sum over frames, so partial sums of each partition are added up, and traffic is bins of the band instead of frames.
+    """movement_map by partial sums: the DFT is linear, so each task adds up its frames for each bin of the band. For narrow bands: traffic is bins of the band x tasks, instead of frames.
 
     X_k = sum w_f s_f e_kf - mean(s) sum w_f e_kf, with the frame counts known first.
     """
@@ -73,35 +86,43 @@ def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS
         n = fft_size(frames)
         return n, np.flatnonzero(band_mask(np.fft.rfftfreq(n, 1 / fps), band))
 
+    def handed_on(sums: dict) -> pd.DataFrame:
+        rows = [(cap, bin_, frames, b, x[b * BIN_BLOCK : (b + 1) * BIN_BLOCK].real.ravel(), x[b * BIN_BLOCK : (b + 1) * BIN_BLOCK].imag.ravel(), total) for (cap, bin_, frames), (x, total) in sums.items() for b in range(-(-len(x) // BIN_BLOCK))]
+        return pd.DataFrame(rows, columns=["capture_id", "range_idx", "frames", "block", "re", "im", "total"])
+
     def partial(batches):
         sums: dict = {}
+        held = 0
         for batch in batches:
             for cap, frame, bin_, body, frames in zip(batch["capture_id"], batch["frame"], batch["range_idx"], batch["db"], batch["frames"]):
                 s = 10 ** (np.asarray(body) / 10) if in_db else np.asarray(body)
                 n, ks = bins_of(frames)
                 turn = np.hanning(frames)[frame] * np.exp(-2j * np.pi * ks * frame / n)
-                have = sums.setdefault((cap, bin_, frames), [np.zeros((len(ks), len(s)), complex), np.zeros(len(s))])
-                have[0] += turn[:, None] * s
-                have[1] += s
-        for (cap, bin_, frames), (x, total) in sums.items():
-            flat = np.concatenate([x.real.ravel(), x.imag.ravel(), total])
-            yield pd.DataFrame({"capture_id": cap, "range_idx": np.int32(bin_), "frames": np.int32(frames), "place": np.arange(len(flat), dtype=np.int32), "v": flat})
-
-    keys = ["capture_id", "range_idx", "frames"]
-    added = ra.join(counts, "capture_id").select("capture_id", "frame", "range_idx", "db", "frames").mapInPandas(partial, "capture_id string, range_idx int, frames int, place int, v double").groupBy(*keys, "place").agg(F.sum("v").alias("v"))
-
-    def finish(key, rows: pd.DataFrame) -> pd.DataFrame:
-        frames = int(key[2])
+                if (cap, bin_, frames) not in sums:
+                    sums[cap, bin_, frames] = [np.zeros((len(ks), len(s)), complex), np.zeros(len(s))]
+                    held += 16 * len(ks) * len(s)
+                x, total = sums[cap, bin_, frames]
+                x += turn[:, None] * s
+                total += s
+                if held > HELD:
+                    yield handed_on(sums)
+                    sums, held = {}, 0
+        yield handed_on(sums)
+
+    keys = ["capture_id", "range_idx", "frames", "block"]
+    rows = ra.join(counts, "capture_id").select("capture_id", "frame", "range_idx", "db", "frames").mapInPandas(partial, "capture_id string, range_idx int, frames int, block int, re array<double>, im array<double>, total array<double>")
+
+    def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        frames, total = int(key[2]), rows["total"].sum()
         n, ks = bins_of(frames)
-        flat = rows.sort_values("place")["v"].to_numpy()
-        angles = len(flat) // (2 * len(ks) + 1)
-        m = len(ks) * angles
-        x = (flat[:m] + 1j * flat[m : 2 * m]).reshape(len(ks), angles)
+        ks = ks[key[3] * BIN_BLOCK : (key[3] + 1) * BIN_BLOCK]
+        x = (rows["re"].sum() + 1j * rows["im"].sum()).reshape(len(ks), -1)
         window = (np.hanning(frames) * np.exp(-2j * np.pi * np.outer(ks, np.arange(frames)) / n)).sum(axis=1)
-        energy = np.abs(x - window[:, None] * (flat[2 * m :] / frames)).sum(axis=0)
-        return pd.DataFrame({"capture_id": key[0], "range_idx": np.int32(key[1]), "angle_idx": np.arange(angles, dtype=np.int32), "e": energy})
+        energy = np.abs(x - window[:, None] * (total / frames)).sum(axis=0)
+        return pd.DataFrame({"capture_id": key[0], "range_idx": np.int32(key[1]), "angle_idx": np.arange(len(energy), dtype=np.int32), "e": energy})
 
-    return _relative(added.groupBy(*keys).applyInPandas(finish, "capture_id string, range_idx int, angle_idx int, e double"))
+    blocks = rows.groupBy(*keys).applyInPandas(finish, "capture_id string, range_idx int, angle_idx int, e double")
+    return _relative(blocks.groupBy("capture_id", "range_idx", "angle_idx").agg(F.sum("e").alias("e")))
 
 
 def source_signal(profile: DataFrame, bin_: int | None = None, around: int = 0) -> DataFrame:
@@ -169,12 +190,20 @@ def band_energy_by_window(series: DataFrame, frames: int = 32, hop: int | None =
     return whole.mapInPandas(rows, f"capture_id {kind}, window_idx int, energy double")
 
 
-def phase_displacement(cells: DataFrame, wavelength: float) -> DataFrame:
-    """(capture_id, rx, t, re, im) at one range bin -> displacement in metres: the phase, unwrapped by counting its jumps, times wavelength / 4 pi."""
-    line = Window.partitionBy("capture_id", "rx").orderBy("t")
-    rows = cells.withColumn("phase", F.atan2("im", "re"))
-    step = F.col("phase") - F.lag("phase").over(line)
-    turns = F.when(step > math.pi, -1).when(step <= -math.pi, 1).otherwise(0)
-    rows = rows.withColumn("turn", turns)
-    unwrapped = F.col("phase") + 2 * math.pi * F.sum("turn").over(line)
-    return rows.select("capture_id", "rx", "t", (unwrapped * (wavelength / (4 * math.pi))).alias("displacement_m"))
+def phase_displacement(cells: DataFrame, wavelength: float, block: int = 4096) -> DataFrame:
+    """(capture_id, rx, t, re, im) at one range bin -> displacement in metres: the phase, unwrapped by counting its jumps, times wavelength / 4 pi.
+
+    Jumps are counted within blocks of t; a table with one row for each block
+    adds the jumps of the blocks before and those between blocks, so no task
+    orders a whole capture.
+    """
+    keys = ["capture_id", "rx", "__block"]
+    turns = lambda step: F.when(step > math.pi, -1).when(step <= -math.pi, 1).otherwise(0)
+    inside, line = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy("capture_id", "rx").orderBy("__block")
+    rows = cells.select("capture_id", "rx", "t", F.atan2("im", "re").alias("phase"), F.expr(f"t div {block}").alias("__block"))
+    rows = rows.withColumn("__turn", turns(F.col("phase") - F.lag("phase").over(inside)))
+    ends = rows.groupBy(*keys).agg(F.min_by("phase", "t").alias("first"), F.max_by("phase", "t").alias("last"), F.sum("__turn").alias("within"))
+    ends = ends.withColumn("__edge", turns(F.col("first") - F.lag("last").over(line)))
+    ends = ends.select(*keys, (F.sum(F.col("__edge") + F.col("within")).over(line) - F.col("within")).alias("__before"))
+    unwrapped = F.col("phase") + 2 * math.pi * (F.col("__before") + F.sum("__turn").over(inside))
+    return rows.join(ends, keys).select("capture_id", "rx", "t", (unwrapped * (wavelength / (4 * math.pi))).alias("displacement_m"))

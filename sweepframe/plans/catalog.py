@@ -369,16 +369,14 @@ def a5_calibrate(spark, sf_dir):
     return _longs(rounded(_cells(angles.calibrate(_snapshots(spark, sf_dir), factors))))
 
 
-@query(parts("e", "es", "ew", "ef", "va", "vs", last="SELECT frame, l AS loop, ant, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM vs WHERE k = 9"))
+@query(parts("e", "es", "ew", "ef", "va", "vs", last="SELECT frame, l AS loop, ant, k AS range_idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM vs"))
 def a6_remove_static(spark, sf_dir):
-    at = _snapshots(spark, sf_dir).select("frame", "loop", "ant", F.get("re", F.lit(9)).alias("re"), F.get("im", F.lit(9)).alias("im"))
-    return _longs(rounded(angles.static_removed(at, ["frame", "ant"])))
+    return _longs(rounded(angles.static_removed(_cells(_snapshots(spark, sf_dir)), ["frame", "ant", "range_idx"])))
 
 
-@query(parts("e", "es", "ew", "ef", "va", last="SELECT frame, l AS loop, CASE ant WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 2 END AS ant, round(re, 6) + 0.0 AS re FROM va WHERE k = 5"))
+@query(parts("e", "es", "ew", "ef", "va", last="SELECT frame, l AS loop, CASE ant WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 2 END AS ant, k AS range_idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM va"))
 def a7_reorder(spark, sf_dir):
-    rows = angles.reorder(_snapshots(spark, sf_dir), [2, 0, 3, 1], 4)
-    return _longs(rounded(rows.select("frame", "loop", "ant", F.get("re", F.lit(5)).alias("re"))))
+    return _longs(rounded(_cells(angles.reorder(_snapshots(spark, sf_dir), [2, 0, 3, 1], 4))))
 
 
 @query()
@@ -445,12 +443,12 @@ WHERE h <= nf // 2 AND ((h * 15.0 / nf >= 0.6 AND h * 15.0 / nf < 0.8) OR h * 15
 
 @query(_MOVE)
 def t1_movement_map(spark, sf_dir):
-    return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32, by_sums=False).drop("capture_id"), 4))
+    return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32).drop("capture_id"), 4))
 
 
 @query(_MOVE)
 def t1_movement_map_by_sums(spark, sf_dir):
-    return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32).drop("capture_id"), 4))
+    return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32, by_sums=True).drop("capture_id"), 4))
 
 
 @query("""SELECT event_id, list_aggregate(list_filter([CASE WHEN hz < 0.1 THEN 'noise' END, CASE WHEN hz >= 0.1 AND hz <= 0.6 THEN 'breathing' END, CASE WHEN hz >= 0.8 AND hz <= 3.5 THEN 'hr' END, CASE WHEN (hz >= 0.6 AND hz < 0.8) OR hz > 3.5 THEN 'movement' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS bands
@@ -472,17 +470,21 @@ def t4_trailing_window(spark, sf_dir):
     return _longs(rounded(rows.select("capture_id", "frame", F.size("signals").alias("n"), F.aggregate("signals", F.lit(0.0), lambda s, v: s + v).alias("total")), 4))
 
 
-_VITALS = "WITH " + f"v AS ({COMMON['v']})," + f"""
+_AMPLITUDES = f"""
 c AS (SELECT capture_id, count(*) AS n, CAST(2 ** ceil(log2(greatest(32, count(*)))) AS BIGINT) AS nf FROM v GROUP BY capture_id HAVING count(*) >= 4),
 s AS (SELECT capture_id, frame, nf, (signal - avg(signal) OVER (PARTITION BY capture_id)) * (0.5 - 0.5 * cos({PI2!r} * frame / (n - 1))) AS x FROM v JOIN c USING (capture_id)),
 f AS (SELECT capture_id, k, k * 15.0 / nf AS hz, sqrt(sum(x * cos({PI2!r} * ((k * frame) % nf) / nf)) ** 2 + sum(x * sin({PI2!r} * ((k * frame) % nf) / nf)) ** 2) AS a FROM s, range(0, 4096) t(k) WHERE k <= nf // 2 GROUP BY capture_id, k, nf)
 """
 
 
-@query(_VITALS + """SELECT capture_id, round(100 * sum(CASE WHEN hz < 0.1 THEN a ELSE 0 END) / (sum(a) + 1e-12), 4) AS noise_pct, round(100 * sum(CASE WHEN hz >= 0.1 AND hz <= 0.6 THEN a ELSE 0 END) / (sum(a) + 1e-12), 4) AS breathing_pct,
+_SHARES = """SELECT capture_id, round(100 * sum(CASE WHEN hz < 0.1 THEN a ELSE 0 END) / (sum(a) + 1e-12), 4) AS noise_pct, round(100 * sum(CASE WHEN hz >= 0.1 AND hz <= 0.6 THEN a ELSE 0 END) / (sum(a) + 1e-12), 4) AS breathing_pct,
 round(100 * sum(CASE WHEN hz >= 0.8 AND hz <= 3.5 THEN a ELSE 0 END) / (sum(a) + 1e-12), 4) AS hr_pct, round(100 * sum(CASE WHEN (hz >= 0.6 AND hz < 0.8) OR hz > 3.5 THEN a ELSE 0 END) / (sum(a) + 1e-12), 4) AS movement_pct,
 round(coalesce(max_by(hz, a) FILTER (hz >= 0.1 AND hz <= 0.6), 0), 4) AS br_hz, round(60 * coalesce(max_by(hz, a) FILTER (hz >= 0.1 AND hz <= 0.6), 0), 4) AS br_bpm, round(coalesce(max_by(hz, a) FILTER (hz >= 0.8 AND hz <= 3.5), 0), 4) AS hr_hz, round(60 * coalesce(max_by(hz, a) FILTER (hz >= 0.8 AND hz <= 3.5), 0), 4) AS hr_bpm
-FROM f GROUP BY capture_id""")
+FROM f GROUP BY capture_id"""
+_VITALS = f"WITH v AS ({COMMON['v']})," + _AMPLITUDES
+
+
+@query(_VITALS + _SHARES)
 def t5_vitals(spark, sf_dir):
     return rounded(temporal.vitals(derived.series(spark, sf_dir)), 4)
 
@@ -577,7 +579,10 @@ def x8_targets(spark, sf_dir):
     return _longs(rounded(found.drop("capture_id")))
 
 
-@query()
+_SIGNAL = "SELECT 'E' AS capture_id, frame, avg(mag) AS signal FROM rd WHERE k BETWEEN 4 AND 16 GROUP BY frame"
+
+
+@query(parts(*_DZ, "rd", last="").rstrip() + f",\nv AS ({_SIGNAL})," + _AMPLITUDES + _SHARES)
 def w3_vital_signs(spark, sf_dir):
     return rounded(workflows.vital_signs(derived.complex_cube(spark, sf_dir), derived.RADAR, 16, 32, 10, 6), 4)
 

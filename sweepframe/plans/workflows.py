@@ -35,8 +35,8 @@ def range_azimuth(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, met
     return angles.range_azimuth(snapshots, x, np.arange(-90.0, 91.0), method, remove_static, shift)
 
 
-def movement(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, band: str = "movement", fps: float = temporal.FPS, by_sums: bool = True) -> DataFrame:
-    """Cube -> movement map of each capture."""
+def movement(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, band: str = "movement", fps: float = temporal.FPS, by_sums: bool = False) -> DataFrame:
+    """Cube -> movement map of each capture; by_sums for bands of few bins."""
     ra = range_azimuth(cube, radar, n_rx, n_fft)
     return (temporal.movement_map_by_sums if by_sums else temporal.movement_map)(ra, band, fps)
 

@@ -188,3 +188,34 @@ def test_presets(spark):
 def test_snr(spark):
     row = spark.createDataFrame([(10.0, 1.0, 0.0)], "m double, n double, z double").select(detection.snr_db(F.col("m"), F.col("n")), detection.snr_db(F.col("m"), F.col("z"))).first()
     assert row[0] == 20 and row[1] == 0
+
+
+def test_percentiles_of_each_capture(spark, monkeypatch):
+    from sweepframe.functions import percentiles
+
+    monkeypatch.setattr(percentiles, "ACCURACY", 1000)
+    rng = np.random.default_rng(7)
+    values = {"a": rng.exponential(size=30_000), "b": np.round(rng.normal(size=5_000), 1), "c": np.array([2.0]), "d": np.concatenate([np.zeros(9_000), rng.normal(size=20)])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)], "capture_id string, v double")
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    found = {r.capture_id: r.p for r in percentiles.percentiles(rows.repartition(7), F.col("v"), shares).collect()}
+    assert set(found) == set(values)
+    for k, v in values.items():
+        assert np.allclose(found[k], np.quantile(v, shares), rtol=1e-12, atol=1e-12)
+
+
+def test_phases_are_unwrapped_over_blocks(spark):
+    rng = np.random.default_rng(3)
+    phase = np.cumsum(rng.uniform(-2.5, 2.5, 200))
+    rows = spark.createDataFrame([("c", 0, t, float(np.cos(x)), float(np.sin(x))) for t, x in enumerate(phase)] + [("d", 0, 5, 1.0, 0.0)], "capture_id string, rx int, t long, re double, im double")
+    found = temporal.phase_displacement(rows, 4 * np.pi, block=16).orderBy("capture_id", "t").collect()
+    assert np.allclose([r.displacement_m for r in found[:200]], phase - phase[0] + np.angle(np.exp(1j * phase[0]))) and found[200].displacement_m == 0.0
+
+
+def test_both_movement_maps_agree_for_several_captures(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, f, r, rng.uniform(-30, 0, 37).tolist()) for c, n in (("a", 40), ("b", 23)) for f in range(n) for r in range(3)]
+    ra = spark.createDataFrame(rows, "capture_id string, frame int, range_idx int, db array<double>")
+    maps = [{(r.capture_id, r.range_idx, r.angle_idx): r.db for r in m(ra).collect()} for m in (temporal.movement_map, temporal.movement_map_by_sums)]
+    assert maps[0].keys() == maps[1].keys() and len(maps[0]) == 2 * 3 * 37
+    assert all(abs(maps[0][k] - maps[1][k]) < 1e-6 for k in maps[0]) and {k[0] for k, v in maps[0].items() if v == 0} == {"a", "b"}
