@@ -11,6 +11,18 @@ def window(n: int, kind: str | None) -> np.ndarray:
     return {"hann": np.hanning, "hanning": np.hanning, "hamming": np.hamming}.get(kind, np.ones)(n)
 
 
+def samples(words: np.ndarray, lanes: int, n_samples: int, n_rx: int, chirps: int, interleaved: bool, real: bool = False, swap: bool = False, lane_order: list[int] | None = None, scale: float = 1.0) -> np.ndarray:
+    """(frames, words) -> (frames, chirps, receivers, samples): groups of one word of each lane, for complex samples first all I and then all Q."""
+    halves = 1 if real else 2
+    order = lane_order if lane_order and len(lane_order) == lanes else list(range(lanes))
+    parts = np.moveaxis(words.reshape(len(words), -1, halves, lanes)[..., order] / scale, 2, 0)
+    parts = parts.reshape(halves, len(words), chirps, n_samples, n_rx).swapaxes(3, 4) if interleaved else parts.reshape(halves, len(words), chirps, n_rx, n_samples)
+    if real:
+        return parts[0]
+    i, q = parts[::-1] if swap else parts
+    return i + 1j * q
+
+
 def spectrum(x: np.ndarray, n_fft: int, kind: str | None, remove_dc: bool, bins: int) -> np.ndarray:
     """Windowed DFT of rows, zero-padded or cut to n_fft, first `bins` bins."""
     if remove_dc:

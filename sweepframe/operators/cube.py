@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepframe.functions import kernels
+
 
 def demux(words: DataFrame, lanes: int, real: bool = False, swap: bool = False, lane_order: list[int] | None = None) -> DataFrame:
     """(capture_id, word_idx, v) -> (capture_id, s, i, q): scalar samples in file order.
@@ -72,24 +74,17 @@ def decode_frames(frames: DataFrame, lanes: int, n_samples: int, n_rx: int, chir
     size = chirps * n_rx * n_samples * halves
     if size % (lanes * halves):
         raise ValueError("a frame doesn't hold whole groups of lanes")
-    order = lane_order if lane_order and len(lane_order) == lanes else list(range(lanes))
     scale = max(1, 2 ** (bits - 1) - 1) if bits else 1
 
-    def cells(part: np.ndarray) -> np.ndarray:
-        part = part[..., order].reshape(len(part), chirps, -1) / scale
-        x = np.swapaxes(part.reshape(len(part), chirps, n_samples, n_rx), 2, 3) if interleaved else part
-        return x.reshape(-1, n_samples)
-
     def decode(batches):
         for batch in batches:
             batch = batch[batch["words"].map(len) == size]
             if not len(batch):
                 continue
-            words = np.stack(batch["words"].to_numpy()).reshape(len(batch), -1, halves, lanes)
-            parts = [cells(words[:, :, h]) for h in range(halves)]
-            parts = parts[::-1] if swap and not real else parts
-            places = np.indices((len(batch), chirps, n_rx)).reshape(3, -1)
-            yield pd.DataFrame({"capture_id": batch["capture_id"].to_numpy()[places[0]], "frame": batch["frame"].to_numpy()[places[0]].astype(np.int32), "chirp": places[1].astype(np.int32), "rx": places[2].astype(np.int32), "re": list(parts[0]), "im": [None] * places.shape[1] if real else list(parts[1])})
+            x = kernels.samples(np.stack(batch["words"].to_numpy()), lanes, n_samples, n_rx, chirps, interleaved, real, swap, lane_order, scale)
+            places = np.indices(x.shape[:3]).reshape(3, -1)
+            rows = x.reshape(-1, n_samples)
+            yield pd.DataFrame({"capture_id": batch["capture_id"].to_numpy()[places[0]], "frame": batch["frame"].to_numpy()[places[0]].astype(np.int32), "chirp": places[1].astype(np.int32), "rx": places[2].astype(np.int32), "re": list(rows.real), "im": [None] * len(rows) if real else list(rows.imag)})
 
     return frames.select("capture_id", "frame", "words").mapInPandas(decode, "capture_id string, frame int, chirp int, rx int, re array<double>, im array<double>")
 

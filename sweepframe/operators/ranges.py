@@ -21,17 +21,20 @@ def range_fft(cube: DataFrame, n_fft: int | None = None, window: str = "hann", r
     n_fft zero-pads or cuts; without it the next power of two, or the number of
     samples. Real samples, and full=False (complex 2x and pseudo-real formats),
     give the half with n/2 + 1 bins. Rows are transformed where they are: no shuffle.
+    A null array stays null; rows of different lengths may stand together.
     """
 
     def transform(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            re = np.stack(batch["re"].to_numpy())
-            x = re if real else re + 1j * np.stack(batch["im"].to_numpy())
-            n = n_fft or (1 << (x.shape[1] - 1).bit_length() if pad_pow2 else x.shape[1])
-            out = kernels.spectrum(x, n, window, remove_dc, n if full and not real else n // 2 + 1)
-            yield batch.assign(re=list(out.real), im=list(out.imag))
+        for whole in batches:
+            for _, batch in whole.groupby(whole["re"].map(lambda x: -1 if x is None else len(x))):
+                if batch["re"].iloc[0] is None:
+                    yield batch
+                    continue
+                re = np.stack(batch["re"].to_numpy())
+                x = re if real else re + 1j * np.stack(batch["im"].to_numpy())
+                n = n_fft or (1 << (x.shape[1] - 1).bit_length() if pad_pow2 else x.shape[1])
+                out = kernels.spectrum(x, n, window, remove_dc, n if full and not real else n // 2 + 1)
+                yield batch.assign(re=list(out.real), im=list(out.imag))
 
     return cube.mapInPandas(transform, cube.schema)
 
@@ -74,13 +77,15 @@ def range_time(mags: DataFrame, chirps: int) -> DataFrame:
     return cells(mags.select("capture_id", t, "rx", "mag")).groupBy("capture_id", "t", "range_idx").agg(F.avg("mag").alias("mag"))
 
 
-def notch(rti: DataFrame, bins: int) -> DataFrame:
-    """The two first and two last bins set to the first percentile of the bins 10 to bins/2 - 1 (of all bins if there are none) of the whole capture."""
-    if bins <= 4:
-        return rti
-    clean = F.col("range_idx").between(10, bins // 2 - 1) if bins // 2 > 10 else F.lit(True)
-    low = percentiles(rti.where(clean), F.col("mag"), [0.01]).select("capture_id", F.col("p")[0].alias("low"))
-    edge = (F.col("range_idx") < 2) | (F.col("range_idx") >= bins - 2)
+def notch(rti: DataFrame, bins: int | str) -> DataFrame:
+    """The two first and two last bins set to the first percentile of the bins 10 to bins/2 - 1 (of all bins if there are none) of the whole capture.
+
+    bins: their number, or the name of a column that has it. Maps of at most four bins stay as they are.
+    """
+    n, at = (F.col(bins) if isinstance(bins, str) else F.lit(bins)).cast("int"), F.col("range_idx")
+    half = F.floor(n / 2)
+    low = percentiles(rti.where((half <= 10) | at.between(10, half - 1)), F.col("mag"), [0.01]).select("capture_id", F.col("p")[0].alias("low"))
+    edge = (n > 4) & ((at < 2) | (at >= n - 2))
     return rti.join(low, "capture_id").select("capture_id", "t", "range_idx", F.when(edge, F.col("low")).otherwise(F.col("mag")).alias("mag"))
 
 

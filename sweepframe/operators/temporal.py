@@ -156,15 +156,16 @@ def vitals_of(x: np.ndarray, fps: float) -> tuple:
     return (*map(float, shares), *rates)
 
 
-def vitals(series: DataFrame, fps: float = FPS) -> DataFrame:
-    """Vital signs of each capture from its whole signal; captures of fewer than 4 frames have none."""
+def vitals(series: DataFrame, fps: float | str = FPS) -> DataFrame:
+    """Vital signs of each capture from its whole signal; captures of fewer than 4 frames have none. fps: a number, or the name of a column of series."""
     kind = series.schema["capture_id"].dataType.simpleString()
     # one double for each frame: ordered arrays are built in the aggregate, and the transform is a map over them
-    whole = series.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("frame", "signal"))).alias("x")).where(F.size("x") >= 4).select("capture_id", F.col("x.signal").alias("x"))
+    rated = series.select("capture_id", "frame", "signal", _rate(fps))
+    whole = rated.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("frame", "signal"))).alias("x"), F.max("fps").alias("fps")).where(F.size("x") >= 4).select("capture_id", "fps", F.col("x.signal").alias("x"))
 
     def rows(batches):
         for batch in batches:
-            found = [(c, *vitals_of(np.asarray(x, float), fps)) for c, x in zip(batch["capture_id"], batch["x"])]
+            found = [(c, *vitals_of(np.asarray(x, float), f)) for c, f, x in zip(batch["capture_id"], batch["fps"], batch["x"])]
             yield pd.DataFrame(found, columns=["capture_id", *[c.split()[0] for c in VITALS.split(", ")]])
 
     return whole.mapInPandas(rows, f"capture_id {kind}, {VITALS}")

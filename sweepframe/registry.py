@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sweepframe.plans import catalog, catalog_logs  # noqa: F401  (catalog_logs adds to the catalog)
+from sweepframe.plans import catalog, catalog_logs, catalog_recorded  # noqa: F401  (the others add to the catalog)
 
 
 def queries() -> dict:

@@ -88,6 +88,30 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("capture_id", "l.line_no", "l.line")
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recordings R, one for each region: words (capture_id, word_idx, v) of the vectors, dealt in turn, and logs (capture_id, line_no, line) whose settings differ by region."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))
+    n = regions.count()
+    dealt = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).cast("string").alias("capture_id"), F.expr(f"vec_id div {n}").alias("nth"), F.posexplode("embedding").alias("i", "x"))
+    words = dealt.select("capture_id", (F.col("nth") * 64 + F.col("i")).alias("word_idx"), F.expr("cast(cast(floor(cast(x as double) * 1000) as bigint) % 4096 as smallint)").alias("v"))
+    k = F.col("k")
+    text = lambda *parts: F.concat(*[F.lit(LOG_TIME), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]])
+    either = lambda there, yes, no: F.when(there, F.lit(yes)).otherwise(F.lit(no))
+    lines = [
+        text("API:select_chip_version,", either(k % 2 == 0, "AWR1642", "IWR6843")),
+        text("API:ProfileConfig,0,", either(k % 2 == 0, 1435388860, 1491308088), ",1000,600,4000,0,0,1657,0,", either(k < 3, 16, 8), ",5000,0,0,30,0,"),
+        text("API:ChirpConfig,0,0,0,0,0,0,0,1,0,"),
+        F.when(k < 4, text("API:ChirpConfig,1,1,0,0,0,0,0,2,0,")),
+        text("API:FrameConfig,0,0,", either(k < 4, 1, 0), ",8,", 8000000 + 1000000 * k, ",0,", F.when(k == 4, 5).otherwise(100000000), ",0,"),
+        text("API:DataFmtConfig,", either(k % 2 == 0, 3, 1), ",2,1,", either(k == 3, 1, 0), ",0,1,"),
+        text("API:AdcOutConfig,2,", either(k == 2, 0, 1), ",", either(k % 2 == 0, 1, 0), ","),
+        text("API:LaneConfig,", either(k % 2 == 0, 3, 15), ","),
+    ]
+    every = F.array(*[F.when(line.isNotNull(), F.struct(F.lit(i).alias("line_no"), line.alias("line"))) for i, line in enumerate(lines)])
+    logs = regions.select(k.cast("string").alias("capture_id"), F.explode(F.array_compact(every)).alias("l")).select("capture_id", "l.line_no", "l.line")
+    return words, logs
+
+
 def design_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goals D: what a measurement should resolve, one row for each part."""
     p = F.col("p_partkey")
