@@ -6,7 +6,7 @@ calibration); a line is valid if it has enough values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepframe.functions.signal import next_pow2
@@ -211,10 +211,29 @@ def selectable_tx(pos: DataFrame) -> DataFrame:
     return pos.where("tx_mask != 0").groupBy("capture_id", "tx_name").agg(F.min("pos").alias("first_pos"), F.array_sort(F.collect_list("pos")).alias("tx_positions"))
 
 
-GROUPS = {"Chirp": ["start_freq_ghz", "slope_mhz_us", "idle_us", "ramp_us", "adc_start_us", "bandwidth_ghz", "stop_freq_ghz"], "Sampling": ["num_samples", "fs_mhz", "adc_bits", "adc_fmt", "iq_order", "interleaved", "num_lanes"], "Frame": ["loops", "num_frames", "frame_period_ms", "unique_chirps", "chirps_per_frame"], "Resolution": ["range_res_m", "eff_range_res_m", "velocity_res_ms", "padded_bin_m"]}
-
-
-def grouped_view(caps: DataFrame) -> DataFrame:
-    """(capture_id, param_group, ord, name, value): the parameters that a capture has, by group, as text."""
-    every = F.array(*[F.struct(F.lit(g).alias("param_group"), F.lit(100 * i + j).alias("ord"), F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for i, (g, names) in enumerate(GROUPS.items()) for j, n in enumerate(names)])
-    return caps.select("capture_id", F.explode(every).alias("p")).select("capture_id", "p.*").where("value is not null")
+#: Titles of the groups, and the parameters in each, in the order in which they are shown.
+GROUPS = {
+    "General": ["profiles_found", "chip", "chip_band", "band", "start_freq_ghz", "eff_start_ghz", "stop_freq_ghz", "slope_const", "slope_mhz_us", "idle_us", "adc_start_us", "tx_start_us", "ramp_us", "num_samples", "fs_mhz"],
+    "Bandwidth & Resolution": ["bandwidth_ghz", "eff_bandwidth_ghz", "range_res_m", "eff_range_res_m", "range_res_windowed_m", "sample_time_us", "ramp_window_us", "eff_window_us"],
+    "Data Format": ["adc_fmt", "adc_bits", "iq_order", "rx_mask", "num_rx", "interleaved", "num_lanes", "lanes_source"],
+    "RX/TX & Gains": ["rx_gain", "tx_backoff", "tx_phase"],
+    "Frame (derived/log)": ["frame_period_ms", "unique_chirps", "frame_unique", "unique_mismatch"],
+    "FrameConfig": ["chirp_start", "chirp_end", "frame_unique", "loops", "chirps_per_frame", "num_frames", "frame_period_ms"],
+}
+CHIRP = ["tx_enable", "tx_active", "start_var", "slope_var", "idle_var", "adc_start_var", "bpf"]
+
+
+def grouped_view(caps: DataFrame, found: DataFrame) -> DataFrame:
+    """(capture_id, param_group, ord, name, value): the parameters that a capture has, by group, as text; the transmit pattern; and a group for each of its chirps (found)."""
+    item = lambda ord_, group, name, value: F.struct(ord_.cast("int").alias("ord"), group.alias("param_group"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    there = lambda group, value: F.when(F.col("FrameConfig").isNotNull(), value) if group == "FrameConfig" else value
+    every = [item(F.lit(100 * i + j), F.lit(g), n, there(g, F.col(n))) for i, (g, names) in enumerate(GROUPS.items()) for j, n in enumerate(names)]
+    places = F.transform(F.array_sort(F.map_entries("positions_by_mask")), lambda e: F.concat(tx_name(e["key"]), F.lit(": "), F.array_join(e["value"].cast("array<string>"), ",")))
+    pattern = {"order": F.array_join(F.transform("tx_masks", tx_name), " | "), "active": F.array_join("active_tx", ", "), "pattern_len": F.when(F.col("tx_masks").isNotNull(), F.size("tx_masks")), "positions": F.array_join(places, " | ")}
+    every += [item(F.lit(100 * len(GROUPS) + j), F.lit("Chirp TX Pattern"), n, c) for j, (n, c) in enumerate(pattern.items())]
+    # a log defines some tens of chirps at most, so their order within a capture is a small window
+    nth = F.row_number().over(Window.partitionBy("capture_id").orderBy("first", "last", "profile"))
+    title = F.format_string("Chirp %d-%d (prof %d)", "first", "last", "profile")
+    chirps_ = found.join(caps.select("capture_id"), "capture_id", "left_semi").withColumn("tx_active", tx_name(F.col("tx_enable"))).withColumn("nth", nth)
+    parts = chirps_.select("capture_id", F.explode(F.array(*[item(100 * (len(GROUPS) + F.col("nth")) + j, title, n, F.col(n)) for j, n in enumerate(CHIRP)])).alias("p"))
+    return caps.select("capture_id", F.explode(F.array(*every)).alias("p")).unionByName(parts).select("capture_id", "p.*").where("value is not null")

@@ -120,10 +120,25 @@ def l22_selectable_tx(spark, sf_dir):
     return _longs(logconfig.selectable_tx(logconfig.positions(logconfig.chirps(_lines(spark, sf_dir)))).drop("tx_positions"))
 
 
-@query(_CAPS + """, u AS (SELECT capture_id, unnest([struct_pack(name := 'start_freq_ghz', value := start_freq_ghz), struct_pack(name := 'slope_mhz_us', value := slope_mhz_us), struct_pack(name := 'idle_us', value := idle_us), struct_pack(name := 'ramp_us', value := ramp_us), struct_pack(name := 'adc_start_us', value := adc_start_us),
-struct_pack(name := 'num_samples', value := num_samples::DOUBLE), struct_pack(name := 'fs_mhz', value := fs_mhz), struct_pack(name := 'loops', value := fr[4]::DOUBLE), struct_pack(name := 'num_frames', value := fr[7]::DOUBLE)]) AS q FROM x)
-SELECT capture_id, q.name AS name, CASE WHEN q.name IN ('num_samples', 'fs_mhz') THEN 'Sampling' WHEN q.name IN ('loops', 'num_frames') THEN 'Frame' ELSE 'Chirp' END AS param_group, round(q.value, 4) AS value FROM u""")
+_TX = "CASE WHEN CAST(capture_id AS BIGINT) % 2 = 0 THEN 'TX2' ELSE 'TX1' END"
+_FRES = "3e8 / (2 * eff_bandwidth_ghz * 1e9)"
+#: The parameters by group, spelled out: number, group, name, SQL of a number or (quoted kinds) of a text.
+_GROUPED = [
+    *[(i, "General", n, e, t) for i, (n, e, t) in enumerate([("profiles_found", "profiles_found", 0), ("chip", "chip", 1), ("chip_band", "hint", 0), ("band", "band", 0), ("start_freq_ghz", "start_freq_ghz", 0), ("eff_start_ghz", "start_freq_ghz + slope_mhz_us * adc_start_us / 1000", 0), ("stop_freq_ghz", "start_freq_ghz + bandwidth_ghz", 0), ("slope_const", "p[8]", 0), ("slope_mhz_us", "slope_mhz_us", 0), ("idle_us", "idle_us", 0), ("adc_start_us", "adc_start_us", 0), ("tx_start_us", "p[9] / 100", 0), ("ramp_us", "ramp_us", 0), ("num_samples", "num_samples", 0), ("fs_mhz", "fs_mhz", 0)])],
+    *[(100 + i, "Bandwidth & Resolution", n, e, 0) for i, (n, e) in enumerate([("bandwidth_ghz", "bandwidth_ghz"), ("eff_bandwidth_ghz", "eff_bandwidth_ghz"), ("range_res_m", "3e8 / (2 * bandwidth_ghz * 1e9)"), ("eff_range_res_m", _FRES), ("range_res_windowed_m", _FRES + " * 1.62"), ("sample_time_us", "num_samples / fs_mhz"), ("ramp_window_us", "greatest(0.0, ramp_us - adc_start_us)"), ("eff_window_us", "eff_window_us")])],
+    *[(200 + i, "Data Format", n, e, t) for i, (n, e, t) in enumerate([("adc_fmt", "adc_fmt", 1), ("adc_bits", "16", 0), ("iq_order", "iq_order", 1), ("rx_mask", "15", 0), ("num_rx", "4", 0), ("interleaved", "'true'", 1), ("num_lanes", "CASE WHEN bits BETWEEN 1 AND 4 THEN bits ELSE lvds END", 0), ("lanes_source", "CASE WHEN bits BETWEEN 1 AND 4 THEN 'LaneConfig' ELSE 'LvdsLaneConfig' END", 1)])],
+    (300, "RX/TX & Gains", "rx_gain", "p[14]", 0), (301, "RX/TX & Gains", "tx_backoff", "p[6]", 0), (302, "RX/TX & Gains", "tx_phase", "p[7]", 0),
+    (400, "Frame (derived/log)", "frame_period_ms", "fr[5] * 5.0::DOUBLE / 1000 / 1000", 0), (401, "Frame (derived/log)", "unique_chirps", "2", 0), (402, "Frame (derived/log)", "frame_unique", "frame_unique", 0), (403, "Frame (derived/log)", "unique_mismatch", "CASE WHEN frame_unique <> 2 THEN 'true' ELSE 'false' END", 1),
+    *[(500 + i, "FrameConfig", n, e, 0) for i, (n, e) in enumerate([("chirp_start", "fr[2]"), ("chirp_end", "fr[3]"), ("frame_unique", "frame_unique"), ("loops", "fr[4]"), ("chirps_per_frame", "2 * fr[4]"), ("num_frames", "fr[7]"), ("frame_period_ms", "fr[5] * 5.0::DOUBLE / 1000 / 1000")])],
+    (600, "Chirp TX Pattern", "order", f"'TX0 | ' || {_TX}", 1), (601, "Chirp TX Pattern", "active", f"'TX0, ' || {_TX}", 1), (602, "Chirp TX Pattern", "pattern_len", "2", 0), (603, "Chirp TX Pattern", "positions", f"'TX0: 0 | ' || {_TX} || ': 1'", 1),
+    *[(700 + 100 * c + i, f"Chirp {c}-{c} (prof 0)", n, e, t) for c in (0, 1) for i, (n, e, t) in enumerate([("tx_enable", "1" if c == 0 else f"CASE {_TX} WHEN 'TX2' THEN 4 ELSE 2 END", 0), ("tx_active", "'TX0'" if c == 0 else _TX, 1), ("start_var", "0", 0), ("slope_var", "0" if c else "5", 0), ("idle_var", "0", 0), ("adc_start_var", "0", 0)])],
+]
+_ITEMS = ", ".join(f"struct_pack(ord := {o}, param_group := '{g}', name := '{n}', number := {'NULL' if t else f'CAST({e} AS DOUBLE)'}, body := {e if t else 'NULL'})" for o, g, n, e, t in _GROUPED)
+
+
+@query(_CAPS + f"SELECT capture_id, q.ord AS ord, q.param_group AS param_group, q.name AS name, round(q.number, 4) AS number, q.body AS body FROM (SELECT capture_id, unnest([{_ITEMS}]) AS q FROM x) WHERE q.number IS NOT NULL OR q.body IS NOT NULL")
 def s5_grouped_view(spark, sf_dir):
-    x = logconfig.grouped_view(logconfig.captures(_lines(spark, sf_dir)))
-    names = ["start_freq_ghz", "slope_mhz_us", "idle_us", "ramp_us", "adc_start_us", "num_samples", "fs_mhz", "loops", "num_frames"]
-    return rounded(x.where(F.col("name").isin(names)).select("capture_id", "name", "param_group", F.col("value").cast("double").alias("value")), 4)
+    lines = _lines(spark, sf_dir)
+    x = logconfig.grouped_view(logconfig.captures(lines), logconfig.chirps(lines))
+    number = F.col("value").try_cast("double")
+    return _longs(rounded(x.where("name != 'bpf'").select("capture_id", "ord", "param_group", "name", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("body")), 4))
