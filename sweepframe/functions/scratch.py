@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Setting under which a query's shuffle files go when it has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Setting of the most bytes in a batch that goes to a Python worker, and its value while a table is written: worker and executor hold such batches outside the heap.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 _own: list[str] = []
 _open: list[str] = []
@@ -39,15 +41,24 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a written Parquet table, read again: later jobs neither recompute it nor depend on an executor, so the shuffles that made it are removed."""
     spark = df.sparkSession
     path = path or new_path(spark)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _settings(spark, {_CLEAN: "true", _BATCH: str(BATCH_BYTES)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for as long as the block lasts."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -53,9 +53,35 @@ def range_m(index: Column, step: float) -> Column:
     return index * F.lit(step)
 
 
+def mean_arrays(rows: DataFrame, keys: list[str], value: str = "mag") -> DataFrame:
+    """(keys, range_idx, value): the mean of each element of the array column over the rows of a key.
+
+    Arrays are added up where the rows are, so one row for each key and task is
+    shuffled. Null arrays don't count; the mean of an element is over the arrays
+    that reach it.
+    """
+
+    def partial(batches):
+        for batch in batches:
+            batch = batch[batch[value].notna()]
+            batch = batch.assign(length=batch[value].map(len))
+            found = [(*key[:-1], np.sum(np.stack(part.to_numpy()), axis=0), len(part)) for key, part in batch.groupby([*keys, "length"], dropna=False)[value] if key[-1]]
+            if found:
+                yield pd.DataFrame(found, columns=[*keys, "total", "n"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    sums = rows.select(*keys, value).mapInPandas(partial, f"{kinds}, total array<double>, n long")
+    whole = sums.groupBy(*keys).agg(F.collect_list(F.struct("total", "n")).alias("x"), F.max(F.size("total")).alias("length"))
+    element = lambda i, part: F.aggregate("x", F.lit(0.0), lambda s, p: s + F.coalesce(part(p, i), F.lit(0.0)))
+    total = lambda i: element(i, lambda p, i: F.get(p["total"], i))
+    count = lambda i: element(i, lambda p, i: F.when(i < F.size(p["total"]), p["n"].cast("double")))
+    means = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: total(i) / count(i))
+    return cells(whole.select(*keys, means.alias(value)), value=value)
+
+
 def frame_profile(mags: DataFrame) -> DataFrame:
-    """(capture_id, frame, range_idx, mag): mean over chirps and receivers; sums are combined before the shuffle."""
-    return cells(mags).groupBy("capture_id", "frame", "range_idx").agg(F.avg("mag").alias("mag"))
+    """(capture_id, frame, range_idx, mag): mean over chirps and receivers."""
+    return mean_arrays(mags, ["capture_id", "frame"])
 
 
 def remove_background(profile: DataFrame, alpha: float) -> DataFrame:
@@ -74,7 +100,7 @@ def display_limits(rows: DataFrame, value: Column, low: float, high: float, rais
 def range_time(mags: DataFrame, chirps: int) -> DataFrame:
     """(capture_id, t, range_idx, mag): mean over receivers along all chirps, t = frame x chirps + chirp."""
     t = (F.col("frame").cast("long") * chirps + F.col("chirp")).alias("t")
-    return cells(mags.select("capture_id", t, "rx", "mag")).groupBy("capture_id", "t", "range_idx").agg(F.avg("mag").alias("mag"))
+    return mean_arrays(mags.select("capture_id", t, "mag"), ["capture_id", "t"])
 
 
 def notch(rti: DataFrame, bins: int | str) -> DataFrame:
