@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from sweepframe.functions.scratch import join_small, materialise, new_path, scop
 from sweepframe.llm.components import components
 
 SEED = 42
+#: Items of a text that are hashed at a time.
+BLOCK = 1 << 16
 #: Relative cost of one probe row (shuffled) to one candidate (compared).
 PROBE_COST = 20.0
 
@@ -46,21 +49,27 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(tokens: list[bytes], size: int) -> list[bytes]:
-    """All runs of `size` words, repeats included; the whole sequence if there are fewer; none without a word."""
+def shingles(tokens: list[bytes], size: int) -> Iterator[bytes]:
+    """All runs of `size` words, repeats included; the whole sequence if there are fewer; none without a word. They are made one by one."""
     if len(tokens) <= size:
-        return [b" ".join(tokens)] if tokens else []
-    return list(map(b" ".join, zip(*[tokens[i:] for i in range(size)])))
+        return iter([b" ".join(tokens)] if tokens else [])
+    return map(b" ".join, zip(*[itertools.islice(tokens, i, None) for i in range(size)]))
+
+
+def hashes(items) -> Iterator[np.ndarray]:
+    """The items' XXH64 values, in blocks: of a very long text, never all items are held."""
+    digest, items = xxhash.xxh64_intdigest, iter(items)
+    while len(block := np.array([digest(x, SEED) for x in itertools.islice(items, BLOCK)], "<u8")):
+        yield block
 
 
 def simhash(items) -> int:
     """Bit i is 1 if it is set in over half of the items' XXH64 values; 0 for no items."""
-    digest = xxhash.xxh64_intdigest
-    values = np.array([digest(x, SEED) for x in items], "<u8")
-    votes = np.zeros(64, np.uint64)
-    for i in range(0, len(values), 1 << 16):  # bounded memory for very long texts
-        votes += np.unpackbits(values[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-    return int(np.packbits(votes * np.uint64(2) > len(values), bitorder="little").view("<u8")[0])
+    votes, n = np.zeros(64, np.uint64), 0
+    for values in hashes(items):
+        votes += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint64)
+        n += len(values)
+    return int(np.packbits(votes * np.uint64(2) > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: Column, size: int = 3, distinct: bool = False) -> Column:
@@ -68,7 +77,7 @@ def fingerprint(text: Column, size: int = 3, distinct: bool = False) -> Column:
 
     @F.pandas_udf("long")
     def compute(texts: pd.Series) -> pd.Series:
-        found = [shingles(words(t), size) for t in texts]
+        found = (shingles(words(t), size) for t in texts)
         return pd.Series(np.array([simhash(set(x) if distinct else x) for x in found], np.uint64).view(np.int64))
 
     return compute(text)
@@ -232,8 +241,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def _hashed(items) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(x, SEED) for x in items], np.uint64).view(np.int64))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(x).view(np.int64) for x in hashes(items)]]))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
