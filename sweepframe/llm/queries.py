@@ -185,6 +185,9 @@ FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id"""
 
 def _multiset_sql() -> str:
     m = multisethash
+    cut = "replace(body, '. ', '.' || chr(10))"
+    for pattern in m.CUTS:
+        cut = f"regexp_replace({cut}, '{pattern}', '\\1' || chr(10), 'g')"
     lanes = ", ".join(f"CAST(coalesce(sum(({h} >> {k}) & {m.SPREAD}), 0) AS BIGINT) AS {h}{k}" for h in "ab" for k in range(m.STEPS))
     names = ", ".join(f"{h}{k}" for h in "ab" for k in range(m.STEPS))
     lane = lambda x, j: f"2 * (({x} >> {21 * j}) & {m.LANE})"
@@ -196,7 +199,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 x AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) AS edited FROM x),
 t AS (SELECT doc_id, 0 AS kind, text AS body FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
-p AS (SELECT doc_id, kind, md5(u) AS digest FROM (SELECT doc_id, kind, unnest(string_split(replace(body, '. ', '.' || chr(10)), chr(10))) AS u FROM t) WHERE u <> ''),
+p AS (SELECT doc_id, kind, md5(u) AS digest FROM (SELECT doc_id, kind, unnest(string_split({cut}, chr(10))) AS u FROM t) WHERE u <> ''),
 h AS (SELECT doc_id, kind, CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(digest, 16, 15) AS BIGINT) AS b FROM p),
 s AS (SELECT t.doc_id, t.kind, count(a) AS n, CAST(coalesce(sum(a), 0) % {m.NUMBER + 1} AS BIGINT) AS sa, CAST(coalesce(sum(b), 0) % {m.NUMBER + 1} AS BIGINT) AS sb, {lanes} FROM t LEFT JOIN h ON t.doc_id = h.doc_id AND t.kind = h.kind GROUP BY t.doc_id, t.kind),
 f AS (SELECT doc_id, kind, [n, sa, sb, {names}] AS v FROM s),

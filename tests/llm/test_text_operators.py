@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 from collections import defaultdict
 
@@ -383,7 +384,8 @@ def fps(spark, texts):
 
 
 def brute_fp(text):
-    units = [u for u in (text or "").replace(". ", ".\n").split("\n") if u]
+    lines = re.sub(r"((?:[^ \n]{1,64} ){4})", r"\1\n", (text or "").replace(". ", ".\n"))
+    units = [line[i : i + 64] for line in lines.split("\n") for i in range(0, len(line), 64)]
     out = [len(units), 0, 0] + [0] * (2 * multisethash.STEPS)
     for u in units:
         d = hashlib.md5(u.encode()).hexdigest()
@@ -403,6 +405,25 @@ def test_fingerprints(spark):
     assert got.i == both and got.d == a
 
 
+def test_long_paragraphs_are_cut(spark):
+    """Runs of words, texts without blanks, blanks in a row, and characters beyond 16 bits."""
+    texts = ["a b c d e f g h i", "一" * 200, "a  b c   d e f g", "\U0001f600" * 130 + " x y z " * 30, "y" * 100_000, "w " * 5 + "\n" + "w " * 3, "\t\r\n x", "z" * 70 + " a b c d"]
+    found = fps(spark, texts)
+    assert found == [brute_fp(t) for t in texts] and found[0][0] == 3 and found[1][0] == 4
+    # a paragraph on a line of its own comes in and goes as a whole
+    one, two, both = fps(spark, ["p q r s t u", "v w x y z", "p q r s t u\nv w x y z"])
+    row = spark.createDataFrame([(one, two)], "a array<bigint>, b array<bigint>")
+    assert row.select(multisethash.insert(F.col("a"), F.col("b")).alias("i")).first().i == both
+
+
+def test_one_paragraph_is_like_its_edit(spark):
+    """Three quarters of one long paragraph stay, the rest is new."""
+    words = [f"w{i * i}" for i in range(400)]
+    a, b, c = fps(spark, [" ".join(words), " ".join(words[:300] + [f"n{i * i}" for i in range(100)]), " ".join(f"n{i}" for i in range(400))])
+    near, far = spark.createDataFrame([(a, b), (a, c)], "a array<bigint>, b array<bigint>").select(multisethash.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert 0.5 < near.x < 0.95 and far.x < 0.35
+
+
 def test_next_and_edit(spark):
     texts = [(9, "nine nine"), (None, "null id"), (3, "three\n" * 40), (5, None), (3, "also three"), (12, "last. " * 9)]
     rows = multisethash.with_next(frame(spark, texts))
