@@ -1,9 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions.
 
 A text is a multiset of paragraphs: lines, cut further after each full stop
-and blank, and where they are long after every RUN words, or LONGEST code points
-without a blank, so that a small change costs little of a text with few
-paragraphs. The MD5 of a paragraph gives a wide vector: two numbers of 60 bits,
+and blank, and long ones at word ends after every LONG code points, so that a
+small change costs little of a text with few paragraphs. The MD5 of a paragraph gives a wide vector: two numbers of 60 bits,
 and 108 of its bits as lanes of their own. A fingerprint is the sum of the
 vectors of all paragraphs, each number modulo 2^60 and each lane modulo 2^20,
 with the count of paragraphs in front. Equal multisets have equal
@@ -34,9 +33,9 @@ SPREAD = 1 | 1 << 21 | 1 << 42
 LANE = (1 << 20) - 1
 LANES = LANE | LANE << 21 | LANE << 42
 STEPS = 18
-#: Words of a part of a paragraph, the most code points of a part, and the patterns that cut them.
-RUN, LONGEST = 4, 64
-CUTS = (rf"((?:[^ \n]{{1,{LONGEST}}} ){{{RUN}}})", rf"([^\n]{{{LONGEST}}})")
+#: A long paragraph is cut after this many code points, or up to as many more where that completes a word. The pattern matches at every place of a line, so it never looks back.
+LONG, MORE = 120, 40
+PART = rf"([^\n]{{1,{LONG}}}[^\n ]{{0,{MORE}}} ?)"
 #: Rows of a range of ids that a task orders, and the most ranges.
 RANGE_ROWS = 2_000
 MAX_RANGES = 1 << 16
@@ -44,9 +43,7 @@ MAX_RANGES = 1 << 16
 
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text that aren't empty, long ones in parts. A paragraph has the same parts in every text."""
-    lines = F.replace(F.coalesce(text, F.lit("")), F.lit(". "), F.lit(".\n"))
-    for cut in CUTS:
-        lines = F.regexp_replace(lines, cut, "$1\n")
+    lines = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(". "), F.lit(".\n")), PART, "$1\n")
     return F.filter(F.split(lines, "\n"), lambda p: p != "")
 
 

@@ -185,9 +185,7 @@ FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id"""
 
 def _multiset_sql() -> str:
     m = multisethash
-    cut = "replace(body, '. ', '.' || chr(10))"
-    for pattern in m.CUTS:
-        cut = f"regexp_replace({cut}, '{pattern}', '\\1' || chr(10), 'g')"
+    cut = rf"regexp_replace(replace(body, '. ', '.' || chr(10)), '{m.PART}', '\1' || chr(10), 'g')"
     lanes = ", ".join(f"CAST(coalesce(sum(({h} >> {k}) & {m.SPREAD}), 0) AS BIGINT) AS {h}{k}" for h in "ab" for k in range(m.STEPS))
     names = ", ".join(f"{h}{k}" for h in "ab" for k in range(m.STEPS))
     lane = lambda x, j: f"2 * (({x} >> {21 * j}) & {m.LANE})"
