@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 _own: list[str] = []
-_open: list[str] = []
+_folders: set[str] = set()
+#: Open scopes of this thread; what another thread writes is not theirs.
+_open: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+#: Settings that blocks hold now: how many hold them, and the value from before the first.
+_held: dict[tuple, list] = {}
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,31 +39,50 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _application_dir(spark: SparkSession) -> str:
+    """A folder for this application's tables within the shared one; the file system removes it when the application ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+        _folders.add(folder)
+    return folder
+
+
 def new_path(spark: SparkSession, kind: str = "table") -> str:
-    """A path of its own in the innermost open scope, or in the shared folder."""
-    return f"{_open[-1] if _open else shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A path of its own in the innermost open scope of this thread, or in the application's folder."""
+    scopes = _open.get()
+    return f"{scopes[-1] if scopes else _application_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a written Parquet table, read again: later jobs neither recompute it nor depend on an executor, so the shuffles that made it are removed."""
     spark = df.sparkSession
     path = path or new_path(spark)
-    with _settings(spark, {_CLEAN: "true", _BATCH: str(BATCH_BYTES)}):
+    with settings(spark, {_CLEAN: "true", _BATCH: str(BATCH_BYTES)}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    """Settings of the session for as long as the block lasts."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for as long as the block lasts. Blocks of several threads may hold one setting; the last that ends puts back what was there before the first."""
+    keys = [(id(spark), k) for k in values]
+    with _lock:
+        for key, value in zip(keys, values.values()):
+            _held.setdefault(key, [0, spark.conf.get(key[1], None)])[0] += 1
+            spark.conf.set(key[1], value)
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _lock:
+            for key in keys:
+                _held[key][0] -= 1
+                if not _held[key][0]:
+                    before = _held.pop(key)[1]
+                    spark.conf.unset(key[1]) if before is None else spark.conf.set(key[1], before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -67,13 +93,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scope(spark: SparkSession):
-    """Tables written inside go when the block ends; what must outlive it is written by the caller to a path from outside."""
+    """Tables that this thread writes inside go when the block ends; what must outlive it is written by the caller to a path from outside."""
     folder = new_path(spark, "scope")
-    _open.append(folder)
+    token = _open.set((*_open.get(), folder))
     try:
         yield folder
     finally:
-        _open.remove(folder)
+        _open.reset(token)
         delete(spark, folder)
 
 
