@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import materialise
-from sweepframe.llm import chatformat, gifmedia, langid, linededup, mixing, multisethash, packing, simhash, tokenbin, urlfilter
+from sweepframe.llm import chatformat, filteraudit, gifmedia, hardnegatives, langid, linededup, mixing, multisethash, packing, simhash, tokenbin, tokencount, urlfilter
 from sweepframe.llm.words import WORD, word_count
 
 #: Rules of op4: host, path prefix, verdict.
@@ -82,6 +82,25 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return filteraudit.audit(spark, f"{sf_dir}/documents.parquet", labels)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(hardnegatives.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    return hardnegatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("v")), F.col("id") % 50 == 0)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "tokens.*")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_language_mixture, op2_pareto_mix, op3_token_blocks, op4_url_cascade, op5_chat_round_trip, op6_simhash_components, op7_gif_payload, op8_line_windows, op9_best_fit, op10_multiset_hash, pipeline]
+    own = [op1_language_mixture, op2_pareto_mix, op3_token_blocks, op4_url_cascade, op5_chat_round_trip, op6_simhash_components, op7_gif_payload, op8_line_windows, op9_best_fit, op10_multiset_hash, op11_filter_audit, op12_hard_negatives, op13_token_counts, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -206,5 +225,46 @@ SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, {text('v')} AS
 FROM j"""
 
 
+def _audit_sql() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words FROM d),
+good AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN good ON w.doc_id = good.doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, filter_order[step] AS here, filter_order[1:step - 1] AS before FROM o, range(1, 6) t(step) WHERE length(filter_order) = 5),
+r AS (
+  SELECT part, filter_order, step, here, n, good, toxic, fails, contains(fails, here) AS fails_here, regexp_matches(fails, '[' || before || '0]') AS gone
+  FROM m, s),
+a AS (
+  SELECT part, filter_order, step, here, sum(CASE WHEN NOT gone AND NOT fails_here THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails_here THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND fails_here THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = here THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails_here THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails_here THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, here)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley
+FROM a"""
+
+
+def _negatives_sql() -> str:
+    return """
+WITH u AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM u a JOIN u r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": _mix_sql(), "op4_url_cascade": _url_sql(), "op5_chat_round_trip": _chat_sql(), "op8_line_windows": _lines_sql(), "op10_multiset_hash": _multiset_sql()}
+    return {"op2_pareto_mix": _mix_sql(), "op4_url_cascade": _url_sql(), "op5_chat_round_trip": _chat_sql(), "op8_line_windows": _lines_sql(), "op10_multiset_hash": _multiset_sql(), "op11_filter_audit": _audit_sql(), "op12_hard_negatives": _negatives_sql()}

@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-import uuid
 import zlib
 from array import array
 
@@ -35,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweepframe.functions.scratch import join_small, shared_dir
+from sweepframe.functions.scratch import join_small, new_path
 from sweepframe.functions.worker import kept
 
 BLOCK_TOKENS = 1 << 20
@@ -193,7 +192,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, **columns) -> str:
     """Writes the blocks and returns their folder (a new one in the shared folder, if none is given)."""
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(docs.sparkSession, "tokens")
     encode(docs, tokenizer_path, end_id, **columns).write.parquet(path)
     return path
 
