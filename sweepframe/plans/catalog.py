@@ -339,7 +339,7 @@ def _snapshots(spark, sf_dir, mode="MIMO", full=True):
 X4, Y4 = angles.geometry(4, 2)
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS capture_id, s_suppkey % 2 = 1 AS safe FROM supplier WHERE s_suppkey % 2 = 1 OR TRUE")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS capture_id, s_suppkey % 2 = 1 AS safe FROM supplier")
 def a1_safe_tdm(spark, sf_dir):
     # chirp 1 transmits from mask 4 (even) or 2 (odd), chirp 0 from mask 1; an even capture also gets a two-transmitter place
     k = F.col("s_suppkey")
@@ -451,6 +451,11 @@ def t1_movement_map_by_sums(spark, sf_dir):
     return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32, by_sums=True).drop("capture_id"), 4))
 
 
+@query(_MOVE)
+def t1_movement_map_in_steps(spark, sf_dir):
+    return _longs(rounded(workflows.movement(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32, longest=16).drop("capture_id"), 4))
+
+
 @query("""SELECT event_id, list_aggregate(list_filter([CASE WHEN hz < 0.1 THEN 'noise' END, CASE WHEN hz >= 0.1 AND hz <= 0.6 THEN 'breathing' END, CASE WHEN hz >= 0.8 AND hz <= 3.5 THEN 'hr' END, CASE WHEN (hz >= 0.6 AND hz < 0.8) OR hz > 3.5 THEN 'movement' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS bands
 FROM (SELECT event_id, (event_id % 76) / 10.0::DOUBLE AS hz FROM events)""")
 def t2_bands(spark, sf_dir):
@@ -489,6 +494,11 @@ def t5_vitals(spark, sf_dir):
     return rounded(temporal.vitals(derived.series(spark, sf_dir)), 4)
 
 
+@query(_VITALS + _SHARES)
+def t5_vitals_in_steps(spark, sf_dir):
+    return rounded(temporal.vitals(derived.series(spark, sf_dir), longest=64), 4)
+
+
 @query(_VITALS.replace("capture_id, count(*) AS n", "capture_id, 0 AS n").replace("v AS (", "v0 AS (", 1).split("\nc AS")[0] + f"""
 v AS (SELECT capture_id, frame // 32 AS window_idx, frame % 32 AS frame, signal FROM v0 QUALIFY count(*) OVER (PARTITION BY capture_id, frame // 32) = 32),
 s AS (SELECT capture_id, window_idx, frame, (signal - avg(signal) OVER (PARTITION BY capture_id, window_idx)) * {hann('frame', 32)} AS x FROM v)
@@ -504,6 +514,59 @@ def t8_phase_displacement(spark, sf_dir):
     return _longs(rounded(temporal.phase_displacement(at, workflows.wavelength(derived.RADAR)).drop("capture_id")))
 
 
+def _windows_sql(frames: int, hop: int) -> str:
+    return parts(*_RA, last=f"""SELECT w AS window_idx, k AS range_idx, a AS angle_idx, round(10 * log10(en + 1e-12) - max(10 * log10(en + 1e-12)) OVER (PARTITION BY w), 4) + 0.0 AS db FROM (
+SELECT w, k, a, sum(sqrt(x * x + y * y)) AS en FROM (
+SELECT w, k, a, h, sum(s * cos({PI2!r} * ((h * j) % 32) / 32)) AS x, sum(s * sin({PI2!r} * ((h * j) % 32) / 32)) AS y FROM (
+SELECT w, k, a, j, (lin - avg(lin) OVER (PARTITION BY w, k, a)) * {hann('j', frames)} AS s FROM (
+SELECT w, k, a, frame - w * {hop} AS j, 10 ** (db / 10) AS lin FROM ra, range(0, 1000) t(w) WHERE frame >= w * {hop} AND frame < w * {hop} + {frames} AND w * {hop} + {frames} <= (SELECT max(frame) + 1 FROM e))), range(0, 17) t(h)
+WHERE (h * 15.0 / 32 >= 0.6 AND h * 15.0 / 32 < 0.8) OR h * 15.0 / 32 > 3.5 GROUP BY w, k, a, h) GROUP BY w, k, a)""")
+
+
+@query(_windows_sql(6, 4))
+def t7_movement_by_window(spark, sf_dir):
+    return _longs(rounded(workflows.movement_by_window(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32, 6, 4).drop("capture_id"), 4))
+
+
+@query(_windows_sql(4, 5))
+def t7_movement_by_window_apart(spark, sf_dir):
+    return _longs(rounded(workflows.movement_by_window(derived.complex_cube(spark, sf_dir), derived.RADAR, 2, 32, 4, 5).drop("capture_id"), 4))
+
+
+def band_pass_sql(low: float, high: str, fps: str, half: str) -> str:
+    """Coefficient j of a band-pass filter."""
+    side = lambda f: f"CASE WHEN j = 0 THEN 2.0 * {f} / {fps} ELSE sin({PI2!r} * {f} * j / {fps}) / ({np.pi!r} * j) END"
+    return f"({side(high)} - {side(str(low))}) * (0.54 + 0.46 * cos({np.pi!r} * j / {half}))"
+
+
+_DISPLACED = ("e", "es", "ew", "ef")
+_BANDS = f"""dp AS (SELECT rx, t, (p + {PI2!r} * sum(turn) OVER (PARTITION BY rx ORDER BY t)) * {workflows.wavelength(derived.RADAR) / (4 * np.pi)!r} AS x FROM (
+SELECT rx, t, p, CASE WHEN p - lag(p) OVER w > pi() THEN -1 WHEN p - lag(p) OVER w <= -pi() THEN 1 ELSE 0 END AS turn FROM (SELECT rx, frame AS t, atan2(im, re) AS p FROM ef WHERE k = 9 AND chirp = 0) WINDOW w AS (PARTITION BY rx ORDER BY t))),
+bp AS (SELECT d.rx, d.t, sum(x.x * {band_pass_sql(0.1, '0.6', '15.0', '8')}) AS breathing_m, sum(x.x * {band_pass_sql(0.8, '3.5', '15.0', '8')}) AS heart_m
+  FROM dp d, range(-8, 9) r(j), dp x WHERE x.rx = d.rx AND x.t = greatest(0, least((SELECT max(t) FROM dp), d.t - j)) GROUP BY d.rx, d.t)"""
+
+
+def _displacement(spark, sf_dir):
+    at = _spectrum(spark, sf_dir).where("chirp = 0").select("capture_id", "rx", F.col("frame").cast("long").alias("t"), F.get("re", F.lit(9)).alias("re"), F.get("im", F.lit(9)).alias("im"))
+    return temporal.phase_displacement(at, workflows.wavelength(derived.RADAR), block=8)
+
+
+@query(parts(*_DISPLACED, last="").rstrip() + f",\n{_BANDS} SELECT rx, t, round(breathing_m, 9) + 0.0 AS breathing_m, round(heart_m, 9) + 0.0 AS heart_m FROM bp")
+def t8_displacement_bands(spark, sf_dir):
+    return _longs(rounded(temporal.displacement_bands(_displacement(spark, sf_dir), seconds=0.5, block=8).drop("capture_id"), 9))
+
+
+@query(parts(*_DISPLACED, last="").rstrip() + f""",\n{_BANDS},
+u AS (SELECT rx, 'br' AS band, t, breathing_m AS y FROM bp UNION ALL SELECT rx, 'hr', t, heart_m FROM bp),
+n AS (SELECT max(t) + 1 AS n, CAST(2 ** ceil(log2(greatest(32, max(t) + 1))) AS BIGINT) AS nf FROM dp),
+s AS (SELECT rx, band, t, nf, (y - avg(y) OVER (PARTITION BY rx, band)) * (0.5 - 0.5 * cos({PI2!r} * t / (n - 1))) AS y FROM u, n),
+f AS (SELECT rx, band, k, k * 15.0 / nf AS hz, sqrt(sum(y * cos({PI2!r} * ((k * t) % nf) / nf)) ** 2 + sum(y * sin({PI2!r} * ((k * t) % nf) / nf)) ** 2) AS a FROM s, range(0, 4096) t(k) WHERE k <= nf // 2 GROUP BY rx, band, k, nf),
+r AS (SELECT rx, coalesce(max_by(hz, a) FILTER (band = 'br' AND hz >= 0.1 AND hz <= 0.6), 0) AS br, coalesce(max_by(hz, a) FILTER (band = 'hr' AND hz >= 0.8 AND hz <= 3.5), 0) AS hr FROM f GROUP BY rx)
+SELECT rx, round(br, 4) AS br_hz, round(60 * br, 4) AS br_bpm, round(hr, 4) AS hr_hz, round(60 * hr, 4) AS hr_bpm FROM r""")
+def t8_displacement_rates(spark, sf_dir):
+    return _longs(rounded(temporal.displacement_rates(_displacement(spark, sf_dir), seconds=0.5, block=8, longest=16).drop("capture_id"), 4))
+
+
 # ---------------------------------------------------------------- detection
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sweepframe.functions.signal import C0, bin_width_m, velocity_step
 from sweepframe.operators import angles, detection, doppler, ranges, temporal
@@ -35,10 +36,22 @@ def range_azimuth(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, met
     return angles.range_azimuth(snapshots, x, np.arange(-90.0, 91.0), method, remove_static, shift)
 
 
-def movement(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, band: str = "movement", fps: float = temporal.FPS, by_sums: bool = False) -> DataFrame:
+def frame_counts(cube: DataFrame) -> DataFrame:
+    """(capture_id, frames), from the key columns alone."""
+    return cube.groupBy("capture_id").agg((F.max("frame") + 1).cast("int").alias("frames"))
+
+
+def movement(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, band: str = "movement", fps: float = temporal.FPS, by_sums: bool = False, longest: int = temporal.LONGEST) -> DataFrame:
     """Cube -> movement map of each capture; by_sums for bands of few bins."""
     ra = range_azimuth(cube, radar, n_rx, n_fft)
-    return (temporal.movement_map_by_sums if by_sums else temporal.movement_map)(ra, band, fps)
+    if by_sums:
+        return temporal.movement_map_by_sums(ra, band, fps, counts=frame_counts(cube))
+    return temporal.movement_map(ra, band, fps, counts=frame_counts(cube), longest=longest)
+
+
+def movement_by_window(cube: DataFrame, radar: dict, n_rx: int, n_fft: int = 256, frames: int = 32, hop: int | None = None, band: str = "movement", fps: float = temporal.FPS) -> DataFrame:
+    """Cube -> movement map of each window of frames."""
+    return temporal.movement_by_window(range_azimuth(cube, radar, n_rx, n_fft), frames, hop, band, fps)
 
 
 def range_time(cube: DataFrame, chirps: int, n_fft: int = 256, real: bool = False) -> DataFrame:
