@@ -54,6 +54,8 @@ _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores sets 4 MB of disk aside
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store is open while its task runs, so an executor has as many as cores
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
