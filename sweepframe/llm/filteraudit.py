@@ -10,7 +10,9 @@ row of -1 and one of +1. Batches add up their changes and write them under their
 number, so one that is run again after a failure writes the same place.
 
 A row of state holds about TEXTS texts that share hash bits, since a call of
-Python for each text would cost more than all else. Repeats are folded before
+Python for each text would cost more than all else: about 100 bytes a text, in
+the state store that the session is set to (the default one keeps it in memory,
+RocksDB on disk). Repeats are folded before
 the shuffle: of equal texts in a batch of rows only the smallest id goes on, the
 others fail for sure and go as counts.
 
@@ -50,13 +52,8 @@ TEXTS, BATCH_BYTES, MOST_BATCHES = 256, 256 << 20, 64
 SALT = 16
 _REPEATED = 1 << FILTERS.index("E")
 _CAPITALS, _INNER, _SIGNS = bytes(range(65, 91)), bytes(range(128, 192)), re.compile(rb"[#$%&*|]")
-_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores sets 4 MB of disk aside
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store is open while its task runs, so an executor has as many as cores
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
-}
+#: Settings of the stream: bytes of a batch that goes to Python.
+_STREAM = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def mask_of(body: bytes) -> int:
@@ -69,47 +66,72 @@ def mask_of(body: bytes) -> int:
     return (n < 50) | (100 * len(distinct) < 65 * n) << 1 | (100 * capitals > 5 * points) << 2 | bool(_SIGNS.search(body)) << 3
 
 
-def judged(docs: DataFrame, doc_id: str, text: str, part: str) -> DataFrame:
-    """(digest, doc_id, part, mask, n): rows of a batch that agree in all of it as one."""
+def _batch(rows: Counter, schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*((*k, n) for k, n in rows.items()))) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def run(batches):
-        for batch in batches:
-            bodies = batch.column("text").cast(pa.large_binary()).to_pylist()
-            found = Counter((hashlib.sha256(b or b"").hexdigest(), i, p, mask_of(b or b"")) for b, i, p in zip(bodies, batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()))
-            yield _batch([(*k, n) for k, n in found.items()], _JUDGED)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "digest string, doc_id long, part string, mask int, n long")
+_FLAGS = [("good", pa.bool_()), ("toxic", pa.bool_())]
+_JUDGED = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
+_FOLDED = pa.schema([("bucket", pa.int32()), ("digest", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), *_FLAGS, ("n", pa.int64())])
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _judge(batch: pa.RecordBatch, more: list[str]) -> Counter:
+    """(digest, doc_id, part, mask, more): rows of a batch that agree in all of it are counted."""
+    others = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", *more)))
+    bodies = (b.as_buffer().to_pybytes() if b.is_valid else b"" for b in batch.column("text"))
+    return Counter((hashlib.sha256(b).hexdigest(), i, p, mask_of(b), *flags) for b, (i, p, *flags) in zip(bodies, others))
 
 
-_JUDGED = pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
-_FOLDED = pa.schema([("bucket", pa.int32()), ("digest", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())])
+def _fold(rows: Counter, buckets: int) -> Counter:
+    """Rows for the state: of each text of a batch those with the smallest id. The others, and those without an id, are counts: their digest is null, and their mask is final."""
+    least: dict[str, int] = {}
+    for digest, i, *_ in rows:
+        if i is not None and i < least.get(digest, i + 1):
+            least[digest] = i
+    out: Counter = Counter()
+    for (digest, i, part, mask, good, toxic), n in rows.items():
+        first = i is not None and i == least[digest]
+        key = (digest, i, part, mask) if first else (None, None, part, mask if i is None else mask | _REPEATED)
+        bucket = int(digest[:8], 16) if first else int(hashlib.md5(f"{part} {mask}".encode()).hexdigest()[:8], 16)
+        out[(bucket % buckets, *key, good, toxic)] += n
+    return out
 
 
-def folded(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows for the state: of each text of a batch those with the smallest id. The others, and those without an id, are counts: their digest is null, and their mask is final."""
+_FOLDED_ROWS = "bucket int, digest string, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
+
+
+def folded(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """Documents (doc_id, part, text) with the flags good and toxic of their id in known, judged and folded in batches of rows.
 
-    def run(batches):
+    Few labels are sent to all tasks before texts are looked at, and one task does
+    all. Many meet the judged rows, without texts, in a shuffle by id, over which
+    rows of one id, or of none, are spread by their text.
+    """
+    flagged = lambda rows: rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+    if few_rows(known):
+
+        def all_in_one(batches):
+            for batch in batches:
+                yield _batch(_fold(_judge(batch, ["good", "toxic"]), buckets), _FOLDED)
+
+        return flagged(docs.join(F.broadcast(known), "doc_id", "left")).mapInArrow(all_in_one, _FOLDED_ROWS)
+
+    def judge(batches):
         for batch in batches:
-            least: dict[str, int] = {}
-            rows = list(zip(*[batch.column(c).to_pylist() for c in ("digest", "doc_id", "part", "mask", "good", "toxic", "n")]))
-            for digest, i, *_ in rows:
-                if i is not None and i < least.get(digest, i + 1):
-                    least[digest] = i
-            out: Counter = Counter()
-            for digest, i, part, mask, good, toxic, n in rows:
-                first = i is not None and i == least[digest]
-                key = (digest, i, part, mask) if first else (None, None, part, mask if i is None else mask | _REPEATED)
-                bucket = int(digest[:8], 16) if first else int(hashlib.md5(f"{part} {mask}".encode()).hexdigest()[:8], 16)
-                out[(bucket % buckets, *key, good, toxic)] += n
-            yield _batch([(*k, n) for k, n in out.items()], _FOLDED)
-
-    return rows.mapInArrow(run, "bucket int, digest string, doc_id long, part string, mask int, good boolean, toxic boolean, n long")
+            yield _batch(_judge(batch, []), _JUDGED)
+
+    def fold(batches):
+        for batch in batches:
+            rows: Counter = Counter()
+            for *key, n in zip(*[batch.column(c).to_pylist() for c in ("digest", "doc_id", "part", "mask", "good", "toxic", "n")]):
+                rows[tuple(key)] += n
+            yield _batch(_fold(rows, buckets), _FOLDED)
+
+    rows = docs.mapInArrow(judge, "digest string, doc_id long, part string, mask int, n long")
+    salt = F.pmod(F.xxhash64("digest"), F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(SALT)).cast("int")
+    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return flagged(rows.withColumn("salt", salt).join(copies, ["doc_id", "salt"], "left")).mapInArrow(fold, _FOLDED_ROWS)
 
 
 def retracted(key: tuple, frames, state):
@@ -165,21 +187,14 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, doc_id: str = "d
     known = materialise(known.where("good or toxic"))
     pattern, size = _listed(spark, path)
     files = spark.readStream.schema(table.select(doc_id, text, part).schema).option("maxBytesPerTrigger", max(batch_bytes, size // MOST_BATCHES)).parquet(pattern)
-    rows = judged(files, doc_id, text, part)
-    if few_rows(known):
-        rows = rows.join(F.broadcast(known), "doc_id", "left")
-    else:  # rows of one id, or of none, are spread by their text
-        copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        salt = F.pmod(F.xxhash64("digest"), F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(SALT)).cast("int")
-        rows = rows.withColumn("salt", salt).join(copies, ["doc_id", "salt"], "left")
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}).select("digest", "doc_id", "part", "mask", "good", "toxic", "n")
-    changes = folded(rows, buckets).groupBy("bucket").applyInPandasWithState(retracted, _CHANGES, "texts string", "append", "NoTimeout")
+    docs = files.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(text).cast("string").cast("binary").alias("text"))
+    changes = folded(docs, known, buckets).groupBy("bucket").applyInPandasWithState(retracted, _CHANGES, "texts string", "append", "NoTimeout")
     told = new_path(spark, "changes")
 
     def tell(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{told}/batch={number}")
 
-    with settings(spark, _STORE):
+    with settings(spark, _STREAM):
         query = changes.writeStream.foreachBatch(tell).outputMode("append").option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     empty = spark.createDataFrame([], _CHANGES)
