@@ -168,20 +168,29 @@ def range_azimuth(snapshots: DataFrame, x: np.ndarray, angles: np.ndarray | None
     return snapshots.groupBy("capture_id", "frame").applyInPandas(frame, "capture_id string, frame int, range_idx int, db array<double>")
 
 
+def elevation_beams(x: np.ndarray, y: np.ndarray, az: list[float], el: list[float]) -> np.ndarray:
+    """(elevations, azimuths, antennas): conjugated phases of plane waves over antenna places in wavelengths."""
+    a, e = np.deg2rad(np.asarray(az, float)), np.deg2rad(np.asarray(el, float))
+    return np.exp(-2j * np.pi * (np.sin(a)[None, :, None] * np.cos(e)[:, None, None] * np.asarray(x) + np.sin(e)[:, None, None] * np.asarray(y)))
+
+
+def elevation_map(snapshot: np.ndarray, beams: np.ndarray, shift: bool = True) -> np.ndarray:
+    """Power of a snapshot in all directions, in dB below the maximum; -100 if there is none."""
+    p = np.abs(beams @ snapshot) ** 2
+    p = np.fft.fftshift(p, axes=1) if shift else p
+    return 10 * np.log10(p / p.max() + 1e-12) if p.max() > 0 else np.full(p.shape, -100.0)
+
+
 def azimuth_elevation(snapshots: DataFrame, range_bin: int, x: np.ndarray, y: np.ndarray, az: list[float], el: list[float], remove_static: bool = False, shift: bool = True) -> DataFrame:
     """(capture_id, frame, el_deg, az_deg, db): power of the mean snapshot over a grid of directions, relative to the frame's maximum (-100 for an empty frame).
 
     Removing the static part and then averaging leaves nothing but rounding,
     so it isn't the default.
     """
-    a, e = np.deg2rad(np.asarray(az, float)), np.deg2rad(np.asarray(el, float))
-    waves = np.sin(a)[None, :, None] * np.cos(e)[:, None, None] * np.asarray(x) + np.sin(e)[:, None, None] * np.asarray(y)
-    beams = np.exp(-2j * np.pi * waves)  # (elevations, azimuths, antennas)
+    beams = elevation_beams(x, y, az, el)
 
     def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        p = np.abs(beams @ _loops_of(rows, remove_static).mean(axis=0)) ** 2
-        p = np.fft.fftshift(p, axes=1) if shift else p
-        db = 10 * np.log10(p / p.max() + 1e-12) if p.max() > 0 else np.full(p.shape, -100.0)
+        db = elevation_map(_loops_of(rows, remove_static).mean(axis=0), beams, shift)
         return pd.DataFrame({"capture_id": key[0], "frame": key[1], "el_deg": np.asarray(el, float), "db": list(db)})
 
     found = _at(snapshots, range_bin).groupBy("capture_id", "frame").applyInPandas(frame, "capture_id string, frame int, el_deg double, db array<double>")
@@ -189,28 +198,35 @@ def azimuth_elevation(snapshots: DataFrame, range_bin: int, x: np.ndarray, y: np
     return found.select("capture_id", "frame", "el_deg", F.posexplode("db").alias("i", "db")).select("capture_id", "frame", "el_deg", F.element_at(labels, F.col("i") + 1).alias("az_deg"), "db")
 
 
-def antenna_order(snapshots: DataFrame, x: np.ndarray, range_bin: int | None = None) -> DataFrame:
-    """(capture_id, order array, conjugated): the order of at most six antennas that makes the sharpest spectrum, from frame 0 alone.
+def sharpest_order(z: np.ndarray, vectors: np.ndarray, range_bin: int | None = None) -> tuple[list[int], bool]:
+    """Order of the antennas of a frame (bins, loops, antennas), and whether conjugated, that makes the sharpest spectrum.
 
     With a range bin (one-dimensional spectra) sharpness is maximum minus median,
     else the bin of most energy is taken and sharpness is maximum by median.
     Plain before conjugated, orders in lexicographic order; the first best wins.
     """
+    at = range_bin if range_bin is not None else int((np.abs(z) ** 2).sum(axis=(1, 2)).argmax())
+    strongest = z[at][(np.abs(z[at]) ** 2).sum(axis=1).argmax()]
+    orders = list(itertools.permutations(range(z.shape[2])))
+    tried = np.concatenate([strongest[np.array(orders)], strongest.conj()[np.array(orders)]])
+    power = np.abs(tried @ vectors.conj().T) ** 2
+    middle = np.median(power, axis=1)
+    k = int((power.max(axis=1) - middle if range_bin is not None else power.max(axis=1) / (middle + 1e-9)).argmax())
+    return list(orders[k % len(orders)]), k >= len(orders)
+
+
+#: Most antennas that are ordered: their orders are all tried.
+MOST_ORDERED = 6
+
+
+def antenna_order(snapshots: DataFrame, x: np.ndarray, range_bin: int | None = None) -> DataFrame:
+    """(capture_id, antennas array, conjugated): sharpest_order of each capture's frame 0."""
     vectors = kernels.steering(np.asarray(x), np.sin(np.deg2rad(np.arange(-90.0, 91.0))))
 
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        z = _cube_of(rows)
-        at = range_bin if range_bin is not None else int((np.abs(z) ** 2).sum(axis=(1, 2)).argmax())
-        strongest = z[at][(np.abs(z[at]) ** 2).sum(axis=1).argmax()]
-        orders = list(itertools.permutations(range(len(x))))
-        tried = np.concatenate([strongest[np.array(orders)], strongest.conj()[np.array(orders)]])
-        power = np.abs(tried @ vectors.conj().T) ** 2
-        middle = np.median(power, axis=1)
-        sharp = power.max(axis=1) - middle if range_bin is not None else power.max(axis=1) / (middle + 1e-9)
-        k = int(sharp.argmax())
-        return pd.DataFrame([(key[0], list(orders[k % len(orders)]), k >= len(orders))], columns=["capture_id", "antennas", "conjugated"])
-
-    if len(x) > 6:
+        return pd.DataFrame([(key[0], *sharpest_order(_cube_of(rows), vectors, range_bin))], columns=["capture_id", "antennas", "conjugated"])
+
+    if len(x) > MOST_ORDERED:
         raise ValueError("at most six antennas can be ordered")
     return snapshots.where("frame = 0").groupBy("capture_id").applyInPandas(best, "capture_id string, antennas array<int>, conjugated boolean")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 from sweepframe.functions.signal import C0
-from sweepframe.operators import ranges
+from sweepframe.operators import ranges, temporal
 from sweepframe.operators.logconfig import SLOPE_LSB, START_GHZ
 from sweepframe.plans import recorded
-from sweepframe.plans.catalog import _AMPLITUDES, _SHARES, _longs, query, rounded
+from sweepframe.plans.catalog import _AMPLITUDES, _SHARES, _longs, band_pass_sql, query, rounded
 from sweepframe.sources import derived
 
 PI2 = 2 * np.pi
@@ -72,3 +72,32 @@ def w1_recorded_targets(spark, sf_dir):
 @query(f"WITH {_RD},\nv AS (SELECT capture_id, frame, avg(mag) AS signal FROM rd WHERE r BETWEEN 1 AND 7 GROUP BY capture_id, frame)," + _AMPLITUDES.replace("15.0", "fps").replace("FROM s, range", "FROM s JOIN par USING (capture_id), range").replace("capture_id, k, nf\n", "capture_id, k, nf, fps\n").replace("k, nf)", "k, nf, fps)") + _SHARES)
 def w3_recorded_vitals(spark, sf_dir):
     return rounded(recorded.vital_signs(_recordings(spark, sf_dir), None, 4, 3), 4)
+
+
+#: Metres at which the angle spectra and the displacement of recordings are taken: another bin by range step.
+_METRES = 2.0
+_BIN = f"kb AS (SELECT capture_id, CAST(round({_METRES} / width) AS INT) AS kb FROM par)"
+
+
+@query(f"""WITH {_RD},
+{_BIN},
+aw AS (SELECT *, (re - avg(re) OVER w) * (0.5 - 0.5 * cos({PI2!r} * n / (ns - 1))) AS a, (im - avg(im) OVER w) * (0.5 - 0.5 * cos({PI2!r} * n / (ns - 1))) AS b FROM sc WINDOW w AS (PARTITION BY capture_id, frame, chirp, rx)),
+af AS (SELECT capture_id, frame, chirp // stride AS l, (chirp % stride) * nrx + rx AS ant, stride * nrx AS na, kb, {_dft('kb', 'n', 'ns')} FROM (SELECT aw.capture_id, frame, chirp, rx, n, aw.ns, aw.stride, nrx, kb, a AS re, b AS im FROM aw JOIN par USING (capture_id) JOIN kb USING (capture_id)) GROUP BY ALL),
+st AS (SELECT capture_id, frame, l, ant, na, kb, (re - avg(re) OVER w) * h AS re, (im - avg(im) OVER w) * h AS im, {PI2!r} * CASE WHEN capture_id = '0' THEN CAST([0, 0.4, 1.1, 1.5] AS DOUBLE[])[ant + 1] ELSE 0.5 * (ant - (na - 1) / 2.0) END AS x FROM (SELECT *, 0.54 - 0.46 * cos({PI2!r} * ant / (na - 1)) AS h FROM af) WINDOW w AS (PARTITION BY capture_id, frame, ant)),
+bm AS (SELECT capture_id, frame, kb, l, a, sum(re * cos(x * sin(radians(a - 90))) + im * sin(x * sin(radians(a - 90)))) ** 2 + sum(im * cos(x * sin(radians(a - 90))) - re * sin(x * sin(radians(a - 90)))) ** 2 AS p FROM st, range(181) t(a) GROUP BY ALL),
+db AS (SELECT capture_id, frame, kb, a, 10 * log10(greatest(avg(p), 1e-12)) AS db FROM bm GROUP BY ALL)
+SELECT capture_id, frame, kb AS range_idx, a AS angle_idx, round(db - max(db) OVER (PARTITION BY capture_id, frame), 4) + 0.0 AS db FROM db""")
+def w1_recorded_angles(spark, sf_dir):
+    return _longs(rounded(ranges.cells(recorded.angle_spectrum(_recordings(spark, sf_dir), _METRES, None), "angle_idx", "db"), 4))
+
+
+@query(f"""WITH {_RD},
+{_BIN},
+ph AS (SELECT capture_id, rx, frame AS t, atan2(im, re) AS p FROM sf JOIN kb USING (capture_id) WHERE l = 0 AND k = kb),
+tn AS (SELECT *, CASE WHEN p - lag(p) OVER w > pi() THEN -1 WHEN p - lag(p) OVER w <= -pi() THEN 1 ELSE 0 END AS turn FROM ph WINDOW w AS (PARTITION BY capture_id, rx ORDER BY t)),
+dp AS (SELECT capture_id, rx, t, fps, CAST(greatest(1, round_even(0.5 * fps, 0)) AS INT) AS half, max(t) OVER (PARTITION BY capture_id, rx) AS last, (p + {PI2!r} * sum(turn) OVER (PARTITION BY capture_id, rx ORDER BY t)) * (step * 2 * 8 * 50e-6 * stride / {4 * np.pi!r}) AS x FROM tn JOIN par USING (capture_id))
+SELECT d.capture_id, d.rx, d.t, round(sum(x.x * {band_pass_sql(0.1, '0.6', 'd.fps', 'd.half')}), 9) + 0.0 AS breathing_m, round(sum(x.x * {band_pass_sql(0.8, '3.5', 'd.fps', 'd.half')}), 9) + 0.0 AS heart_m
+FROM dp d, range(-40, 41) r(j), dp x WHERE x.capture_id = d.capture_id AND x.rx = d.rx AND abs(j) <= d.half AND x.t = greatest(0, least(d.last, d.t - j)) GROUP BY d.capture_id, d.rx, d.t""")
+def w3_recorded_displacement(spark, sf_dir):
+    moved = recorded.displacement(_recordings(spark, sf_dir), _METRES, None)
+    return _longs(rounded(temporal.displacement_bands(moved, "fps", 0.5, 16), 9))

@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepframe.functions import kernels
-from sweepframe.functions.signal import bin_width_m, velocity_step
+from sweepframe.functions.scratch import join_small, materialise
+from sweepframe.functions.signal import C0, bin_width_m, velocity_step
 from sweepframe.operators import angles, detection, doppler, logconfig, ranges, temporal
 from sweepframe.sources import captures
 
 #: What a task must know of a capture.
-SETTINGS = ["lanes", "n_samples", "n_rx", "chirps", "stride", "tx_masks", "interleaved", "real", "full", "swap", "bits", "frames", "frame_words", "start_hz", "slope", "rate", "idle_s", "ramp_s", "fps", "chip", "bias_phase", "rotation"]
-#: Bytes of one range of a capture.
-SPLIT = 16 << 20
+SETTINGS = ["lanes", "n_samples", "n_rx", "chirps", "stride", "tx_masks", "interleaved", "real", "full", "swap", "bits", "frames", "frame_words", "start_hz", "slope", "rate", "idle_s", "ramp_s", "fps", "chip", "bias_phase", "rotation", "places_x", "places_y"]
 RANGES_A_TASK = 4
 
 
@@ -40,7 +39,7 @@ def settings(lines: DataFrame) -> DataFrame:
         F.coalesce(F.col("iq_order") == "QI", F.lit(False)).alias("swap"), F.coalesce("adc_bits", F.lit(16)).cast("int").alias("bits"), F.col("frames").cast("long").alias("frames"),
         (F.col("chirps_per_frame") * F.col("num_rx") * F.col("num_samples") * F.when(real, 1).otherwise(2)).cast("long").alias("frame_words"),
         (F.col("start_freq_ghz") * 1e9).alias("start_hz"), (F.col("slope_mhz_us") * 1e12).alias("slope"), F.coalesce(F.col("fs_mhz") * 1e6, F.lit(0.0)).alias("rate"), (F.col("idle_us") / 1e6).alias("idle_s"), (F.col("ramp_us") / 1e6).alias("ramp_s"), "fps",
-        F.col("compRangeBiasAndRxChanPhase").alias("bias_phase"), F.col("antPhaseRot").alias("rotation"),
+        F.col("compRangeBiasAndRxChanPhase").alias("bias_phase"), F.col("antPhaseRot").alias("rotation"), F.col("antGeometry0").alias("places_x"), F.col("antGeometry1").alias("places_y"),
     )
     group = F.col("lanes") * F.when(F.col("real"), 1).otherwise(2)
     reason = F.when(~F.coalesce(F.col("lanes").isin(1, 2, 4), F.lit(False)), "lanes").when(~F.coalesce(F.col("n_samples") > 0, F.lit(False)), "samples").when(F.coalesce(F.col("chirps") < 1, F.lit(True)), "chirps").when(F.col("frame_words") % group != 0, "lane groups")
@@ -48,23 +47,38 @@ def settings(lines: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """Captures of a folder with the settings of their logs: capture_id (the path), path, length, SETTINGS, reason (`log` for a capture without one)."""
+    """Recordings of a folder with the settings of their logs: capture_id (the path of the first file), parts, length, SETTINGS, reason (`log` for a recording without one).
+
+    The files X_Raw_0.bin, X_Raw_1.bin, ... are one recording, whose frames may
+    cross from one to the next; `parts` is the reason if one of them is missing.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    numbered = F.regexp_extract("path", r"_Raw_(\d+)\.bin$", 1)
+    found = found.withColumn("number", numbered).withColumn("of", F.when(F.col("number") != "", F.regexp_replace("path", r"\d+\.bin$", "")).otherwise(F.col("path"))).withColumn("part", F.coalesce(F.expr("try_cast(number as int)"), F.lit(0)))
+    parts = found.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("part", "path", "length"))).alias("parts"), F.sum("length").alias("length"), (F.max("part") + 1 == F.count(F.lit(1))).alias("whole"))
+    # sums of the lengths of the files before each are an index from a frame to its bytes
+    start = lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0).cast("long"), lambda s, q: s + q["length"])
+    parts = parts.withColumn("parts", F.transform("parts", lambda p, i: F.struct(p["path"].alias("path"), p["length"].alias("length"), start(p, i).alias("start"))))
     cut = lambda c, n: F.regexp_extract(c, r"^(.*)/([^/]*)$", n)
-    found = found.select(F.col("path").alias("capture_id"), "path", "length", F.concat(cut("path", 1), F.lit("/"), captures.log_name(cut("path", 2))).alias("log"))
+    path = F.col("parts")[0]["path"]
+    parts = parts.select(path.alias("capture_id"), "parts", "length", "whole", F.concat(cut(path, 1), F.lit("/"), captures.log_name(cut(path, 2))).alias("log"))
     lines = captures.read_logs(spark, f"{folder}/*_LogFile.txt").withColumnRenamed("path", "log")
-    known = settings(found.join(lines, "log").select("capture_id", "line_no", "line"))
-    return found.drop("log").join(known, "capture_id", "left").withColumn("reason", F.when(F.col("frame_words").isNull() & F.col("reason").isNull(), "log").otherwise(F.col("reason")))
+    known = settings(parts.join(lines, "log").select("capture_id", "line_no", "line"))
+    why = F.when(~F.col("whole"), "parts").when(F.col("frame_words").isNull() & F.col("reason").isNull(), "log").otherwise(F.col("reason"))
+    return parts.drop("log").join(known, "capture_id", "left").withColumn("reason", why).drop("whole")
 
 
 def splits(found: DataFrame, declared: bool = True) -> DataFrame:
-    """Ranges of frames of the captures that can be decoded. declared: at most the frames that the log declares; a frame cut short at the end is dropped."""
+    """Ranges of frames of the recordings that can be decoded, with the pieces of files that hold them. declared: at most the frames that the log declares; a frame cut short at the end is dropped."""
     whole = F.expr("length div (2 * frame_words)")
     n = F.least(whole, F.col("frames")) if declared else whole
-    rows = found.where("reason is null").withColumn("__n", n).withColumn("__step", F.greatest(F.lit(1), F.expr(f"{SPLIT} div (2 * frame_words)"))).where("__n > 0")
+    rows = found.where("reason is null").withColumn("__n", n).withColumn("__step", F.greatest(F.lit(1), F.expr(f"{captures.SPLIT} div (2 * frame_words)"))).where("__n > 0")
     rows = rows.withColumn("first", F.explode(F.expr("sequence(0L, __n - 1, __step)"))).withColumn("count", F.least("__step", F.col("__n") - F.col("first")))
-    rows = rows.select("capture_id", "path", "first", "count", *SETTINGS)
-    return rows.repartition(max(1, rows.count() // RANGES_A_TASK), "path", "first")
+    begin, end = F.col("first") * 2 * F.col("frame_words"), (F.col("first") + F.col("count")) * 2 * F.col("frame_words")
+    low, high = lambda p: F.greatest(begin, p["start"]), lambda p: F.least(end, p["start"] + p["length"])
+    pieces = F.transform(F.filter("parts", lambda p: low(p) < high(p)), lambda p: F.struct(p["path"].alias("path"), (low(p) - p["start"]).alias("offset"), (high(p) - low(p)).alias("bytes")))
+    rows = rows.select("capture_id", pieces.alias("pieces"), "first", "count", *SETTINGS)
+    return rows.repartition(max(1, rows.count() // RANGES_A_TASK), "capture_id", "first")
 
 
 def cut_words(words: DataFrame, known: DataFrame, declared: bool = True) -> DataFrame:
@@ -77,17 +91,10 @@ def cut_words(words: DataFrame, known: DataFrame, declared: bool = True) -> Data
 
 
 def _frames(row: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """(frame, words) of a range of a file, or of a row that has its words."""
-    if row.get("path") is None:
-        yield int(row["first"]), np.asarray(row["words"])
-        return
-    from pyarrow import fs
-
-    system, inside = fs.FileSystem.from_uri(row["path"])
-    size = 2 * int(row["frame_words"])
-    with system.open_input_file(inside) as file:
-        for f in range(int(row["first"]), int(row["first"] + row["count"])):
-            yield f, np.frombuffer(file.read_at(size, size * f), "<i2")
+    """(frame, words) of a range of files, or of a row that has its words."""
+    if row.get("pieces") is None:
+        return iter([(int(row["first"]), np.asarray(row["words"]))])
+    return captures.read_frames([(p["path"], p["offset"], p["bytes"]) for p in row["pieces"]], int(row["first"]), int(row["count"]), 2 * int(row["frame_words"]))
 
 
 def by_frame(rows: DataFrame, step: Callable[[dict, int, np.ndarray], pd.DataFrame], schema: str, lane_order: list[int] | None = None) -> DataFrame:
@@ -169,25 +176,62 @@ def virtual_array(s: dict, z: np.ndarray, mode: str = "MIMO") -> np.ndarray:
     return np.moveaxis(z, 2, 0)
 
 
-def range_azimuth(rows: DataFrame, n_fft: int | None = 256, method: str = "bartlett", mode: str = "MIMO", order: list[int] | None = None, calibrated: bool = True, remove_static: bool = True, shift: bool = True) -> DataFrame:
-    """(capture_id, frame, range_idx, fps, db array over -90 to 90 degrees): half-spectrum maps relative to their maximum.
+def antennas(s: dict, x: np.ndarray, n_fft: int | None, mode: str = "MIMO", order: list[int] | None = None, calibrated: bool = True, half: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A frame as (bins, loops, antennas), and the places of the antennas in wavelengths.
 
-    The antennas stand where the chip has them, in the given order if it fits,
-    and are turned by the calibration of the log.
+    The antennas are in the given order, or the one found for the capture
+    (with_orders), if it fits, are turned by the calibration of the log, and
+    stand where the log says or else where the chip has them.
     """
+    z = virtual_array(s, range_spectra(s, x, n_fft, half), mode)
+    n, given = z.shape[-1], lambda name: None if s.get(name) is None else list(s[name])
+    found = given("antennas")
+    if order and len(order) == n:
+        z = z[..., order]
+    elif not order and found and len(found) == n:
+        z = z[..., found].conj() if s["conjugated"] else z[..., found]
+    turn = angles.calibration(n, given("bias_phase"), given("rotation")) if calibrated else None
+    z = z if turn is None else z * turn.conj()
+    explicit = (given("places_x"), given("places_y") or []) if given("places_x") else None
+    return z, *angles.geometry(n, s["n_rx"], s["chip"] or "", explicit)
+
+
+def antenna_orders(rows: DataFrame, n_fft: int | None = 256, mode: str = "MIMO", metres: float | None = None) -> DataFrame:
+    """(capture_id, antennas, conjugated): the order that makes the sharpest spectrum on frame 0 of each recording, at a distance or at the bin of most energy. Recordings of more than six antennas have none."""
+    sines = np.sin(np.deg2rad(np.arange(-90.0, 91.0)))
+
+    def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
+        z, places, _ = antennas(s, x, n_fft, mode, calibrated=False, half=metres is None)
+        if len(places) > angles.MOST_ORDERED:
+            return pd.DataFrame({"capture_id": [], "antennas": [], "conjugated": []}, dtype=object)
+        found = angles.sharpest_order(z, kernels.steering(places, sines), None if metres is None else bin_at(s, n_fft, len(z), metres))
+        return pd.DataFrame([(s["capture_id"], *found)], columns=["capture_id", "antennas", "conjugated"])
+
+    first = rows.where("first = 0")
+    first = first.withColumn("count", F.lit(1).cast("long")) if "count" in first.columns else first
+    return by_frame(first, step, "capture_id string, antennas array<int>, conjugated boolean")
+
+
+def with_orders(rows: DataFrame, n_fft: int | None = 256, mode: str = "MIMO", metres: float | None = None) -> DataFrame:
+    """rows with the antenna order of their recording: found on the first frame, sent to all ranges."""
+    return join_small(rows, materialise(antenna_orders(rows, n_fft, mode, metres)), "capture_id", "left")
+
+
+def bin_at(s: dict, n_fft: int | None, bins: int, metres: float | None) -> int:
+    """The range bin nearest to a distance by the recording's own range step; the middle one without a distance."""
+    return angles.range_bin_at(bins, metres, bin_width_m(n_fft or 1 << (s["n_samples"] - 1).bit_length(), s["rate"], s["slope"]), bins // 2)
+
+
+def range_azimuth(rows: DataFrame, n_fft: int | None = 256, method: str = "bartlett", mode: str = "MIMO", order: list[int] | str | None = None, calibrated: bool = True, remove_static: bool = True, shift: bool = True) -> DataFrame:
+    """(capture_id, frame, range_idx, fps, db array over -90 to 90 degrees): half-spectrum maps relative to their maximum. order `auto`: as with_orders finds it."""
     if method not in ("bartlett", "capon"):
         raise ValueError(f"no such method: {method}")
     sines = np.sin(np.deg2rad(np.arange(-90.0, 91.0)))
+    rows, order = (with_orders(rows, n_fft, mode), None) if order == "auto" else (rows, order)
 
     def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
-        z = virtual_array(s, range_spectra(s, x, n_fft, half=True), mode)
-        n = z.shape[-1]
-        z = z[..., order] if order and len(order) == n else z
-        given = lambda name: None if s[name] is None else list(s[name])
-        turn = angles.calibration(n, given("bias_phase"), given("rotation")) if calibrated else None
-        z = z if turn is None else z * turn.conj()
+        z, places, _ = antennas(s, x, n_fft, mode, order, calibrated, half=True)
         z = z - z.mean(axis=1, keepdims=True) if remove_static else z
-        places, _ = angles.geometry(n, s["n_rx"], s["chip"] or "")
         p = (kernels.capon if method == "capon" else kernels.bartlett)(z, kernels.steering(places, sines))
         db = 10 * np.log10(np.maximum(np.fft.fftshift(p, axes=-1) if shift else p, 1e-12))
         return pd.DataFrame({"capture_id": s["capture_id"], "frame": np.int32(frame), "range_idx": np.arange(len(db), dtype=np.int32), "fps": s["fps"], "db": list(db - db.max())})
@@ -195,9 +239,59 @@ def range_azimuth(rows: DataFrame, n_fft: int | None = 256, method: str = "bartl
     return by_frame(rows, step, "capture_id string, frame int, range_idx int, fps double, db array<double>")
 
 
+def angle_spectrum(rows: DataFrame, metres: float | None = None, n_fft: int | None = 256, mode: str = "MIMO", order: list[int] | str | None = None, calibrated: bool = True, remove_static: bool = True) -> DataFrame:
+    """(capture_id, frame, range_idx, db array over -90 to 90 degrees): the Bartlett spectrum at a distance, relative to the frame's maximum."""
+    sines = np.sin(np.deg2rad(np.arange(-90.0, 91.0)))
+    rows, order = (with_orders(rows, n_fft, mode, metres), None) if order == "auto" else (rows, order)
+
+    def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
+        z, places, _ = antennas(s, x, n_fft, mode, order, calibrated)
+        at = bin_at(s, n_fft, len(z), metres)
+        z = z[at : at + 1] - (z[at].mean(axis=0) if remove_static else 0)
+        db = 10 * np.log10(np.maximum(kernels.bartlett(z, kernels.steering(places, sines))[0], 1e-12))
+        return pd.DataFrame({"capture_id": s["capture_id"], "frame": np.int32(frame), "range_idx": np.int32(at), "db": [db - db.max()]})
+
+    return by_frame(rows, step, "capture_id string, frame int, range_idx int, db array<double>")
+
+
+def azimuth_elevation(rows: DataFrame, az: list[float], el: list[float], metres: float | None = None, n_fft: int | None = 256, mode: str = "MIMO", calibrated: bool = True, shift: bool = True) -> DataFrame:
+    """(capture_id, frame, range_idx, el_deg, db array over az): power of the mean snapshot at a distance over a grid of directions."""
+
+    def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
+        z, px, py = antennas(s, x, n_fft, mode, None, calibrated)
+        at = bin_at(s, n_fft, len(z), metres)
+        db = angles.elevation_map(z[at].mean(axis=0), angles.elevation_beams(px, py, az, el), shift)
+        return pd.DataFrame({"capture_id": s["capture_id"], "frame": np.int32(frame), "range_idx": np.int32(at), "el_deg": np.asarray(el, float), "db": list(db)})
+
+    return by_frame(rows, step, "capture_id string, frame int, range_idx int, el_deg double, db array<double>")
+
+
+def frame_counts(rows: DataFrame) -> DataFrame:
+    """(capture_id, frames) of splits or cut_words."""
+    last = F.col("first") + (F.col("count") if "count" in rows.columns else F.lit(1))
+    return rows.groupBy("capture_id").agg(F.max(last).cast("int").alias("frames"))
+
+
 def movement(rows: DataFrame, n_fft: int | None = 256, band: str = "movement", **how) -> DataFrame:
     """(capture_id, range_idx, angle_idx, db): the movement map of each capture at its own frame rate; one shuffle of maps."""
-    return temporal.movement_map(range_azimuth(rows, n_fft, **how), band, "fps")
+    return temporal.movement_map(range_azimuth(rows, n_fft, **how), band, "fps", counts=frame_counts(rows))
+
+
+def movement_by_window(rows: DataFrame, n_fft: int | None = 256, frames: int = 32, hop: int | None = None, band: str = "movement", **how) -> DataFrame:
+    """(capture_id, window_idx, range_idx, angle_idx, db): the movement map of each window of frames, at the recording's own frame rate."""
+    return temporal.movement_by_window(range_azimuth(rows, n_fft, **how), frames, hop, band, "fps")
+
+
+def displacement(rows: DataFrame, metres: float | None = None, n_fft: int | None = 256) -> DataFrame:
+    """(capture_id, rx, t, fps, displacement_m): unwrapped phase of each frame's first chirp of one transmitter at a distance, in metres by the recording's own wavelength; t counts frames."""
+
+    def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
+        z = range_spectra(s, one_transmitter(s, x)[0][:1], n_fft)[0]
+        z = z[:, bin_at(s, n_fft, z.shape[1], metres)]
+        return pd.DataFrame({"capture_id": s["capture_id"], "rx": np.arange(len(z), dtype=np.int32), "t": np.int64(frame), "fps": s["fps"], "wavelength": C0 / s["start_hz"], "re": z.real, "im": z.imag})
+
+    cells = materialise(by_frame(rows, step, "capture_id string, rx int, t long, fps double, wavelength double, re double, im double"))
+    return join_small(temporal.phase_displacement(cells, "wavelength"), materialise(cells.groupBy("capture_id").agg(F.max("fps").alias("fps"))), "capture_id")
 
 
 def profiles(rows: DataFrame, n_fft: int | None = 256) -> DataFrame:

@@ -106,6 +106,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         text("API:DataFmtConfig,", either(k % 2 == 0, 3, 1), ",2,1,", either(k == 3, 1, 0), ",0,1,"),
         text("API:AdcOutConfig,2,", either(k == 2, 0, 1), ",", either(k % 2 == 0, 1, 0), ","),
         text("API:LaneConfig,", either(k % 2 == 0, 3, 15), ","),
+        F.when(k == 0, text("API:antGeometry0,0,0.4,1.1,1.5,")),
     ]
     every = F.array(*[F.when(line.isNotNull(), F.struct(F.lit(i).alias("line_no"), line.alias("line"))) for i, line in enumerate(lines)])
     logs = regions.select(k.cast("string").alias("capture_id"), F.explode(F.array_compact(every)).alias("l")).select("capture_id", "l.line_no", "l.line")

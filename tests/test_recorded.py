@@ -1,11 +1,16 @@
 """Captures and logs from a folder to results, against the workloads with constant parameters."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweepframe.operators import cube, ranges, temporal
+from sweepframe.functions import kernels
+from sweepframe.functions.signal import C0
+from sweepframe.operators import angles, cube, logconfig, ranges, temporal
 from sweepframe.plans import recorded, workflows
+from sweepframe.sources import captures
 
 #: name, receivers, samples, chirps of the pattern, frames in the file, frames declared, frame ticks
 CAPTURES = [("a", 2, 16, 2, 6, 100, 8_000_000), ("b", 4, 8, 1, 40, 100, 10_000_000), ("c", 1, 32, 2, 9, 7, 20_000_000)]
@@ -70,7 +75,7 @@ def test_targets_of_files(spark, folder, rows):
 
 
 def test_a_capture_in_several_ranges(spark, folder, rows, monkeypatch):
-    monkeypatch.setattr(recorded, "SPLIT", 3 * 1024)
+    monkeypatch.setattr(captures, "SPLIT", 3 * 1024)
     split = recorded.splits(recorded.files(spark, f"file://{folder}"))
     assert split.count() > rows.count() and split.agg(F.sum("count")).first()[0] == 6 + 40 + 7
     key = lambda df: sorted(map(tuple, recorded.profiles(df, None).select("capture_id", "frame", "mag").collect()))
@@ -116,3 +121,116 @@ def test_rows_of_different_lengths_and_nulls(spark):
 def test_raw_words_are_not_shuffled(rows):
     plan = recorded.movement(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") + plan.count("PythonMapInArrow") == 1 and plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_recordings_in_several_files(spark, folder, rows, tmp_path):
+    """The same bytes in files that are cut anywhere, within words and frames, and shorter than a frame."""
+    name, rx, n, stride, *_ = CAPTURES[0]
+    body = (folder / f"{name}_Raw_0.bin").read_bytes()
+    size = LOOPS * stride * rx * n * 2 * 2
+    cuts = [0, size + 7, size + 9, 3 * size + 1, len(body)]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / f"{name}_Raw_{k}.bin").write_bytes(body[a:b])
+    (tmp_path / f"{name}_LogFile.txt").write_text((folder / f"{name}_LogFile.txt").read_text())
+    (tmp_path / "gap_Raw_0.bin").write_bytes(body)
+    (tmp_path / "gap_Raw_2.bin").write_bytes(body)
+    (tmp_path / "gap_LogFile.txt").write_text((folder / f"{name}_LogFile.txt").read_text())
+    found = recorded.files(spark, f"file://{tmp_path}")
+    assert {r["n"]: (r.reason, r.length) for r in found.select(name_of().alias("n"), "reason", "length").collect()} == {"a": (None, len(body)), "gap": ("parts", 2 * len(body))}
+    frames = lambda df: sorted((r.frame, *r.mag) for r in recorded.profiles(df, None).where(name_of() == "a").collect())
+    assert frames(recorded.splits(found)) == frames(rows)
+    one_each = recorded.splits(found).withColumn("first", F.explode(F.expr("sequence(first, first + count - 1)")))
+    assert one_each.count() == 6
+
+
+def test_ranges_of_split_recordings(spark, folder, rows, tmp_path, monkeypatch):
+    name = CAPTURES[0][0]
+    body = (folder / f"{name}_Raw_0.bin").read_bytes()
+    for k, (a, b) in enumerate(((0, 5000), (5000, len(body)))):
+        (tmp_path / f"{name}_Raw_{k}.bin").write_bytes(body[a:b])
+    (tmp_path / f"{name}_LogFile.txt").write_text((folder / f"{name}_LogFile.txt").read_text())
+    monkeypatch.setattr(captures, "SPLIT", 3 * 1024)
+    split = recorded.splits(recorded.files(spark, f"file://{tmp_path}"))
+    assert split.count() == 6 and sum(len(r.pieces) for r in split.collect()) == 7
+    frames = lambda df: sorted((r.frame, *r.mag) for r in recorded.profiles(df, None).where(name_of() == "a").collect())
+    assert frames(split) == frames(rows)
+
+
+def plane_wave(places, angle, loops, bins_at, n, phase=0.0):
+    """(chirps of one transmitter, receivers, samples): a target at a bin and angle whose phase turns from chirp to chirp."""
+    tone = np.exp(2j * np.pi * bins_at * np.arange(n) / n)
+    wave = np.exp(2j * np.pi * np.asarray(places) * np.sin(np.deg2rad(angle)))
+    return np.exp(1j * (phase + 2.1 * np.arange(loops)))[:, None, None] * wave[None, :, None] * tone
+
+
+def record(folder, name, x, *more):
+    """Chirps x receivers x samples as a file of interleaved complex words on two lanes, and its log."""
+    rx, n = x.shape[1:]
+    flat = np.moveaxis(x, 2, 1).reshape(-1, 2)  # samples in file order, two lanes a group
+    words = np.concatenate([flat.real, flat.imag], axis=1)
+    (folder / f"{name}_Raw_0.bin").write_bytes(np.round(words * 8000).astype("<i2").tobytes())
+    (folder / f"{name}_LogFile.txt").write_text("\n".join([log(rx, n, 1, 100, 8_000_000, 3), *more]))
+
+
+def test_places_and_orders_of_antennas_in_the_log(spark, tmp_path):
+    places = [0.0, 0.5, 1.0, 1.5]
+    own = [0.0, 0.3, 1.0, 1.6]
+    wave = lambda p, angle: plane_wave(p, angle, LOOPS, 5, 32)
+    record(tmp_path, "plain", wave(places, 20))
+    record(tmp_path, "placed", wave(own, -35), "API:antGeometry0," + ",".join(map(str, own)))
+    record(tmp_path, "swapped", wave(places, 20)[:, [0, 2, 1, 3]])
+    record(tmp_path, "turned", wave(places, 20) * np.exp(1j * np.array([0.0, 1.0, -0.5, 2.0]))[:, None], "API:antPhaseRot,0.0,1.0,-0.5,2.0")
+    rows = recorded.splits(recorded.files(spark, f"file://{tmp_path}"))
+    top = lambda df: {r["n"]: int(np.argmax(r.db)) - 90 for r in df.withColumn("n", name_of()).collect()}
+    metres = 5 * C0 * (5e6 / 32) / (2 * 1657 * logconfig.SLOPE_LSB["77"] * 1e12)
+    plain = recorded.angle_spectrum(rows, metres, None, remove_static=False)
+    assert {r.range_idx for r in plain.collect()} == {5}
+    found = top(plain)
+    assert (found["plain"], found["placed"], found["turned"]) == (20, -35, 20) and found["swapped"] != 20
+    orders = {r["n"]: r for r in recorded.antenna_orders(rows, None, metres=metres).withColumn("n", name_of()).collect()}
+    vectors = kernels.steering(angles.geometry(4, 4, "AWR1642")[0], np.sin(np.deg2rad(np.arange(-90.0, 91.0))))
+    for name, x in (("plain", wave(places, 20)), ("swapped", wave(places, 20)[:, [0, 2, 1, 3]])):
+        z = np.moveaxis(kernels.spectrum(np.round(x * 8000) / 32767, 32, "hann", True, 32), 2, 0)
+        tried = []
+        for conjugated in (False, True):
+            for order in itertools.permutations(range(4)):
+                strongest = z[5][(np.abs(z[5]) ** 2).sum(axis=1).argmax()][list(order)]
+                p = [abs(sum(v * (s.conj() if conjugated else s).conj() for v, s in zip(vector, strongest))) ** 2 for vector in vectors]
+                tried.append((max(p) - np.median(p), list(order), conjugated))
+        best = max(t[0] for t in tried)
+        assert any(abs(t[0] - best) < 1e-9 * best and t[1] == orders[name].antennas and t[2] == orders[name].conjugated for t in tried)
+    automatic = top(recorded.angle_spectrum(rows, metres, None, order="auto", remove_static=False))
+    sharp = {r["n"]: float(np.median(r.db)) for r in recorded.angle_spectrum(rows, metres, None, order="auto", remove_static=False).withColumn("n", name_of()).collect()}
+    assert abs(automatic["swapped"]) == abs(automatic["plain"]) and abs(sharp["swapped"] - sharp["plain"]) < 0.5
+    assert recorded.range_azimuth(rows, None, order="auto").count() == 4 * 17
+    assert recorded.antenna_orders(rows.where("false")).count() == 0
+
+
+def test_azimuth_and_elevation_of_a_grid(spark, tmp_path):
+    x, y = [-0.25, 0.25, -0.25, 0.25], [-0.25, -0.25, 0.25, 0.25]
+    az, el = 30, -20
+    phase = 2 * np.pi * (np.array(x) * np.sin(np.deg2rad(az)) * np.cos(np.deg2rad(el)) + np.array(y) * np.sin(np.deg2rad(el)))
+    wave = np.exp(1j * phase)[None, :, None] * np.exp(2j * np.pi * 5 * np.arange(32) / 32) * np.ones((LOOPS, 1, 1))
+    record(tmp_path, "grid", wave, "API:antGeometry0," + ",".join(map(str, x)), "API:antGeometry1," + ",".join(map(str, y)))
+    rows = recorded.splits(recorded.files(spark, f"file://{tmp_path}"))
+    grid = list(range(-90, 91, 10))
+    found = recorded.azimuth_elevation(rows, grid, grid, 5 * C0 * (5e6 / 32) / (2 * 1657 * logconfig.SLOPE_LSB["77"] * 1e12), None, shift=False).collect()
+    best = max(found, key=lambda r: max(r.db))
+    assert len(found) == len(grid) and best.el_deg == el and grid[int(np.argmax(best.db))] == az and best.range_idx == 5
+
+
+def test_displacement_of_recordings(spark, rows):
+    found = recorded.displacement(rows, 3.0, None).withColumn("n", name_of()).collect()
+    assert {(r["n"], r.rx) for r in found} == {(c[0], k) for c in CAPTURES for k in range(c[1])}
+    assert {r["n"]: round(r.fps, 6) for r in found} == {c[0]: round(1000 / (c[6] * 5 / 1e6), 6) for c in CAPTURES}
+    series = [r.displacement_m for r in sorted(found, key=lambda r: r.t) if r["n"] == "b" and r.rx == 0]
+    assert len(series) == 40 and max(abs(np.diff(series))) <= C0 / 77e9 / 4 * 1.01
+    assert recorded.displacement(rows.where("false")).count() == 0
+
+
+def test_movement_of_windows_of_recordings(spark, rows):
+    maps = recorded.range_azimuth(rows, 32)
+    key = lambda df: {tuple(r)[:4]: r.db for r in df.collect()}
+    got = key(recorded.movement_by_window(rows, 32, 6, 3))
+    assert got == key(temporal.movement_by_window(maps, 6, 3, fps="fps"))
+    assert {k[:2] for k in got if "/b_" in k[0]} == {(k[0], w) for k in got if "/b_" in k[0] for w in range(12)}
