@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import delete, materialise, new_path, scope
 from sweepframe.llm import langid, linededup, mixing, packing, simhash
-from sweepframe.llm.words import word_count
+from sweepframe.llm.words import free_names, word_count
 
 #: Least gain of a document: its log likelihood for each trigram over that of even chance.
 LEAST_GAIN = 0.0
@@ -31,8 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs)
     if not model["names"]:
         return docs.where(langid.has_letter(F.col("text")))
-    found = langid.identify(docs, model, into="__language").where(F.col("__language.gain") >= LEAST_GAIN)
-    return found.withColumn("lang", F.when(F.col("lang") != "", F.col("lang")).otherwise(F.col("__language.lang_pred"))).select(*docs.columns)
+    (own,) = free_names(docs, "language")
+    found = langid.identify(docs, model, into=own).where(F.col(f"{own}.gain") >= LEAST_GAIN)
+    return found.withColumn("lang", F.when(F.col("lang") != "", F.col("lang")).otherwise(F.col(f"{own}.lang_pred"))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     they are. Of equal windows the first stays, by doc_id (null first) and place;
     rows that repeat id and text keep the same lines; an empty table stays empty.
     """
-    found = linededup.dedup_lines(docs, into="__lines")
-    found = found.where("not (__lines.n_removed > 0 and __lines.n_removed = __lines.n_lines)")
-    changed = F.col("__lines.n_removed") > 0
+    (own,) = free_names(docs, "lines")
+    found = linededup.dedup_lines(docs, into=own)
+    changed = F.col(f"{own}.n_removed") > 0
+    found = found.where(~(changed & (F.col(f"{own}.n_removed") == F.col(f"{own}.n_lines"))))
     return found.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import materialise, new_path, scope
+from sweepframe.llm.words import free_names
 
 WINDOW = 3
 
@@ -50,15 +51,16 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def dedup_lines(docs: DataFrame, into: str = "line_dedup", doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the text as it stays and a struct `into`: n_lines and n_removed."""
-    path = new_path(docs.sparkSession)
+    path, own = new_path(docs.sparkSession), free_names(docs, "id", "of", "gone", "x", "lines", but=into)
+    id_, of, gone_, x, lines = own
     with scope(docs.sparkSession):
-        gone = materialise(repeated_lines(docs, doc_id, text, window).select(F.col("id").alias("__ld_id"), F.col("of").alias("__ld_of"), F.col("gone").alias("__ld_gone")), path)
-    rows = docs.withColumn("__ld_x", F.xxhash64(text))
+        gone = materialise(repeated_lines(docs, doc_id, text, window).select(F.col("id").alias(id_), F.col("of").alias(of), F.col("gone").alias(gone_)), path)
+    rows = docs.withColumn(x, F.xxhash64(text))
     # the list of removals grows with the corpus, so it is never broadcast: the plan is the same at every size
-    rows = rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_x") == F.col("__ld_of")), "left")
-    rows = rows.withColumn("__ld_lines", _lines(F.col(text)))
+    rows = rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(x) == F.col(of)), "left")
+    rows = rows.withColumn(lines, _lines(F.col(text)))
     # array_except hashes, so long texts cost no more by line than short ones
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_gone"))
-    stays = F.transform(kept, lambda i: F.get("__ld_lines", i))
-    rows = rows.withColumn(into, F.struct(F.coalesce(F.size("__ld_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed")))
-    return rows.withColumn(text, F.when(F.col("__ld_gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))).select(*[c for c in docs.columns if c != into], into)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
+    stays = F.transform(kept, lambda i: F.get(lines, i))
+    rows = rows.withColumn(into, F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size(gone_), F.lit(0)).alias("n_removed")))
+    return rows.withColumn(text, F.when(F.col(gone_).isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))).select(*[c for c in docs.columns if c != into], into)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import few_rows, join_small, materialise, new_path, scope
-from sweepframe.llm.words import word_count
+from sweepframe.llm.words import free_names, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -190,17 +190,19 @@ def take_measured(measured: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def take(docs: DataFrame, planned: DataFrame, into: str = "copies", seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with a struct column `into`: size, source_size, target, copies (0 to the most allowed)."""
-    held = planned.select(F.struct(*[F.col(c) for c in planned.columns]).alias("__plan"))
-    rows = docs.withColumns({"__size": word_count(F.col(text)), "__u": uniform(F.col(doc_id), F.col(text), seed)})
-    rows = join_small(rows, held, rows[source].eqNullSafe(held["__plan.source"]), "left")
-    p = lambda name: F.col(f"__plan.{name}")
-    copies = _copies(F.col("__size"), F.col("__u"), F.col(doc_id), p)
-    made = F.struct(F.col("__size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), copies.alias("copies"))
+    """docs with a struct column `into` (replaced, if there is one): size, source_size, target, copies (0 to the most allowed)."""
+    plan_, size, u = free_names(docs, "plan", "size", "u", but=into)
+    held = planned.select(F.struct(*[F.col(c) for c in planned.columns]).alias(plan_))
+    rows = docs.withColumns({size: word_count(F.col(text)), u: uniform(F.col(doc_id), F.col(text), seed)})
+    rows = join_small(rows, held, rows[source].eqNullSafe(held[f"{plan_}.source"]), "left")
+    p = lambda name: F.col(f"{plan_}.{name}")
+    copies = _copies(F.col(size), F.col(u), F.col(doc_id), p)
+    made = F.struct(F.col(size).alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), copies.alias("copies"))
     return rows.withColumn(into, made).select(*[c for c in docs.columns if c != into], into)
 
 
 def mixed(docs: DataFrame, planned: DataFrame, **columns) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken."""
-    rows = take(docs, planned, into="__taken", **columns).where("__taken.copies > 0")
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__taken.copies")))).drop("__taken", "__again")
+    taken, again = free_names(docs, "taken", "again")
+    rows = take(docs, planned, into=taken, **columns).where(F.col(f"{taken}.copies") > 0)
+    return rows.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(f"{taken}.copies")))).select(*docs.columns)

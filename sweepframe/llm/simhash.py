@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import join_small, materialise, new_path, scope
 from sweepframe.llm.components import components
+from sweepframe.llm.words import free_names
 
 SEED = 42
 #: Items of a text that are hashed at a time.
@@ -393,7 +394,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, tau: int =
     path = new_path(docs.sparkSession)
     with scope(docs.sparkSession):
         kept = materialise(_kept(docs, row, similarity, size, tau, doc_id, text), path)
-    mine, theirs = (next(n for i in itertools.count() if (n := f"__{x}{i}") not in docs.columns) for x in ("row", "id"))
+    mine, theirs = free_names(docs, "row", "id")
     rows = docs.withColumn(mine, row).join(kept.select(F.col("row").alias(mine), F.col("id").alias(theirs)).hint("merge"), mine).where(F.col(doc_id).eqNullSafe(F.col(theirs)))
     # rows that repeat both id and text are copies, too
     return rows.dropDuplicates([mine]).select(*docs.columns)

@@ -1,9 +1,10 @@
 """The word of this package: a run of characters other than blank, tab, line feed, vertical tab, form feed and carriage return."""
 
+import itertools
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,3 +26,9 @@ def word_lists(body: bytes, chunk: int = 4 << 20) -> Iterator[list[bytes]]:
             end = found.start() if found else len(body)
         yield body[at:end].split()
         at = end
+
+
+def free_names(docs: DataFrame, *names: str, but: str = "") -> list[str]:
+    """The names, each with a number behind it that makes it new to the table, and other than `but`."""
+    taken = {c.lower() for c in [*docs.columns, but]}
+    return [next(n for i in itertools.count() if (n := f"__{name}{i}").lower() not in taken) for name in names]
