@@ -204,7 +204,10 @@ FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id"""
 
 def _multiset_sql() -> str:
     m = multisethash
-    cut = rf"regexp_replace(replace(body, '. ', '.' || chr(10)), '{m.PART}', '\1' || chr(10), 'g')"
+    ends = f"(CASE WHEN w = '' THEN 0 ELSE unicode(w) * 7 + unicode(right(w, 1)) * 3 + length(w) END) % {m.ENDS} = 0"
+    line = f"CASE WHEN length(l) > {m.LONG} THEN list_aggregate(list_transform(string_split(l, ' '), lambda w: CASE WHEN {ends} THEN w || chr(10) ELSE w END), 'string_agg', ' ') ELSE l END"
+    lines = f"list_aggregate(list_transform(string_split(replace(body, '. ', '.' || chr(10)), chr(10)), lambda l: {line}), 'string_agg', chr(10))"
+    cut = rf"regexp_replace({lines}, '{m.PART}', '\1' || chr(10), 'g')"
     lanes = ", ".join(f"CAST(coalesce(sum(({h} >> {k}) & {m.SPREAD}), 0) AS BIGINT) AS {h}{k}" for h in "ab" for k in range(m.STEPS))
     names = ", ".join(f"{h}{k}" for h in "ab" for k in range(m.STEPS))
     lane = lambda x, j: f"2 * (({x} >> {21 * j}) & {m.LANE})"

@@ -3,7 +3,7 @@
 import hashlib
 import itertools
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -384,13 +384,22 @@ def fps(spark, texts):
 
 def brute_fp(text):
     units = []
-    for line in (text or "").replace(". ", ".\n").split("\n"):
-        while line:
-            end = min(120, len(line))
-            while end < min(160, len(line)) and line[end] != " ":
-                end += 1
-            end += line[end : end + 1] == " "
-            units, line = [*units, line[:end]], line[end:]
+    for paragraph in (text or "").replace(". ", ".\n").split("\n"):
+        lines = [paragraph]
+        if len(paragraph) > 120:
+            lines, words = [""], paragraph.split(" ")
+            for i, w in enumerate(words):
+                lines[-1] += w
+                if not w or (ord(w[0]) * 7 + ord(w[-1]) * 3 + len(w)) % 8 == 0:
+                    lines.append("")
+                lines[-1] += " " if i + 1 < len(words) else ""
+        for line in lines:
+            while line:
+                end = min(120, len(line))
+                while end < min(160, len(line)) and line[end] != " ":
+                    end += 1
+                end += line[end : end + 1] == " "
+                units, line = [*units, line[:end]], line[end:]
     out = [len(units), 0, 0] + [0] * (2 * multisethash.STEPS)
     for u in units:
         d = hashlib.md5(u.encode()).hexdigest()
@@ -429,6 +438,27 @@ def test_one_paragraph_is_like_its_edit(spark):
     assert 0.5 < near.x < 0.95 and far.x < 0.35
 
 
+def test_a_word_in_front_changes_one_part(spark):
+    """One long paragraph, with a word put in front, in the middle, and taken away."""
+    words = [f"{chr(97 + i * i % 26)}w{i * i}{chr(97 + i * 7 % 26)}" for i in range(400)]
+    texts = [" ".join(x) for x in (words, ["new", *words], words[:200] + ["new"] + words[200:], words[1:], words[::-1])]
+    a, *others = fps(spark, texts)
+    near = [r.x for r in spark.createDataFrame([(a, b) for b in others], "a array<bigint>, b array<bigint>").select(multisethash.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert min(near[:3]) >= 0.8 and near[3] < 0.5
+    assert fps(spark, ["x " * 100, "x " * 100 + " "])[0] != fps(spark, ["x " * 100 + " "])[0]
+
+
+def test_next_of_ids_that_fill_ranges(spark, monkeypatch):
+    """Null ids and one other id on a third of the rows each are ordered by text, in ranges of their own."""
+    monkeypatch.setattr(multisethash, "RANGE_ROWS", 5)
+    rows = [(None, f"null {i}") for i in range(60)] + [(7, f"seven {i}") for i in range(60)] + [(i, f"one {i}") for i in range(20, 80)] + [(7, "seven 1")] * 9
+    found = multisethash.with_next(frame(spark, rows))
+    got = Counter((r.doc_id, r.text, r.next_text) for r in found.collect())
+    hashed = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    assert got == Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+
+
 def test_next_and_edit(spark):
     texts = [(9, "nine nine"), (None, "null id"), (3, "three\n" * 40), (5, None), (3, "also three"), (12, "last. " * 9)]
     rows = multisethash.with_next(frame(spark, texts))
