@@ -23,6 +23,7 @@ the text; a very long text makes one long block; an empty table has no blocks.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -38,8 +39,8 @@ from sweepframe.functions.scratch import join_small, new_path
 from sweepframe.functions.worker import kept
 
 BLOCK_TOKENS = 1 << 20
-#: Distinct word forms whose ids a task remembers.
-REMEMBERED = 700_000
+#: Longest piece whose ids a task remembers, and bytes that the remembered ones may take (with about ENTRY bytes for each).
+PIECE, REMEMBERED, ENTRY = 64, 160 << 20, 150
 _HINT = 64
 
 BLOCKS = (
@@ -96,9 +97,28 @@ class WordCoder:
     """
 
     def __init__(self, tokenizer, dtype: str):
-        self.tokenizer, self.model, self.known = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model, self.known, self.held = tokenizer, tokenizer.model, {}, 0
         self.kind = {"<u2": "H", "<u4": "I"}[dtype]
         self.letters = _byte_letters()
+        self.plain = self._is_plain()
+
+    def _is_plain(self) -> bool:
+        """Whether words of Latin letters can be asked of the model directly: texts are composed and lower-cased, split by a pattern that parts letters from punctuation, and written in byte letters."""
+        told = json.loads(self.tokenizer.to_str())
+        before, steps = told["normalizer"] or {}, (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        kinds = [s["type"] for s in before.get("normalizers", [before]) if s.get("type") != "Replace"]
+        if kinds != ["NFC", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+            return False
+        self.plain, words = True, ["Word", "h\u00c9las", "stra\u00dfe", "end.", "So...", "Ah!?", "a,b", "x;"]
+        found = [self._piece(w) == self._encode(w) for w in words]
+        self.known, self.held = {}, 0
+        return all(found)
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= PIECE and piece not in self.known:
+            self.known[piece] = ids
+            self.held += 2 * len(piece) + len(ids) + ENTRY
+        return ids
 
     def _bytes(self, ids) -> bytes:
         coded = array(self.kind, ids)
@@ -119,26 +139,22 @@ class WordCoder:
         if found is None:
             if not word.isalpha():  # a dotted capital I becomes two characters
                 return self._encode(stem)
-            found = self.known[word] = self._bytes([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
+            found = self._keep(word, self._bytes([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]))
         return found
 
     def _piece(self, piece: str) -> bytes:
         stem = piece.rstrip(".,;:!?")
-        if stem.isalpha():
-            found = self._letters(stem)
-            if len(stem) < len(piece):  # a run of punctuation is always a token group of its own
-                tail = piece[len(stem) :]
-                if tail not in self.known:
-                    self.known[tail] = self._encode(tail)
-                found += self.known[tail]
-        else:
-            found = self._encode(piece)
-        self.known[piece] = found
-        return found
+        if not self.plain or not stem.isalpha():
+            return self._keep(piece, self._encode(piece))
+        found = self._letters(stem)
+        if len(stem) < len(piece):  # a run of punctuation is always a token group of its own
+            tail = piece[len(stem) :]
+            found += self.known[tail] if tail in self.known else self._keep(tail, self._encode(tail))
+        return self._keep(piece, found)
 
     def __call__(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         # str.split also cuts at four separators that are ordinary characters to the vocabulary
         pieces = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else re.split("[ \t\n\r]+", text)
         found = list(map(self.known.get, pieces))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -374,6 +375,26 @@ def test_whole_query_against_plain_packing(spark):
     assert sum(packing.cost(end) for _, end in bins) == pytest.approx(total)
 
 
+def test_coder_remembers_no_long_pieces_and_asks_the_library(monkeypatch):
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = tokenbin.WordCoder(Tokenizer.from_file(path), "<u2")
+    assert coder.plain
+    rng = np.random.default_rng(3)
+    unbroken = ["".join(chr(c) for c in rng.integers(0x3041, 0x3097, 20_000)) for _ in range(3)] + ["a" * 50_000 + "."]
+    library = Tokenizer.from_file(path)
+    ids = lambda tokenizer, t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+    assert [coder(t) for t in unbroken] == [ids(library, t) for t in unbroken] and coder.held < 1000
+    monkeypatch.setattr(tokenbin, "REMEMBERED", 2000)
+    texts = [f"some Words{i} here, and there. E\u0301t\u00c9 w{i}x" for i in range(50)]
+    assert [coder(t) for t in texts] == [ids(library, t) for t in texts] and coder.held < 4000
+    cased = Tokenizer.from_file(path)
+    cased.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(r" ", " ")])
+    other = tokenbin.WordCoder(cased, "<u2")
+    assert not other.plain and [other(t) for t in texts] == [ids(cased, t) for t in texts] and other(texts[0]) != ids(library, texts[0])
+
+
 # ---------------------------------------------------------------- multiset hash
 
 
