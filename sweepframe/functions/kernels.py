@@ -51,42 +51,85 @@ def ring_mean(grid: np.ndarray, guard: int, train: int) -> np.ndarray:
     return (box(w) - box(guard)) / ((2 * w + 1) ** 2 - (2 * guard + 1) ** 2)
 
 
-def ring_median(grid: np.ndarray, guard: int, train: int) -> np.ndarray:
-    """Median of the training ring of all interior cells; one row of cells at a time."""
-    w = guard + train
-    side = 2 * w + 1
+def _ring(guard: int, train: int) -> np.ndarray:
+    side = 2 * (guard + train) + 1
     ring = np.ones((side, side), bool)
     ring[train : side - train, train : side - train] = False
-    views = np.lib.stride_tricks.sliding_window_view(grid, (side, side))
-    return np.stack([np.median(row[:, ring], axis=-1) for row in views])
+    return ring
+
+
+def ring_quantile(grid: np.ndarray, guard: int, train: int, share: float, cells: np.ndarray) -> np.ndarray:
+    """The quantile of the training ring of the given interior cells (their rows and columns, 2 x n), interpolated as numpy's is; a block of cells at a time."""
+    ring = _ring(guard, train)
+    views = np.lib.stride_tricks.sliding_window_view(grid, ring.shape)
+    block = max(1, (1 << 20) // ring.size)
+    return np.concatenate([np.empty(0), *[np.quantile(views[cells[0, at : at + block], cells[1, at : at + block]][:, ring], share, axis=1) for at in range(0, cells.shape[1], block)]])
 
 
-def detect(grid: np.ndarray, guard: int, train: int, factor: float, method: str = "average") -> np.ndarray:
-    """Cells above factor times their ring; cells nearer to an edge than the ring never are."""
+def above_quantile(grid: np.ndarray, guard: int, train: int, factor: float, share: float = 0.5) -> np.ndarray:
+    """Interior cells above factor times the quantile of their ring.
+
+    Ring values below cell / factor are counted, one shifted map for each place of
+    the ring. Where the count is beyond both order statistics that the quantile
+    lies between, it decides; only for the other cells the ring is sorted.
+    """
+    w = guard + train
+    rows, cols = grid.shape[0] - 2 * w, grid.shape[1] - 2 * w
+    inner = grid[w : w + rows, w : w + cols]
+    places = np.argwhere(_ring(guard, train))
+    position = share * (len(places) - 1)
+    low, high = int(np.floor(position)), int(np.ceil(position))
+    if factor <= 0:
+        open_cells, hits = np.ones(inner.shape, bool), np.zeros(inner.shape, bool)
+    else:
+        scaled, below = factor * grid, np.zeros(inner.shape, np.int32)
+        for r, c in places:
+            below += scaled[r : r + rows, c : c + cols] < inner
+        hits = below > high
+        open_cells = ~hits & (below > low)
+    at = np.stack(np.nonzero(open_cells))
+    hits[open_cells] = inner[open_cells] > factor * ring_quantile(grid, guard, train, share, at)
+    return hits
+
+
+def detect(grid: np.ndarray, guard: int, train: int, factor: float, method: str = "average", share: float = 0.5) -> np.ndarray:
+    """Cells above factor times their ring's mean, or its quantile (method ordered; 0.5: the median); cells nearer to an edge than the ring never are."""
     w = guard + train
     hits = np.zeros(grid.shape, bool)
     if min(grid.shape) > 2 * w:
-        noise = (ring_median if method == "ordered" else ring_mean)(grid, guard, train)
-        hits[w : grid.shape[0] - w, w : grid.shape[1] - w] = grid[w : grid.shape[0] - w, w : grid.shape[1] - w] > factor * noise
+        inner = (slice(w, grid.shape[0] - w), slice(w, grid.shape[1] - w))
+        hits[inner] = above_quantile(grid, guard, train, factor, share) if method == "ordered" else grid[inner] > factor * ring_mean(grid, guard, train)
     return hits
 
 
 def label4(hits: np.ndarray) -> np.ndarray:
-    """Labels 1, 2, ... of the groups of hits that touch by an edge, in raster order of their first cells; only hits are visited."""
+    """Labels 1, 2, ... of the groups of hits that touch by an edge, in raster order of their first cells.
+
+    Hits are taken in runs; runs of neighbouring rows that share a column are
+    joined, each to the first run of its group, until nothing changes.
+    """
     labels = np.zeros(hits.shape, np.int32)
-    n = 0
-    for r, c in np.argwhere(hits):
-        if labels[r, c]:
-            continue
-        n += 1
-        stack = [(r, c)]
-        labels[r, c] = n
-        while stack:
-            y, x = stack.pop()
-            for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                if 0 <= v < hits.shape[0] and 0 <= u < hits.shape[1] and hits[v, u] and not labels[v, u]:
-                    labels[v, u] = n
-                    stack.append((v, u))
+    edges = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), end = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+    n, width = len(row), hits.shape[1] + 1
+    if not n:
+        return labels
+    first = np.searchsorted(row * width + end, (row + 1) * width + start, "right")
+    many = np.maximum(np.searchsorted(row * width + start, (row + 1) * width + end, "left") - first, 0)
+    a = np.repeat(np.arange(n), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    root = np.arange(n)
+    while True:
+        new, least = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all() and (root[a] == root[b]).all():
+            break
+        root = new
+    own = np.unique(root, return_inverse=True)[1] + 1
+    size = end - start
+    labels.flat[np.repeat(row * hits.shape[1] + start - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(own, size)
     return labels
 
 

@@ -28,20 +28,20 @@ def cfar_columns(grid: DataFrame, guard: int, train: int, factor: float) -> Data
     return x.select("capture_id", "frame", "doppler_idx", "range_idx", "mag", "noise", (F.col("mag") > F.col("noise") * factor).alias("hit"))
 
 
-def hits_of(key, found: np.ndarray, guard: int, train: int, factor: float, method: str) -> pd.DataFrame:
+def hits_of(key, found: np.ndarray, guard: int, train: int, factor: float, method: str, share: float = 0.5) -> pd.DataFrame:
     """The detected cells of one map with their cluster."""
-    labels = kernels.label4(kernels.detect(found, guard, train, factor, method))
+    labels = kernels.label4(kernels.detect(found, guard, train, factor, method, share))
     d, r = np.nonzero(labels)
     return pd.DataFrame({"capture_id": key[0], "frame": np.full(len(d), key[1], np.int32), "doppler_idx": d.astype(np.int32), "range_idx": r.astype(np.int32), "mag": found[d, r], "label": labels[d, r]})
 
 
-def cfar(rd: DataFrame, guard: int = 2, train: int = 8, factor: float = 3.0, method: str = "average") -> DataFrame:
-    """Detected cells with cluster labels for maps given as one row of mag by doppler_idx; method average or ordered (the median of the ring)."""
+def cfar(rd: DataFrame, guard: int = 2, train: int = 8, factor: float = 3.0, method: str = "average", share: float = 0.5) -> DataFrame:
+    """Detected cells with cluster labels for maps given as one row of mag by doppler_idx; method average, or ordered: the quantile `share` of the ring (0.5: the median)."""
     if method not in ("average", "ordered"):
         raise ValueError(f"no such method: {method}")
 
     def frame(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return hits_of(key, np.stack(rows.sort_values("doppler_idx")["mag"].to_numpy()), guard, train, factor, method)
+        return hits_of(key, np.stack(rows.sort_values("doppler_idx")["mag"].to_numpy()), guard, train, factor, method, share)
 
     return rd.groupBy("capture_id", "frame").applyInPandas(frame, HITS)
 
@@ -51,8 +51,8 @@ class Detect:
 
     schema = HITS
 
-    def __init__(self, guard: int = 2, train: int = 8, factor: float = 3.0, method: str = "average"):
-        self.parameters = (guard, train, factor, method)
+    def __init__(self, guard: int = 2, train: int = 8, factor: float = 3.0, method: str = "average", share: float = 0.5):
+        self.parameters = (guard, train, factor, method, share)
 
     def __call__(self, key, found: np.ndarray) -> pd.DataFrame:
         return hits_of(key, found, *self.parameters)

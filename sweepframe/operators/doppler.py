@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sweepframe.functions import kernels
 from sweepframe.functions.signal import db20
 from sweepframe.operators.cube import frame_mean
-from sweepframe.operators.ranges import cells, range_fft
+from sweepframe.operators.ranges import cells, mean_arrays, range_fft
 
 
 def transmit_positions(masks: list[int] | None, unique: int) -> list[int]:
@@ -79,14 +79,24 @@ def velocity(index: Column, n: int, step: float) -> Column:
 
 
 def micro_doppler(rd: DataFrame, first: int = 5, last: int = 100) -> DataFrame:
-    """(capture_id, frame, doppler_idx, db): the sum over range bins first to last, in either order, clamped to the map."""
+    """(capture_id, frame, doppler_idx, db): the sum over range bins first to last, in either order, clamped to the map; a map that ends before them has no row. Each row of a map is summed where it is."""
     lo, hi = max(0, min(first, last)), max(first, last)
-    return cells(rd).where(F.col("range_idx").between(lo, hi)).groupBy("capture_id", "frame", "doppler_idx").agg(db20(F.sum("mag"), 1e-12).alias("db"))
+    part = F.slice("mag", lo + 1, hi - lo + 1)
+    return rd.where(F.size("mag") > lo).select("capture_id", "frame", "doppler_idx", db20(F.aggregate(part, F.lit(0.0), lambda s, v: s + v), 1e-12).alias("db"))
 
 
 def mean_profile(rd: DataFrame) -> DataFrame:
-    """(capture_id, frame, range_idx, mag): the mean over Doppler."""
-    return cells(rd).groupBy("capture_id", "frame", "range_idx").agg(F.avg("mag").alias("mag"))
+    """(capture_id, frame, range_idx, mag): the mean over Doppler; rows of a map are added up before they are shuffled."""
+    return mean_arrays(rd, ["capture_id", "frame"])
+
+
+class MeanProfile:
+    """The mean over Doppler as a further step on each range-Doppler map: one array for each frame, without another shuffle."""
+
+    schema = "capture_id string, frame int, mag array<double>"
+
+    def __call__(self, key, found: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"capture_id": key[0], "frame": key[1], "mag": [found.mean(axis=0)]})
 
 
 def at_bin(rd: DataFrame, frame: int, range_idx: int) -> DataFrame:

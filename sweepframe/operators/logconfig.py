@@ -190,6 +190,7 @@ def with_dimensions(x: DataFrame) -> DataFrame:
         "max_range_full_m": F.when((F.col("fs_mhz") > 0) & (F.col("slope_mhz_us") > 0), C * F.col("fs_mhz") * 1e6 / (2 * F.col("slope_mhz_us") * 1e12)),
         "range_bins_256": F.when(F.upper("adc_fmt").contains("COMPLEX"), 256).otherwise(129),
         "fps": F.coalesce(F.try_divide(F.lit(1000.0), F.nullif("frame_period_ms", F.lit(0.0))), F.lit(15.0)),
+        "period_ms": F.when(F.col("frame_period_ms") > 0, F.bround("frame_period_ms").cast("int")),
     })
 
 

@@ -207,6 +207,14 @@ def source_signal(profile: DataFrame, bin_: int | None = None, around: int = 0)
     return rows.groupBy("capture_id", "frame").agg(F.avg("mag").alias("signal"))
 
 
+def profile_signal(profiles: DataFrame, bin_: int | None = None, around: int = 0) -> DataFrame:
+    """source_signal of profiles that have one array mag for each frame, and their other columns; frames without such a bin have no row."""
+    first = 0 if bin_ is None else max(0, bin_ - around)
+    at = F.col("mag") if bin_ is None else F.slice("mag", first + 1, max(0, bin_ + around - first + 1))
+    mean = F.when(F.size(at) > 0, F.aggregate(at, F.lit(0.0), lambda s, v: s + v) / F.size(at))
+    return profiles.select(*[c for c in profiles.columns if c != "mag"], mean.alias("signal")).where("signal is not null")
+
+
 def trailing(series: DataFrame, fps: float = FPS) -> DataFrame:
     """Each frame with the signals of the last max(16, round(5 fps)) frames up to it, oldest first."""
     w = max(16, round(5.0 * fps))

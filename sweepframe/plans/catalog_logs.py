@@ -90,10 +90,10 @@ def l11_data_format(spark, sf_dir):
 
 
 @query(_CAPS + """SELECT capture_id, fr[4] AS loops, round(fr[5] * 5.0::DOUBLE / 1000 / 1000, 6) AS frame_period_ms, fr[7] AS num_frames, frame_unique, 2 AS unique_chirps, frame_unique <> 2 AS unique_mismatch, 2 * fr[4] AS chirps_per_frame, CASE fr[7] WHEN 0 THEN 1 ELSE fr[7] END AS frames, 4 AS num_rx,
-2 * fr[4] * 4 * num_samples * CASE WHEN adc_fmt IN ('Complex1X', 'Complex2X') THEN 2 ELSE 1 END AS words_per_frame, round(1000 / (fr[5] * 5.0::DOUBLE / 1000 / 1000), 6) AS fps FROM x""")
+2 * fr[4] * 4 * num_samples * CASE WHEN adc_fmt IN ('Complex1X', 'Complex2X') THEN 2 ELSE 1 END AS words_per_frame, round(1000 / (fr[5] * 5.0::DOUBLE / 1000 / 1000), 6) AS fps, CAST(round_even(fr[5] * 5.0::DOUBLE / 1000 / 1000, 0) AS INT) AS period_ms FROM x""")
 def l15_frame_and_dimensions(spark, sf_dir):
     x = logconfig.captures(_lines(spark, sf_dir))
-    return _longs(rounded(x.select("capture_id", "loops", "frame_period_ms", "num_frames", "frame_unique", "unique_chirps", "unique_mismatch", "chirps_per_frame", "frames", "num_rx", "words_per_frame", "fps")))
+    return _longs(rounded(x.select("capture_id", "loops", "frame_period_ms", "num_frames", "frame_unique", "unique_chirps", "unique_mismatch", "chirps_per_frame", "frames", "num_rx", "words_per_frame", "fps", "period_ms")))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS capture_id, c AS first, c AS last, CASE c WHEN 0 THEN 5 ELSE 0 END AS slope_var, CASE c WHEN 0 THEN 1 ELSE CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 2 END END AS tx_enable FROM supplier, range(2) t(c)")

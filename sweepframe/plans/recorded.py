@@ -305,10 +305,7 @@ def profiles(rows: DataFrame, n_fft: int | None = 256) -> DataFrame:
 
 def vital_signs(rows: DataFrame, n_fft: int | None = 256, bin_: int | None = None, around: int = 0) -> DataFrame:
     """Vital signs of each capture at its own frame rate, at a bin, near it, or over all bins."""
-    found = profiles(rows, n_fft)
-    at = F.col("mag") if bin_ is None else F.slice("mag", max(0, bin_ - around) + 1, bin_ + around - max(0, bin_ - around) + 1)
-    mean = F.when(F.size(at) > 0, F.aggregate(at, F.lit(0.0), lambda s, v: s + v) / F.size(at))
-    return temporal.vitals(found.select("capture_id", "frame", "fps", mean.alias("signal")).where("signal is not null"), "fps")
+    return temporal.vitals(temporal.profile_signal(profiles(rows, n_fft), bin_, around), "fps")
 
 
 def range_time(rows: DataFrame, n_fft: int | None = 256) -> DataFrame:

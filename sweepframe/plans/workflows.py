@@ -63,8 +63,8 @@ def range_time(cube: DataFrame, chirps: int, n_fft: int = 256, real: bool = Fals
 def vital_signs(cube: DataFrame, radar: dict, chirps: int, n_fft: int = 256, bin_: int | None = None, around: int = 0, fps: float = temporal.FPS) -> DataFrame:
     """Cube -> vital signs of each capture, from the mean-Doppler profile."""
     masks = radar["tx_masks"]
-    rd = doppler.range_doppler(cube, doppler.transmit_positions(masks, len(masks)), len(masks), chirps, n_fft)
-    return temporal.vitals(temporal.source_signal(doppler.mean_profile(rd), bin_, around), fps)
+    profiles = doppler.range_doppler(cube, doppler.transmit_positions(masks, len(masks)), len(masks), chirps, n_fft, then=doppler.MeanProfile())
+    return temporal.vitals(temporal.profile_signal(profiles, bin_, around), fps)
 
 
 def wavelength(radar: dict) -> float:

@@ -219,3 +219,38 @@ def test_both_movement_maps_agree_for_several_captures(spark):
     maps = [{(r.capture_id, r.range_idx, r.angle_idx): r.db for r in m(ra).collect()} for m in (temporal.movement_map, temporal.movement_map_by_sums)]
     assert maps[0].keys() == maps[1].keys() and len(maps[0]) == 2 * 3 * 37
     assert all(abs(maps[0][k] - maps[1][k]) < 1e-6 for k in maps[0]) and {k[0] for k, v in maps[0].items() if v == 0} == {"a", "b"}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0])
+def test_ordered_cfar_at_any_quantile(share):
+    """Ties, negative values and factors, rings of even and odd numbers of cells."""
+    rng = np.random.default_rng(7)
+    for grid in (rng.exponential(size=(20, 24)), rng.integers(0, 4, (20, 24)).astype(float), rng.normal(size=(20, 24)), np.ones((20, 24))):
+        for guard, train, factor in ((1, 1, 1.5), (2, 3, 1.0), (0, 2, 0.7), (1, 2, -1.0)):
+            w, ring = guard + train, kernels._ring(guard, train)
+            expected = np.zeros(grid.shape, bool)
+            for r in range(w, 20 - w):
+                for c in range(w, 24 - w):
+                    expected[r, c] = grid[r, c] > factor * np.quantile(grid[r - w : r + w + 1, c - w : c + w + 1][ring], share)
+            assert (kernels.detect(grid, guard, train, factor, "ordered", share) == expected).all()
+
+
+def test_labels_against_a_flood():
+    rng = np.random.default_rng(8)
+    spiral = np.zeros((41, 41), bool)
+    for k in range(0, 20, 2):
+        spiral[k, k : 41 - k] = spiral[k : 41 - k, 40 - k] = spiral[40 - k, k : 41 - k] = spiral[k + 2 : 41 - k, k] = True
+        spiral[k + 2, k : k + 3] = True
+    shapes = [rng.random((30, 37)) < p for p in (0.1, 0.4, 0.6, 0.9)] + [np.zeros((4, 5), bool), np.ones((4, 5), bool), spiral, np.ones((1, 7), bool), np.eye(9, dtype=bool), np.zeros((0, 3), bool)]
+    for hits in shapes:
+        expected, n = np.zeros(hits.shape, int), 0
+        for start in map(tuple, np.argwhere(hits)):
+            if not expected[start]:
+                n += 1
+                stack = [start]
+                while stack:
+                    r, c = stack.pop()
+                    if 0 <= r < hits.shape[0] and 0 <= c < hits.shape[1] and hits[r, c] and not expected[r, c]:
+                        expected[r, c] = n
+                        stack += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+        assert (kernels.label4(hits) == expected).all()
