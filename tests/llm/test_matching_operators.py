@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -93,8 +95,7 @@ def test_near_duplicates(spark):
     texts = [(7, body), (4, body.upper()), (5, body + " more"), (1, None), (2, ""), (3, " \n "), (8, "One"), (6, "one"), (None, body), (9, "a  b"), (9, "a b")]
     got = simhash.near_duplicates(frame(spark, texts)).collect()
     assert len(got) == len(texts)
-    ws = lambda t: simhash.words(t)
-    fps = [simhash.simhash([b" ".join(ws(t)[i : i + 3]) for i in range(max(1, len(ws(t)) - 2))] if ws(t) else []) for _, t in texts]
+    fps = [plain_votes(t) for _, t in texts]
     pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2]
     roots = roots_of(len(texts), pairs)
     least = {r: min(t[0] for t, x in zip(texts, roots) if x == r and t[0] is not None) for r in set(roots)}
@@ -103,6 +104,25 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, []).where("false")).count() == 0
 
 
+def plain_votes(text, size=3):
+    """The fingerprint of a text by counting, apart from the operator's own functions."""
+    lower = re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or "")
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    runs = [" ".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))] if tokens else []
+    values = [xxhash.xxh64(r.encode(), seed=42).intdigest() for r in runs]
+    return sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in values) > len(values))
+
+
+def test_fingerprints_of_long_texts_and_the_query(spark):
+    rng = random.Random(2)
+    long = " ".join(rng.choice(["Alpha", "beta", "\u00c9t\u00e9", "x\u00a0y", f"n{rng.randrange(500)}"]) for _ in range(70_000))
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(frame(spark, [(1, long), (2, "A b"), (3, None)])).collect()}
+    assert got == {1: f"{plain_votes(long):016x}", 2: f"{plain_votes('A b'):016x}", 3: "0" * 16}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op6_simhash_components(spark, SF).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{plain_votes(t):016x}" for i, t in texts.items()}
+
+
 def shingle_set(t, n=5):
     return set(simhash.shingles(simhash.words(t), n))
 
