@@ -101,3 +101,17 @@ FROM dp d, range(-40, 41) r(j), dp x WHERE x.capture_id = d.capture_id AND x.rx
 def w3_recorded_displacement(spark, sf_dir):
     moved = recorded.displacement(_recordings(spark, sf_dir), _METRES, None)
     return _longs(rounded(temporal.displacement_bands(moved, "fps", 0.5, 16), 9))
+
+
+@query(f"WITH {_RD} SELECT capture_id, frame, d AS doppler_idx, round(20 * log10(sum(mag) + 1e-12), 4) AS db FROM rd WHERE r BETWEEN 2 AND 6 GROUP BY ALL")
+def w1_recorded_micro_doppler(spark, sf_dir):
+    return _longs(rounded(recorded.micro_doppler(_recordings(spark, sf_dir), 6, 2, None), 4))
+
+
+@query(f"""WITH {_RD},
+ax AS (SELECT *, (re - avg(re) OVER w) * (0.5 - 0.5 * cos({PI2!r} * n / (ns - 1))) AS a, (im - avg(im) OVER w) * (0.5 - 0.5 * cos({PI2!r} * n / (ns - 1))) AS b FROM sc WHERE chirp % stride = stride - 1 WINDOW w AS (PARTITION BY capture_id, frame, chirp, rx)),
+ak AS (SELECT capture_id, frame, chirp, rx, k, {_dft('k', 'n', 'ns')} FROM (SELECT capture_id, frame, chirp, rx, n, ns, bins, a AS re, b AS im FROM ax), range(16) t(k) WHERE k < bins GROUP BY ALL),
+pr AS (SELECT ak.capture_id, frame, k, avg((sqrt(re * re + im * im) + 1e-9) * CASE WHEN isreal THEN 2 ELSE 1 END) AS mag FROM ak JOIN par USING (capture_id) GROUP BY ALL)
+SELECT capture_id, frame, k AS range_idx, round(greatest(mag - 0.8 * avg(mag) OVER (PARTITION BY capture_id, k), 1e-9), 6) AS mag FROM pr""")
+def w1_recorded_background(spark, sf_dir):
+    return _longs(rounded(recorded.frame_profiles(_recordings(spark, sf_dir), None, 0.8, 1)))

@@ -125,9 +125,18 @@ def one_transmitter(s: dict, x: np.ndarray) -> tuple[np.ndarray, int]:
     return x.reshape(-1, stride, *x.shape[1:])[:, [p for p in places if p < stride]].mean(axis=1), stride
 
 
-def doppler_map(s: dict, x: np.ndarray, n_fft: int | None, mode: str = "MRC") -> tuple[np.ndarray, float]:
-    """(Doppler, range) magnitudes of a frame, and m/s of a Doppler bin."""
-    loops, chirps = one_transmitter(s, x)
+def of_transmitter(s: dict, x: np.ndarray, transmitter: int | None) -> np.ndarray:
+    """The chirps at the places of the pattern at which this transmitter alone sends; all chirps if there is no such place, or the pattern doesn't divide them."""
+    masks = [] if s["tx_masks"] is None else [int(m) for m in s["tx_masks"]]
+    places = [p for p, m in enumerate(masks[: s["stride"]]) if transmitter is not None and m == 1 << transmitter]
+    return x.reshape(-1, s["stride"], *x.shape[1:])[:, places].reshape(-1, *x.shape[1:]) if places and len(x) % s["stride"] == 0 else x
+
+
+def doppler_map(s: dict, x: np.ndarray, n_fft: int | None, mode: str = "MRC", transmitter: int | None = None) -> tuple[np.ndarray, float]:
+    """(Doppler, range) magnitudes of a frame, and m/s of a Doppler bin; of the transmitter chosen, or of the first usable one."""
+    chosen = of_transmitter(s, x, transmitter)
+    places = max(1, len(x) // len(chosen))
+    loops, chirps = one_transmitter(s, x) if chosen is x else (chosen, places)
     z = np.moveaxis(range_spectra(s, loops, n_fft), 0, -1)
     found = doppler.combine(kernels.doppler(z, z.shape[-1], "hann"), mode).T
     return found, velocity_step(len(found), (s["idle_s"] + s["ramp_s"]) * chirps, s["start_hz"])
@@ -148,16 +157,46 @@ def targets(rows: DataFrame, n_fft: int | None = 256, guard: int = 2, train: int
     return by_frame(rows, step, "capture_id string, frame int, label int, doppler_idx int, range_idx int, magnitude double, range_m double, velocity_ms double")
 
 
-def range_doppler(rows: DataFrame, n_fft: int | None = 256, mode: str = "MRC") -> DataFrame:
+def range_doppler(rows: DataFrame, n_fft: int | None = 256, mode: str = "MRC", transmitter: int | None = None) -> DataFrame:
     """(capture_id, frame, doppler_idx, mag array over range)."""
 
     def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
-        found, _ = doppler_map(s, x, n_fft, mode)
+        found, _ = doppler_map(s, x, n_fft, mode, transmitter)
         return pd.DataFrame({"capture_id": s["capture_id"], "frame": np.int32(frame), "doppler_idx": np.arange(len(found), dtype=np.int32), "mag": list(found)})
 
     return by_frame(rows, step, "capture_id string, frame int, doppler_idx int, mag array<double>")
 
 
+def micro_doppler(rows: DataFrame, first: int = 5, last: int = 100, n_fft: int | None = 256, transmitter: int | None = None) -> DataFrame:
+    """(capture_id, frame, doppler_idx, db): the sum of each map over range bins first to last."""
+    return doppler.micro_doppler(range_doppler(rows, n_fft, transmitter=transmitter), first, last)
+
+
+def frame_profiles(rows: DataFrame, n_fft: int | None = 256, alpha: float | None = None, transmitter: int | None = None) -> DataFrame:
+    """(capture_id, frame, range_idx, mag): mean magnitudes over chirps and receivers, minus alpha times the recording's mean over its frames."""
+
+    def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
+        mag = (np.abs(range_spectra(s, of_transmitter(s, x, transmitter), n_fft)) + 1e-9) * (2.0 if s["real"] else 1.0)
+        return pd.DataFrame({"capture_id": s["capture_id"], "frame": np.int32(frame), "mag": [mag.mean(axis=(0, 1))]})
+
+    found = ranges.cells(by_frame(rows, step, "capture_id string, frame int, mag array<double>"))
+    return found if alpha is None else ranges.remove_background(materialise(found), alpha)
+
+
+def profile_dbfs(rows: DataFrame, n_fft: int | None = 256, transmitter: int | None = None, remove_dc: bool = True) -> DataFrame:
+    """(capture_id, frame, rx, range_idx, dbfs): the coherent mean over chirps relative to full scale, half spectrum."""
+
+    def step(s: dict, frame: int, x: np.ndarray) -> pd.DataFrame:
+        mean = of_transmitter(s, x, transmitter).mean(axis=0)
+        n = n_fft or 1 << (mean.shape[-1] - 1).bit_length()
+        gain = max(1e-12, n * kernels.window(mean.shape[-1], "hann").mean())
+        out = np.abs(kernels.spectrum(mean, n, "hann", remove_dc, n // 2 + 1)) / gain * (2.0 if s["real"] else 1.0)
+        return pd.DataFrame({"capture_id": s["capture_id"], "frame": np.int32(frame), "rx": np.arange(len(out), dtype=np.int32), "mag": list(20 * np.log10(out + 1e-9))})
+
+    found = by_frame(rows, step, "capture_id string, frame int, rx int, mag array<double>")
+    return ranges.cells(found).withColumnRenamed("mag", "dbfs")
+
+
 def safe_tdm(masks: list[int] | None) -> bool:
     """Two or more places of one transmitter each, all different."""
     active = [int(m) for m in (masks if masks is not None else [])]

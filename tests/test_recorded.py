@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions import kernels
 from sweepframe.functions.signal import C0
-from sweepframe.operators import angles, cube, logconfig, ranges, temporal
+from sweepframe.operators import angles, cube, doppler, logconfig, ranges, temporal
 from sweepframe.plans import recorded, workflows
 from sweepframe.sources import captures
 
@@ -234,3 +234,36 @@ def test_movement_of_windows_of_recordings(spark, rows):
     got = key(recorded.movement_by_window(rows, 32, 6, 3))
     assert got == key(temporal.movement_by_window(maps, 6, 3, fps="fps"))
     assert {k[:2] for k in got if "/b_" in k[0]} == {(k[0], w) for k in got if "/b_" in k[0] for w in range(12)}
+
+
+def test_profiles_background_and_micro_doppler_of_recordings(spark, folder, rows):
+    dbfs = recorded.profile_dbfs(rows, None).withColumn("n", name_of()).collect()
+    plain, moving = (recorded.frame_profiles(rows, None, alpha).withColumn("n", name_of()).collect() for alpha in (None, 0.5))
+    micro = recorded.micro_doppler(rows, 1, 3, None).withColumn("n", name_of()).collect()
+    known = {r["n"]: r for r in rows.withColumn("n", name_of()).collect()}
+    for which, (name, _, n, stride, *_) in enumerate(CAPTURES):
+        whole = constant_cube(spark, folder, which)
+        close = lambda got, expected: got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+        assert close({(r.frame, r.rx, r.range_idx): r.dbfs for r in dbfs if r["n"] == name}, {(r.frame, r.rx, r.range_idx): r.dbfs for r in ranges.profile_dbfs(whole, n).collect()})
+        profile = ranges.frame_profile(ranges.with_magnitude(ranges.range_fft(whole, n)))
+        for got, expected in ((plain, profile), (moving, ranges.remove_background(profile, 0.5))):
+            assert close({(r.frame, r.range_idx): r.mag for r in got if r["n"] == name}, {(r.frame, r.range_idx): r.mag for r in expected.collect()})
+        masks = radar_of(known[name])["tx_masks"]
+        rd = doppler.range_doppler(whole, doppler.transmit_positions(masks, stride), stride, LOOPS * stride, n)
+        assert close({(r.frame, r.doppler_idx): r.db for r in micro if r["n"] == name}, {(r.frame, r.doppler_idx): r.db for r in doppler.micro_doppler(rd, 3, 1).collect()})
+
+
+def test_chirps_of_a_transmitter():
+    x = np.arange(12)[:, None, None] * np.ones((1, 2, 3))
+    s = {"tx_masks": [1, 4, 3, 4], "stride": 4}
+    assert recorded.of_transmitter(s, x, 2)[:, 0, 0].tolist() == [1, 3, 5, 7, 9, 11]
+    assert recorded.of_transmitter(s, x, 0)[:, 0, 0].tolist() == [0, 4, 8]
+    assert recorded.of_transmitter(s, x, 1) is x and recorded.of_transmitter(s, x, None) is x and recorded.of_transmitter({**s, "stride": 5}, x, 0) is x
+    assert recorded.of_transmitter({"tx_masks": None, "stride": 1}, x, 0) is x
+
+
+def test_the_transmitter_chosen_changes_the_maps(spark, rows):
+    maps = [sorted((r["n"], r.frame, r.doppler_idx, *r.mag) for r in recorded.range_doppler(rows, None, transmitter=t).withColumn("n", name_of()).collect()) for t in (None, 0, 1)]
+    of = lambda m, name: [x for x in m if x[0] == name]
+    assert of(maps[0], "a") == of(maps[1], "a") != of(maps[2], "a") and len(of(maps[2], "a")) == len(of(maps[0], "a"))
+    assert of(maps[0], "b") == of(maps[1], "b") == of(maps[2], "b")
