@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweepframe.functions import kernels
+from sweepframe.functions import kernels, ranksketch
 from sweepframe.functions.percentiles import percentiles
+from sweepframe.functions.scratch import materialise
 from sweepframe.functions.signal import db20, magnitude
 from sweepframe.operators.cube import frame_mean
 
@@ -93,7 +94,14 @@ def remove_background(profile: DataFrame, alpha: float) -> DataFrame:
 
 def display_limits(rows: DataFrame, value: Column, low: float, high: float, raise_high: float = 0.0) -> DataFrame:
     """Percentiles of the values of each capture, interpolated: the limits of a display."""
-    p = percentiles(rows, value, [low / 100, high / 100])
+    rows = materialise(rows.select("capture_id", value.cast("double").alias("v")))  # both passes read these numbers, not what made them
+    p = percentiles(rows, F.col("v"), [low / 100, high / 100])
+    return p.select("capture_id", F.col("p")[0].alias("vmin"), (F.col("p")[1] + raise_high).alias("vmax"))
+
+
+def limits_of_sketch(rows: DataFrame, value: Column, found: DataFrame, low: float, high: float, step: float, raise_high: float = 0.0) -> DataFrame:
+    """display_limits by a stored sketch of the values (ranksketch), which new frames have been added to: one pass over the values near the limits."""
+    p = ranksketch.exact(rows, value, found, [low / 100, high / 100], step)
     return p.select("capture_id", F.col("p")[0].alias("vmin"), (F.col("p")[1] + raise_high).alias("vmax"))
 
 
@@ -108,6 +116,7 @@ def notch(rti: DataFrame, bins: int | str) -> DataFrame:
 
     bins: their number, or the name of a column that has it. Maps of at most four bins stay as they are.
     """
+    rti = materialise(rti)  # read for the percentile, twice, and for the map
     n, at = (F.col(bins) if isinstance(bins, str) else F.lit(bins)).cast("int"), F.col("range_idx")
     half = F.floor(n / 2)
     low = percentiles(rti.where((half <= 10) | at.between(10, half - 1)), F.col("mag"), [0.01]).select("capture_id", F.col("p")[0].alias("low"))

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sweepframe.functions import ranksketch
 from sweepframe.functions.signal import C0, bin_width_m, db20, velocity_step, windowed, without_mean
 from sweepframe.operators import angles, cube, design, detection, doppler, logconfig, ranges, temporal
 from sweepframe.plans import workflows
@@ -252,6 +253,13 @@ def r8_display_limits(spark, sf_dir):
     return rounded(ranges.display_limits(_profile(spark, sf_dir), db20(F.col("mag")), 5, 99, 5).drop("capture_id"), 4)
 
 
+@query(f"SELECT round(quantile_cont(20 * log10(mag + 1e-9), 0.05), 4) AS vmin, round(quantile_cont(20 * log10(mag + 1e-9), 0.99) + 5, 4) AS vmax FROM ({_PROFILE})")
+def r8_limits_of_sketches(spark, sf_dir):
+    rows = _profile(spark, sf_dir).select("capture_id", "frame", db20(F.col("mag")).alias("db"))
+    earlier, later = (ranksketch.sketch(rows.where(F.col("frame") % 3 == 0 if first else F.col("frame") % 3 != 0), F.col("db"), 0.25) for first in (True, False))
+    return rounded(ranges.limits_of_sketch(rows, F.col("db"), ranksketch.merged(earlier, later), 5, 99, 0.25, 5).drop("capture_id"), 4)
+
+
 _RTI = parts("e", "es", "ew", "ef", "em", last="SELECT frame * 16 + chirp AS t, k, avg(mag) AS mag FROM em GROUP BY ALL")
 
 
