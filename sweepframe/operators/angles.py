@@ -239,15 +239,20 @@ def apply_order(snapshots: DataFrame, orders: DataFrame) -> DataFrame:
     return rows.select("capture_id", "frame", "loop", place.alias("ant"), "re", im.alias("im"))
 
 
-def cartesian(cells: DataFrame, range_step: float) -> DataFrame:
-    """(range_idx, angle_deg) cells with x and y in metres."""
-    r = F.col("range_idx") * F.lit(range_step)
+def _metres(range_step: float | str):
+    """Distance of a cell by a range step, or by the column that has it."""
+    return F.col("range_idx") * (F.col(range_step) if isinstance(range_step, str) else F.lit(range_step))
+
+
+def cartesian(cells: DataFrame, range_step: float | str) -> DataFrame:
+    """(range_idx, angle_deg) cells with x and y in metres. range_step: metres, or the name of a column."""
+    r = _metres(range_step)
     return cells.withColumns({"x_m": r * F.sin(F.radians("angle_deg")), "y_m": r * F.cos(F.radians("angle_deg"))})
 
 
-def crop(cells: DataFrame, range_step: float, nearest: float = 0.3, span_db: float = 35.0) -> DataFrame:
+def crop(cells: DataFrame, range_step: float | str, nearest: float = 0.3, span_db: float = 35.0) -> DataFrame:
     """Cells from a least distance on (all, if none is that far), raised to the frame's maximum minus a span."""
     w = Window.partitionBy("capture_id", "frame")
-    far = F.col("range_idx") * F.lit(range_step) >= nearest
+    far = _metres(range_step) >= nearest
     kept = cells.withColumn("__any", F.max(far).over(w)).where(far | ~F.col("__any")).drop("__any")
     return kept.withColumn("db", F.greatest(F.col("db"), F.max("db").over(w) - span_db))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepframe.functions import kernels
+from sweepframe.operators import longseries
 
 HITS = "capture_id string, frame int, doppler_idx int, range_idx int, mag double, label int"
 
@@ -58,13 +59,16 @@ class Detect:
         return hits_of(key, found, *self.parameters)
 
 
-def cfar_line(rows: DataFrame, keys: list[str], order: str, value: str, guard: int = 2, train: int = 8, factor: float = 3.0) -> DataFrame:
-    """One-dimensional CFAR along `order`: interior cells with noise and hit."""
+def cfar_line(rows: DataFrame, keys: list[str], order: str, value: str, guard: int = 2, train: int = 8, factor: float = 3.0, block: int = 1 << 16) -> DataFrame:
+    """One-dimensional CFAR along `order`, a number: interior cells with noise and hit. A series is taken in blocks of so many rows, each with the rows of its neighbours that rings reach, so no task orders it whole."""
     w = guard + train
-    line = Window.partitionBy(*keys).orderBy(order)
+    of = lambda at: F.floor(at / block)
+    x = longseries.positions(rows.select(*keys, order, value), keys, order, "__at").withColumn("__own", of(F.col("__at")))
+    x = x.withColumn("__part", F.explode(F.sequence(F.greatest(F.lit(0), of(F.col("__at") - w)), of(F.col("__at") + w))))
+    line = Window.partitionBy(*keys, "__part").orderBy("__at")
     left, right = line.rowsBetween(-w, -guard - 1), line.rowsBetween(guard + 1, w)
-    x = rows.withColumns({"nl": F.count(value).over(left), "nr": F.count(value).over(right), "sl": F.sum(value).over(left), "sr": F.sum(value).over(right)})
-    x = x.where((F.col("nl") == train) & (F.col("nr") == train)).withColumn("noise", (F.col("sl") + F.col("sr")) / (2 * train))
+    x = x.withColumns({"nl": F.count(value).over(left), "nr": F.count(value).over(right), "sl": F.sum(value).over(left), "sr": F.sum(value).over(right)})
+    x = x.where((F.col("nl") == train) & (F.col("nr") == train) & (F.col("__own") == F.col("__part"))).withColumn("noise", (F.col("sl") + F.col("sr")) / (2 * train))
     return x.select(*keys, order, value, "noise", (F.col(value) > F.col("noise") * factor).alias("hit"))
 
 

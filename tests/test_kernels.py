@@ -254,3 +254,24 @@ def test_labels_against_a_flood():
                         expected[r, c] = n
                         stack += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
         assert (kernels.label4(hits) == expected).all()
+
+
+@pytest.mark.parametrize("block", [3, 10, 1 << 16])
+def test_line_cfar_by_blocks(spark, block):
+    rng = np.random.default_rng(9)
+    series = {"a": rng.exponential(size=57), "b": rng.exponential(size=9), "c": rng.exponential(size=10_000)}
+    rows = [(c, 5 * t - 20, float(v)) for c, x in series.items() for t, v in enumerate(x)]
+    got = {(r.capture_id, r.t): (r.noise, r.hit) for r in detection.cfar_line(spark.createDataFrame(rows, "capture_id string, t int, v double"), ["capture_id"], "t", "v", 1, 3, 1.5, block=block).collect()}
+    expected = {}
+    for c, x in series.items():
+        for t in range(4, len(x) - 4):
+            noise = np.concatenate([x[t - 4 : t - 1], x[t + 2 : t + 5]]).mean()
+            expected[c, 5 * t - 20] = (noise, x[t] > 1.5 * noise)
+    assert got.keys() == expected.keys() and all(abs(got[k][0] - expected[k][0]) < 1e-9 and got[k][1] == expected[k][1] for k in got)
+
+
+def test_cells_by_the_range_step_of_a_column(spark):
+    cells = spark.createDataFrame([(c, 0, r, float(a), -float(r), s) for c, s in (("a", 0.1), ("b", 0.5)) for r in range(5) for a in (-90, 0, 30)], "capture_id string, frame int, range_idx int, angle_deg double, db double, step double")
+    found = angles.crop(angles.cartesian(cells, "step"), "step", 0.3).collect()
+    assert {(r.capture_id, r.range_idx) for r in found} == {("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 3), ("b", 4)}
+    assert all(abs(r.x_m - r.range_idx * r.step * np.sin(np.deg2rad(r.angle_deg))) < 1e-12 and abs(r.y_m - r.range_idx * r.step * np.cos(np.deg2rad(r.angle_deg))) < 1e-12 for r in found)
