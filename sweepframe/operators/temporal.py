@@ -77,7 +77,7 @@ def movement_map(ra: DataFrame, band: str = "movement", fps: float | str = FPS,
     if counts is None:
         ra = materialise(ra)
         counts = ra.groupBy("capture_id").agg((F.max("frame") + 1).cast("int").alias("frames"))
-    counts = materialise(counts.select("capture_id", F.col("frames").cast("int").alias("frames"), _long(F.col("frames"), longest).alias("long")))  # a row for each capture
+    counts = counts.select("capture_id", F.col("frames").cast("int").alias("frames"), _long(F.col("frames"), longest).alias("long"))  # a row for each capture
     kinds = {r["long"] for r in counts.select("long").distinct().collect()}
 
     def pixels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +103,7 @@ def movement_map(ra: DataFrame, band: str = "movement", fps: float | str = FPS,
 
     if True not in kinds:
         return _relative(whole(ra))
-    known = join_small(ra, counts, "capture_id")
+    known = join_small(ra, materialise(counts), "capture_id")
     if False not in kinds:
         return _relative(in_steps(known))
     return _relative(whole(known.where("not long").drop("long", "frames")).unionByName(in_steps(known.where("long"))))
@@ -249,9 +249,9 @@ def vitals(series: DataFrame, fps: float | str = FPS, longest: int = LONGEST) ->
     """
     kind = series.schema["capture_id"].dataType.simpleString()
     rated = materialise(series.select("capture_id", "frame", F.col("signal").cast("double").alias("signal"), _rate(fps)))  # one double for each frame
-    counts = materialise(rated.groupBy("capture_id").agg(F.count(F.lit(1)).cast("int").alias("frames")).where("frames >= 4").withColumn("long", _long(F.col("frames"), longest)))
+    counts = rated.groupBy("capture_id").agg(F.count(F.lit(1)).cast("int").alias("frames")).where("frames >= 4").withColumn("long", _long(F.col("frames"), longest))
     kinds = {r["long"] for r in counts.select("long").distinct().collect()}
-    known = join_small(rated, counts, "capture_id")
+    known = join_small(rated, materialise(counts), "capture_id") if True in kinds else rated
     names = [c.split()[0] for c in VITALS.split(", ")]
 
     def rows(batches):
@@ -260,7 +260,7 @@ def vitals(series: DataFrame, fps: float | str = FPS, longest: int = LONGEST) ->
             yield pd.DataFrame(found, columns=["capture_id", *names])
 
     # ordered arrays are built in the aggregate, and the transform is a map over them
-    whole = known.where("not long").groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("frame", "signal"))).alias("x"), F.max("fps").alias("fps")).select("capture_id", "fps", F.col("x.signal").alias("x"))
+    whole = (known.where("not long") if True in kinds else known).groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("frame", "signal"))).alias("x"), F.max("fps").alias("fps")).where(F.size("x") >= 4).select("capture_id", "fps", F.col("x.signal").alias("x"))
     short = whole.mapInPandas(rows, f"capture_id {kind}, {VITALS}")
     if True not in kinds:
         return short
