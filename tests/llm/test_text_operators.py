@@ -68,7 +68,7 @@ def test_inference_against_all_language_sets(spark, model):
     docs, learned = model
     best = {r.lang: r.text for r in docs.where("length(text) > 2000").groupBy("lang").agg(F.max_by("text", "n_chars").alias("text")).collect()}
     texts = [best["en"][:400], best["fr"][:60], best["fr"][:700] + " " + best["de"][:500], best["es"][:900] + " " + best["en"][:100], "the house", best["de"][:300] + best["es"][:300] + best["fr"][:300]]
-    p, names = learned["p"], learned["names"]
+    p, names = np.concatenate([block.value for block in learned["blocks"]]), learned["names"]
     for text in texts:
         found = langid.trigram_counts(text)
         counts = {int(b): int(found[b]) for b in np.flatnonzero(found)}
@@ -91,10 +91,26 @@ def test_gain_tells_languages_from_noise(spark, model):
     assert min(r.gain for r in rows) > 0
 
 
-def test_most_labelled_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    rows = [(1, "aa bb", "x"), (2, "cc", "y"), (3, "dd", "z"), (4, "dd", "z"), (5, "cc", "y")]
-    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["names"] == ["y", "z"]
+def test_every_label_is_learned_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # 500 languages with letters of their own, some labels with one short text only
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 8))) for _ in range(30)] for _ in range(500)]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    rows = [(k, text(k, 40 if k % 3 else 15), f"l{k:03d}") for k in range(500)] + [(500, "12 34", "digits"), (501, None, "nothing"), (502, "words", None), (503, "words", "")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = frame(spark, [(k, text(k, 25)) for k in range(500)] + [(1000, text(3, 60) + " " + text(420, 50)), (1001, ""), (1002, None), (1003, text(499, 30) * 200)])
+    found = {}
+    for size, together in ((1000, 64), (100, 64), (60, 16)):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        model = langid.learn(labelled)
+        assert model["names"] == [f"l{k:03d}" for k in range(500)] and len(model["blocks"]) == -(-500 // size)
+        assert all(block.value.shape[0] <= size for block in model["blocks"])
+        found[size] = {r.doc_id: r.language for r in langid.identify(asked, model).collect()}
+    assert found[100] == found[1000] and found[60] == found[1000]
+    assert sum(found[100][k].lang_pred == f"l{k:03d}" for k in range(500)) >= 495 and found[100][1003].lang_pred == "l499"
+    assert set(found[100][1000].proportions) == {"l003", "l420"}
+    assert found[100][1001].lang_pred == found[100][1002].lang_pred == "und"
 
 
 def test_no_labels(spark):
