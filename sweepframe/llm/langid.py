@@ -138,11 +138,13 @@ class _Growing:
         self.total = self.c.sum()
         self.penalty = OVERLAP * (0.5 * np.log(self.total + 1) + np.log(languages + 1))
         self.chosen, self.share, self.p, self.best = [], np.empty(0), np.empty((0, len(self.at))), -np.inf
-        self.next = None
+        self.next, self.languages, self.held = None, languages, None
 
     def look(self, block: np.ndarray, first: int) -> None:
         """Takes the languages of one block, numbered from first, into account."""
-        p = block[:, self.at].astype(float)
+        p = self.held if self.held is not None else block[:, self.at].astype(float)
+        if len(block) == self.languages:  # one block is all there is, so the next pass needn't pick from it again
+            self.held = p
         if self.chosen:
             # the likelihood is concave in the shares, so its slope towards a language bounds what adding it can gain
             slope = (p * (self.c / (self.share @ self.p))).sum(axis=1) - self.total
