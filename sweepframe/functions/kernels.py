@@ -102,6 +102,19 @@ def detect(grid: np.ndarray, guard: int, train: int, factor: float, method: str
     return hits
 
 
+def least_of_groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For 0 to n - 1 the least number of the group that the pairs (a, b) join it to."""
+    root = np.arange(n)
+    while True:
+        new, least = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all() and (root[a] == root[b]).all():
+            return root
+        root = new
+
+
 def label4(hits: np.ndarray) -> np.ndarray:
     """Labels 1, 2, ... of the groups of hits that touch by an edge, in raster order of their first cells.
 
@@ -118,15 +131,7 @@ def label4(hits: np.ndarray) -> np.ndarray:
     many = np.maximum(np.searchsorted(row * width + start, (row + 1) * width + end, "left") - first, 0)
     a = np.repeat(np.arange(n), many)
     b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-    root = np.arange(n)
-    while True:
-        new, least = root.copy(), np.minimum(root[a], root[b])
-        np.minimum.at(new, root[a], least)
-        np.minimum.at(new, root[b], least)
-        new = new[new]
-        if (new == root).all() and (root[a] == root[b]).all():
-            break
-        root = new
+    root = least_of_groups(n, a, b)
     own = np.unique(root, return_inverse=True)[1] + 1
     size = end - start
     labels.flat[np.repeat(row * hits.shape[1] + start - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(own, size)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions import ranksketch
 from sweepframe.functions.signal import C0, bin_width_m, db20, velocity_step, windowed, without_mean
-from sweepframe.operators import angles, cube, design, detection, doppler, logconfig, ranges, temporal
+from sweepframe.operators import angles, cube, design, detection, doppler, logconfig, ranges, temporal, tiles
 from sweepframe.plans import workflows
 from sweepframe.sources import captures, derived
 
@@ -614,6 +614,11 @@ def x4_clusters(spark, sf_dir):
     return _longs(rounded(detection.cfar(_grid_rows(spark, sf_dir), 1, 2, 1.8).drop("capture_id")))
 
 
+@query(_hits_sql("avg") + "SELECT frame, d AS doppler_idx, r AS range_idx, round(mag, 6) AS mag, label FROM n")
+def x4_clusters_in_tiles(spark, sf_dir):
+    return _longs(rounded(tiles.cfar(derived.grid(spark, sf_dir), 1, 2, 1.8, tile=(5, 7)).drop("capture_id")))
+
+
 @query(_hits_sql("median") + "SELECT frame, d AS doppler_idx, r AS range_idx, round(mag, 6) AS mag, label FROM n")
 def x2_ordered_cfar(spark, sf_dir):
     return _longs(rounded(detection.cfar(_grid_rows(spark, sf_dir), 1, 2, 1.8, "ordered").drop("capture_id")))
