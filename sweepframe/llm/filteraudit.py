@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.functions.scratch import few_rows, materialise, new_path, settings
+from sweepframe.functions.scratch import few_rows, join_small, materialise, new_path, settings
 from sweepframe.llm.words import word_lists
 
 FILTERS = "ABCDE"
 #: Texts that share a row of state, least bytes of a micro-batch, and most of them whatever the input.
 TEXTS, BATCH_BYTES, MOST_BATCHES = 256, 256 << 20, 64
-#: Pieces into which the labels of an id are copied where they are too many to be sent to all tasks.
-SALT = 16
+#: Rows of one id that meet its labels in one task, where labels are too many to be sent to all tasks; an id with more rows is copied for every so many.
+REPEATS = 1 << 12
 _REPEATED = 1 << FILTERS.index("E")
 _CAPITALS, _INNER, _SIGNS = bytes(range(65, 91)), bytes(range(128, 192)), re.compile(rb"[#$%&*|]")
 #: Settings of the stream: bytes of a batch that goes to Python.
@@ -101,12 +101,14 @@ def _fold(rows: Counter, buckets: int) -> Counter:
 _FOLDED_ROWS = "bucket int, digest string, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
 
 
-def folded(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """Documents (doc_id, part, text) with the flags good and toxic of their id in known, judged and folded in batches of rows.
+def folded(docs: DataFrame, known: DataFrame, buckets: int, ids: DataFrame) -> DataFrame:
+    """Documents (doc_id, part, text) with the flags good and toxic of their id in known, judged and folded in batches of rows. ids: the column doc_id of all documents.
 
     Few labels are sent to all tasks before texts are looked at, and one task does
     all. Many meet the judged rows, without texts, in a shuffle by id, over which
-    rows of one id, or of none, are spread by their text.
+    rows of an id that has very many, or of none, are spread by their text. That
+    join is always a sorted one: a file of labels that is small enough to be sent
+    to all tasks makes a table in the driver that is many times as large.
     """
     flagged = lambda rows: rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     if few_rows(known):
@@ -129,9 +131,11 @@ def folded(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
             yield _batch(_fold(rows, buckets), _FOLDED)
 
     rows = docs.mapInArrow(judge, "digest string, doc_id long, part string, mask int, n long")
-    salt = F.pmod(F.xxhash64("digest"), F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(SALT)).cast("int")
-    copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return flagged(rows.withColumn("salt", salt).join(copies, ["doc_id", "salt"], "left")).mapInArrow(fold, _FOLDED_ROWS)
+    many = materialise(ids.where("doc_id is not null").groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / REPEATS).cast("int").alias("copies")).where("copies > 1"))
+    copied = lambda rows: join_small(rows, many, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    salt = F.pmod(F.xxhash64("digest"), F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(F.col("copies"))).cast("int")
+    copies = copied(known).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return flagged(copied(rows).withColumn("salt", salt).drop("copies").join(copies.hint("merge"), ["doc_id", "salt"], "left")).mapInArrow(fold, _FOLDED_ROWS)
 
 
 def retracted(key: tuple, frames, state):
@@ -188,7 +192,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, doc_id: str = "d
     pattern, size = _listed(spark, path)
     files = spark.readStream.schema(table.select(doc_id, text, part).schema).option("maxBytesPerTrigger", max(batch_bytes, size // MOST_BATCHES)).parquet(pattern)
     docs = files.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(text).cast("string").cast("binary").alias("text"))
-    changes = folded(docs, known, buckets).groupBy("bucket").applyInPandasWithState(retracted, _CHANGES, "texts string", "append", "NoTimeout")
+    changes = folded(docs, known, buckets, table.select(F.col(doc_id).cast("long").alias("doc_id"))).groupBy("bucket").applyInPandasWithState(retracted, _CHANGES, "texts string", "append", "NoTimeout")
     told = new_path(spark, "changes")
 
     def tell(batch: DataFrame, number: int) -> None:

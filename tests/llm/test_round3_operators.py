@@ -265,3 +265,18 @@ def test_audit_of_empty_tables_and_single_files(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, text string").coalesce(1).write.parquet(str(tmp_path / "one"))
     file = next((tmp_path / "one").glob("*.parquet"))
     assert sorted(map(tuple, filteraudit.audit(spark, str(file), labels).collect())) == audited(docs, [])
+
+
+def test_many_labels_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """Their join is a sorted one, however small the file of labels is; ids with many rows are spread."""
+    monkeypatch.setattr(filteraudit, "few_rows", lambda df: False)
+    monkeypatch.setattr(filteraudit, "REPEATS", 2)
+    docs, labels = corpus()
+    frame = spark.createDataFrame([(i, p or "", (t or "").encode()) for i, p, t in docs], "doc_id long, part string, text binary")
+    known = spark.createDataFrame([(i, q == 1, t == 1) for i, q, t in labels[:30]], "doc_id long, good boolean, toxic boolean")
+    plan = filteraudit.folded(frame, known, 4, frame.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    salted = [line for line in plan.splitlines() if "Join [" in line and "salt" in line]
+    assert salted and all("SortMergeJoin" in line for line in salted)
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "docs"))
+    found = filteraudit.audit(spark, str(tmp_path / "docs"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sorted(map(tuple, found.collect())) == audited(docs, labels)
