@@ -85,5 +85,5 @@ def to_targets(found: DataFrame, range_bins: int, range_step: float, doppler_bin
 
 
 def snr_db(magnitude: Column, noise: Column) -> Column:
-    """Signal to noise in dB, 0 without noise."""
-    return F.when(noise > 0, 20 * F.log10(magnitude / noise)).otherwise(0.0)
+    """Signal to noise in dB, 0 without noise; minus infinity without a signal."""
+    return F.when(noise > 0, F.when(magnitude == 0, float("-inf")).otherwise(20 * F.log10(magnitude / noise))).otherwise(0.0)

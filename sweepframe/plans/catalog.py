@@ -636,8 +636,7 @@ SELECT *, (sum(signal) OVER a + sum(signal) OVER b) / 16 AS noise FROM v WINDOW
 QUALIFY count(*) OVER a = 8 AND count(*) OVER b = 8)"""))
 def x3_cfar_line(spark, sf_dir):
     rows = detection.cfar_line(derived.series(spark, sf_dir), ["capture_id"], "frame", "signal", factor=1.5)
-    snr = F.when(F.col("signal") > 0, detection.snr_db(F.col("signal"), F.col("noise")))
-    return _longs(rounded(rows.withColumn("snr_db", F.round(snr, 4))))
+    return _longs(rounded(rows.withColumn("snr_db", F.round(detection.snr_db(F.col("signal"), F.col("noise")), 4))))
 
 
 _TARGETS = f"""WITH RECURSIVE {", ".join(f"{n} AS ({COMMON[n]})" for n in (*_DZ, "rd"))}, m AS (SELECT frame, d, k AS r, mag FROM rd),

@@ -90,3 +90,14 @@ def test_antenna_order_against_all_permutations(spark):
     found = registry.queries()["a8_antenna_order"](spark, SF).collect()
     best = max(t[0] for t in tried)
     assert len(found) == 1 and any(abs(t[0] - best) < 1e-9 * best and t[1:] == tuple(found[0])[1:] for t in tried)
+
+
+def test_line_cfar_of_zero_signals(spark, tmp_path):
+    """A cell without signal is minus infinity dB below its noise, as the SQL has it."""
+    con = duckdb.connect()
+    con.sql(f"copy (select i as event_id, timestamp '2024-01-01' + interval 1 second * i as ts, i % 2 as user_id, case when i % 7 = 0 then 0.0 else i * 37 % 101 / 4 end::double as value from range(90) t(i)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    found = registry.queries()["x3_cfar_line"](spark, str(tmp_path)).select("capture_id", "frame", "signal", "noise", "hit", "snr_db")
+    expected = con.sql(f"select capture_id, frame, signal, noise, hit, snr_db from ({registry.oracle_sql()['x3_cfar_line']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert sum(r[-1] == -math.inf for r in expected) > 5
