@@ -38,15 +38,15 @@ def doppler(x: np.ndarray, n_fft: int, kind: str | None) -> np.ndarray:
 
 
 def ring_mean(grid: np.ndarray, guard: int, train: int) -> np.ndarray:
-    """Mean of the training ring of all interior cells, from running sums."""
+    """Mean of the training ring of all interior cells, from running sums; of each map, where there are several (..., rows, columns)."""
     w = guard + train
-    total = np.zeros((grid.shape[0] + 1, grid.shape[1] + 1))
-    total[1:, 1:] = grid.cumsum(0).cumsum(1)
+    total = np.zeros((*grid.shape[:-2], grid.shape[-2] + 1, grid.shape[-1] + 1))
+    total[..., 1:, 1:] = grid.cumsum(-2).cumsum(-1)
 
     def box(half):
         a, b = w - half, w + half + 1
-        rows, cols = grid.shape[0] - 2 * w, grid.shape[1] - 2 * w
-        return total[b : b + rows, b : b + cols] - total[a : a + rows, b : b + cols] - total[b : b + rows, a : a + cols] + total[a : a + rows, a : a + cols]
+        rows, cols = grid.shape[-2] - 2 * w, grid.shape[-1] - 2 * w
+        return total[..., b : b + rows, b : b + cols] - total[..., a : a + rows, b : b + cols] - total[..., b : b + rows, a : a + cols] + total[..., a : a + rows, a : a + cols]
 
     return (box(w) - box(guard)) / ((2 * w + 1) ** 2 - (2 * guard + 1) ** 2)
 

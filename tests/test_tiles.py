@@ -1,9 +1,11 @@
 """Maps in tiles against the same maps as a whole."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sweepframe.functions import kernels
+from sweepframe.functions.groups import in_groups
 from sweepframe.operators import detection, tiles
 
 CELLS = "extra string, capture_id string, frame int, doppler_idx int, range_idx int, mag double"
@@ -89,3 +91,29 @@ def test_least_of_groups():
         for x, y in zip(a, b):
             expected[x] = expected[y] = min(expected[x], expected[y])
     assert kernels.least_of_groups(60, a, b).tolist() == expected
+
+
+def test_small_tiles_travel_together(spark, monkeypatch):
+    """A cell is sent to one block of tiles or a few, not to each small tile that its value reaches."""
+    sent = []
+    monkeypatch.setattr(tiles, "in_groups", lambda rows, keys, *how: sent.append(rows.count()) or in_groups(rows, keys, *how))
+    grid = np.random.default_rng(5).exponential(size=(16, 32))
+    cells = spark.createDataFrame(cells_of({("a", f): grid for f in range(3)}), CELLS)
+    assert len(rows_of(tiles.cfar(cells, 1, 2, 1.8, tile=(5, 7)))) > 50
+    assert sent[0] == 3 * grid.size
+
+
+def test_whole_groups_in_few_calls(spark):
+    rows = spark.createDataFrame([(k % 7 or None, f"c{k % 3}", k) for k in range(500)], "a int, b string, v int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+
+    def sums(rows, bounds):
+        return pd.DataFrame([(*rows.iloc[a][["a", "b"]], rows["v"][a:b].sum(), rows["v"][a:b].count(), a) for a, b in zip(bounds, bounds[1:])], columns=["a", "b", "total", "n", "place"])
+
+    try:
+        found = in_groups(rows, ["a", "b"], sums, "a double, b string, total long, n long, place long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((0 if r.a is None or r.a != r.a else int(r.a), r.b, r.total, r.n) for r in found)
+    assert got == sorted((a, f"c{b}", sum(k for k in range(500) if k % 7 == a and k % 3 == b), sum(k % 7 == a and k % 3 == b for k in range(500))) for a in range(7) for b in range(3))
+    assert any(r.place for r in found)
