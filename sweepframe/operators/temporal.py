@@ -44,6 +44,8 @@ def band_mask(hz: np.ndarray, band: str, nyquist: float | None = None) -> np.nda
 
 #: Angles that a group of the movement map holds, and bins of the band in one row of partial sums.
 ANGLE_BLOCK, BIN_BLOCK = 16, 16
+#: Bins of a band up to which a capture's map is made of partial sums.
+MOST_BINS = 64
 #: Bytes of partial sums that a task holds before it hands them on.
 HELD = 64 << 20
 
@@ -150,11 +152,14 @@ def _relative(found: DataFrame, *keys: str) -> DataFrame:
     return found.select("capture_id", *keys, "range_idx", "angle_idx", (db(F.col("e")) - db(F.max("e").over(Window.partitionBy("capture_id", *keys)))).alias("db"))
 
 
-def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS, in_db: bool = True, counts: DataFrame | None = None) -> DataFrame:
+def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS, in_db: bool = True, counts: DataFrame | None = None, most: int = MOST_BINS) -> DataFrame:
     """movement_map by partial sums: the DFT is linear, so each task adds up its frames for each bin of the band. For narrow bands: traffic is bins of the band x tasks, instead of frames.
 
-    X_k = sum w_f s_f e_kf - mean(s) sum w_f e_kf, with the frame counts known first:
-    (capture_id, frames), where they can be had for less than running ra twice.
+    X_k = sum w_f s_f e_kf, less the mean times the transform of the window, with
+    the frame counts known first: (capture_id, frames), where they can be had for
+    less than running ra twice. A band has more bins the longer a capture is;
+    where it has more than most, sums would be larger than the frames, and its
+    capture goes through movement_map.
     """
     counts = counts if counts is not None else ra.groupBy("capture_id").agg((F.max("frame") + 1).cast("int").alias("frames"))  # a row for each capture
 
@@ -162,18 +167,34 @@ def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS
         n = fft_size(frames)
         return n, np.flatnonzero(band_mask(np.fft.rfftfreq(n, 1 / fps), band))
 
+    def sized(batches):
+        for batch in batches:
+            yield batch.assign(wide=[len(bins_of(n)[1]) > most for n in batch["frames"]])
+
+    kind = counts.schema["capture_id"].dataType.simpleString()
+    counts = materialise(counts.select("capture_id", F.col("frames").cast("int").alias("frames")).mapInPandas(sized, f"capture_id {kind}, frames int, wide boolean"))
+    kinds = {r["wide"] for r in counts.select("wide").distinct().collect()}
+    if False not in kinds and kinds:
+        return movement_map(ra, band, fps, in_db, counts.drop("wide"))
+    if True in kinds:
+        ra = materialise(ra)
+
     def handed_on(sums: dict) -> pd.DataFrame:
         rows = [(cap, bin_, frames, b, x[b * BIN_BLOCK : (b + 1) * BIN_BLOCK].real.ravel(), x[b * BIN_BLOCK : (b + 1) * BIN_BLOCK].imag.ravel(), total) for (cap, bin_, frames), (x, total) in sums.items() for b in range(-(-len(x) // BIN_BLOCK))]
         return pd.DataFrame(rows, columns=["capture_id", "range_idx", "frames", "block", "re", "im", "total"])
 
     def partial(batches):
         sums: dict = {}
+        bins: dict = {}
         held = 0
         for batch in batches:
             for cap, frame, bin_, body, frames in zip(batch["capture_id"], batch["frame"], batch["range_idx"], batch["db"], batch["frames"]):
                 s = 10 ** (np.asarray(body) / 10) if in_db else np.asarray(body)
-                n, ks = bins_of(frames)
-                turn = np.hanning(frames)[frame] * np.exp(-2j * np.pi * ks * frame / n)
+                if frames not in bins:
+                    bins[frames] = bins_of(frames)
+                n, ks = bins[frames]
+                window = 0.5 - 0.5 * np.cos(2 * np.pi * frame / (frames - 1)) if frames > 1 else 1.0
+                turn = window * np.exp(-2j * np.pi * (ks * frame % n) / n)
                 if (cap, bin_, frames) not in sums:
                     sums[cap, bin_, frames] = [np.zeros((len(ks), len(s)), complex), np.zeros(len(s))]
                     held += 16 * len(ks) * len(s)
@@ -186,19 +207,22 @@ def movement_map_by_sums(ra: DataFrame, band: str = "movement", fps: float = FPS
         yield handed_on(sums)
 
     keys = ["capture_id", "range_idx", "frames", "block"]
-    rows = ra.join(counts, "capture_id").select("capture_id", "frame", "range_idx", "db", "frames").mapInPandas(partial, "capture_id string, range_idx int, frames int, block int, re array<double>, im array<double>, total array<double>")
+    known = join_small(ra, counts, "capture_id")
+    rows = known.where("not wide").select("capture_id", "frame", "range_idx", "db", "frames").mapInPandas(partial, "capture_id string, range_idx int, frames int, block int, re array<double>, im array<double>, total array<double>")
 
     def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         frames, total = int(key[2]), rows["total"].sum()
         n, ks = bins_of(frames)
         ks = ks[key[3] * BIN_BLOCK : (key[3] + 1) * BIN_BLOCK]
         x = (rows["re"].sum() + 1j * rows["im"].sum()).reshape(len(ks), -1)
-        window = (np.hanning(frames) * np.exp(-2j * np.pi * np.outer(ks, np.arange(frames)) / n)).sum(axis=1)
-        energy = np.abs(x - window[:, None] * (total / frames)).sum(axis=0)
+        energy = np.abs(x - longseries.hann_transform(ks, frames, n)[:, None] * (total / frames)).sum(axis=0)
         return pd.DataFrame({"capture_id": key[0], "range_idx": np.int32(key[1]), "angle_idx": np.arange(len(energy), dtype=np.int32), "e": energy})
 
     blocks = rows.groupBy(*keys).applyInPandas(finish, "capture_id string, range_idx int, angle_idx int, e double")
-    return _relative(blocks.groupBy("capture_id", "range_idx", "angle_idx").agg(F.sum("e").alias("e")))
+    narrow = _relative(blocks.groupBy("capture_id", "range_idx", "angle_idx").agg(F.sum("e").alias("e")))
+    if True not in kinds:
+        return narrow
+    return narrow.unionByName(movement_map(known.where("wide").drop("wide", "frames"), band, fps, in_db, counts.where("wide").drop("wide")))
 
 
 def source_signal(profile: DataFrame, bin_: int | None = None, around: int = 0) -> DataFrame:

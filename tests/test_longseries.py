@@ -128,3 +128,16 @@ def test_displacement_rates(spark):
         assert all(abs(r.br_hz - 0.25) < 0.02 and abs(r.hr_hz - 1.2) < 0.02 and abs(r.hr_bpm - 60 * r.hr_hz) < 1e-9 for r in found)
     bands = temporal.displacement_bands(moved, "fps", block=100).where("t between 300 and 600").agg(F.max("breathing_m"), F.max("heart_m")).first()
     assert abs(bands[0] - 0.005) < 2e-4 and abs(bands[1] - 0.0005) < 5e-5
+
+
+def test_sums_of_narrow_bands_and_frames_of_wide_ones(spark, monkeypatch):
+    """Captures whose band has more bins than the most go through the plain map; no task adds up their sums."""
+    ra = maps(spark, {"a": 130, "b": 20, "c": 64})
+    whole = {(r.capture_id, r.range_idx, r.angle_idx): r.db for r in temporal.movement_map(ra).collect()}
+    calls = []
+    monkeypatch.setattr(temporal, "movement_map", lambda rows, *how, plain=temporal.movement_map: calls.append(sorted(r.capture_id for r in rows.select("capture_id").distinct().collect())) or plain(rows, *how))
+    for most, wide in ((0, ["a", "b", "c"]), (20, ["a"]), (1000, None)):
+        got = {(r.capture_id, r.range_idx, r.angle_idx): r.db for r in temporal.movement_map_by_sums(ra, most=most).collect()}
+        assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-9 for k in whole)
+        assert calls == ([wide] if wide else [])
+        calls.clear()
