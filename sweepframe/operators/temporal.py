@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ def band_mask(hz: np.ndarray, band: str, nyquist: float | None = None) -> np.nda
 
 #: Angles that a group of the movement map holds, and bins of the band in one row of partial sums.
 ANGLE_BLOCK, BIN_BLOCK = 16, 16
+#: Points of windows that are transformed at a time.
+WINDOWS = 1 << 16
 #: Bins of a band up to which a capture's map is made of partial sums.
 MOST_BINS = 64
 #: Bytes of partial sums that a task holds before it hands them on.
@@ -317,16 +320,21 @@ def band_energy_by_window(series: DataFrame, frames: int = 32, hop: int | None =
     first = F.greatest(F.lit(0), F.ceil((F.col("frame") - (frames - 1)) / hop)).cast("int")
     spread = series.withColumn("window_idx", F.explode(F.sequence(first, F.expr(f"cast(frame div {hop} as int)")))) if hop < frames else series.withColumn("window_idx", F.expr(f"cast(frame div {hop} as int)")).where(F.col("frame") % hop < frames)
     whole = spread.groupBy("capture_id", "window_idx").agg(F.array_sort(F.collect_list(F.struct("frame", "signal"))).alias("x")).where(F.size("x") == frames)
+    whole = whole.select("capture_id", "window_idx", F.col("x.signal").cast("array<double>").alias("x"))
+    n = fft_size(frames)
+    kept = band_mask(np.fft.rfftfreq(n, 1 / fps), band)
 
     def rows(batches):
         for batch in batches:
-            if len(batch):
-                x = np.stack([np.array([p["signal"] for p in xs]) for xs in batch["x"]])
-                n = fft_size(frames)
+            energies = [np.empty(0)]
+            # some windows at a time; their numbers never become Python's objects
+            for at in range(0, batch.num_rows, step := max(1, WINDOWS // n)):
+                x = batch.column("x").slice(at, step).flatten().to_numpy(zero_copy_only=False).reshape(-1, frames)
                 a = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * np.hanning(frames), n=n, axis=1))
-                yield pd.DataFrame({"capture_id": batch["capture_id"], "window_idx": batch["window_idx"], "energy": a[:, band_mask(np.fft.rfftfreq(n, 1 / fps), band)].sum(axis=1)})
+                energies.append(a[:, kept].sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("capture_id"), batch.column("window_idx"), pa.array(np.concatenate(energies), pa.float64())], names=["capture_id", "window_idx", "energy"])
 
-    return whole.mapInPandas(rows, f"capture_id {kind}, window_idx int, energy double")
+    return whole.mapInArrow(rows, f"capture_id {kind}, window_idx int, energy double")
 
 
 def phase_displacement(cells: DataFrame, wavelength: float | str, block: int = 4096) -> DataFrame:

@@ -141,3 +141,18 @@ def test_sums_of_narrow_bands_and_frames_of_wide_ones(spark, monkeypatch):
         assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-9 for k in whole)
         assert calls == ([wide] if wide else [])
         calls.clear()
+
+
+def test_energies_of_windows_without_objects(spark, monkeypatch):
+    """Windows reach Python as arrays of numbers, and are transformed some at a time."""
+    monkeypatch.setattr(temporal, "WINDOWS", 96)
+    rng = np.random.default_rng(6)
+    x = {c: rng.normal(size=n) for c, n in (("a", 210), ("b", 31), ("c", 75))}
+    series = spark.createDataFrame([(c, f, float(v)) for c, v in x.items() for f, v in enumerate(v)], "capture_id string, frame int, signal double")
+    mask = temporal.band_mask(np.fft.rfftfreq(32, 1 / 15), "movement")
+    for hop in (32, 10, 40):
+        found = temporal.band_energy_by_window(series, 32, hop)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.capture_id, r.window_idx): r.energy for r in found.collect()}
+        expected = {(c, s // hop): np.abs(np.fft.rfft((v[s : s + 32] - v[s : s + 32].mean()) * np.hanning(32)))[mask].sum() for c, v in x.items() for s in range(0, len(v) - 31, hop)}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in expected)
