@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweepframe.functions.groups import in_groups
 from sweepframe.functions.signal import next_pow2
 
 #: Numbers of each component that a group of a two-step transform holds, where one column or row doesn't hold more.
@@ -65,54 +66,66 @@ def positions(rows: DataFrame, keys: list[str], time: str, into: str, block: int
     return rows.join(before, [*keys, "__block"]).withColumn(into, F.col("__before") + F.row_number().over(inside) - 1).drop("__block", "__before")
 
 
-def amplitudes(rows: DataFrame, reduce: Callable[[tuple, np.ndarray, np.ndarray, int, float], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """reduce((capture_id, cell), k, amplitudes as k x components, points, fps) for parts of the half spectrum of each series.
+def amplitudes(rows: DataFrame, reduce: Callable[[tuple, np.ndarray, np.ndarray, int, float], pd.DataFrame | tuple], schema: str, block: int = BLOCK) -> DataFrame:
+    """reduce((capture_id, cell), k, amplitudes as k x components, points, fps) for parts of the half spectrum of each series: rows, or one row as a tuple.
 
     rows: capture_id, cell, frame (0 to frames - 1; a missing one counts as 0),
     frames, fps, and the components x of a frame as an array. The spectrum is
     that of x without its mean, times a Hann window, filled up to a power of two.
     """
     kind = {c: rows.schema[c].dataType.simpleString() for c in ("capture_id", "cell")}
+    names = [c.split()[0] for c in schema.split(", ")]
     log = F.length(F.bin(fft_size_of(F.col("frames")))) - 1
     side = F.expr("shiftleft(1L, cast(__log div 2 as int))")
     columns = F.expr("shiftleft(1L, cast(__log - __log div 2 as int))")
     dealt = rows.withColumn("__log", log).withColumn("cblock", F.floor((F.col("frame") % columns) / F.greatest(F.lit(1), F.floor(F.lit(block) / side))).cast("int")).drop("__log")
 
-    def first_step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        frames = int(rows["frames"].iloc[0])
+    def first_of(key: tuple, frames: int, fps: float, at: np.ndarray, x: np.ndarray) -> list[tuple]:
         n = fft_size(frames)
         r, c = _sides(n)
         per = max(1, block // r)
-        first = int(key[2]) * per
-        at, x = rows["frame"].to_numpy(), np.stack(rows["x"].to_numpy())
+        first = key[2] * per
         window = 0.5 - 0.5 * np.cos(2 * np.pi * at / (frames - 1)) if frames > 1 else np.ones(len(at))
         cells = np.zeros((r, min(per, c - first), x.shape[1]))
         cells[at // c, at % c - first] = x * window[:, None]
         half = np.arange(r // 2 + 1)
         y = np.fft.fft(cells, axis=0)[half] * np.exp(-2j * np.pi * np.outer(half, first + np.arange(cells.shape[1])) / n)[:, :, None]
         out = max(1, block // c)
-        found = [(key[0], key[1], b, int(key[2]), frames, float(rows["fps"].iloc[0]), y[b * out : (b + 1) * out].tobytes(), x.sum(axis=0)) for b in range(-(-len(half) // out))]
+        return [(key[0], key[1], b, key[2], frames, fps, y[b * out : (b + 1) * out].tobytes(), x.sum(axis=0)) for b in range(-(-len(half) // out))]
+
+    def first_step(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        keys = zip(*(rows[c].iloc[bounds[:-1]].tolist() for c in ("capture_id", "cell", "cblock")))
+        frames, rates = (rows[c].to_numpy()[bounds[:-1]].tolist() for c in ("frames", "fps"))
+        at, x = rows["frame"].to_numpy(), rows["x"].to_numpy()
+        found = [row for key, n, fps, a, b in zip(keys, frames, rates, bounds, bounds[1:]) for row in first_of(key, n, fps, at[a:b], np.stack(x[a:b]))]
         return pd.DataFrame(found, columns=["capture_id", "cell", "kblock", "cblock", "frames", "fps", "body", "total"])
 
-    turned = dealt.groupBy("capture_id", "cell", "cblock").applyInPandas(first_step, f"capture_id {kind['capture_id']}, cell {kind['cell']}, kblock int, cblock int, frames int, fps double, body binary, total array<double>")
+    turned = in_groups(dealt, ["capture_id", "cell", "cblock"], first_step, f"capture_id {kind['capture_id']}, cell {kind['cell']}, kblock int, cblock int, frames int, fps double, body binary, total array<double>")
 
-    def second_step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        frames, fps, width = int(rows["frames"].iloc[0]), float(rows["fps"].iloc[0]), len(rows["total"].iloc[0])
+    def second_of(key: tuple, frames: int, fps: float, cblocks: np.ndarray, bodies: np.ndarray, totals: np.ndarray) -> pd.DataFrame | tuple:
+        width = len(totals[0])
         n = fft_size(frames)
         r, c = _sides(n)
         per, out = max(1, block // r), max(1, block // c)
         low = np.arange(key[2] * out, min((key[2] + 1) * out, r // 2 + 1))
         z = np.zeros((len(low), c, width), complex)
-        for b, body in zip(rows["cblock"], rows["body"]):
+        for b, body in zip(cblocks, bodies):
             part = np.frombuffer(body, complex).reshape(len(low), -1, width)
             z[:, b * per : b * per + part.shape[1]] = part
         k = low[:, None] + r * np.arange(c)
-        spectrum = np.fft.fft(z, axis=1) - hann_transform(k, frames, n)[:, :, None] * (np.stack(rows["total"].to_numpy()).sum(axis=0) / frames)
+        spectrum = np.fft.fft(z, axis=1) - hann_transform(k, frames, n)[:, :, None] * (np.stack(totals).sum(axis=0) / frames)
         # k and n - k are conjugates: both are here only for the first and the middle k mod R
         once = (k <= n // 2) | ((low != 0) & (low != r // 2))[:, None]
         return reduce((key[0], key[1]), np.where(k > n // 2, n - k, k)[once], np.abs(spectrum[once]), n, fps)
 
-    return turned.groupBy("capture_id", "cell", "kblock").applyInPandas(second_step, schema)
+    def second_step(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        keys = zip(*(rows[c].iloc[bounds[:-1]].tolist() for c in ("capture_id", "cell", "kblock")))
+        frames, rates = (rows[c].to_numpy()[bounds[:-1]].tolist() for c in ("frames", "fps"))
+        cblocks, bodies, totals = (rows[c].to_numpy() for c in ("cblock", "body", "total"))
+        found = [second_of(key, n, fps, cblocks[a:b], bodies[a:b], totals[a:b]) for key, n, fps, a, b in zip(keys, frames, rates, bounds, bounds[1:])]
+        return pd.concat(found, ignore_index=True) if isinstance(found[0], pd.DataFrame) else pd.DataFrame(found, columns=names)
+
+    return in_groups(turned, ["capture_id", "cell", "kblock"], second_step, schema)
 
 
 def taps(low: float, high: float, fps: float, seconds: float) -> np.ndarray:

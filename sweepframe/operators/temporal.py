@@ -292,7 +292,7 @@ def vitals(series: DataFrame, fps: float | str = FPS, longest: int = LONGEST) ->
     if True not in kinds:
         return short
 
-    def part(key: tuple, k: np.ndarray, found: np.ndarray, n: int, fps: float) -> pd.DataFrame:
+    def part(key: tuple, k: np.ndarray, found: np.ndarray, n: int, fps: float) -> tuple:
         step = 1.0 / (n * (1 / fps))
         hz, a = k * step, found[:, 0]
         row = [float(a[band_mask(hz, b, n // 2 * step)].sum()) for b in ("noise", "breathing", "hr", "movement")]
@@ -301,7 +301,7 @@ def vitals(series: DataFrame, fps: float | str = FPS, longest: int = LONGEST) ->
             at = np.flatnonzero(band_mask(hz, band, n // 2 * step))
             best = at[np.lexsort((k[at], -a[at]))[:1]]
             tops += [float(a[best[0]]), int(-k[best[0]])] if len(best) else [None, None]
-        return pd.DataFrame([(key[0], *row, float(a.sum()), *tops, step)], columns=["capture_id", "noise", "breathing", "hr", "movement", "all", "br_a", "br_k", "hr_a", "hr_k", "step"]).astype({"br_k": "Int64", "hr_k": "Int64"})
+        return (key[0], *row, float(a.sum()), *tops, step)
 
     cells = longseries.positions(known.where("long"), ["capture_id"], "frame", "__at").select("capture_id", F.lit(0).alias("cell"), F.col("__at").cast("int").alias("frame"), "frames", "fps", F.array("signal").alias("x"))
     parts = longseries.amplitudes(cells, part, f"capture_id {kind}, noise double, breathing double, hr double, movement double, all double, br_a double, br_k long, hr_a double, hr_k long, step double")

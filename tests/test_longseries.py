@@ -156,3 +156,15 @@ def test_energies_of_windows_without_objects(spark, monkeypatch):
         got = {(r.capture_id, r.window_idx): r.energy for r in found.collect()}
         expected = {(c, s // hop): np.abs(np.fft.rfft((v[s : s + 32] - v[s : s + 32].mean()) * np.hanning(32)))[mask].sum() for c, v in x.items() for s in range(0, len(v) - 31, hop)}
         assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in expected)
+
+
+def test_amplitudes_of_many_small_series(spark):
+    """A reducer gives one plain row; many series go to Python in one call."""
+    rng = np.random.default_rng(9)
+    x = {c: rng.normal(size=40 + c % 30) for c in range(120)}
+    rows = spark.createDataFrame([(c, 0, f, len(v), 15.0, [float(a)]) for c, v in x.items() for f, a in enumerate(v)], "capture_id long, cell int, frame int, frames int, fps double, x array<double>")
+    found = longseries.amplitudes(rows, lambda key, k, found, n, fps: (key[0], float(found.sum())), "capture_id long, e double")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.capture_id: r.e for r in found.collect()}
+    assert got.keys() == x.keys()
+    assert all(abs(got[c] - np.abs(np.fft.rfft((v - v.mean()) * np.hanning(len(v)), longseries.fft_size(len(v)))).sum()) < 1e-9 for c, v in x.items())
