@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scratch import join_small, materialise, new_path, scope
-from sweepframe.llm.components import components
+from sweepframe.llm.components import tied
 from sweepframe.llm.words import free_names
 
 SEED = 42
@@ -207,15 +207,27 @@ def link(rows: DataFrame, tau: int) -> DataFrame:
     rows = materialise(rows)
     plan = search_plan(rows.select("fp").distinct(), tau)
     first = materialise(anchors(rows, plan, tau))
-    rooted = materialise(_rooted(rows, components(first)))
+    rooted = materialise(_rooted(rows, first))
     second = materialise(across(rooted, plan, tau))
     if second.isEmpty():
         return rooted
-    return materialise(_rooted(rows, components(first.unionAll(second))))
+    return materialise(_joined(rooted, second))
 
 
-def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "fp", F.coalesce("root", "key").alias("root"))
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (key, ...) with the root of each key under the links (a, b)."""
+    return join_small(rows, tied(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """rooted (key, root, ...) with the roots under more links, a written table: only roots are tied anew, each stands for all its keys."""
+    ends = links
+    for x in "ab":
+        own = rooted.select(F.col("key").alias(x), F.col("root").alias("root" + x))
+        # the links are the small side here
+        ends = materialise(join_small(own, ends, x))
+    more = tied(ends, "roota", "rootb").select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return join_small(rooted, more, "root", "left").withColumn("root", F.coalesce("further", "root")).select(*rooted.columns)
 
 
 def near_duplicates(docs: DataFrame, tau: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,7 +385,7 @@ def near_pairs(rows: DataFrame, tau: int) -> DataFrame:
     """(a, b): pairs of the fingerprints (key, fp; both distinct) within tau bits: those with the ends of each probed group, then those between groups that these leave apart. Their number follows the rows, not the square of a group."""
     plan = search_plan(rows.select("fp"), tau)
     first = materialise(anchors(rows, plan, tau))
-    rooted = materialise(_rooted(rows, components(first)))
+    rooted = materialise(_rooted(rows, first))
     return first.unionAll(across(rooted, plan, tau))
 
 
@@ -428,22 +440,15 @@ def _kept(docs: DataFrame, row: Column, similarity: float, size: int, tau: int,
         pairs = materialise(ends(pairs, made(pairs, wide_sketches, "wide")).where(_can_be_similar("a", "b", similarity, "wide")).select("a", "b"))
         return materialise(similar_of(pairs, made(pairs, shingle_sets, "s"), similarity))
 
-    def rooted(links: DataFrame) -> DataFrame:
-        """(key, root) of all texts."""
-        found = components(links).withColumnRenamed("node", "key")
-        return materialise(texts.select("key").join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
-
     # texts with one fingerprint are held against the first of them
     prints = materialise(texts.groupBy("fp").agg(F.min("key").alias("key")))
     same = texts.join(prints.withColumnRenamed("key", "a"), "fp").where("a < key").select("a", F.col("key").alias("b"))
-    links = similar(materialise(near_pairs(prints.select("key", "fp"), tau).unionAll(same)))
-    roots = rooted(links)
+    roots = materialise(_rooted(texts.select("key"), similar(materialise(near_pairs(prints.select("key", "fp"), tau).unionAll(same)))))
     # what the bits miss: first one partner for each value of a prefix, then all pairs between groups that are apart still
     starts = shared_starts(texts.select("key", "t"))
     for find in (star_pairs, prefix_pairs):
         more = materialise(find(starts.join(sizes, "key").join(roots, "key"), similarity))
         if not more.isEmpty():
-            links = links.unionAll(similar(more))
-            roots = rooted(links)
+            roots = materialise(_joined(roots, similar(more)))
     best = texts.join(roots, "key").groupBy("root").agg(F.min("best").alias("best"))
     return best.select("best.row", "best.id")
